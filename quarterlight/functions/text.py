@@ -43,27 +43,29 @@ def amount_status(raw: Column) -> Column:
     return (
         F.when(raw.isNull() | text.isin(*dims.SKIPPED_AMOUNTS), "skipped")
         .when(F.upper(text).isin(*dims.WITHHELD_AMOUNTS), "withheld")
-        .when(amount_number(_digits_with_sign(text)).isNull(), "invalid")
+        .when(strict_number(_digits_with_sign(text)).isNull(), "invalid")
         .otherwise("ok")
     )
 
 
 def strict_amount(raw: Column) -> Column:
-    """Amount text with only digits, separators and sign; null for blank, withheld or invalid cells."""
+    """Digits, separators and sign of an amount; null for blank and withheld cells.
+
+    The text need not be a number yet; ``strict_number`` of it is null if it is not.
+    """
     text = strip(raw)
-    cleaned = _digits_with_sign(text)
-    keep = (
-        ~text.isin(*dims.SKIPPED_AMOUNTS)
-        & ~F.upper(text).isin(*dims.WITHHELD_AMOUNTS)
-        & amount_number(cleaned).isNotNull()
-    )
-    return F.when(keep, cleaned)
+    kept = ~text.isin(*dims.SKIPPED_AMOUNTS) & ~F.upper(text).isin(*dims.WITHHELD_AMOUNTS)
+    return F.when(kept, _digits_with_sign(text))
+
+
+def strict_number(amount: Column) -> Column:
+    """Number in a text that ``strict_amount`` has cleaned (no letters are left in it)."""
+    return F.replace(amount, F.lit(",")).try_cast("double")
 
 
 def _digits_with_sign(text: Column) -> Column:
-    negative = text.startswith("(") & text.endswith(")")
-    digits = F.regexp_replace(text, r"[^0-9\-.,]", "")
-    return F.when(negative, F.concat(F.lit("-"), digits)).otherwise(digits)
+    sign = F.when(text.startswith("(") & text.endswith(")"), "-").otherwise("")
+    return F.concat(sign, F.regexp_replace(text, r"[^0-9\-.,]", ""))
 
 
 def parentheses_to_minus(text: Column) -> Column:

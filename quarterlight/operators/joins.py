@@ -69,3 +69,12 @@ def running_values(
     }
     helpers = [f"_{p}_{n}" for n in sums for p in "st"] + [f"_{p}_{n}" for n in carried for p in "cu"]
     return joined.withColumns(final).drop("_block", *helpers)
+
+
+def computed_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters use.
+
+    A filter on a plain projected column is pushed below the projection, where its expression is
+    evaluated a second time; a generated column is evaluated once.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))

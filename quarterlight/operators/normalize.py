@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names, text
-from quarterlight.operators.joins import lookup_join
+from quarterlight.operators.joins import computed_once, lookup_join
 from quarterlight.sources.schedules import code_columns
 
 LONG_COLUMNS = ("rssd_id", "name", "line_item", "description", "mdrm_code", "amount")
@@ -36,8 +36,9 @@ def keep_reported(cells: DataFrame, mode: str = "strict") -> DataFrame:
         return kept.withColumnRenamed("raw", "amount").withColumn("amount_num", text.amount_number(F.col("amount")))
     if mode != "strict":
         raise ValueError(f"mode must be 'strict' or 'raw', not {mode!r}")
-    cleaned = cells.withColumn("amount", text.strict_amount(F.col("raw"))).drop("raw")
-    return cleaned.withColumn("amount_num", text.amount_number(F.col("amount"))).filter(F.col("amount").isNotNull())
+    cleaned = computed_once(cells, "amount", text.strict_amount(F.col("raw"))).drop("raw")
+    numbers = computed_once(cleaned.filter(F.col("amount").isNotNull()), "amount_num", text.strict_number(F.col("amount")))
+    return numbers.filter(F.col("amount_num").isNotNull())
 
 
 def with_names(rows: DataFrame, institutions: DataFrame, spread: list[str]) -> DataFrame:
@@ -93,9 +94,10 @@ def code_dimension(
     the dictionary is, so joining it to the long table is always a broadcast.
     """
     order = {s: i for i, s in enumerate(sorted({s for s, _ in codes}))}
-    listed = spark.createDataFrame(
-        [(s, order[s], c, i) for i, (s, c) in enumerate(codes)],
+    listed = dims.literal_rows(
+        spark,
         "schedule_code string, schedule_seq int, mdrm_code string, code_seq int",
+        [(s, order[s], c, i) for i, (s, c) in enumerate(codes)],
     )
     described = listed.join(descriptions.select("mdrm_code", "description"), "mdrm_code", "left")
     described = with_schedule_info(with_line_items(described))

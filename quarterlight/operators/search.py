@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarterlight import dims
 from quarterlight.operators.joins import lookup_join
 from quarterlight.operators.normalize import default_name
 
@@ -29,7 +30,7 @@ def search_institutions(institutions: DataFrame, terms: list[str]) -> DataFrame:
     )
     if not ids:
         return by_name
-    wanted = spark.createDataFrame([(i, i) for i in ids], "term string, rssd_id string")
+    wanted = dims.literal_rows(spark, "term string, rssd_id string", [(i, i) for i in ids])
     found = institutions.filter(F.col("rssd_id").isin(*ids)).select("rssd_id", "name")
     by_id = wanted.join(found, "rssd_id", "left").select(
         "term", "rssd_id", F.coalesce("name", default_name(F.col("rssd_id"))).alias("name"), F.lit(True).alias("is_exact")

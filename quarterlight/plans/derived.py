@@ -91,9 +91,9 @@ def quarter_sums(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _noisy(number: Column, code_ix: int) -> Column:
+def _noisy(number: Column, code_ix: Column) -> Column:
     """Cell text; by a fixed rule some cells are blank, withheld, bracketed or malformed."""
-    kind = F.pmod(F.col("supp") * 7 + F.col("qix") * 5 + F.lit(code_ix * 3), F.lit(31))
+    kind = F.pmod(F.col("supp") * 7 + F.col("qix") * 5 + code_ix * 3, F.lit(31))
     plain = number.cast("string")
     return (
         F.when(kind == 0, F.lit(None).cast("string"))
@@ -121,10 +121,15 @@ def wide_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.pmod(odd, F.lit(59)) == 0, "nan")
         .otherwise(F.col("supp").cast("string"))
     )
-    cells = [_noisy(F.expr(f), i).alias(c) for i, (_, c, f) in enumerate(WIDE_CODES)]
     quarter = F.concat(F.col("y").cast("string"), F.lit("-Q"), F.col("q").cast("string"))
-    return sums.select(
-        rssd.alias(dims.ID_COLUMN), quarter.alias("quarter_key"), *cells, F.col("lines").cast("string").alias("TEXT1234")
+    # One array expression for all cells keeps the generated code small.
+    numbers = F.array(*[F.expr(formula) for _, _, formula in WIDE_CODES])
+    rows = sums.select(
+        rssd.alias(dims.ID_COLUMN), quarter.alias("quarter_key"), F.transform(numbers, _noisy).alias("cells"), "lines"
+    )
+    cells = [F.get("cells", F.lit(i)).alias(code) for i, (_, code, _) in enumerate(WIDE_CODES)]
+    return rows.select(
+        dims.ID_COLUMN, "quarter_key", *cells, F.col("lines").cast("string").alias("TEXT1234")
     )
 
 
