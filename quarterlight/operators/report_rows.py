@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import text
-from quarterlight.operators.joins import lookup_join, running_values
+from quarterlight.operators.joins import computed_once, lookup_join, running_values
 
 
 def _blank(value: Column) -> Column:
@@ -115,54 +115,61 @@ def _fill_blank_description(rows: DataFrame, descriptions: DataFrame) -> DataFra
     return joined.withColumn("description", F.when(fill, F.col("known")).otherwise(F.col("description"))).drop("known")
 
 
-def _first_match(line: Column, patterns: tuple[tuple[str, bool], ...], strip_item_dot: bool) -> Column:
-    """Struct (line_item, description, code, amount) of the first pattern that matches, else null."""
-    choice = F
-    for pattern, has_item in patterns:
-        at = 2 if has_item else 1
-        item = F.regexp_extract(line, pattern, 1) if has_item else F.lit("")
-        if strip_item_dot:
-            item = F.rtrim(item, F.lit("."))
-        found = F.struct(
-            item.alias("line_item"),
-            text.strip(F.regexp_extract(line, pattern, at)).alias("description"),
-            F.concat(F.regexp_extract(line, pattern, at + 1), F.regexp_extract(line, pattern, at + 2)).alias("code"),
-            F.regexp_extract(line, pattern, at + 3).alias("amount"),
-        )
-        choice = choice.when(line.rlike(pattern), found)
-    return choice
-
-
-def _section_header(line: Column, strip_item_dot: bool) -> Column:
-    numbered = line.rlike(dims.LINE_PREFIX_PATTERN)
-    item = F.regexp_extract(line, dims.LINE_PREFIX_PATTERN, 1)
-    if strip_item_dot:
-        item = F.rtrim(item, F.lit("."))
+def _parts(kind: str, line_item: Column, description: Column, code: Column, amount: Column) -> Column:
     return F.struct(
-        F.when(numbered, item).otherwise("").alias("line_item"),
-        F.when(numbered, F.regexp_extract(line, dims.LINE_PREFIX_PATTERN, 2)).otherwise(text.strip(line)).alias("description"),
-        F.lit("").alias("code"),
-        F.lit("").alias("amount"),
+        F.lit(kind).alias("kind"), line_item.alias("line_item"), description.alias("description"),
+        code.alias("code"), amount.alias("amount"),
+    )
+
+
+def _without_dot(item: Column, drop_dot: bool) -> Column:
+    return F.rtrim(item, F.lit(".")) if drop_dot else item
+
+
+def _pattern_match(line: Column, pattern: str, has_item: bool, drop_dot: bool) -> Column:
+    at = 2 if has_item else 1
+    item = F.regexp_extract(line, pattern, 1) if has_item else F.lit("")
+    return _parts(
+        "match",
+        _without_dot(item, drop_dot),
+        text.strip(F.regexp_extract(line, pattern, at)),
+        F.concat(F.regexp_extract(line, pattern, at + 1), F.regexp_extract(line, pattern, at + 2)),
+        F.regexp_extract(line, pattern, at + 3),
+    )
+
+
+def _numbered_text(line: Column, kind: str, code: Column, amount: Column, drop_dot: bool) -> Column:
+    """Line item and rest of a text, the whole text if it does not start with a number."""
+    numbered = line.rlike(dims.LINE_PREFIX_PATTERN)
+    item = _without_dot(F.regexp_extract(line, dims.LINE_PREFIX_PATTERN, 1), drop_dot)
+    rest = F.regexp_extract(line, dims.LINE_PREFIX_PATTERN, 2)
+    return _parts(
+        kind, F.when(numbered, item).otherwise(""), F.when(numbered, rest).otherwise(text.strip(line)), code, amount
+    )
+
+
+def _parsed(rows: DataFrame, choice: Column) -> DataFrame:
+    """The chosen parts as columns, rows without a choice dropped; the choice is evaluated once."""
+    return (
+        computed_once(rows, "_r", choice)
+        .filter(F.col("_r").isNotNull())
+        .select(*rows.columns, "_r.*", (F.col("_r.kind") == "header").alias("is_section_header"))
     )
 
 
 def parse_word_rows(rows: DataFrame, descriptions: DataFrame, line: str = "row_text") -> DataFrame:
     """Balance-sheet rows from positioned text: the first pattern wins, text without a code is a header."""
     row = F.col(line)
-    kept = rows.filter(~_contains_any(row, dims.WORD_ROW_SKIPS))
+    choice = F
+    for pattern, has_item in dims.WORD_ROW_PATTERNS:
+        choice = choice.when(row.rlike(pattern), _pattern_match(row, pattern, has_item, False))
     header = ~row.rlike(dims.BALANCE_CODE_PATTERN) & (F.length(row) > 5)
-    parsed = kept.withColumn("_m", _first_match(row, dims.WORD_ROW_PATTERNS, False)).withColumn(
-        "_h", F.when(F.col("_m").isNull() & header, _section_header(row, False))
-    )
-    chosen = F.coalesce("_m", "_h")
-    out = parsed.filter(chosen.isNotNull()).withColumn("is_section_header", F.col("_m").isNull())
-    out = out.select(*rows.columns, "is_section_header", chosen.alias("_r")).select(
-        *rows.columns, "is_section_header", "_r.*"
-    )
+    choice = choice.when(header, _numbered_text(row, "header", F.lit(""), F.lit(""), False))
+    out = _parsed(rows.filter(~_contains_any(row, dims.WORD_ROW_SKIPS)), choice)
     out = out.filter(~F.col("is_section_header") | ((F.col("description") != "") & ~F.col("description").rlike(r"^\d+$")))
     tidy = F.regexp_replace(F.regexp_replace("description", r"\s*\.+\s*$", ""), r"\s+", " ")
     out = out.withColumn("description", F.when(F.col("is_section_header"), F.col("description")).otherwise(tidy))
-    filled = _fill_blank_description(out, descriptions)
+    filled = _fill_blank_description(out.drop("kind"), descriptions)
     total = ~F.col("is_section_header") & _contains_any(F.upper("description"), dims.BALANCE_TOTAL_WORDS)
     return filled.withColumn("is_total", total)
 
@@ -170,45 +177,33 @@ def parse_word_rows(rows: DataFrame, descriptions: DataFrame, line: str = "row_t
 def parse_text_rows(rows: DataFrame, descriptions: DataFrame, line: str = "row_text") -> DataFrame:
     """Balance-sheet rows from plain text lines with one code each (five ordered patterns)."""
     row = F.col(line)
-    kept = rows.filter(~_contains_any(row, dims.TEXT_ROW_SKIPS) & (text.strip(row) != ""))
-    coded = row.rlike(dims.COLLAPSED_CODE_PATTERN)
-    before = text.strip(F.regexp_extract(row, rf"^(.*?){dims.BALANCE_CODE_PATTERN}", 1))
-    rest = _section_header(before, True)
-    last_resort = F.when(
-        row.rlike(dims.BALANCE_CODE_PATTERN) & row.rlike(r"[-]?[\d,]+"),
-        F.struct(
-            rest["line_item"].alias("line_item"),
-            rest["description"].alias("description"),
-            F.regexp_extract(row, dims.BALANCE_CODE_PATTERN, 0).alias("code"),
-            F.regexp_extract(row, r"[-]?[\d,]+", 0).alias("amount"),
-        ),
+    choice = F.when(
+        ~row.rlike(dims.COLLAPSED_CODE_PATTERN), _numbered_text(text.strip(row), "header", F.lit(""), F.lit(""), True)
     )
-    parsed = kept.withColumn("_m", F.when(coded, _first_match(row, dims.TEXT_ROW_PATTERNS, True)))
-    parsed = parsed.withColumns(
-        {
-            "_f": F.when(coded & F.col("_m").isNull(), last_resort),
-            "_h": F.when(~coded, _section_header(text.strip(row), True)),
-        }
+    for pattern, has_item in dims.TEXT_ROW_PATTERNS:
+        choice = choice.when(row.rlike(pattern), _pattern_match(row, pattern, has_item, True))
+    # Last resort: any code and any amount, described by the text before the code.
+    before = text.strip(F.regexp_extract(row, rf"^(.*?){dims.BALANCE_CODE_PATTERN}", 1))
+    any_amount = F.regexp_extract(row, r"[-]?[\d,]+", 0)
+    choice = choice.when(
+        row.rlike(dims.BALANCE_CODE_PATTERN) & (any_amount != ""),
+        _numbered_text(before, "fallback", F.regexp_extract(row, dims.BALANCE_CODE_PATTERN, 0), any_amount, True),
     )
-    chosen = F.coalesce("_m", "_f", "_h")
-    matched, fallback = F.col("_m").isNotNull(), F.col("_f").isNotNull()
-    out = parsed.filter(chosen.isNotNull()).select(
-        *rows.columns, matched.alias("_matched"), fallback.alias("_fallback"), chosen.alias("_r")
-    ).select(*rows.columns, "_matched", "_fallback", "_r.*")
-    out = out.withColumn("is_section_header", ~F.col("_matched") & ~F.col("_fallback"))
+    out = _parsed(rows.filter(~_contains_any(row, dims.TEXT_ROW_SKIPS) & (text.strip(row) != "")), choice)
     out = out.filter(
         ~F.col("is_section_header") | ((F.length("description") > 3) & ~F.col("description").rlike(r"^\d+$"))
     )
+    matched = F.col("kind") == "match"
     tidy = F.regexp_replace("description", r"\s*\([^)]+\)\s*:?\s*$", "")
     tidy = text.strip(F.regexp_replace(tidy, r"\s*\.+\s*$", ""))
-    out = out.withColumn("description", F.when(F.col("_matched"), tidy).otherwise(F.col("description")))
+    out = out.withColumn("description", F.when(matched, tidy).otherwise(F.col("description")))
     joined = with_dictionary(out, descriptions)
-    label = F.when(F.col("_matched"), F.concat(F.lit("Line item "), "code")).otherwise(F.concat(F.lit("Item "), "code"))
-    blank = (F.col("_matched") & F.col("description").isin("", ".", "-")) | (F.col("_fallback") & (F.col("description") == ""))
-    filled = F.when(blank, F.when(F.col("known") != "", F.col("known")).otherwise(label)).otherwise(F.col("description"))
+    label = F.concat(F.when(matched, "Line item ").otherwise("Item "), F.col("code"))
+    blank = (F.col("code") != "") & F.col("description").isin("", ".", "-")
+    filled = F.when(blank, F.coalesce(F.nullif("known", F.lit("")), label)).otherwise(F.col("description"))
     joined = joined.withColumn("description", filled)
-    total = F.col("_matched") & _contains_any(F.upper("description"), dims.BALANCE_TOTAL_WORDS)
-    return joined.withColumn("is_total", total).drop("_matched", "_fallback", "known")
+    total = matched & _contains_any(F.upper("description"), dims.BALANCE_TOTAL_WORDS)
+    return joined.withColumn("is_total", total).drop("kind", "known")
 
 
 def split_collapsed(grid: DataFrame, descriptions: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:

@@ -565,7 +565,7 @@ def _(spark, sf):
 
 @query("A7_peer_statistics")
 def _(spark, sf):
-    return rounded(compare.peer_statistics(_members(spark, sf), QUARTER))
+    return rounded(compare.peer_statistics(_members(spark, sf), QUARTER), 8)
 
 
 @query("A8_amounts_per_schedule")

@@ -43,9 +43,9 @@ WIDE_CODES = (
     ("RCN", "RCON1403", "flag_r div 40"),
     ("RCN", "RCON1407", "flag_r div 60"),
     ("RCN", "RCFD5389", "flag_n div 90"),
-    ("RCR", "RCOA7206", "8 + qty % 7"),
-    ("RCR", "RCOA7205", "9 + qty % 6"),
-    ("RCR", "RCOA7204", "4 + qty % 5"),
+    ("RCRI", "RCOA7206", "8 + qty % 7"),
+    ("RCRI", "RCOA7205", "9 + qty % 6"),
+    ("RCRI", "RCOA7204", "4 + qty % 5"),
     ("RI", "RIAD4340", "disc - tax"),
     ("RI", "RIAD4074", "tax"),
     ("RI", "RIAD4079", "disc div 3"),
