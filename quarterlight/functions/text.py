@@ -15,6 +15,11 @@ _ENTITIES = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, for expressions that mention it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
@@ -53,7 +58,11 @@ def strict_amount(raw: Column) -> Column:
 
     The text need not be a number yet; ``strict_number`` of it is null if it is not.
     """
-    text = strip(raw)
+    return stripped_amount(strip(raw))
+
+
+def stripped_amount(text: Column) -> Column:
+    """``strict_amount`` of a text without outer blanks."""
     kept = ~text.isin(*dims.SKIPPED_AMOUNTS) & ~F.upper(text).isin(*dims.WITHHELD_AMOUNTS)
     return F.when(kept, _digits_with_sign(text))
 
@@ -108,8 +117,8 @@ def clean_cell(raw: Column, negatives_first: bool = False) -> Column:
         return F.regexp_replace(t, r"\s*\*+", "")
 
     def negatives(t: Column) -> Column:
-        bracketed = t.rlike(r"^\s*\(\s*[\d,]+\.?\d*\s*\)\s*$")
-        return F.when(bracketed, F.concat(F.lit("-"), F.regexp_replace(t, r"[^\d,.]", ""))).otherwise(t)
+        digits = lambda v: F.concat(F.lit("-"), F.regexp_replace(v, r"[^\d,.]", ""))
+        return let(t, lambda v: F.when(v.rlike(r"^\s*\(\s*[\d,]+\.?\d*\s*\)\s*$"), digits(v)).otherwise(v))
 
     text = drop_notes(negatives(text)) if negatives_first else negatives(drop_notes(text))
     text = F.regexp_replace(text, r"\$\s+", r"\$")

@@ -7,6 +7,8 @@ ordinal and windows over one peer group stay small.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -44,20 +46,37 @@ def attach_peers(rows: DataFrame, peers: DataFrame, spread: list[str]) -> DataFr
     return lookup_join(rows, peers, ["rssd_id"], spread, how="inner")
 
 
-def _matrix(rows: DataFrame, keys: list[str], item: list[str], value: str) -> DataFrame:
-    """One row per (keys, group, item) with the members' values as columns and as an array."""
-    pivoted = rows.groupBy(*keys, "peer_group", *item).agg(
+def _side_by_side(peer_metrics: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """One row per (keys, group) with an array of metrics per member, ``m0`` to ``m3``.
+
+    Members meet while there is still one row per institution, so that the shuffle carries that and not
+    one row per printed item; the items are laid out afterwards, row by row.
+    """
+    values = F.array(*[F.col(m).cast("double") for m in metrics])
+    return peer_metrics.groupBy(*keys, "peer_group").agg(
         F.max("set_size").alias("set_size"),
-        *[F.max(F.when(F.col("ordinal") == i, F.col(value))).alias(member_name(i)) for i in range(MEMBERS)],
+        *[F.max(F.when(F.col("ordinal") == i, values)).alias(f"m{i}") for i in range(MEMBERS)],
     )
-    # A member without data counts as 0; columns beyond the group's size stay null.
-    present = {
-        member_name(i): F.when(F.col("set_size") > i, F.coalesce(member_name(i), F.lit(0.0)))
+
+
+def _laid_out(peer_metrics: DataFrame, keys: list[str], schema: str, items: list[tuple]) -> DataFrame:
+    """Items (label columns ..., metric or None) with one value column per member.
+
+    A member without data counts as 0; columns beyond the group's size stay null.
+    """
+    metrics = list(dict.fromkeys(item[-1] for item in items if item[-1]))
+    names_ = [field.split()[0] for field in schema.split(",")]
+    labels = [dict(zip(names_, item)) | {"ix": metrics.index(item[-1]) if item[-1] else None} for item in items]
+    listed = F.from_json(F.lit(json.dumps(labels)), f"array<struct<{dims.schema_fields(schema)}, ix:int>>")
+    grouped = _side_by_side(peer_metrics, keys, metrics)
+    rows = grouped.select("*", F.inline(listed))
+    values = {
+        member_name(i): F.when(F.col("set_size") > i, F.coalesce(F.get(f"m{i}", F.col("ix")), F.lit(0.0)))
         for i in range(MEMBERS)
     }
-    pivoted = pivoted.withColumns(present)
-    members = F.slice(F.array(*[F.col(member_name(i)) for i in range(MEMBERS)]), F.lit(1), F.col("set_size"))
-    return pivoted.withColumn("members", members)
+    rows = rows.select(*keys, "peer_group", "set_size", *names_, "ix", *[c.alias(n) for n, c in values.items()])
+    members = F.slice(F.array(*[F.col(n) for n in values]), F.lit(1), F.col("set_size"))
+    return rows.withColumn("members", members)
 
 
 def _mean(values: Column) -> Column:
@@ -73,50 +92,37 @@ def _peer_average() -> Column:
 def metric_sections(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
     """The seven metric sections: label rows with one column per member and the peer average."""
     items = [
-        F.struct(
-            F.lit(s).alias("section_ix"), F.lit(title).alias("section"), F.lit(r).alias("row_ix"),
-            F.lit(label).alias("label"), F.lit(metric is not None).alias("has_value"),
-            (F.col(metric) if metric else F.lit(0.0)).alias("value"),
-        )
-        for s, (title, rows) in enumerate(dims.METRIC_SECTIONS)
-        for r, (label, metric) in enumerate(rows)
+        (s, title, r, label, metric)
+        for s, (title, listed) in enumerate(dims.METRIC_SECTIONS)
+        for r, (label, metric) in enumerate(listed)
     ]
-    long = peer_metrics.select(*keys, "peer_group", "ordinal", "set_size", F.inline(F.array(*items)))
-    matrix = _matrix(long, keys, ["section_ix", "section", "row_ix", "label", "has_value"], "value")
+    matrix = _laid_out(peer_metrics, keys, "section_ix int, section string, row_ix int, label string", items)
     matrix = matrix.withColumn("peer_avg", _peer_average())
     shown = [member_name(i) for i in range(MEMBERS)] + ["peer_avg"]
-    return matrix.withColumns({c: F.when(F.col("has_value"), F.col(c)) for c in shown}).drop("members", "has_value")
+    return matrix.withColumns({c: F.when(F.col("ix").isNotNull(), F.col(c)) for c in shown}).drop("members", "ix")
 
 
 def ratio_table(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Six headline ratios: a rating for a group of one, else member columns and the peer average."""
-    items = [
-        F.struct(F.lit(i).alias("row_ix"), F.lit(l).alias("label"), F.lit(m).alias("metric"), F.col(m).alias("value"))
-        for i, (l, m) in enumerate(dims.RATIO_TABLE)
-    ]
-    long = peer_metrics.select(*keys, "peer_group", "ordinal", "set_size", F.inline(F.array(*items)))
-    matrix = _matrix(long, keys, ["row_ix", "label", "metric"], "value")
+    items = [(i, label, m, m) for i, (label, m) in enumerate(dims.RATIO_TABLE)]
+    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, metric string", items)
     status = F.when(F.col("set_size") == 1, ratios.ratio_status(F.col("metric"), F.col("primary")))
-    return matrix.withColumns({"peer_avg": _peer_average(), "status": status}).drop("members")
+    return matrix.withColumns({"peer_avg": _peer_average(), "status": status}).drop("members", "ix")
 
 
 def peer_statistics(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, median, population deviation and the primary's percentile for five metrics."""
-    items = [
-        F.struct(
-            F.lit(i).alias("row_ix"), F.lit(l).alias("label"),
-            (F.col(m).cast("double") / F.lit(d)).alias("value"),
-        )
-        for i, (l, m, d) in enumerate(dims.STATISTIC_METRICS)
-    ]
-    long = peer_metrics.select(*keys, "peer_group", "ordinal", "set_size", F.inline(F.array(*items)))
-    matrix = _matrix(long, keys, ["row_ix", "label"], "value").withColumn("mean", _mean(F.col("members")))
+    items = [(i, label, d, m) for i, (label, m, d) in enumerate(dims.STATISTIC_METRICS)]
+    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, divisor double", items)
+    scaled = matrix.withColumn("members", F.transform("members", lambda v: v / F.col("divisor")))
+    scaled = scaled.withColumn("mean", _mean(F.col("members")))
     ranked, n = F.sort_array("members"), F.col("set_size")
     low = F.get(ranked, ((n - 1) / 2).cast("int"))
     high = F.get(ranked, (n / 2).cast("int"))
     squares = F.transform("members", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
-    at_most = F.size(F.filter("members", lambda v: v <= F.col("primary")))
-    return matrix.select(
+    own = F.get("members", F.lit(0))
+    at_most = F.size(F.filter("members", lambda v: v <= own))
+    return scaled.select(
         *keys, "peer_group", "row_ix", "label", "mean",
         ((low + high) / 2).alias("median"),
         F.sqrt(_mean(squares)).alias("std_dev"),

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterlight import dims
-from quarterlight.functions import ratios
+from quarterlight.functions import ratios, text
+from quarterlight.operators import normalize
+from quarterlight.sources.schedules import code_columns
 
 _CODE_SLOTS = 64  # more than the longest list of alternatives
 
@@ -52,6 +54,50 @@ def base_metrics(long: DataFrame, keys: list[str] | None = None, order: str = "r
     return firsts.groupBy(*keys).agg(*aggregates)
 
 
+def wide_base_metrics(
+    frames: list[tuple[DataFrame, str | dict[str, str]]], keys: list[str] | None = None, order: str | None = None
+) -> DataFrame:
+    """The same base metrics straight from wide schedule rows: (frame, its schedule or code -> schedule).
+
+    Only metric codes are read and cleaned, and one row per institution and file is shuffled instead of
+    one row per cell.  ``order`` is the column that orders repeated rows of an institution; without it
+    the largest of the repeated values counts, so that the result does not depend on the task order.
+    """
+    keys = keys or []
+    parts, slots = [], set()
+    for wide, schedule_of in frames:
+        of = (lambda c, s=schedule_of: s) if isinstance(schedule_of, str) else schedule_of.__getitem__
+        codes = [c for c in code_columns(wide.columns) if c in set(metric_code_list())]
+        rows = wide.filter(normalize.valid_id(F.col(dims.ID_COLUMN)))
+        cells = F.array(*[F.col(f"`{c}`") for c in codes]).cast("array<string>")
+        numbers = F.transform(
+            F.transform(F.transform(cells, text.strip), text.stripped_amount), text.strict_number
+        )
+        order_by = [order] if order else []
+        rows = rows.select(text.strip(F.col(dims.ID_COLUMN)).alias("rssd_id"), *keys, *order_by, numbers.alias("_n"))
+        named = {c: f"{of(c)}|{c}" for c in codes}
+        slots |= set(named.values())
+        parts.append(
+            rows.select("rssd_id", *keys, *order_by, *[F.get("_n", F.lit(i)).alias(named[c]) for i, c in enumerate(codes)])
+        )
+
+    def reported(slot: str) -> Column:
+        value = F.col(f"`{slot}`")
+        first = F.min_by(value, F.when(value.isNotNull(), F.col(order))) if order else F.max(value)
+        return first.alias(slot)
+
+    grouped = normalize.union_schedules(parts).groupBy("rssd_id", *keys).agg(*[reported(s) for s in sorted(slots)])
+
+    def first_of(codes: tuple[str, ...]) -> Column:
+        ranked = sorted((s.split("|")[0], codes.index(s.split("|")[1]), s) for s in slots if s.split("|")[1] in codes)
+        return F.coalesce(*[F.col(f"`{s}`") for _, _, s in ranked], F.lit(0.0))
+
+    metrics = {m: first_of(codes) for m, codes in dims.METRIC_CODES.items()}
+    first, second = dims.DEPOSIT_COMPONENTS
+    metrics["total_deposits"] = first_of(first) + first_of(second)
+    return grouped.select("rssd_id", *keys, *[c.alias(m) for m, c in metrics.items()])
+
+
 def lookup_metrics(long: DataFrame, keys: list[str] | None = None, order: str = "row_seq") -> DataFrame:
     """(keys, metric, value, mdrm_code): which code supplied each plain metric, absent when none did."""
     keys = ["rssd_id", *(keys or [])]

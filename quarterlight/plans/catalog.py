@@ -539,6 +539,11 @@ def _(spark, sf):
     return rounded(metrics.base_metrics(D.long_table(spark, sf), QUARTER, order="code_seq"))
 
 
+@query("A1_base_metrics_from_wide")
+def _(spark, sf):
+    return rounded(metrics.wide_base_metrics([(D.wide_schedules(spark, sf), D.SCHEDULE_OF)], QUARTER))
+
+
 @query("A2_total_deposits")
 def _(spark, sf):
     return rounded(metrics.base_metrics(D.long_table(spark, sf), QUARTER, order="code_seq").select(*IDS, "total_deposits"))

@@ -168,7 +168,8 @@ def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: li
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarterlight.operators import metrics
 
-    return metrics.institution_metrics(long_table(spark, sf_dir), QUARTER, order="code_seq")
+    base = metrics.wide_base_metrics([(wide_schedules(spark, sf_dir), SCHEDULE_OF)], QUARTER)
+    return metrics.with_ratios(base)
 
 
 # -- files -----------------------------------------------------------------------------------------

@@ -487,6 +487,7 @@ SQL["J12_peer_rejection"] = """SELECT CAST(s_suppkey // 2 AS VARCHAR) AS rssd_id
 
 # -- A -------------------------------------------------------------------------------------------------
 SQL["A1_base_metrics"] = f"WITH {BASE} SELECT rssd_id, quarter_key, " + ", ".join(f"round({m}, 6) AS {m}" for m in dims.METRIC_CODES) + " FROM base"
+SQL["A1_base_metrics_from_wide"] = SQL["A1_base_metrics"]
 SQL["A2_total_deposits"] = f"WITH {BASE} SELECT rssd_id, quarter_key, round(total_deposits, 6) AS total_deposits FROM base"
 
 

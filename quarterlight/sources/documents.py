@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import text
+from quarterlight.operators.joins import computed_once
 
 _TABLE_EDGE = r"(?i)(?=<table\b|</table\s*>)"
 _BLOCK = r"h[1-6]|p|div|span"
@@ -39,12 +40,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 # -- HTML ------------------------------------------------------------------------------------------
-def _table_texts(html: Column) -> Column:
-    """Array of table bodies in order of their opening tags.
-
-    The text is cut at every table tag; a running stack of open tables tells which table each piece
-    belongs to, so a nested table's rows are its own and the outer table keeps the pieces around it.
-    """
+def _piece_owners(pieces: Column) -> Column:
+    """Number of the table that each piece of text belongs to (0: outside all tables)."""
     start = F.struct(
         F.lit(0).alias("opened"),
         F.array().cast("array<int>").alias("stack"),
@@ -64,23 +61,25 @@ def _table_texts(html: Column) -> Column:
         owner = F.array_append(state["owner"], F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(0)))
         return F.struct(opened.alias("opened"), stack.alias("stack"), owner.alias("owner"))
 
-    pieces = F.split(html, _TABLE_EDGE)
-    state = F.aggregate(pieces, start, step)
-    owned = F.arrays_zip(pieces.alias("piece"), state["owner"].alias("owner"))
-
-    def body(table: Column) -> Column:
-        return F.array_join(F.transform(F.filter(owned, lambda p: p["owner"] == table), lambda p: p["piece"]), "")
-
-    numbers = F.when(state["opened"] > 0, F.sequence(F.lit(1), F.greatest(state["opened"], F.lit(1))))
-    return F.transform(F.coalesce(numbers, F.array().cast("array<int>")), body)
+    return F.aggregate(pieces, start, step, lambda state: state["owner"])
 
 
 def html_tables(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per table: raw body text, raw row bodies, table number and the preceding heading text."""
+    """One row per table: its number in the document, raw body text and raw row bodies.
+
+    The text is cut at every table tag and a running stack of open tables tells which table a piece
+    belongs to, so a nested table's rows are its own and the outer table keeps the pieces around it.
+    """
     no_comments = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    tables = docs.select(*keys, F.posexplode(_table_texts(no_comments)).alias("table_ix", "table_html"))
+    cut = computed_once(docs.select(*keys, no_comments.alias("_h")), "_pieces", F.split("_h", _TABLE_EDGE)).drop("_h")
+    owned = computed_once(cut, "_owner", _piece_owners(F.col("_pieces")))
+    last = F.array_max("_owner")
+    numbers = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    mine = lambda t: F.filter("_pieces", lambda p, i: F.get("_owner", i) == t)
+    bodies = F.transform(numbers, lambda t: F.array_join(mine(t), ""))
+    tables = owned.select(*keys, F.posexplode(bodies).alias("table_ix", "table_html"))
     rows = F.slice(F.split("table_html", r"(?i)<tr\b[^>]*>"), 2, 2_000_000_000)
-    return tables.withColumn("row_html", rows)
+    return computed_once(tables, "row_html", rows)
 
 
 def _row_cells(row: Column, negatives_first: bool) -> Column:
@@ -103,11 +102,11 @@ def _row_cells(row: Column, negatives_first: bool) -> Column:
 
 def table_grids(tables: DataFrame, negatives_first: bool = False) -> DataFrame:
     """Add ``cells`` (rows of cleaned cells padded to the widest row), row and column counts."""
-    parsed = tables.withColumn("ragged", F.transform("row_html", lambda r: _row_cells(r, negatives_first)))
-    width = F.coalesce(F.array_max(F.transform("ragged", lambda r: F.size(r))), F.lit(0))
-    sized = parsed.withColumn("n_cols", width).withColumn("n_rows", F.size("ragged"))
-    padded = F.transform("ragged", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("n_cols") - F.size(r))))
-    return sized.withColumn("cells", padded).drop("ragged")
+    parsed = computed_once(tables, "_ragged", F.transform("row_html", lambda r: _row_cells(r, negatives_first)))
+    width = F.coalesce(F.array_max(F.transform("_ragged", lambda r: F.size(r))), F.lit(0))
+    sized = computed_once(parsed.withColumn("n_rows", F.size("_ragged")), "n_cols", width)
+    padded = F.transform("_ragged", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("n_cols") - F.size(r))))
+    return computed_once(sized, "cells", padded).drop("_ragged")
 
 
 def explode_cells(grids: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_ix")) -> DataFrame:
