@@ -37,15 +37,24 @@ def base_schedule(code: Column) -> Column:
     )
 
 
-def listing_fields(name: Column) -> dict[str, Column]:
-    """Schedule, report date, year, quarter and part of a bulk file name; nulls when it is none."""
+def listing_match(name: Column) -> Column:
+    """The part of a bulk file name from the publisher's prefix to the report date, '' if there is none."""
     coded = [c for c in dims.EXPECTED_SCHEDULES if c != dims.BULK_ONLY_SCHEDULE]
     pattern = (
-        rf"(?i)FFIEC\s+CDR\s+Call\s+(?:Schedule\s+({'|'.join(coded)})|Bulk\s+({dims.BULK_ONLY_SCHEDULE}))"
-        r"\s+([0-9]{8})"
+        rf"(?i)FFIEC\s+CDR\s+Call\s+(?:Schedule\s+(?:{'|'.join(coded)})|Bulk\s+{dims.BULK_ONLY_SCHEDULE})"
+        r"\s+[0-9]{8}"
     )
-    code = F.upper(F.concat(F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)))
-    report_date = F.regexp_extract(name, pattern, 3)
+    return F.regexp_extract(name, pattern, 0)
+
+
+def listing_fields(name: Column, match: Column | None = None) -> dict[str, Column]:
+    """Schedule, report date, year, quarter and part of a bulk file name; nulls when it is none.
+
+    ``match`` is the name's ``listing_match`` if it has been computed already.
+    """
+    words = F.split(listing_match(name) if match is None else match, r"\s+")
+    code = F.upper(F.try_element_at(words, F.lit(-2)))
+    report_date = F.try_element_at(words, F.lit(-1))
     day = F.try_to_date(F.nullif(report_date, F.lit("")), "MMddyyyy")
     part = F.regexp_extract(name, dims.PART_PATTERN, 1)
     known = day.isNotNull()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names
+from quarterlight.operators.joins import lookup_join
 
 LEDGER_SCHEMA = (
     "filepath string, filename string, schedule_code string, report_date string, quarter int, year int,"
@@ -177,7 +178,7 @@ def files_by_quarter(files: DataFrame) -> DataFrame:
     The files of a quarter stay rows: a quarter is not collected into one value.
     """
     sizes = files.groupBy("year", "quarter").agg(F.count(F.lit(1)).alias("files_in_quarter"))
-    joined = files.join(sizes, ["year", "quarter"])
+    joined = lookup_join(files, sizes, ["year", "quarter"], ["filepath"], how="inner")
     return joined.withColumn("quarter_key", names.quarter_key(F.col("year"), F.col("quarter")))
 
 
@@ -235,8 +236,10 @@ def quarter_completeness(files: DataFrame, exact: bool = False) -> DataFrame:
 def missing_schedules(files: DataFrame, exact: bool = False) -> DataFrame:
     """(year, quarter, schedule_code) of expected schedules no file satisfies: an equality anti-join."""
     expected = F.explode(F.array(*[F.lit(c) for c in dims.EXPECTED_SCHEDULES])).alias("schedule_code")
-    wanted = files.select("year", "quarter").distinct().select("year", "quarter", expected)
-    present = files.select(
+    # Both sides start from the same distinct codes, so Spark computes and shuffles those once.
+    codes = files.select("year", "quarter", "schedule_code").distinct()
+    wanted = codes.select("year", "quarter").distinct().select("year", "quarter", expected)
+    present = codes.select(
         "year", "quarter", F.explode(_satisfied(F.col("schedule_code"), exact)).alias("schedule_code")
     ).distinct()
     return wanted.join(present, ["year", "quarter", "schedule_code"], "left_anti")

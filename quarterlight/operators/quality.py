@@ -16,16 +16,10 @@ def quality_report(wide: DataFrame, keys: list[str] | None = None) -> DataFrame:
     has_id = dims.ID_COLUMN in wide.columns
     filled = sum((F.count(f"`{c}`") for c in codes), start=F.lit(0).cast("bigint"))
     ids = F.countDistinct(dims.ID_COLUMN) if has_id else F.lit(0).cast("bigint")
-    # The distinct count is taken apart so that it does not multiply the rows of the cell counts.
-    counts = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), filled.alias("filled_cells"))
-    if has_id:
-        distinct = wide.groupBy(*keys).agg(ids.alias("institutions"))
-        if keys:
-            counts = counts.join(distinct, keys)
-        else:
-            counts = counts.withColumn("_one", F.lit(1)).join(distinct.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    else:
-        counts = counts.withColumn("institutions", F.lit(0).cast("bigint"))
+    # One distinct column costs no extra rows: partial counts are kept per id, then merged.
+    counts = wide.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), filled.alias("filled_cells"), ids.alias("institutions")
+    )
     cells = F.col("n_rows") * len(codes)
     density = F.when(cells > 0, F.col("filled_cells") / F.nullif(cells.cast("double"), F.lit(0.0)) * 100)
     report = counts.withColumn("density_pct", F.coalesce(density, F.lit(0.0)))

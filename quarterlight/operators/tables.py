@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from quarterlight import dims
 from quarterlight.functions import names, text
-from quarterlight.operators.joins import lookup_join, running_values
+from quarterlight.operators.joins import computed_once, lookup_join, running_values
 
 
 def is_financial(table_text: Column, n_rows: Column, n_cells: Column) -> Column:
@@ -104,20 +104,29 @@ def tables_with_sections(docs: DataFrame, html: str = "html", keys: tuple[str, .
     heading, so every table belongs to one section.
     """
     no_comments = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    pieces = F.split(no_comments, r"(?i)<table\b")
-    piece = docs.select(*keys, F.posexplode(pieces).alias("piece_ix", "piece"))
-    outside = F.element_at(F.split("piece", r"(?i)</table\s*>"), -1)
-    heads = F.regexp_extract_all(outside, F.lit(r"(?is)<(?:h[1-6]|p|div|span)\b[^>]*>([^<]+)"), F.lit(1))
-    lower = F.transform(heads, lambda h: F.lower(text.strip(text.markup_text(h))))
-    short = F.filter(lower, lambda h: F.length(h) <= dims.SECTION_TEXT_LIMIT)
     listed = F.array(*[F.lit(k) for k in dims.SECTION_KEYWORDS])
-    keyword = F.transform(short, lambda h: F.get(F.filter(listed, lambda k: F.contains(h, k)), F.lit(0)))
-    last = F.try_element_at(F.filter(keyword, lambda k: k.isNotNull()), F.lit(-1))
-    # The heading found in piece i stands before table i; it is carried over tables without one.
-    flagged = piece.select(*keys, "piece_ix", last.alias("found"))
-    carried = running_values(flagged, list(keys), "piece_ix", carried={"keyword": F.col("found")})
-    return carried.join(piece.select(*keys, (F.col("piece_ix") - 1).alias("piece_ix")), [*keys, "piece_ix"]).select(
-        *keys, F.col("piece_ix").alias("table_ix"), "keyword", section_priority(F.col("keyword")).alias("priority")
+
+    def last_keyword(piece: Column) -> Column:
+        outside = F.element_at(F.split(piece, r"(?i)</table\s*>"), -1)
+        heads = F.regexp_extract_all(outside, F.lit(r"(?is)<(?:h[1-6]|p|div|span)\b[^>]*>([^<]+)"), F.lit(1))
+        lower = F.transform(heads, lambda h: F.lower(text.strip(text.markup_text(h))))
+        short = F.filter(lower, lambda h: F.length(h) <= dims.SECTION_TEXT_LIMIT)
+        found = F.transform(short, lambda h: F.get(F.filter(listed, lambda k: F.contains(h, k)), F.lit(0)))
+        return F.try_element_at(F.filter(found, lambda k: k.isNotNull()), F.lit(-1))
+
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def carry(state: Column, keyword: Column) -> Column:
+        current = F.coalesce(keyword, state["last"])
+        return F.struct(current.alias("last"), F.array_append(state["out"], current).alias("out"))
+
+    # The heading found before the n-th opening tag belongs to table n and is carried over later ones.
+    per_piece = F.transform(F.split("_h", r"(?i)<table\b"), last_keyword)
+    found = computed_once(docs.select(*keys, no_comments.alias("_h")), "_found", per_piece)
+    carried = computed_once(found, "_carried", F.aggregate("_found", start, carry, lambda s: s["out"]))
+    before_tables = F.slice("_carried", F.lit(1), F.size("_carried") - 1)
+    return carried.select(*keys, F.posexplode(before_tables).alias("table_ix", "keyword")).withColumn(
+        "priority", section_priority(F.col("keyword"))
     )
 
 

@@ -197,7 +197,9 @@ SQL["S4_read_large_file"] = f"WITH {LONG} SELECT rssd_id, quarter_key, mdrm_code
 
 FILES = f"""
 named AS (
-  SELECT o_orderkey AS k, ({listed(dims.EXPECTED_SCHEDULES)})[o_orderkey % 39 + 1] AS code, strftime(o_orderdate, '%m%d%Y') AS mdy,
+  SELECT o_orderkey AS k, ({listed(dims.EXPECTED_SCHEDULES)})[CASE
+      WHEN (o_orderkey % 39 + year(o_orderdate) * 4 + quarter(o_orderdate)) % 6 = 0 THEN (o_orderkey % 39 + 1) % 39
+      ELSE o_orderkey % 39 END + 1] AS code, strftime(o_orderdate, '%m%d%Y') AS mdy,
     CASE WHEN o_orderkey % 11 = 0 THEN '(' || (o_orderkey % 2 + 1) || ' of 2)' ELSE '' END AS part_text, *
   FROM orders
 ),
@@ -219,14 +221,14 @@ inv AS (
   FROM listing WHERE is_bulk
 ),
 ledger AS (
-  SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status,
+  SELECT * REPLACE (CASE WHEN k % 5 = 0 THEN '/old' || filepath ELSE filepath END AS filepath), CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status,
     CASE WHEN k % 7 = 0 THEN '0000' ELSE hash END AS file_hash, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp,
     o_orderstatus = 'F' AS done,
     CASE WHEN o_orderstatus = 'F' THEN file_size % 1000 END AS row_count,
     CASE WHEN o_orderstatus = 'F' THEN file_size % 100 END AS institution_count,
     CASE WHEN o_orderstatus = 'P' THEN 'error ' || k END AS err,
     CASE WHEN o_orderstatus = 'P' THEN k % 3 ELSE 0 END AS retries
-  FROM inv WHERE k % 5 <> 0
+  FROM inv
 )"""
 SQL["S5_file_inventory"] = f"""WITH {FILES} SELECT filepath, schedule_code, mdy AS report_date, year, quarter, quarter_key,
   CASE WHEN part_text <> '' THEN k % 2 + 1 END AS part, file_size FROM inv"""
@@ -321,8 +323,7 @@ SQL["P5_blank_ids"] = f"WITH {RAW} SELECT id AS rssd_id, count(*) // 36 AS n_row
 SQL["P6_fallback_description"] = f"WITH {LONG} SELECT schedule_code, mdrm_code, description, count(*) AS n_rows FROM long GROUP BY ALL"
 SQL["P7_schedule_from_name"] = f"""WITH {FILES} SELECT k AS order_key,
   CASE WHEN k % 41 = 0 OR (code = 'POR' AND k % 43 <> 0) THEN NULL WHEN k % 43 = 0 THEN 'RC' ELSE code END AS schedule_code,
-  CASE WHEN k % 3 = 0 THEN 'RCN' WHEN k % 3 = 1 THEN CASE WHEN 'BANK-RIA' || k || '.RCE7' LIKE '%-RIA%' THEN
-    CASE WHEN true THEN 'RCE' END END
+  CASE WHEN k % 3 = 0 THEN 'RCN' WHEN k % 3 = 1 THEN 'RCE'
     WHEN k % 41 = 0 OR (code = 'POR' AND k % 43 <> 0) THEN NULL WHEN k % 43 = 0 THEN 'RC' ELSE code END AS odd_code FROM listing"""
 SQL["P8_base_schedule"] = f"""WITH {FILES} SELECT k AS order_key, CASE WHEN schedule_code[1:3] IN ('RCR', 'RCL', 'RCO', 'RCT', 'RCN')
   THEN schedule_code[1:3] ELSE code END AS base_schedule FROM inv"""
@@ -459,7 +460,7 @@ _listed_codes = [(m, c, i) for m, codes in dims.METRIC_CODES.items() if m != "to
 SQL["J5_metric_lookup"] = f"""WITH {LONG}, lists(metric, c, rank) AS (VALUES {values(_listed_codes)})
   SELECT rssd_id, quarter_key, metric, round(min_by(amount_num, schedule_seq * 100 + rank), 6) AS value,
     min_by(mdrm_code, schedule_seq * 100 + rank) AS mdrm_code FROM long JOIN lists ON c = mdrm_code GROUP BY 1, 2, 3"""
-SQL["J6_institution_search"] = """WITH i AS (SELECT CAST(s_suppkey AS VARCHAR) AS rssd_id, s_name AS name FROM supplier WHERE s_suppkey % 10 <> 3)
+SQL["J6_institution_search"] = """WITH i AS (SELECT CASE WHEN s_suppkey % 10 = 3 THEN 'old-' ELSE '' END || s_suppkey AS rssd_id, s_name AS name FROM supplier)
   SELECT term, rssd_id, name, lower(name) = lower(term) AS is_exact FROM i, (VALUES ('#00000001'), ('supplier#000000005')) t(term)
     WHERE contains(lower(name), lower(term))
   UNION ALL SELECT term, term, coalesce((SELECT name FROM i WHERE rssd_id = term), 'Institution ' || term), true FROM (VALUES ('9'), ('13')) t(term)"""
@@ -475,11 +476,11 @@ SQL["J8_filings_for_requests"] = f"""WITH {FILINGS}, daily AS (SELECT cik, filin
 SQL["J9_aligned_amounts"] = f"WITH {COMPARED} SELECT quarter_key, peer_group, schedule_code, count(*) AS items, " + ", ".join(
     f"count(*) FILTER (\"{m}\" <> '—') AS {m}_items" for m in ITEMS
 ) + " FROM compared GROUP BY 1, 2, 3"
-FOUND = FILES + f""", found AS (SELECT DISTINCT year, quarter, schedule_code, code FROM inv WHERE k % 3 = 0),
+FOUND = FILES + f""", found AS (SELECT DISTINCT year, quarter, schedule_code, code FROM inv),
   wanted AS (SELECT year, quarter, e AS expected FROM (SELECT DISTINCT year, quarter FROM found), (SELECT unnest({listed(dims.EXPECTED_SCHEDULES)}) AS e)),
   missing AS (SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.year = w.year AND f.quarter = w.quarter AND starts_with(f.schedule_code, w.expected)))"""
 SQL["J10_missing_schedules"] = f"WITH {FOUND} SELECT year, quarter, expected AS schedule_code FROM missing"
-SQL["J11_pending_batch"] = f"WITH {FILES} SELECT filepath, schedule_code FROM ledger WHERE status IN ('pending', 'failed')"
+SQL["J11_pending_batch"] = f"WITH {FILES} SELECT filepath, schedule_code FROM ledger WHERE status IN ('pending', 'failed') AND k % 5 <> 0"
 SQL["J11_skip_finished"] = f"""WITH {FILES} SELECT year, quarter, count(*) AS files FROM inv
   WHERE filepath NOT IN (SELECT filepath FROM ledger WHERE done) GROUP BY 1, 2"""
 SQL["J12_peer_rejection"] = """SELECT CAST(s_suppkey // 2 AS VARCHAR) AS rssd_id, min(s_suppkey) AS seq FROM supplier
@@ -632,9 +633,11 @@ NOW = "'2001-01-01 00:00:00'"
 _state = """filepath, file_hash, done AS is_processed, CASE WHEN done THEN stamp END AS processed_date, row_count, institution_count,
   stamp AS updated_at, status AS processing_status, err AS error_message, retries AS retry_count, NULL AS last_retry_date"""
 SQL["I1_ledger_upsert"] = f"""WITH {FILES}
-  SELECT filepath, hash AS file_hash, done AND k % 7 <> 0 AS is_processed, CASE WHEN done THEN stamp END AS processed_date, row_count, institution_count,
-    CASE WHEN k % 7 = 0 THEN {NOW} ELSE stamp END AS updated_at, CASE WHEN k % 7 = 0 THEN 'pending' ELSE status END AS processing_status,
-    err AS error_message, retries AS retry_count, CAST(NULL AS VARCHAR) AS last_retry_date FROM ledger
+  SELECT filepath, CASE WHEN k % 5 = 0 THEN file_hash ELSE hash END AS file_hash, done AND NOT fresh AS is_processed,
+    CASE WHEN done THEN stamp END AS processed_date, row_count, institution_count,
+    CASE WHEN fresh THEN {NOW} ELSE stamp END AS updated_at, CASE WHEN fresh THEN 'pending' ELSE status END AS processing_status,
+    err AS error_message, retries AS retry_count, CAST(NULL AS VARCHAR) AS last_retry_date
+  FROM (SELECT *, k % 7 = 0 AND k % 5 <> 0 AS fresh FROM ledger)
   UNION ALL SELECT filepath, hash, false, NULL, NULL, NULL, {NOW}, 'pending', NULL, 0, NULL FROM inv WHERE k % 5 = 0"""
 SQL["I2_ledger_by_directory"] = f"""WITH {FILES} SELECT filepath, quarter_key, status AS processing_status FROM ledger WHERE starts_with(filepath, '/bulk/1')"""
 SQL["I3_mark_processed"] = f"""WITH {FILES} SELECT filepath, file_hash, done OR status = 'pending' AS is_processed,

@@ -11,12 +11,11 @@ from quarterlight.functions import names, text
 def write_long(long: DataFrame, path: str, fmt: str = "parquet", partition: str = "schedule_code") -> None:
     """Long table, one folder per schedule, the numeric amount next to the text.
 
-    Rows are spread by schedule and institution before the write, so a large schedule becomes several
-    files instead of one task's work.
+    A rebalance by schedule lets adaptive execution split a large schedule into files of the advisory
+    size and join small ones, instead of leaving a schedule to one task.
     """
     out = long.withColumn("amount_value", text.amount_number(F.col("amount")))
-    writer = out.repartition(F.col(partition), F.pmod(F.xxhash64("rssd_id"), F.lit(8))).write.mode("errorifexists")
-    writer = writer.partitionBy(partition)
+    writer = out.hint("rebalance", partition).write.mode("errorifexists").partitionBy(partition)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -29,7 +28,7 @@ def write_comparison(compared: DataFrame, path: str, members: list[str]) -> None
     out = compared.withColumns(numeric).withColumns(
         {"grp": F.col("sort_key.grp"), "main": F.col("sort_key.main"), "sub": F.col("sort_key.sub"), "letter": F.col("sort_key.letter")}
     )
-    out = out.drop("sort_key").repartition("schedule_code", "peer_group")
+    out = out.drop("sort_key").hint("rebalance", "schedule_code", "peer_group")
     ordered = out.sortWithinPartitions("schedule_code", "peer_group", "grp", "main", "sub", "letter", "mdrm_code")
     ordered.write.mode("errorifexists").partitionBy("schedule_code").parquet(path)
 
@@ -37,11 +36,11 @@ def write_comparison(compared: DataFrame, path: str, members: list[str]) -> None
 def write_table_csv(grids: DataFrame, path: str, keys: list[str]) -> None:
     """One header-less CSV folder per table (by file name) and a JSON file with the totals.
 
-    A table is one row here, so its lines stay in order without a sort.
+    A table is one row here, so its lines stay in order and no shuffle is needed before the write.
     """
     lines = F.array_join(F.transform("cells", lambda r: text.csv_line(r)), "\n")
     out = grids.select(*keys, names.csv_file_name(F.col("table_name")).alias("file"), lines.alias("value"))
-    out.repartition(*keys, "file").write.mode("errorifexists").partitionBy(*keys, "file").text(f"{path}/tables")
+    out.write.mode("errorifexists").partitionBy(*keys, "file").text(f"{path}/tables")
     grids.agg(F.count(F.lit(1)).alias("table_count"), F.current_timestamp().alias("extraction_date")).write.json(
         f"{path}/_metadata_json"
     )

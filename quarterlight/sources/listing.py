@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlight.functions import names
+from quarterlight.operators.joins import computed_once
 
 FINGERPRINT_BYTES = 1024 * 1024
 MIN_BULK_FILES = 10
@@ -18,8 +19,9 @@ def fingerprint(content: Column) -> Column:
 
 def describe_files(files: DataFrame) -> DataFrame:
     """Add the fields read from ``filename``; files with other names or impossible dates are left out."""
-    fields = names.listing_fields(F.col("filename"))
-    described = files.withColumns(fields).filter(F.col("schedule_code").isNotNull())
+    matched = computed_once(files, "_match", names.listing_match(F.col("filename"))).filter(F.col("_match") != "")
+    fields = names.listing_fields(F.col("filename"), F.col("_match"))
+    described = matched.withColumns(fields).drop("_match").filter(F.col("schedule_code").isNotNull())
     return described.withColumn("quarter_key", names.quarter_key(F.col("year"), F.col("quarter")))
 
 

@@ -49,17 +49,17 @@ def read_wide(
     header = header or file_header(spark, paths[0])
     codes = code_columns(header)
     raw = _reader(spark, header).csv(paths)
+    if rssd_ids:
+        # On the file's own column, so that the filter is pushed into the scan.
+        raw = raw.filter(F.col(dims.ID_COLUMN).isin(*[str(i) for i in rssd_ids]))
     path = F.col("_metadata.file_path")
     kept = raw.select(
         text.null_tokens(F.col(dims.ID_COLUMN)).alias(dims.ID_COLUMN),
         *[text.null_tokens(F.col(f"`{c}`")).alias(c) for c in codes],
         names.file_name(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).alias("source_file"),
-        F.col("_metadata.file_block_start").alias("file_block_start"),
     )
-    if rssd_ids:
-        kept = kept.filter(F.col(dims.ID_COLUMN).isin(*[str(i) for i in rssd_ids]))
-    # Order of rows inside one scan; used only to break ties between repeated rows.
-    return kept.withColumn("row_seq", F.monotonically_increasing_id()).drop("file_block_start")
+    # Grows with the position in a file; used only to order repeated rows of one institution there.
+    return kept.withColumn("row_seq", F.monotonically_increasing_id())
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
