@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from quarterlight import dims
 from quarterlight.functions import names, text
 from quarterlight.operators.joins import computed_once, lookup_join, running_values
+from quarterlight.session import stored
 
 
 def is_financial(table_text: Column, n_rows: Column, n_cells: Column) -> Column:
@@ -159,6 +160,8 @@ def delimited_sections(lines: DataFrame, keys: list[str]) -> DataFrame:
         carried={"section": F.when(F.col("heads"), first)},
     ).filter(~F.col("blank"))
     named = numbered.withColumn("section", F.coalesce("section", F.lit(dims.DEFAULT_DELIMITED_SECTION)))
+    # Lines and section sizes both need the numbering: it is stored instead of being worked out twice.
+    named = stored(named.drop("blank", "heads"), "sections")
     sizes = named.groupBy(*keys, "section_no").agg(F.count(F.lit(1)).alias("n_lines")).filter(F.col("n_lines") >= 2)
     kept = lookup_join(named, sizes, [*keys, "section_no"], ["line_no"], how="inner")
     name = F.concat(F.lit(dims.DELIMITED_TABLE_PREFIX), names.section_slug(F.col("section")))
