@@ -142,7 +142,7 @@ def mark_processed(ledger: DataFrame, counts: DataFrame, now: Column | None = No
 def purge_old(ledger: DataFrame, days_old: int = 90, now: dt.datetime | None = None) -> DataFrame:
     """Drop processed rows older than ``days_old`` days."""
     limit = (now or dt.datetime.now()) - dt.timedelta(days=days_old)
-    old = F.col("is_processed") & (F.col("processed_date") < F.lit(limit))
+    old = F.col("is_processed") & (F.col("processed_date") < F.lit(str(limit)).cast("timestamp"))
     return ledger.filter(~F.coalesce(old, F.lit(False)))
 
 

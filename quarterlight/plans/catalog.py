@@ -22,6 +22,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 NOW = dt.datetime(2001, 1, 1)
+
+
+def now():
+    """The time the ledger queries run at, read in the session's time zone."""
+    return F.lit(str(NOW)).cast("timestamp")
+
 QUARTER = D.QUARTER
 IDS = ["rssd_id", "quarter_key"]
 PAGE_KEYWORDS = ("que", "edthe", "und", "ción", "the")
@@ -807,7 +813,7 @@ _STATE = ("filepath", "file_hash", "is_processed", "processed_date", "row_count"
 
 @query("I1_ledger_upsert")
 def _(spark, sf):
-    return _plain(ledger.upsert_files(D.stored_ledger(spark, sf), D.inventory(spark, sf), F.lit(NOW)).select(*_STATE))
+    return _plain(ledger.upsert_files(D.stored_ledger(spark, sf), D.inventory(spark, sf), now()).select(*_STATE))
 
 
 @query("I2_ledger_by_directory")
@@ -821,7 +827,7 @@ def _(spark, sf):
     counts = state.filter("processing_status = 'pending'").select(
         "filepath", F.length("filename").cast("bigint").alias("row_count"), F.lit(2).cast("bigint").alias("institution_count")
     )
-    return _plain(ledger.mark_processed(state, counts, F.lit(NOW)).select(*_STATE))
+    return _plain(ledger.mark_processed(state, counts, now()).select(*_STATE))
 
 
 @query("I4_status_transitions")
@@ -832,7 +838,7 @@ def _(spark, sf):
         "filepath", F.when(failed, "failed").otherwise("completed").alias("status"),
         F.when(failed, "bad file").alias("error"),
     )
-    return _plain(ledger.set_status(state, outcomes, F.lit(NOW)).select(*_STATE))
+    return _plain(ledger.set_status(state, outcomes, now()).select(*_STATE))
 
 
 @query("I5_pending_files")
@@ -870,7 +876,7 @@ def _(spark, sf):
         F.col("path").alias("filepath"), "filename", F.col("length").alias("file_size"),
         F.col("modificationTime").alias("last_modified"), F.sha2("filename", 256).alias("file_hash"),
     )
-    start = ledger.upsert_files(ledger.empty_ledger(spark), listing.describe_files(listed), F.lit(NOW))
+    start = ledger.upsert_files(ledger.empty_ledger(spark), listing.describe_files(listed), now())
     snapshots = new_folder(spark, "ledger")
     state = spark.read.parquet(ledger.write_snapshot(start, snapshots, 0))
     after = reports.run_batch(
