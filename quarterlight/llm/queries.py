@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from quarterlight.llm import credentials, line_rules
+from quarterlight.llm import bpe, credentials, decontamination, line_rules, main_text, personal_data
 from quarterlight.llm.common import read
 
+try:
+    import public_tokenizers
+
+    WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+except ModuleNotFoundError:  # only the default path of the vocabulary is unknown then
+    WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -33,3 +39,23 @@ def line_first_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"
     )
+
+
+@query("op5_personal_data")
+def personal_data_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.scan(read(spark, sf, "documents"))
+
+
+@query("op6_main_text")
+def tag_path_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(read(spark, sf, "pages"))
+
+
+@query("op8_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(read(spark, sf, "documents"), WORD_BPE)
+
+
+@query("op10_benchmark_overlap")
+def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.report(decontamination.find(read(spark, sf, "documents"), read(spark, sf, "benchmark")))

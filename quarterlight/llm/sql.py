@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quarterlight.llm import credentials, line_rules
+from quarterlight.llm import credentials, decontamination, line_rules
 
 SQL: dict[str, str] = {}
 
@@ -100,5 +100,29 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in credentials.ST
 FROM d LEFT JOIN per USING (doc_id)"""
 
 
+def op10() -> str:
+    words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {words.format("coalesce(text, '')")} AS words FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, len(gram) AS n, array_to_string(gram, ' ') AS gram FROM (
+    SELECT item_id, words[i + 1:i + least({decontamination.WINDOW}, len(words))] AS gram
+    FROM (SELECT *, unnest(range(0, greatest(1, len(words) - {decontamination.WINDOW - 1}))) AS i FROM b WHERE len(words) > 0))),
+sizes AS (SELECT DISTINCT n FROM wanted),
+win AS (
+  SELECT doc_id, n, i, array_to_string(words[i + 1:i + n], ' ') AS gram
+  FROM (SELECT doc_id, n, words, unnest(range(0, len(words) - n + 1)) AS i FROM d, sizes WHERE len(words) >= n)),
+met AS (SELECT doc_id, i, win.n, item_id FROM win JOIN wanted USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM met) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 SQL["op1_credential_links"] = op1()
+SQL["op10_benchmark_overlap"] = op10()
 SQL["op7_line_rules"] = op7()
