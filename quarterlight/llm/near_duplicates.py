@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -73,6 +74,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache(maxsize=64)
+def place_factors(k: int) -> np.ndarray:
+    """An odd factor for each place in a shingle of k words."""
+    return np.random.default_rng(1000 + k).integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; words are runs without white space, ASCII letters in lower case."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -81,10 +88,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     k = min(width, n)
-    rng = np.random.default_rng(1000 + k)
-    factors = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     total = np.zeros(n - k + 1, np.uint64)
-    for i, f in enumerate(factors):
+    for i, f in enumerate(place_factors(k)):
         total += mixed(w[i : n - k + 1 + i] * f)
     return np.unique(mixed(total + np.uint64(k)))
 

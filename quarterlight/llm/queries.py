@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarterlight.llm import bpe, credentials, decontamination, line_rules, main_text, personal_data
+from quarterlight.llm import bpe, credentials, decontamination, line_field, line_rules, main_text, near_duplicates, personal_data, toxicity
 from quarterlight.llm.common import read
 
 try:
@@ -41,6 +42,30 @@ def line_first_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _labels(spark: SparkSession, sf: str, column: str, modulus: int, held: int) -> DataFrame:
+    """The labels that may be learned from: those whose remainder is not the held-out one."""
+    return read(spark, sf, "labels").filter(line_field.remainder(F.col("doc_id"), modulus) != held).select("doc_id", F.col(column).alias("label"))
+
+
+@query("op2_line_field")
+def line_field_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    field = line_field.learn(docs, _labels(spark, sf, "quality", 5, 0))
+    return line_field.verdicts(line_field.score(docs, field), 5, 0)
+
+
+@query("op3_near_duplicates")
+def near_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf, "documents"), width=3, similarity=0.85)
+
+
+@query("op4_subword_toxicity")
+def subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    model = toxicity.learn(docs, _labels(spark, sf, "toxic", 4, 2))
+    return line_field.verdicts(toxicity.score(docs, model), 4, 2)
+
+
 @query("op5_personal_data")
 def personal_data_spans(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.scan(read(spark, sf, "documents"))
