@@ -142,14 +142,16 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """
     spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy("doc_id")
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    whole = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
+    joined = whole.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    text = F.col("_in.text")
+    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
         fresh = F.when(x["start"] >= s["at"], F.concat(s["out"], piece(s["at"], x["start"]), F.lit(mark))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), fresh.alias("out"))
 
-    end = lambda s: F.concat(s["out"], piece(s["at"], F.length("text").cast("long")))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", begin, step, end))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    end = lambda s: F.concat(s["out"], piece(s["at"], F.length(text).cast("long")))
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", begin, step, end))
+    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"_in.`{c}`") for c in docs.columns])

@@ -9,7 +9,8 @@ A line is a piece between ``\\n``; words are runs of characters other than space
 - boilerplate: a short line with a notice (licence, rights, cookies, sign-in ...).
 
 Defined results: a null or empty text has no words, fails and is rejected; lines without a word are never
-failures and weigh nothing.  Repeated rows are judged each on its own; no row is added or dropped.
+failures and weigh nothing.  Repeated rows are judged each on its own; no row is added or dropped.  Input columns stay, but for
+those named like a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -82,10 +83,9 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_ke
     No shuffle: all is worked out inside the row.  Windows are compared by 64-bit hashes; only documents with
     a repeated hash sort theirs, with their places, to find the words covered.
     """
-    given = docs.columns
-    names = {c.lower() for c in given}
-    rows = docs.withColumn("_q", F.struct(whole_text().alias("text"))) if "_q" not in names else docs
-    text = F.col("_q.text")
+    # The input goes into one column, so that no name of it can clash with the working columns.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), whole_text().alias("_text"))
+    text = F.col("_text")
     rows = computed_once(rows, "_lines", F.transform(F.split(text, "\n"), line_facts))
     rows = computed_once(rows, "_words", F.transform(words_of(text), lambda w: F.xxhash64(w)))
     n_words, half = F.size("_words"), WINDOW // 2
@@ -131,6 +131,5 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_ke
     rows = computed_once(rows, "_found", found)
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text")
     kept = ~F.col("_found.base_failed") & (F.col("_found.lost_chars") * 100 <= F.col("_found.word_chars") * (100 - min_kept_pct))
-    return rows.select(
-        *[c for c in given if c not in (*new, "kept")], *[F.col(f"_found.{c}").alias(c) for c in new], kept.alias("kept")
-    )
+    stay = [c for c in docs.columns if c.lower() not in (*new, "kept")]
+    return rows.select(*[F.col(f"_in.`{c}`") for c in stay], *[F.col(f"_found.{c}") for c in new], kept.alias("kept"))

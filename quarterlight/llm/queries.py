@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm import bpe, credentials, decontamination, line_field, line_rules, main_text, near_duplicates, personal_data, toxicity
+from quarterlight.llm import bpe, credentials, cross_entropy, decontamination, line_field, line_rules, main_text, near_duplicates, personal_data, toxicity
 from quarterlight.llm.common import read
 
 try:
@@ -81,6 +81,14 @@ def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(read(spark, sf, "documents"), WORD_BPE)
 
 
+@query("op9_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Target: the documents labelled good; background: all documents."""
+    docs = read(spark, sf, "documents")
+    models = cross_entropy.learn(docs, read(spark, sf, "labels").filter("quality = 1"))
+    return cross_entropy.score(docs, models)
+
+
 @query("op10_benchmark_overlap")
 def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(decontamination.find(read(spark, sf, "documents"), read(spark, sf, "benchmark")))

@@ -23,12 +23,14 @@ from quarterlight.llm.line_field import bounded, fit_curve, scored
 
 BUCKETS, SIZES, DIMENSIONS, EPOCHS, DAMPING = 1 << 17, (3, 4, 5, 6), 8, 150, 5e-4
 TOXIC, CLEAN, LONGEST = 1000, 1600, 50_000
+#: Words that are counted besides a text's own and lean to neither side, so that a few words don't decide alone.
+NEUTRAL = 6
 #: ASCII characters that aren't letters or digits separate words; other bytes stay.
 _SPLIT = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and weight of every n-gram; the weights of a word sum to one over the number of words."""
+    """Bucket and weight of every n-gram; the weights of a word sum to one over the number of words and ``NEUTRAL``."""
     raw = b" ".join([b"", *dict.fromkeys((text or "").lower().encode("utf-8", "replace").translate(_SPLIT).split()), b""])
     a = np.frombuffer(raw, np.uint8).astype(np.uint32)
     space = a == 32
@@ -53,7 +55,7 @@ def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         owners.append(word_at[:m][keep])
     key, owner = np.concatenate(keys).astype(np.int64), np.concatenate(owners)
     grams = np.bincount(owner, minlength=words)
-    return key, 1.0 / (np.maximum(grams, 1)[owner] * words)
+    return key, 1.0 / (np.maximum(grams, 1)[owner] * (words + NEUTRAL))
 
 
 @dataclass
