@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,6 +24,35 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give the executors this package's source, once for each application, as ``addPyFile`` does for any job.
+
+    Workers then don't depend on the driver's working folder or on an installation.
+    """
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.applicationId in _SHIPPED or not os.path.isdir(root):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="quarterlight-"), "quarterlight_source.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_batches(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose functions may use this package."""
+    shipped(rows.sparkSession)
+    return rows.mapInArrow(fn, schema)
+
+
 def map_rows(rows: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` with plain tuples: ``fn`` gets an iterator over the rows of a partition and yields rows.
 
@@ -49,7 +81,7 @@ def map_rows(rows: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]],
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = [_arrow_type(part.split(None, 1)[1]) for part in schema.split(",")]
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _arrow_type(kind: str) -> pa.DataType:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import map_rows
+from quarterlight.llm.common import map_batches, map_rows
 from quarterlight.llm.decontamination import words_of
 
 VOCABULARY, CLASSES, STRENGTH, FLUSH = 2048, 256, 20.0, 200_000
@@ -102,7 +102,7 @@ def counts(marked: DataFrame, words: Vocabulary) -> DataFrame:
             columns = [pa.array(part), pa.array(totals[0][part]), pa.array(totals[1][part])]
             yield pa.RecordBatch.from_arrays(columns, names=["pair", "background", "target"])
 
-    parts = marked.select("text", "is_target").mapInArrow(run, "pair long, background long, target long")
+    parts = map_batches(marked.select("text", "is_target"), run, "pair long, background long, target long")
     return parts.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import map_rows, whole_text
+from quarterlight.llm.common import map_batches, map_rows, whole_text
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -241,5 +241,5 @@ def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: in
                     batch = batch.set_column(k, batch.schema.field(k), pa.array(lengths, kind))
                 yield batch.filter(pa.array([not g for g in gone]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs

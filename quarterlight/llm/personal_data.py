@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarterlight.llm.common import map_rows
+from quarterlight.llm.common import map_batches, map_rows
 
 KINDS = ("email", "ip", "card", "phone", "iban", "account", "login", "address")
 BASE = KINDS[:4]
@@ -182,4 +182,4 @@ def masked(docs: DataFrame) -> DataFrame:
             kind = batch.schema.field(k)
             yield batch.set_column(k, kind, pa.array([clean(t) for t in batch.column(k).to_pylist()], kind.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
