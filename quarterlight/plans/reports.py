@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
+from quarterlight import dims
 from quarterlight.functions import names
 from quarterlight.operators import compare, ledger, metrics, normalize, quality
+from quarterlight.session import stored
 from quarterlight.sources import schedules
 
 
@@ -20,7 +24,7 @@ def process_file(
     code = _schedule_of(spark, name) or "Unknown"
     wide = schedules.read_wide(spark, path, rssd_ids)
     long = normalize.to_long(
-        wide, institutions, descriptions, code, carry=["source_file", "row_seq"], mode=mode
+        wide, institutions, descriptions, code, carry=["source_file", "source_path", "row_seq"], mode=mode
     )
     return normalize.with_schedule_info(long).withColumn("processing_date", F.current_timestamp())
 
@@ -47,65 +51,94 @@ def process_directory(
     rssd_ids: list[str] | None = None, pattern: str = "*.txt", mode: str = "strict",
 ) -> DataFrame:
     """Long table of every schedule file of a folder: one scan per distinct header, then a union."""
-    listed = schedules.schedule_files(spark, directory, pattern)
-    return _process_listed(spark, listed, institutions, descriptions, rssd_ids, mode)
-
-
-def _process_listed(spark, listed, institutions, descriptions, rssd_ids=None, mode="strict") -> DataFrame:
-    code_of = {path: code for code, path, _ in listed}
-    order = {code: i for i, code in enumerate(sorted(set(code_of.values())))}
+    listed = [(code, path) for code, path, _ in schedules.schedule_files(spark, directory, pattern)]
+    order = {code: i for i, code in enumerate(sorted({code for code, _ in listed}))}
     parts = []
-    for header, paths in schedules.group_by_header(spark, [p for _, p, _ in listed]).items():
-        for code in sorted({code_of[p] for p in paths}):
-            mine = [p for p in paths if code_of[p] == code]
-            wide = schedules.read_wide(spark, mine, rssd_ids, list(header))
-            long = normalize.to_long(
-                wide, institutions, descriptions, code, carry=["source_file", "row_seq"], mode=mode
-            )
-            parts.append(long.withColumn("schedule_seq", F.lit(order[code])))
+    for (code, header), paths in schedules.group_by_header(spark, listed).items():
+        long = _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode)
+        parts.append(long.withColumn("schedule_seq", F.lit(order[code])))
     return normalize.union_schedules(parts)
 
 
+def _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode) -> DataFrame:
+    wide = schedules.read_wide(spark, paths, rssd_ids, list(header))
+    carry = ["source_file", "source_path", "row_seq"]
+    return normalize.to_long(wide, institutions, descriptions, code, carry=carry, mode=mode)
+
+
+def header_error(header: tuple[str, ...]) -> str | None:
+    """What keeps files with this header from being read, if anything does."""
+    if not any(header):
+        return "no header line"
+    if dims.ID_COLUMN not in header:
+        return f"no {dims.ID_COLUMN} column"
+    if len(set(header)) < len(header):
+        return "repeated column names"
+    return None if schedules.code_columns(list(header)) else "no code columns"
+
+
 def run_batch(
     spark: SparkSession, state: DataFrame, institutions: DataFrame, descriptions: DataFrame, output: str,
     quarter: str | None = None, rssd_ids: list[str] | None = None, mode: str = "strict",
+    record: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Process the pending files of a ledger, one job per schedule, and return the next ledger state.
-
-    A schedule whose job fails is recorded as failed with its error and the others go on.  Rows are
-    appended below ``output`` and counted per file from what was written, not from a second run.
+    """Process the pending files of a ledger and return the next ledger state.
+
+    Files of one schedule and header are one job.  Its rows go into a folder of their own below
+    ``output/schedule_code=...``, so that earlier runs' rows stay; rows and institutions are counted per file
+    from what was written.  A file with a bad header fails alone, before any scan; if a job fails, its files are
+    tried one by one and only those that fail again are recorded as failed.  ``record`` gets the state in which
+    the files are marked as processing, before the work begins.  The files of the batch, not their rows, are
+    listed on the driver.
     """
-    todo = ledger.pending_files(state, quarter).select("filepath", "filename", "schedule_code").collect()
-    by_schedule: dict[str, list] = {}
-    for row in sorted(todo, key=lambda r: (r.schedule_code, r.filename)):
-        by_schedule.setdefault(row.schedule_code, []).append(row)
-    outcomes, written = [], []
-    for code, rows in by_schedule.items():
-        target = f"{output.rstrip('/')}/schedule_code={code}"
+    todo = ledger.pending_files(state, quarter).select("filepath", "schedule_code").collect()
+    if not todo:
+        return state
+    begun = spark.createDataFrame([(r.filepath, "processing", None) for r in todo], _OUTCOME)
+    state = ledger.set_status(state, begun)
+    if record:
+        record(state)
+    run, outcomes, written = uuid.uuid4().hex, [], []
+
+    def attempt(code, header, paths, name) -> str | None:
+        target = f"{output.rstrip('/')}/schedule_code={code}/run={run}-{name}"
         try:
-            listed = [(code, r.filepath, r.filename) for r in rows]
-            long = _process_listed(spark, listed, institutions, descriptions, rssd_ids, mode)
-            long.drop("schedule_code").write.mode("overwrite").parquet(target)
-            written.append(target)
-            outcomes += [(r.filepath, r.filename, "completed", None) for r in rows]
-        except Exception as error:  # noqa: BLE001 - any failure of one schedule is an outcome, not an end
-            outcomes += [(r.filepath, r.filename, "failed", str(error).splitlines()[0]) for r in rows]
-    schema = "filepath string, filename string, status string, error string"
-    results = spark.createDataFrame(outcomes, schema)
+            long = _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode)
+            long.drop("schedule_code").write.mode("errorifexists").parquet(target)
+        except Exception as error:  # noqa: BLE001 - any failure of a file is an outcome, not an end
+            return (str(error).splitlines() or [type(error).__name__])[0]
+        written.append(target)
+        outcomes.extend((p, "completed", None) for p in paths)
+        return None
+
+    groups = schedules.group_by_header(spark, sorted((r.schedule_code, r.filepath) for r in todo))
+    for number, ((code, header), paths) in enumerate(groups.items()):
+        bad = header_error(header)
+        if bad:
+            outcomes.extend((p, "failed", bad) for p in paths)
+        elif error := attempt(code, header, paths, number):
+            for i, path in enumerate(paths):
+                again = attempt(code, header, [path], f"{number}-{i}") if len(paths) > 1 else error
+                if again:
+                    outcomes.append((path, "failed", again))
+    results = spark.createDataFrame(outcomes, _OUTCOME)
     state = ledger.set_status(state, results)
     if not written:
         return state
     counts = normalize.union_schedules([compare.file_counts(spark.read.parquet(p)) for p in written])
-    done = results.filter(F.col("status") == "completed").join(
-        counts, F.col("filename") == F.col("source_file")
-    )
+    done = results.filter(F.col("status") == "completed").join(counts, F.col("filepath") == F.col("source_path"))
     return ledger.mark_processed(state, done.select("filepath", "row_count", "institution_count"))
 
 
-def dashboard(long: DataFrame, peers: DataFrame, keys: list[str], order: str = "row_seq") -> dict[str, DataFrame]:
-    """The named tables of the executive dashboard, over one metric table."""
-    table = metrics.institution_metrics(long, keys, order).persist(StorageLevel.MEMORY_AND_DISK)
-    members = compare.attach_peers(table, peers, keys)
+_OUTCOME = "filepath string, status string, error string"
+
+
+def dashboard(
+    long: DataFrame, peers: DataFrame, keys: list[str], order: str = "row_seq", table: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """The named tables of the executive dashboard, over one stored metric table (``table``, or worked out from ``long``)."""
+    table = stored(metrics.institution_metrics(long, keys, order) if table is None else table, "metrics")
+    members = compare.attach_peers(table, peers)
     ids = ["rssd_id", *keys]
     return {
         "metrics": table,
@@ -118,10 +151,12 @@ def dashboard(long: DataFrame, peers: DataFrame, keys: list[str], order: str = "
     }
 
 
-def key_metrics(long: DataFrame, peers: DataFrame, keys: list[str], order: str = "row_seq") -> dict[str, DataFrame]:
-    """The named tables of the key-metric report, over one metric table."""
-    table = metrics.institution_metrics(long, keys, order).persist(StorageLevel.MEMORY_AND_DISK)
-    members = compare.attach_peers(table, peers, keys)
+def key_metrics(
+    long: DataFrame, peers: DataFrame, keys: list[str], order: str = "row_seq", table: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """The named tables of the key-metric report, over one stored metric table (``table``, or worked out from ``long``)."""
+    table = stored(metrics.institution_metrics(long, keys, order) if table is None else table, "metrics")
+    members = compare.attach_peers(table, peers)
     return {
         "metrics": table,
         "sections": compare.metric_sections(members, keys),

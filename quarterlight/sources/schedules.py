@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -56,7 +55,8 @@ def read_wide(
     kept = raw.select(
         text.null_tokens(F.col(dims.ID_COLUMN)).alias(dims.ID_COLUMN),
         *[text.null_tokens(F.col(f"`{c}`")).alias(c) for c in codes],
-        names.file_name(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).alias("source_file"),
+        names.file_name(plain_path(path)).alias("source_file"),
+        plain_path(path).alias("source_path"),
     )
     # Grows with the position in a file; used only to order repeated rows of one institution there.
     return kept.withColumn("row_seq", F.monotonically_increasing_id())
@@ -73,14 +73,36 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> D
     return files.select("path", names.file_name(F.col("path")).alias("filename"), "length", "modificationTime")
 
 
-def group_by_header(spark: SparkSession, paths: list[str], probes: int = 8) -> dict[tuple[str, ...], list[str]]:
-    """Group file paths by their exact header, so that each group can be one scan."""
-    with ThreadPoolExecutor(probes) as pool:
-        headers = list(pool.map(lambda p: tuple(file_header(spark, p)), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
-        groups.setdefault(header, []).append(path)
-    return groups
+def plain_path(file_path: Column) -> Column:
+    """A ``_metadata.file_path`` in the form in which files are listed: not URL-encoded, one slash after ``file:``."""
+    decoded = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def first_lines(spark: SparkSession, directories: str | list[str]) -> DataFrame:
+    """path, header: the first line of every file below the folders, found in one distributed job."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(directories)
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    )
+    placed = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id())
+    return placed.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+
+
+def group_by_header(spark: SparkSession, listed: list[tuple[str, str]]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """(schedule code, header) -> paths of the listed (code, path), so that each group can be one scan.
+
+    The headers come from one job over the files' folders, whatever the number of files; a file without a first
+    line, or one that is gone, is grouped under an empty header.
+    """
+    folders = sorted({path.rsplit("/", 1)[0] for _, path in listed})
+    found = first_lines(spark, folders).groupBy("header").agg(F.collect_list("path").alias("paths")).collect() if folders else []
+    header_of = {p: tuple(c.strip('"') for c in r["header"].rstrip("\r").split("\t")) for r in found for p in r["paths"]}
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for code, path in listed:
+        groups.setdefault((code, header_of.get(path, ())), []).append(path)
+    return dict(sorted(groups.items()))
 
 
 def schedule_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> list[tuple[str, str, str]]:
