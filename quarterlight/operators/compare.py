@@ -1,8 +1,8 @@
 """Peer groups side by side: metric matrices, statistics, comparison pivots, rankings, validation.
 
-A peer group has one primary (ordinal 0) and its peers; groups are compared all at once.  The number
-of members is limited by definition (see ``validate_peers``), so the wide results have one column per
-ordinal and windows over one peer group stay small.
+A peer group has one primary (ordinal 0) and its peers; groups are compared all at once.  Averages, statistics and
+the ``members`` array cover every member, whatever the group's size; ``columns`` only says how many members are also
+shown in a column of their own.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from quarterlight import dims
 from quarterlight.functions import names, ratios
 from quarterlight.operators.joins import lookup_join
 
-MEMBERS = dims.MAX_MEMBERS
-
 
 def member_name(ordinal: int) -> str:
     return "primary" if ordinal == 0 else f"peer_{ordinal}"
@@ -41,26 +39,27 @@ def peer_groups(members: DataFrame) -> DataFrame:
     )
 
 
-def attach_peers(rows: DataFrame, peers: DataFrame, spread: list[str]) -> DataFrame:
+def attach_peers(rows: DataFrame, peers: DataFrame) -> DataFrame:
     """Rows of peer-group members, with group, ordinal and size (an institution in one group)."""
-    return lookup_join(rows, peers, ["rssd_id"], spread, how="inner")
+    return lookup_join(rows, peers, ["rssd_id"], how="inner")
 
 
 def _side_by_side(peer_metrics: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """One row per (keys, group) with an array of metrics per member, ``m0`` to ``m3``.
+    """One row per (keys, group) with ``table``, an array of metrics for every member by ordinal (null without data).
 
     Members meet while there is still one row per institution, so that the shuffle carries that and not
     one row per printed item; the items are laid out afterwards, row by row.
     """
     values = F.array(*[F.col(m).cast("double") for m in metrics])
-    return peer_metrics.groupBy(*keys, "peer_group").agg(
-        F.max("set_size").alias("set_size"),
-        *[F.max(F.when(F.col("ordinal") == i, values)).alias(f"m{i}") for i in range(MEMBERS)],
+    grouped = peer_metrics.groupBy(*keys, "peer_group").agg(
+        F.max("set_size").alias("set_size"), F.map_from_entries(F.collect_list(F.struct("ordinal", values))).alias("_by")
     )
+    table = F.transform(F.sequence(F.lit(0), F.col("set_size") - 1), lambda i: F.try_element_at("_by", i))
+    return grouped.withColumn("table", table).drop("_by")
 
 
-def _laid_out(peer_metrics: DataFrame, keys: list[str], schema: str, items: list[tuple]) -> DataFrame:
-    """Items (label columns ..., metric or None) with one value column per member.
+def _laid_out(peer_metrics: DataFrame, keys: list[str], schema: str, items: list[tuple], columns: int) -> DataFrame:
+    """Items (label columns ..., metric or None) with ``members``, and a column for each of the first ``columns``.
 
     A member without data counts as 0; columns beyond the group's size stay null.
     """
@@ -68,15 +67,10 @@ def _laid_out(peer_metrics: DataFrame, keys: list[str], schema: str, items: list
     names_ = [field.split()[0] for field in schema.split(",")]
     labels = [dict(zip(names_, item)) | {"ix": metrics.index(item[-1]) if item[-1] else None} for item in items]
     listed = F.from_json(F.lit(json.dumps(labels)), f"array<struct<{dims.schema_fields(schema)}, ix:int>>")
-    grouped = _side_by_side(peer_metrics, keys, metrics)
-    rows = grouped.select("*", F.inline(listed))
-    values = {
-        member_name(i): F.when(F.col("set_size") > i, F.coalesce(F.get(f"m{i}", F.col("ix")), F.lit(0.0)))
-        for i in range(MEMBERS)
-    }
-    rows = rows.select(*keys, "peer_group", "set_size", *names_, "ix", *[c.alias(n) for n, c in values.items()])
-    members = F.slice(F.array(*[F.col(n) for n in values]), F.lit(1), F.col("set_size"))
-    return rows.withColumn("members", members)
+    rows = _side_by_side(peer_metrics, keys, metrics).select("*", F.inline(listed))
+    members = F.transform("table", lambda m: F.coalesce(F.get(m, F.col("ix")), F.lit(0.0)))
+    rows = rows.select(*keys, "peer_group", "set_size", *names_, "ix", members.alias("members"))
+    return rows.withColumns({member_name(i): F.get("members", F.lit(i)) for i in range(columns)})
 
 
 def _mean(values: Column) -> Column:
@@ -89,31 +83,31 @@ def _peer_average() -> Column:
     return F.when(F.col("set_size") > 1, _mean(peers))
 
 
-def metric_sections(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """The seven metric sections: label rows with one column per member and the peer average."""
+def metric_sections(peer_metrics: DataFrame, keys: list[str], columns: int = dims.MAX_MEMBERS) -> DataFrame:
+    """The seven metric sections: label rows with all members, columns for the first ones, and the peer average."""
     items = [
         (s, title, r, label, metric)
         for s, (title, listed) in enumerate(dims.METRIC_SECTIONS)
         for r, (label, metric) in enumerate(listed)
     ]
-    matrix = _laid_out(peer_metrics, keys, "section_ix int, section string, row_ix int, label string", items)
+    matrix = _laid_out(peer_metrics, keys, "section_ix int, section string, row_ix int, label string", items, columns)
     matrix = matrix.withColumn("peer_avg", _peer_average())
-    shown = [member_name(i) for i in range(MEMBERS)] + ["peer_avg"]
-    return matrix.withColumns({c: F.when(F.col("ix").isNotNull(), F.col(c)) for c in shown}).drop("members", "ix")
+    shown = [member_name(i) for i in range(columns)] + ["members", "peer_avg"]
+    return matrix.withColumns({c: F.when(F.col("ix").isNotNull(), F.col(c)) for c in shown}).drop("ix")
 
 
-def ratio_table(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Six headline ratios: a rating for a group of one, else member columns and the peer average."""
+def ratio_table(peer_metrics: DataFrame, keys: list[str], columns: int = dims.MAX_MEMBERS) -> DataFrame:
+    """Six headline ratios: a rating for a group of one, all members, columns for the first ones, the peer average."""
     items = [(i, label, m, m) for i, (label, m) in enumerate(dims.RATIO_TABLE)]
-    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, metric string", items)
+    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, metric string", items, columns)
     status = F.when(F.col("set_size") == 1, ratios.ratio_status(F.col("metric"), F.col("primary")))
-    return matrix.withColumns({"peer_avg": _peer_average(), "status": status}).drop("members", "ix")
+    return matrix.withColumns({"peer_avg": _peer_average(), "status": status}).drop("ix")
 
 
 def peer_statistics(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, median, population deviation and the primary's percentile for five metrics."""
     items = [(i, label, d, m) for i, (label, m, d) in enumerate(dims.STATISTIC_METRICS)]
-    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, divisor double", items)
+    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, divisor double", items, 1)
     scaled = matrix.withColumn("members", F.transform("members", lambda v: v / F.col("divisor")))
     scaled = scaled.withColumn("mean", _mean(F.col("members")))
     ranked, n = F.sort_array("members"), F.col("set_size")
@@ -147,32 +141,32 @@ def share_of_largest(metrics: DataFrame, keys: list[str], value: str = "total_as
     keyed = metrics if keys else metrics.withColumn("_all", F.lit(1))
     by = keys or ["_all"]
     largest = keyed.groupBy(*by).agg(F.max(value).alias("largest"))
-    spread = [c for c in ("rssd_id", value) if c in keyed.columns]
-    joined = lookup_join(keyed, largest, by, spread)
+    joined = lookup_join(keyed, largest, by)
     share = F.col(value) / F.nullif(F.col("largest"), F.lit(0.0)) * 100
     return joined.withColumn("pct_of_largest", share).drop("_all")
 
 
-def comparison(peer_rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Line items of each schedule side by side, one amount column per member.
+def comparison(peer_rows: DataFrame, keys: list[str], order: list[str], columns: int = dims.MAX_MEMBERS) -> DataFrame:
+    """Line items of each schedule side by side: ``amounts`` of all members, and columns for the first ones.
 
     Within a member the last row of a key wins; the description is the first one seen, members in
     order.  ``order`` are the columns that order a member's rows.
     """
-    seq = F.struct(*[F.col(c) for c in (order or ["code_seq"])])
-    grouped = peer_rows.groupBy(*keys, "peer_group", "schedule_code", "line_item", "mdrm_code").agg(
-        F.min_by("description", F.struct("ordinal", seq)).alias("description"),
+    seq = F.struct(*[F.col(c) for c in order])
+    item = [*keys, "peer_group", "schedule_code", "line_item", "mdrm_code"]
+    # One row per member first, with partial sums on the map side, so that repeated rows never gather.
+    each = peer_rows.groupBy(*item, "ordinal").agg(
+        F.min_by(F.struct("description"), seq).alias("_d"), F.max("set_size").alias("set_size"), F.max_by("amount", seq).alias("amount")
+    )
+    grouped = each.groupBy(*item).agg(
+        F.min_by("_d", "ordinal")["description"].alias("description"),
         F.max("set_size").alias("set_size"),
-        *[
-            F.max_by("amount", F.when(F.col("ordinal") == i, seq)).alias(member_name(i))
-            for i in range(MEMBERS)
-        ],
+        F.map_from_entries(F.collect_list(F.struct("ordinal", "amount"))).alias("_by"),
     )
-    shown = {
-        member_name(i): F.when(F.col("set_size") > i, F.coalesce(member_name(i), F.lit(dims.MISSING_CELL)))
-        for i in range(MEMBERS)
-    }
-    return grouped.withColumns(shown).withColumn("sort_key", names.line_item_key(F.col("line_item")))
+    cell = lambda i: F.coalesce(F.try_element_at("_by", i), F.lit(dims.MISSING_CELL))
+    whole = grouped.withColumn("amounts", F.transform(F.sequence(F.lit(0), F.col("set_size") - 1), cell)).drop("_by")
+    shown = {member_name(i): F.get("amounts", F.lit(i)) for i in range(columns)}
+    return whole.withColumns(shown).withColumn("sort_key", names.line_item_key(F.col("line_item")))
 
 
 def comparison_summary(peer_rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,13 +193,13 @@ def top_items(long: DataFrame, keys: list[str], schedule: str = "RC", top: int =
         .filter(F.col("rank") <= top)
     )
     return ranked.select(
-        *keys, "rank", "line_item", F.substring("description", 1, 50).alias("description"), "mdrm_code", "amount_num"
+        *keys, "rank", "line_item", "description", "mdrm_code", "amount_num"
     )
 
 
 def validate_peers(peers: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Two to four members per group, and how far apart their total assets are."""
-    sized = attach_peers(metrics.select("rssd_id", *keys, "total_assets"), peers, keys or ["total_assets"])
+    sized = attach_peers(metrics.select("rssd_id", *keys, "total_assets"), peers)
     positive = F.when(F.col("total_assets") > 0, F.col("total_assets"))
     checked = sized.groupBy(*keys, "peer_group").agg(
         F.max("set_size").alias("members"),
@@ -239,8 +233,8 @@ def report_summary(long: DataFrame, keys: list[str]) -> DataFrame:
     return with_schedule_info(counted).select(*keys, "schedule_code", "schedule_name", "n_rows", "institutions")
 
 
-def file_counts(long: DataFrame, file: str = "source_file") -> DataFrame:
-    """Rows and distinct institutions that each file produced."""
+def file_counts(long: DataFrame, file: str = "source_path") -> DataFrame:
+    """Rows and distinct institutions that each file produced; files of one name in two folders are two files."""
     return long.groupBy(file).agg(
         F.count(F.lit(1)).alias("row_count"), F.countDistinct("rssd_id").alias("institution_count")
     )

@@ -76,7 +76,7 @@ def in_quarter(ledger: DataFrame, quarter: str | None) -> DataFrame:
 
 def in_directory(ledger: DataFrame, directory: str | None) -> DataFrame:
     """Rows below a folder, with their quarter label."""
-    kept = ledger if directory is None else ledger.filter(F.col("filepath").startswith(directory))
+    kept = ledger if directory is None else ledger.filter(F.col("filepath").startswith(directory.rstrip("/") + "/"))
     return kept.withColumn("quarter_key", names.quarter_key(F.col("year"), F.col("quarter")))
 
 
@@ -178,7 +178,7 @@ def files_by_quarter(files: DataFrame) -> DataFrame:
     The files of a quarter stay rows: a quarter is not collected into one value.
     """
     sizes = files.groupBy("year", "quarter").agg(F.count(F.lit(1)).alias("files_in_quarter"))
-    joined = lookup_join(files, sizes, ["year", "quarter"], ["filepath"], how="inner")
+    joined = lookup_join(files, sizes, ["year", "quarter"], how="inner")
     return joined.withColumn("quarter_key", names.quarter_key(F.col("year"), F.col("quarter")))
 
 
@@ -197,7 +197,7 @@ def latest_quarter(files: DataFrame) -> DataFrame:
 
 def ledger_order(ledger: DataFrame) -> DataFrame:
     """Newest quarter first, schedules in order inside it."""
-    return ledger.orderBy(F.desc("year"), F.desc("quarter"), "schedule_code")
+    return ledger.orderBy(F.desc("year"), F.desc("quarter"), "schedule_code", "filepath")
 
 
 def _satisfied(code: Column, exact: bool) -> Column:
@@ -249,9 +249,9 @@ def pending_batch(files: DataFrame, ledger: DataFrame, quarter: str | None = Non
     """Files of a batch in schedule order: those still to do, or with ``resume=False`` all not processed."""
     listed = in_quarter(files, quarter)
     if resume:
-        return listed.join(pending_files(ledger, quarter).select("filepath"), "filepath", "left_semi").orderBy("schedule_code")
+        return listed.join(pending_files(ledger, quarter).select("filepath"), "filepath", "left_semi").orderBy("schedule_code", "filepath")
     done = ledger.filter(F.col("is_processed")).select("filepath")
-    return listed.join(done, "filepath", "left_anti").orderBy("schedule_code")
+    return listed.join(done, "filepath", "left_anti").orderBy("schedule_code", "filepath")
 
 
 def write_snapshot(ledger: DataFrame, root: str, number: int) -> str:

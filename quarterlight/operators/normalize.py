@@ -41,9 +41,9 @@ def keep_reported(cells: DataFrame, mode: str = "strict") -> DataFrame:
     return numbers.filter(F.col("amount_num").isNotNull())
 
 
-def with_names(rows: DataFrame, institutions: DataFrame, spread: list[str]) -> DataFrame:
+def with_names(rows: DataFrame, institutions: DataFrame) -> DataFrame:
     """Institution name by id; an unknown id is called "Institution <id>"."""
-    named = lookup_join(rows, institutions.select("rssd_id", "name"), ["rssd_id"], spread)
+    named = lookup_join(rows, institutions.select("rssd_id", "name"), ["rssd_id"])
     return named.withColumn("name", F.coalesce("name", default_name(F.col("rssd_id"))))
 
 
@@ -73,7 +73,7 @@ def with_line_items(rows: DataFrame) -> DataFrame:
     Both lookups are equality joins with fixed tables of at most 704 rows.
     """
     spark = rows.sparkSession
-    number = F.when(F.length("mdrm_code") > 4, F.substring("mdrm_code", 5, 100)).otherwise(F.col("mdrm_code"))
+    number = F.when(F.length("mdrm_code") > 4, F.substr(F.col("mdrm_code"), F.lit(5))).otherwise(F.col("mdrm_code"))
     keyed = rows.withColumns({"base_schedule": names.base_schedule(F.col("schedule_code")), "code_suffix": number})
     exact = F.broadcast(dims.line_items(spark).drop("position"))
     similar = F.broadcast(dims.line_item_suffixes(spark))
@@ -137,7 +137,7 @@ def to_long(
         rows = rows.filter(valid_id(F.col(dims.ID_COLUMN)))
     rssd = text.strip(F.col(dims.ID_COLUMN)) if mode == "strict" else F.col(dims.ID_COLUMN)
     rows = rows.select(rssd.alias("rssd_id"), *keys, *carry, *[F.col(f"`{c}`") for c in codes])
-    rows = with_names(rows, institutions, spread=[*keys, *carry] or codes[:4])
+    rows = with_names(rows, institutions)
     cells = keep_reported(unpivot_codes(rows, ["rssd_id", "name", *keys, *carry], codes), mode)
     of = (lambda c: schedule_of) if isinstance(schedule_of, str) else schedule_of.__getitem__
     dimension = code_dimension(wide.sparkSession, [(of(c), c) for c in codes], descriptions, mode)

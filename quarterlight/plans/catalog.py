@@ -13,7 +13,7 @@ from quarterlight.functions import names, ratios, text
 from quarterlight.operators import compare, ledger, metrics, normalize, quality, report_rows, search, tables
 from quarterlight.plans import derived as D
 from quarterlight.plans import reports
-from quarterlight.session import new_folder
+from quarterlight.session import new_folder, stored
 from quarterlight.sinks import tables as sinks
 from quarterlight.sources import dictionaries, documents, listing, schedules
 from quarterlight.streaming import new_files
@@ -30,6 +30,7 @@ def now():
 
 QUARTER = D.QUARTER
 IDS = ["rssd_id", "quarter_key"]
+MEMBER_COLUMNS = 6
 PAGE_KEYWORDS = ("que", "edthe", "und", "ción", "the")
 
 
@@ -53,12 +54,16 @@ def _raw_cells(spark, sf):
 
 def _members(spark, sf):
     peers = compare.peer_groups(D.peer_members(spark, sf))
-    return compare.attach_peers(D.metric_table(spark, sf), peers, QUARTER)
+    return compare.attach_peers(D.metric_table(spark, sf), peers)
 
 
 def _peer_rows(spark, sf):
     peers = compare.peer_groups(D.peer_members(spark, sf))
-    return compare.attach_peers(D.long_table(spark, sf), peers, ["quarter_key", "mdrm_code"])
+    return compare.attach_peers(D.long_table(spark, sf), peers)
+
+
+def _comparison(spark, sf):
+    return compare.comparison(_peer_rows(spark, sf), QUARTER, ["code_seq"], MEMBER_COLUMNS)
 
 
 # -- files written for the source and sink queries ----------------------------------------------------
@@ -246,8 +251,8 @@ def _(spark, sf):
 @query("K4_comparison_tables")
 def _(spark, sf):
     path = new_folder(spark, "comparison")
-    shown = [compare.member_name(i) for i in range(compare.MEMBERS)]
-    sinks.write_comparison(compare.comparison(_peer_rows(spark, sf), QUARTER), path, shown)
+    shown = [compare.member_name(i) for i in range(MEMBER_COLUMNS)]
+    sinks.write_comparison(_comparison(spark, sf), path, shown)
     return spark.read.parquet(path).select(
         "quarter_key", "peer_group", "schedule_code", "line_item", "mdrm_code", *[f"{m}_value" for m in shown]
     )
@@ -359,7 +364,7 @@ def _(spark, sf):
 @query("P16_section_headings")
 def _(spark, sf):
     blocks = documents.text_blocks(D.table(spark, sf, "pages"))
-    return tables.financial_sections(blocks, ["page_id"], PAGE_KEYWORDS).drop("block_ix")
+    return tables.financial_sections(blocks, ["page_id"], (*dims.SECTION_KEYWORDS, *PAGE_KEYWORDS)).drop("block_ix")
 
 
 @query("P16_table_sections")
@@ -434,7 +439,7 @@ def _(spark, sf):
 
 @query("P28_report_layout")
 def _(spark, sf):
-    rows = report_rows.classify_rows(D.grids(spark, sf), D.descriptions(spark, sf)).drop("cells")
+    rows = report_rows.classify_rows(D.grids(spark, sf), D.descriptions(spark, sf), keep_known=True).drop("cells")
     rows = rows.withColumns(
         {"schedule_code": F.when(F.col("doc_id") % 2 == 0, "RC").otherwise("RCN"), "line_item": F.col("row_ix").cast("string")}
     )
@@ -450,7 +455,7 @@ def _(spark, sf):
 
 @query("J2_code_descriptions")
 def _(spark, sf):
-    lines = report_rows.classify_rows(D.grids(spark, sf), D.descriptions(spark, sf)).drop("cells")
+    lines = report_rows.classify_rows(D.grids(spark, sf), D.descriptions(spark, sf), keep_known=True).drop("cells")
     return report_rows.description_or_default(lines, D.descriptions(spark, sf)).select("doc_id", "row_ix", "code", "description")
 
 
@@ -508,8 +513,8 @@ def _(spark, sf):
 
 @query("J9_aligned_amounts")
 def _(spark, sf):
-    shown = [compare.member_name(i) for i in range(compare.MEMBERS)]
-    return compare.comparison(_peer_rows(spark, sf), QUARTER).groupBy("quarter_key", "peer_group", "schedule_code").agg(
+    shown = [compare.member_name(i) for i in range(MEMBER_COLUMNS)]
+    return _comparison(spark, sf).groupBy("quarter_key", "peer_group", "schedule_code").agg(
         F.count(F.lit(1)).alias("items"),
         *[F.count(F.when(F.col(m) != dims.MISSING_CELL, 1)).alias(f"{m}_items") for m in shown],
     )
@@ -597,7 +602,7 @@ def _(spark, sf):
 @query("A10_file_counts")
 def _(spark, sf):
     file = F.concat_ws(" ", "schedule_code", "quarter_key")
-    return compare.file_counts(D.long_table(spark, sf).withColumn("source_file", file))
+    return compare.file_counts(D.long_table(spark, sf).withColumn("source_file", file), "source_file")
 
 
 @query("A11_ledger_statistics")
@@ -688,7 +693,9 @@ def _(spark, sf):
 # -- W, O: windows and order ---------------------------------------------------------------------------------
 @query("W1_share_of_largest")
 def _(spark, sf):
-    return rounded(compare.share_of_largest(D.metric_table(spark, sf).select(*IDS, "total_assets"), QUARTER))
+    # The largest values and the rows they are joined to need the same table: it is worked out once.
+    table = stored(D.metric_table(spark, sf).select(*IDS, "total_assets"), "assets")
+    return rounded(compare.share_of_largest(table, QUARTER))
 
 
 @query("W2_first_reported")
@@ -725,7 +732,7 @@ def _(spark, sf):
 
 @query("O1_top_items")
 def _(spark, sf):
-    return rounded(compare.top_items(D.long_table(spark, sf), IDS))
+    return rounded(compare.top_items(D.long_table(spark, sf, codes=[c for c, s in D.SCHEDULE_OF.items() if s == "RC"]), IDS))
 
 
 @query("O2_line_item_order")
@@ -753,12 +760,12 @@ def _(spark, sf):
 # -- U, R: sets and reshaping ----------------------------------------------------------------------------------
 @query("U1_union_of_schedules")
 def _(spark, sf):
-    wide, inst, desc = D.wide_schedules(spark, sf), D.institutions(spark, sf), D.descriptions(spark, sf)
+    root, inst, desc = schedule_folder(spark, sf), D.institutions(spark, sf), D.descriptions(spark, sf)
     parts = [
-        normalize.to_long(wide, inst, desc, s, keys=QUARTER, codes=[c for c, x in D.SCHEDULE_OF.items() if x == s])
+        normalize.to_long(schedules.read_wide(spark, f"{root}/FFIEC CDR Call Schedule {s}"), inst, desc, s, carry=["source_file"])
         for s in sorted(set(D.SCHEDULE_OF.values()))
     ]
-    return normalize.union_schedules(parts).select(*IDS, "schedule_code", "mdrm_code", "amount")
+    return _with_file_quarter(normalize.union_schedules(parts)).select(*IDS, "schedule_code", "mdrm_code", "amount")
 
 
 @query("U2_schedules_in_use")
@@ -773,31 +780,31 @@ def _(spark, sf):
 
 @query("R2_metric_sections")
 def _(spark, sf):
-    return rounded(compare.metric_sections(_members(spark, sf), QUARTER))
+    return rounded(compare.metric_sections(_members(spark, sf), QUARTER, MEMBER_COLUMNS).drop("members"))
 
 
 @query("R3_comparison")
 def _(spark, sf):
-    return compare.comparison(_peer_rows(spark, sf), QUARTER).drop("sort_key", "set_size")
+    return _comparison(spark, sf).drop("sort_key", "set_size", "amounts")
 
 
 @query("R4_ratio_table")
 def _(spark, sf):
-    return rounded(compare.ratio_table(_members(spark, sf), QUARTER).drop("status", "set_size"))
+    return rounded(compare.ratio_table(_members(spark, sf), QUARTER, MEMBER_COLUMNS).drop("status", "set_size", "members"))
 
 
 @query("R5_dashboard")
 def _(spark, sf):
     peers = compare.peer_groups(D.peer_members(spark, sf))
-    parts = reports.dashboard(D.long_table(spark, sf), peers, QUARTER, order="code_seq")
+    parts = reports.dashboard(D.long_table(spark, sf), peers, QUARTER, "code_seq", D.metric_table(spark, sf))
     return rounded(parts["total_assets"].join(parts["risk_flags"], IDS))
 
 
 @query("R5_key_metrics")
 def _(spark, sf):
     peers = compare.peer_groups(D.peer_members(spark, sf))
-    parts = reports.key_metrics(D.long_table(spark, sf), peers, QUARTER, order="code_seq")
-    return rounded(parts["sections"].filter("section_ix = 4").drop("set_size", "section_ix"))
+    parts = reports.key_metrics(D.long_table(spark, sf), peers, QUARTER, "code_seq", D.metric_table(spark, sf))
+    return rounded(parts["sections"].drop("set_size", "members"))
 
 
 # -- I: incremental state ----------------------------------------------------------------------------------------

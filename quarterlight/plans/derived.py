@@ -149,11 +149,11 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """peer_group, rssd_id, seq: four consecutive suppliers form a group, the first is the primary."""
+    """peer_group, rssd_id, seq: of eleven consecutive suppliers, one, four and six form a group; the first is the primary."""
     return table(spark, sf_dir, "supplier").select(
-        F.expr("s_suppkey div 4").alias("peer_group"),
+        F.expr("s_suppkey div 11 * 3 + case when s_suppkey % 11 = 0 then 0 when s_suppkey % 11 < 5 then 1 else 2 end").alias("peer_group"),
         F.col("s_suppkey").cast("string").alias("rssd_id"),
-        F.expr("cast(s_suppkey % 4 as int)").alias("seq"),
+        F.expr("cast(s_suppkey % 11 - case when s_suppkey % 11 = 0 then 0 when s_suppkey % 11 < 5 then 1 else 5 end as int)").alias("seq"),
     )
 
 

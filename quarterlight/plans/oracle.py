@@ -141,10 +141,13 @@ metrics AS (SELECT *, earning_asset_yield - cost_of_funds AS interest_rate_sprea
   CASE WHEN total_assets <> 0 THEN interest_rate_gap / total_assets * 100 ELSE 0 END AS gap_ratio
   FROM step1)"""
 PEERS = """
-sizes AS (SELECT s_suppkey // 4 AS peer_group, CAST(count(*) AS INTEGER) AS set_size FROM supplier GROUP BY 1),
+placed AS (
+  SELECT s_suppkey, s_suppkey // 11 * 3 + CASE WHEN s_suppkey % 11 = 0 THEN 0 WHEN s_suppkey % 11 < 5 THEN 1 ELSE 2 END AS peer_group FROM supplier),
 peers AS (
-  SELECT s_suppkey // 4 AS peer_group, CAST(s_suppkey AS VARCHAR) AS pid, CAST(s_suppkey % 4 AS INTEGER) AS ordinal, set_size
-  FROM supplier JOIN sizes ON s_suppkey // 4 = sizes.peer_group
+  SELECT peer_group, CAST(s_suppkey AS VARCHAR) AS pid,
+    CAST(row_number() OVER (PARTITION BY peer_group ORDER BY s_suppkey) - 1 AS INTEGER) AS ordinal,
+    CAST(count(*) OVER (PARTITION BY peer_group) AS INTEGER) AS set_size
+  FROM placed
 )"""
 MEMBER_ROWS = LONG + "," + PEERS + ", rows AS (SELECT * FROM long JOIN peers ON pid = rssd_id)"
 MEMBERS = RATIOS + "," + PEERS + """,
@@ -165,7 +168,7 @@ def _matrix(rows, extra: str = "", where: str = "") -> str:
     return parts
 
 
-ITEMS = ["primary", "peer_1", "peer_2", "peer_3"]
+ITEMS = ["primary", "peer_1", "peer_2", "peer_3", "peer_4", "peer_5"]
 _shown = ", ".join(f"round(max(v) FILTER (ordinal = {i} AND has), 6) AS {m}" for i, m in enumerate(ITEMS))
 PEER_AVG = "round(avg(v) FILTER (ordinal > 0 AND has), 6) AS peer_avg"
 _ratio_rows = [(f"{i} AS row_ix, {text(l)} AS label, '{m}' AS metric", m, "true") for i, (l, m) in enumerate(dims.RATIO_TABLE)]
@@ -370,8 +373,8 @@ SQL["P16_section_headings"] = f"""WITH a AS (
   c AS (SELECT page_id, unnest(string_split(h, chr(1))) AS x FROM b),
   d AS (SELECT page_id, lower(split_part(x, chr(2), 1)) AS tag, x[strpos(x, chr(2)) + 1:] AS piece FROM c WHERE contains(x, chr(2))),
   e AS (SELECT page_id, tag, trim({_strip_tags}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS t FROM d),
-  f AS (SELECT page_id, tag, t, list_filter({listed(PAGE_KEYWORDS)}, lambda w: contains(lower(t), w))[1] AS keyword FROM e WHERE length(t) <= 300)
-  SELECT page_id, tag, lower(t)[1:100] AS shown_text, keyword, 10 AS priority FROM f WHERE keyword IS NOT NULL"""
+  f AS (SELECT page_id, tag, t, list_filter({listed((*dims.SECTION_KEYWORDS, *PAGE_KEYWORDS))}, lambda w: contains(lower(t), w))[1] AS keyword FROM e)
+  SELECT page_id, tag, lower(t) AS shown_text, keyword, length(t) <= 300 AS is_heading, 10 AS priority FROM f WHERE keyword IS NOT NULL"""
 SQL["P16_table_sections"] = f"""WITH {HTML} SELECT doc_id, table_ix, CASE table_ix % 4 WHEN 0 THEN 'consolidated balance sheets'
   WHEN 3 THEN 'deposits' ELSE 'segment information' END AS keyword, CASE table_ix % 4 WHEN 0 THEN 2 ELSE 10 END AS priority FROM widths"""
 SQL["P17_header_rows"] = f"WITH {HTML} SELECT doc_id, table_ix, '0' AS header_rows FROM widths"
@@ -525,7 +528,7 @@ SQL["A12_quarter_completeness"] = f"""WITH {FOUND}, n AS (SELECT year, quarter,
   FROM n LEFT JOIN m ON m.year = n.year AND m.quarter = n.quarter"""
 SQL["A13_files_by_quarter"] = f"WITH {FILES} SELECT quarter_key, filepath, count(*) OVER (PARTITION BY quarter_key) AS files_in_quarter FROM inv"
 SQL["A14_available_quarters"] = f"WITH {FILES} SELECT DISTINCT year, quarter, quarter_key FROM inv"
-SQL["A15_fact_groups"] = f"""WITH {FACTS} SELECT doc_id, 'COF_CallReport_' || category AS table_name, fact_ix, value,
+SQL["A15_fact_groups"] = f"""WITH {FACTS} SELECT doc_id, 'CallReport_' || category AS table_name, fact_ix, value,
   count(*) OVER (PARTITION BY doc_id, category) AS n_facts FROM tagged QUALIFY count(*) OVER (PARTITION BY doc_id, category) > 3"""
 SQL["A16_table_summary"] = f"""WITH {HTML} SELECT doc_id, table_ix, n_rows, width AS n_cols, true AS has_numbers,
   'Year 2023 vs 2024 | Amount | Share' AS preview, n_rows AS codes FROM widths"""
@@ -576,7 +579,7 @@ SQL["W3_delimited_sections"] = f"""WITH {DELIMITED}, n AS (SELECT *, sum(CAST(bl
     WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section_no) AS n_lines FROM n WHERE NOT blank)
   SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, coalesce(s, 'Call_Report_Data') AS section,
-    'COF_SDF_' || replace(regexp_replace(coalesce(s, 'Call_Report_Data'), '[^\\w\\s]', '', 'g'), ' ', '_')[1:40] AS table_name, line_no, n_lines
+    'SDF_' || replace(regexp_replace(coalesce(s, 'Call_Report_Data'), '[^\\w\\s]', '', 'g'), ' ', '_')[1:40] || '_' || CAST(section_no AS BIGINT) AS table_name, line_no, n_lines
   FROM c WHERE n_lines >= 2"""
 SQL["W4_section_ranges"] = f"""WITH {GRIDS}, n AS (SELECT *, sum(CAST(is_section_header AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY row_ix) AS s FROM report)
   SELECT doc_id, CAST(s AS BIGINT) AS section_no, min(row_ix) AS start_ix, max(row_ix) AS end_ix, min_by(description, row_ix) AS title
@@ -589,7 +592,7 @@ _ranks = " UNION ALL ".join(
 )
 SQL["W7_percentile_ranks"] = f"""WITH {RATIOS}, {PEERS}, r AS ({_ranks}) SELECT quarter_key, peer_group, rssd_id, metric, round(v, 6) AS value,
   round(cume_dist() OVER (PARTITION BY quarter_key, peer_group, metric ORDER BY v) * 100, 6) AS percentile FROM r"""
-SQL["O1_top_items"] = f"""WITH {LONG} SELECT rssd_id, quarter_key, CAST(rk AS INTEGER) AS rank, line_item, description[1:50] AS description, mdrm_code,
+SQL["O1_top_items"] = f"""WITH {LONG} SELECT rssd_id, quarter_key, CAST(rk AS INTEGER) AS rank, line_item, description, mdrm_code,
   round(amount_num, 6) AS amount_num FROM (SELECT *, row_number() OVER (PARTITION BY rssd_id, quarter_key ORDER BY amount_num DESC, code_seq) AS rk
     FROM long WHERE schedule_code = 'RC') WHERE rk <= 5"""
 SQL["O2_line_item_order"] = f"""WITH {LONG}, i AS (SELECT schedule_code, line_item, count(*) AS n_rows, string_split(line_item, '.') AS p FROM long GROUP BY 1, 2)
@@ -626,7 +629,7 @@ SQL["R5_dashboard"] = f"""WITH {RATIOS}, {PEERS}, t AS (SELECT metrics.*, peer_g
     CASE WHEN wholesale_funding_ratio > 30 THEN 'high' WHEN wholesale_funding_ratio > 20 THEN 'moderate' ELSE 'normal' END AS wholesale_flag,
     round(deposit_stability_ratio, 6) AS deposit_stability_ratio,
     CASE WHEN deposit_stability_ratio < 70 THEN 'low' WHEN deposit_stability_ratio < 80 THEN 'moderate' ELSE 'good' END AS stability_flag FROM t"""
-SQL["R5_key_metrics"] = f"{SECTIONS} SELECT * EXCLUDE (set_size, section_ix) FROM s WHERE section_ix = 4"
+SQL["R5_key_metrics"] = f"{SECTIONS} SELECT * EXCLUDE (set_size, peer_4, peer_5) FROM s"
 
 # -- I -------------------------------------------------------------------------------------------------
 NOW = "'2001-01-01 00:00:00'"
@@ -639,7 +642,7 @@ SQL["I1_ledger_upsert"] = f"""WITH {FILES}
     err AS error_message, retries AS retry_count, CAST(NULL AS VARCHAR) AS last_retry_date
   FROM (SELECT *, k % 7 = 0 AND k % 5 <> 0 AS fresh FROM ledger)
   UNION ALL SELECT filepath, hash, false, NULL, NULL, NULL, {NOW}, 'pending', NULL, 0, NULL FROM inv WHERE k % 5 = 0"""
-SQL["I2_ledger_by_directory"] = f"""WITH {FILES} SELECT filepath, quarter_key, status AS processing_status FROM ledger WHERE starts_with(filepath, '/bulk/1')"""
+SQL["I2_ledger_by_directory"] = f"""WITH {FILES} SELECT filepath, quarter_key, status AS processing_status FROM ledger WHERE starts_with(filepath, '/bulk/1/')"""
 SQL["I3_mark_processed"] = f"""WITH {FILES} SELECT filepath, file_hash, done OR status = 'pending' AS is_processed,
   CASE WHEN status = 'pending' THEN {NOW} WHEN done THEN stamp END AS processed_date,
   CASE WHEN status = 'pending' THEN length(filename) ELSE row_count END AS row_count,

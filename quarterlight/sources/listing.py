@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from quarterlight.functions import names
 from quarterlight.operators.joins import computed_once
 
-FINGERPRINT_BYTES = 1024 * 1024
 MIN_BULK_FILES = 10
 
 
 def fingerprint(content: Column) -> Column:
-    """SHA-256 of the first mebibyte of a binary column."""
-    return F.sha2(F.substring(content, 1, FINGERPRINT_BYTES), 256)
+    """SHA-256 of a whole binary column, whatever its size."""
+    return F.sha2(content, 256)
 
 
 def describe_files(files: DataFrame) -> DataFrame:
@@ -26,7 +25,10 @@ def describe_files(files: DataFrame) -> DataFrame:
 
 
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """Inventory of the bulk files in a folder with size, time and fingerprint."""
+    """Inventory of the bulk files in a folder with size, time and fingerprint.
+
+    Spark's ``binaryFile`` reads files of up to 2 GiB; split larger ones before they are listed.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory)
     return describe_files(
         files.select(
