@@ -112,13 +112,13 @@ def clean_cell(raw: Column, negatives_first: bool = False) -> Column:
     text = strip(F.regexp_replace(raw, r"(?U)\s+", " "))
 
     def drop_notes(t: Column) -> Column:
-        t = F.regexp_replace(t, r"\s*\([a-z]\)", "")
-        t = F.regexp_replace(t, r"\s*\(\d+\)", "")
-        return F.regexp_replace(t, r"\s*\*+", "")
+        for mark in dims.NOTE_MARKS:
+            t = F.regexp_replace(t, mark, "")
+        return t
 
     def negatives(t: Column) -> Column:
         digits = lambda v: F.concat(F.lit("-"), F.regexp_replace(v, r"[^\d,.]", ""))
-        return let(t, lambda v: F.when(v.rlike(r"^\s*\(\s*[\d,]+\.?\d*\s*\)\s*$"), digits(v)).otherwise(v))
+        return let(t, lambda v: F.when(v.rlike(dims.BRACKETED_NUMBER), digits(v)).otherwise(v))
 
     text = drop_notes(negatives(text)) if negatives_first else negatives(drop_notes(text))
     text = F.regexp_replace(text, r"\$\s+", r"\$")

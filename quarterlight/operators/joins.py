@@ -6,20 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SALTS = 16
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join rows with a lookup that is unique per key, without any hint.
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "left") -> DataFrame:
-    """Join rows with a lookup that is unique per key, without hinting a broadcast.
-
-    Spark itself broadcasts the lookup when its size statistics are under
-    ``spark.sql.autoBroadcastJoinThreshold``.  Beyond that both sides are shuffled, and the rows of one
-    key are spread over ``SALTS`` tasks by a hash of the ``spread`` columns against as many copies of
-    the lookup row, so a key with a third of all rows does not end in one task.
+    Spark broadcasts the lookup when its true size is under ``spark.sql.autoBroadcastJoinThreshold``.  Beyond that
+    both sides are shuffled, and adaptive execution splits a key that holds much of the rows by measured sizes
+    (``spark.sql.adaptive.skewJoin``), however many tasks that takes.
     """
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted_rows.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(lookup, on, how)
 
 
 def running_values(

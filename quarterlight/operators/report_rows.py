@@ -25,14 +25,13 @@ def with_dictionary(rows: DataFrame, descriptions: DataFrame, code: str = "code"
     """Add ``known`` (description of the upper-cased code, '' if unknown)."""
     lookup = descriptions.select(F.col("mdrm_code").alias("_code"), F.col("description").alias("known"))
     keyed = rows.withColumn("_code", F.upper(text.strip(F.col(code))))
-    spread = [c for c in rows.columns if c != code and rows.schema[c].dataType.typeName() != "map"]
-    joined = lookup_join(keyed, lookup, ["_code"], spread)
+    joined = lookup_join(keyed, lookup, ["_code"])
     return joined.withColumn("known", F.coalesce("known", F.lit(""))).drop("_code")
 
 
 def description_or_default(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Fill a blank or "." description from the dictionary."""
-    joined = with_dictionary(rows, descriptions)
+    joined = rows if "known" in rows.columns else with_dictionary(rows, descriptions)
     trimmed = text.strip(F.coalesce("description", F.lit("")))
     fill = trimmed.isin("", ".") & (F.col("known") != "")
     return joined.withColumn("description", F.when(fill, F.col("known")).otherwise(F.col("description"))).drop("known")
@@ -46,8 +45,11 @@ def clean_grid(grid: DataFrame, cells: str = "cells") -> DataFrame:
     return grid.withColumn(cells, tidy).filter(F.exists(cells, lambda c: c != ""))
 
 
-def classify_rows(grid: DataFrame, descriptions: DataFrame, cells: str = "cells") -> DataFrame:
-    """Code, amount, description, indent and header / total flags of a row of cells."""
+def classify_rows(grid: DataFrame, descriptions: DataFrame, cells: str = "cells", keep_known: bool = False) -> DataFrame:
+    """Code, amount, description, indent and header / total flags of a row of cells.
+
+    ``keep_known`` leaves the dictionary's description (``known``) for later steps, which then need no join of their own.
+    """
     filled = F.filter(
         F.transform(cells, lambda c: text.strip(F.coalesce(c, F.lit("")))), lambda c: c != ""
     )
@@ -56,9 +58,8 @@ def classify_rows(grid: DataFrame, descriptions: DataFrame, cells: str = "cells"
     last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
     rows = grid.withColumn("_filled", filled).filter(F.size("_filled") > 0)
     words = F.array_join(F.filter("_filled", lambda c: ~is_code(c) & ~is_amount(c)), " ")
-    words = F.regexp_replace(words, r"\s+\d+\.\s*$", "")
-    words = F.regexp_replace(words, r"\s+\d+\.[a-z]\.\s*\d+$", "")
-    words = F.regexp_replace(words, r"\s*\.+\s*$", "")
+    for pattern in dims.TRAILING_NUMBERS:
+        words = F.regexp_replace(words, pattern, "")
     parsed = rows.withColumns(
         {
             "code": last(F.filter("_filled", is_code)),
@@ -70,18 +71,15 @@ def classify_rows(grid: DataFrame, descriptions: DataFrame, cells: str = "cells"
     description = F.when(
         _blank(F.col("description")) & (F.col("code") != "") & (F.col("known") != ""), F.col("known")
     ).otherwise(F.col("description"))
-    filled_in = looked_up.withColumn("description", description).drop("known")
+    filled_in = looked_up.withColumn("description", description)
+    filled_in = filled_in if keep_known else filled_in.drop("known")
     filled_in = filled_in.filter((F.col("description") != "") | (F.col("code") != "") | (F.col("amount") != ""))
     d = F.col("description")
-    main = d.rlike(r"^\d+\.\s+[A-Z]")
-    indent = (
-        F.when(main, 0)
-        .when(d.rlike(r"^[a-z]\.\s+") | d.rlike(r"^\d+\.[a-z]\.\s+"), 1)
-        .when(d.rlike(r"^\(\d+\)"), 2)
-        .when(d.rlike(r"(?i)^\([ivx]+\)"), 3)
-        .when(d.rlike(r"^\p{Ll}"), 1)
-        .otherwise(0)
-    )
+    main = d.rlike(dims.MAIN_ITEM_PATTERN)
+    indent = F.when(main, 0)
+    for pattern, depth in dims.INDENT_PATTERNS:
+        indent = indent.when(d.rlike(pattern), depth)
+    indent = indent.otherwise(0)
     return filled_in.withColumns(
         {
             "indent": indent,
@@ -293,7 +291,7 @@ def section_ranges(rows: DataFrame, keys: list[str], order: str = "row_ix") -> D
 
 def report_layout(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Printed columns of schedule rows: four for the balance sheet, three (indented) for the others."""
-    joined = with_dictionary(rows, descriptions)
+    joined = rows if "known" in rows.columns else with_dictionary(rows, descriptions)
     fill = _blank(F.col("description")) & (F.col("code") != "") & (F.col("known") != "")
     described = F.when(fill, F.col("known")).otherwise(F.col("description"))
     indented = F.concat(F.repeat(F.lit("    "), F.col("indent")), described)

@@ -95,5 +95,4 @@ def filings_for_requests(filings: DataFrame, requests: DataFrame, filing_type: s
     upto = Window.partitionBy("cik").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
     carried = timeline.withColumn("filing", F.last("filing", ignorenulls=True).over(upto))
     answers = carried.filter(F.col("kind") == 1).select("cik", F.col("day").alias("as_of"), "filing")
-    spread = [c for c in requests.columns if c not in ("cik", "as_of")] or ["as_of"]
-    return lookup_join(requests, answers, ["cik", "as_of"], spread).select(*requests.columns, "filing.*")
+    return lookup_join(requests, answers, ["cik", "as_of"]).select(*requests.columns, "filing.*")

@@ -8,18 +8,20 @@ from pyspark.sql import Window
 
 from quarterlight import dims
 from quarterlight.functions import names, text
-from quarterlight.operators.joins import computed_once, lookup_join, running_values
-from quarterlight.session import stored
+from quarterlight.operators.joins import lookup_join, running_values
+from quarterlight.sources import documents
 
 
-def is_financial(table_text: Column, n_rows: Column, n_cells: Column) -> Column:
+def is_financial(
+    table_text: Column, n_rows: Column, n_cells: Column, min_text: int = 20, min_rows: int = 3, min_cells: int = 6
+) -> Column:
     """Enough text, rows and cells, and enough financial words, numbers or years."""
     lower = F.lower(table_text)
     words = F.array(*[F.lit(w) for w in dims.FINANCIAL_WORDS])
     indicators = F.size(F.filter(words, lambda w: F.contains(lower, w)))
     numbers = F.regexp_count(lower, F.lit(dims.NUMERIC_PATTERN))
     years = F.regexp_count(lower, F.lit(dims.YEAR_PATTERN))
-    large_enough = (F.length(text.strip(lower)) >= 20) & (n_rows >= 3) & (n_cells >= 6)
+    large_enough = (F.length(text.strip(lower)) >= min_text) & (n_rows >= min_rows) & (n_cells >= min_cells)
     telling = (
         ((indicators >= 3) & (numbers >= 5)) | ((years >= 2) & (numbers >= 10)) | (indicators >= 5)
     )
@@ -55,8 +57,7 @@ def financial_tables(profiled: DataFrame, min_rows: int = 3) -> DataFrame:
 
 def table_summary(profiled: DataFrame, keys: list[str]) -> DataFrame:
     """Rows, columns, numbers and a preview of the first row for every table."""
-    first = F.slice(F.get("cells", F.lit(0)), 1, 3)
-    preview = F.array_join(F.filter(F.transform(first, lambda c: F.substring(c, 1, 20)), lambda c: c != ""), " | ")
+    preview = F.array_join(F.filter(F.get("cells", F.lit(0)), lambda c: c != ""), " | ")
     # The second column of a schedule report holds the code.
     codes = F.size(F.filter("cells", lambda r: F.coalesce(F.get(r, F.lit(1)), F.lit("")) != ""))
     return profiled.select(*keys, "n_rows", "n_cols", "has_numbers", preview.alias("preview"), codes.alias("codes"))
@@ -76,77 +77,89 @@ def section_priority(keyword: Column) -> Column:
     return priority.otherwise(dims.DEFAULT_SECTION_PRIORITY)
 
 
-def financial_sections(blocks: DataFrame, keys: list[str], keywords: tuple[str, ...] = dims.SECTION_KEYWORDS) -> DataFrame:
-    """Short text blocks that contain a keyword, with the first keyword of the list and its priority."""
+def financial_sections(
+    blocks: DataFrame, keys: list[str], keywords: tuple[str, ...] = dims.SECTION_KEYWORDS, limit: int = dims.SECTION_TEXT_LIMIT
+) -> DataFrame:
+    """Text blocks that contain a keyword, with the first keyword of the list and its priority.
+
+    Blocks over ``limit`` characters are running text rather than headings: they are kept and flagged (``is_heading``).
+    """
     lower = F.lower("text")
     listed = F.array(*[F.lit(k) for k in keywords])
     hit = F.get(F.filter(listed, lambda k: F.contains(lower, k)), F.lit(0))
-    found = blocks.filter(F.length("text") <= dims.SECTION_TEXT_LIMIT).withColumn("keyword", hit)
+    found = blocks.withColumn("keyword", hit)
     return found.filter(F.col("keyword").isNotNull()).select(
         *keys,
         "block_ix",
         "tag",
-        F.substring(lower, 1, dims.SECTION_TEXT_SHOWN).alias("shown_text"),
+        lower.alias("shown_text"),
         "keyword",
+        (F.length("text") <= limit).alias("is_heading"),
         section_priority(F.col("keyword")).alias("priority"),
     )
 
 
 def section_order(sections: DataFrame) -> DataFrame:
     """Primary statements first; inside a priority the order of the document."""
-    keys = [c for c in sections.columns if c not in ("tag", "shown_text", "keyword", "priority", "block_ix")]
+    keys = [c for c in sections.columns if c not in ("tag", "shown_text", "keyword", "is_heading", "priority", "block_ix")]
     return sections.orderBy("priority", *keys, "block_ix")
 
 
-def tables_with_sections(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, table_ix, keyword, block_ix: the nearest section heading before each table.
+def tables_with_sections(
+    docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("doc_id",), limit: int = dims.SECTION_TEXT_LIMIT
+) -> DataFrame:
+    """keys, table_ix, keyword, priority: the section each table stands in.
 
-    Worked out inside the document row: the text before a table's opening tag is searched for its last
-    heading, so every table belongs to one section.
+    Headings are found as in ``text_blocks``, inline markup included.  The nearest heading with a keyword before a table
+    names its section, unless a stop heading (the next item, part, exhibit or the signatures) has ended it since.
     """
     no_comments = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     listed = F.array(*[F.lit(k) for k in dims.SECTION_KEYWORDS])
+    stops = F.array(*[F.lit(k) for k in dims.SECTION_STOPS])
 
-    def last_keyword(piece: Column) -> Column:
-        outside = F.element_at(F.split(piece, r"(?i)</table\s*>"), -1)
-        heads = F.regexp_extract_all(outside, F.lit(r"(?is)<(?:h[1-6]|p|div|span)\b[^>]*>([^<]+)"), F.lit(1))
-        lower = F.transform(heads, lambda h: F.lower(text.strip(text.markup_text(h))))
-        short = F.filter(lower, lambda h: F.length(h) <= dims.SECTION_TEXT_LIMIT)
-        found = F.transform(short, lambda h: F.get(F.filter(listed, lambda k: F.contains(h, k)), F.lit(0)))
-        return F.try_element_at(F.filter(found, lambda k: k.isNotNull()), F.lit(-1))
-
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def carry(state: Column, keyword: Column) -> Column:
-        current = F.coalesce(keyword, state["last"])
-        return F.struct(current.alias("last"), F.array_append(state["out"], current).alias("out"))
-
-    # The heading found before the n-th opening tag belongs to table n and is carried over later ones.
-    per_piece = F.transform(F.split("_h", r"(?i)<table\b"), last_keyword)
-    found = computed_once(docs.select(*keys, no_comments.alias("_h")), "_found", per_piece)
-    carried = computed_once(found, "_carried", F.aggregate("_found", start, carry, lambda s: s["out"]))
-    before_tables = F.slice("_carried", F.lit(1), F.size("_carried") - 1)
-    return carried.select(*keys, F.posexplode(before_tables).alias("table_ix", "keyword")).withColumn(
-        "priority", section_priority(F.col("keyword"))
-    )
-
+    def heading(block: Column) -> Column:
+        """The keyword, '' for a stop heading, null for other text."""
+        lower, tag = F.lower(documents.block_text(block)), documents.block_tag(block)
+        keyword = F.get(F.filter(listed, lambda k: F.contains(lower, k)), F.lit(0))
+        stop = tag.isin(*dims.SECTION_STOP_TAGS) & F.exists(stops, lambda k: F.contains(lower, k))
+        return F.when(F.length(lower) <= limit, F.coalesce(keyword, F.when(stop, "")))
 
-def fact_groups(facts: DataFrame, keys: list[str], min_facts: int = 4) -> DataFrame:
+    def last_heading(piece: Column) -> Column:
+        outside = F.element_at(F.split(piece, r"(?i)</table\s*>"), -1)
+        blocks = F.filter(documents.block_pieces(outside), lambda p: p.contains("\u0002"))
+        return F.try_element_at(F.filter(F.transform(blocks, heading), lambda h: h.isNotNull()), F.lit(-1))
+
+    # The piece before the n-th opening tag is about table n; its heading is carried over later tables.
+    pieces = docs.select(*keys, F.posexplode(F.split(no_comments, r"(?i)<table\b")).alias("table_ix", "_piece"))
+    found = pieces.select(*keys, "table_ix", last_heading(F.col("_piece")).alias("_found"))
+    order = Window.partitionBy(*keys).orderBy("table_ix")
+    carried = F.last("_found", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumns({"keyword": F.nullif(carried, F.lit("")), "_more": F.lead(F.lit(1)).over(order)})
+    kept = rows.filter("_more is not null").select(*keys, "table_ix", "keyword")
+    return kept.withColumn("priority", section_priority(F.col("keyword")))
+
+
+def fact_groups(
+    facts: DataFrame, keys: list[str], min_facts: int = 4, table_prefix: str = dims.FACT_TABLE_PREFIX
+) -> DataFrame:
     """Facts of the categories that have at least ``min_facts`` facts, with the category's table name.
 
     Counts are aggregated and joined back instead of a window, so that a dominant category is spread.
     """
     sizes = facts.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n_facts"))
     large = sizes.filter(F.col("n_facts") >= min_facts)
-    joined = lookup_join(facts, large, [*keys, "category"], ["fact_ix", "value"], how="inner")
-    return joined.withColumn("table_name", F.concat(F.lit(dims.FACT_TABLE_PREFIX), "category"))
+    joined = lookup_join(facts, large, [*keys, "category"], how="inner")
+    return joined.withColumn("table_name", F.concat(F.lit(table_prefix), "category"))
 
 
-def delimited_sections(lines: DataFrame, keys: list[str]) -> DataFrame:
+def delimited_sections(
+    lines: DataFrame, keys: list[str], min_lines: int = 2, table_prefix: str = dims.DELIMITED_TABLE_PREFIX
+) -> DataFrame:
     """Sections of delimited documents: keys, section_no, section, table_name, line_no, cells.
 
     A blank line or a first cell with "Schedule" starts a section; a schedule line also names it and
-    the ones after it.  Sections with fewer than two lines are left out.
+    the ones after it.  Sections with fewer than ``min_lines`` lines are left out.  The number in a table's name keeps apart
+    sections whose names begin alike.
     """
     first = text.strip(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
     blank = ~F.exists("cells", lambda c: text.strip(c) != "")
@@ -160,9 +173,9 @@ def delimited_sections(lines: DataFrame, keys: list[str]) -> DataFrame:
         carried={"section": F.when(F.col("heads"), first)},
     ).filter(~F.col("blank"))
     named = numbered.withColumn("section", F.coalesce("section", F.lit(dims.DEFAULT_DELIMITED_SECTION)))
-    # Lines and section sizes both need the numbering: it is stored instead of being worked out twice.
-    named = stored(named.drop("blank", "heads"), "sections")
-    sizes = named.groupBy(*keys, "section_no").agg(F.count(F.lit(1)).alias("n_lines")).filter(F.col("n_lines") >= 2)
-    kept = lookup_join(named, sizes, [*keys, "section_no"], ["line_no"], how="inner")
-    name = F.concat(F.lit(dims.DELIMITED_TABLE_PREFIX), names.section_slug(F.col("section")))
+    # Both branches need the numbering; a caller with much data stores ``lines`` first.
+    named = named.drop("blank", "heads")
+    sizes = named.groupBy(*keys, "section_no").agg(F.count(F.lit(1)).alias("n_lines")).filter(F.col("n_lines") >= min_lines)
+    kept = lookup_join(named, sizes, [*keys, "section_no"], how="inner")
+    name = F.concat(F.lit(table_prefix), names.section_slug(F.col("section")), F.lit("_"), F.col("section_no").cast("string"))
     return kept.select(*keys, "section_no", "section", name.alias("table_name"), "line_no", "n_lines", "cells")

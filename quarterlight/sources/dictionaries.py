@@ -11,20 +11,27 @@ _SAMPLE_KEY = "_sample_codes"
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, column ``value`` holding the whole JSON text."""
-    return spark.read.text(path, wholetext=True)
+    """One row per file: ``value`` holds the whole JSON text, ``path`` where it came from."""
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def _last_entries(documents: DataFrame, entries, key: str, value: str) -> DataFrame:
+    """One row per key: of repeated keys, the last entry of the last file (by path, if the documents have one) counts."""
+    path = F.col("path") if "path" in documents.columns else F.lit("")
+    listed = documents.select(path.alias("_path"), F.posexplode(entries).alias("_pos", key, value))
+    return listed.groupBy(key).agg(F.max_by(value, F.struct("_path", "_pos", value)).alias(value))
 
 
 def code_descriptions(documents: DataFrame) -> DataFrame:
     """mdrm_code, description from JSON objects {code: description}, also when nested as samples."""
     nested = F.from_json("value", f"struct<`{_SAMPLE_KEY}`: map<string,string>>")[_SAMPLE_KEY]
     entries = F.coalesce(nested, F.from_json("value", "map<string,string>"))
-    return documents.select(F.explode(entries).alias("mdrm_code", "description"))
+    return _last_entries(documents, entries, "mdrm_code", "description")
 
 
 def institution_names(documents: DataFrame) -> DataFrame:
     """rssd_id, name from JSON objects {id: name}."""
-    return documents.select(F.explode(F.from_json("value", "map<string,string>")).alias("rssd_id", "name"))
+    return _last_entries(documents, F.from_json("value", "map<string,string>"), "rssd_id", "name")
 
 
 def company_tickers(documents: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ with array functions; no step here needs a shuffle except the word grouping.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarterlight import dims
@@ -22,7 +23,7 @@ def document_kind(path: Column, content: Column | None = None) -> Column:
     lower = F.lower(path)
     xbrl = lower.endswith(".xbrl") | lower.endswith(".xml")
     if content is not None:
-        xbrl = xbrl | F.lower(F.substring(content, 1, 1000)).contains("<xbrl")
+        xbrl = xbrl | F.lower(content).contains("<xbrl")
     return (
         F.when(xbrl, "xbrl")
         .when(lower.endswith(".pdf"), "pdf")
@@ -40,44 +41,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 # -- HTML ------------------------------------------------------------------------------------------
-def _piece_owners(pieces: Column) -> Column:
-    """Number of the table that each piece of text belongs to (0: outside all tables)."""
-    start = F.struct(
-        F.lit(0).alias("opened"),
-        F.array().cast("array<int>").alias("stack"),
-        F.array().cast("array<int>").alias("owner"),
-    )
-
-    def step(state: Column, piece: Column) -> Column:
-        lower = F.lower(F.substring(piece, 1, 7))
-        opens, closes = lower.startswith("<table"), lower.startswith("</table")
-        opened = state["opened"] + F.when(opens, 1).otherwise(0)
-        depth = F.size(state["stack"])
-        stack = (
-            F.when(opens, F.array_append(state["stack"], opened))
-            .when(closes & (depth > 0), F.slice(state["stack"], 1, F.greatest(depth - 1, F.lit(0))))
-            .otherwise(state["stack"])
-        )
-        owner = F.array_append(state["owner"], F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(0)))
-        return F.struct(opened.alias("opened"), stack.alias("stack"), owner.alias("owner"))
-
-    return F.aggregate(pieces, start, step, lambda state: state["owner"])
-
-
 def html_tables(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per table: its number in the document, raw body text and raw row bodies.
 
-    The text is cut at every table tag and a running stack of open tables tells which table a piece
-    belongs to, so a nested table's rows are its own and the outer table keeps the pieces around it.
+    The text is cut at every table tag, one row per piece.  The depth after a piece is a running sum, and the table it
+    belongs to is the last one opened at that depth, so a nested table's rows are its own and the outer table keeps
+    the pieces around it.  The work grows with the pieces, and pieces of one document stay in one partition throughout.
     """
     no_comments = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    cut = computed_once(docs.select(*keys, no_comments.alias("_h")), "_pieces", F.split("_h", _TABLE_EDGE)).drop("_h")
-    owned = computed_once(cut, "_owner", _piece_owners(F.col("_pieces")))
-    last = F.array_max("_owner")
-    numbers = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    mine = lambda t: F.filter("_pieces", lambda p, i: F.get("_owner", i) == t)
-    bodies = F.transform(numbers, lambda t: F.array_join(mine(t), ""))
-    tables = owned.select(*keys, F.posexplode(bodies).alias("table_ix", "table_html"))
+    pieces = docs.select(*keys, F.posexplode(F.split(no_comments, _TABLE_EDGE)).alias("_ix", "_piece"))
+    tag = F.lower(F.substring("_piece", 1, 7))
+    opens, closes = tag.startswith("<table"), tag.startswith("</table")
+    so_far = Window.partitionBy(*keys).orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
+    at_depth = Window.partitionBy(*keys, "_depth").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
+    stepped = pieces.withColumn("_step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumns(
+        {"_number": F.sum(F.when(opens, 1).otherwise(0)).over(so_far), "_sum": F.sum("_step").over(so_far)}
+    )
+    # A closing tag without an open table leaves the depth at zero.
+    depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))
+    inside = stepped.withColumn("_depth", depth).filter("_depth > 0")
+    owned = inside.withColumn("_owner", F.max(F.when(F.col("_step") == 1, F.col("_number"))).over(at_depth))
+    gathered = owned.groupBy(*keys, "_owner").agg(F.sort_array(F.collect_list(F.struct("_ix", "_piece"))).alias("_ps"))
+    tables = gathered.select(
+        *keys, (F.col("_owner") - 1).cast("int").alias("table_ix"), F.array_join(F.transform("_ps", lambda p: p["_piece"]), "").alias("table_html")
+    )
     rows = F.slice(F.split("table_html", r"(?i)<tr\b[^>]*>"), 2, 2_000_000_000)
     return computed_once(tables, "row_html", rows)
 
@@ -120,17 +107,27 @@ def text_blocks(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("p
 
     A block ends at the next tag of that kind, so nested blocks are reported once, innermost.
     """
+    blocks = docs.select(*keys, F.posexplode(block_pieces(html)).alias("block_ix", "piece"))
+    blocks = blocks.filter(F.col("piece").contains("\u0002"))
+    return blocks.select(*keys, "block_ix", block_tag(F.col("piece")).alias("tag"), block_text(F.col("piece")).alias("text"))
+
+
+def block_pieces(html: str | Column) -> Column:
+    """The text cut at heading, paragraph, div and span tags; pieces that follow an opening one start with its name."""
     plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for hidden in ("script", "style"):
         plain = F.regexp_replace(plain, rf"(?is)<{hidden}\b.*?</{hidden}\s*>", "")
     cut = F.regexp_replace(plain, rf"(?i)<({_BLOCK})(?:\s[^>]*)?>", "\u0001$1\u0002")
     cut = F.regexp_replace(cut, rf"(?i)</(?:{_BLOCK})\s*>", "\u0001")
-    blocks = docs.select(*keys, F.posexplode(F.split(cut, "\u0001")).alias("block_ix", "piece"))
-    parts = F.split(F.col("piece"), "\u0002", 2)
-    blocks = blocks.filter(F.col("piece").contains("\u0002"))
-    return blocks.select(
-        *keys, "block_ix", F.lower(parts[0]).alias("tag"), text.strip(text.markup_text(parts[1])).alias("text")
-    )
+    return F.split(cut, "\u0001")
+
+
+def block_tag(piece: Column) -> Column:
+    return F.lower(F.split(piece, "\u0002", 2)[0])
+
+
+def block_text(piece: Column) -> Column:
+    return text.strip(text.markup_text(F.split(piece, "\u0002", 2)[1]))
 
 
 # -- tagged facts ----------------------------------------------------------------------------------
@@ -182,8 +179,9 @@ def report_period(content: Column) -> Column:
 
 # -- delimited documents and words -------------------------------------------------------------------
 def delimited_lines(docs: DataFrame, content: str = "content", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, line_no, cells: lines of delimited documents, each split by its document's separator."""
-    head = F.substring(content, 1, 1000)
+    """keys, line_no, cells: lines of delimited documents, each split by the separator found
+    in its document's first line that is not blank."""
+    head = F.regexp_extract(content, r"(?m)^(.*\S.*)$", 1)
     separator = F.when(head.contains("\t"), "\t").when(head.contains("|"), "|").otherwise(",")
     body = F.regexp_replace(content, r"\r?\n\z", "")
     lines = docs.select(*keys, separator.alias("sep"), F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
