@@ -78,8 +78,8 @@ def test_lookup_join_equals_plain_join_without_broadcast(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        left = joins.lookup_join(rows, lookup, ["k"], ["x"]).select("k", "x", "name").collect()
-        inner = joins.lookup_join(rows, lookup, ["k"], ["x"], how="inner").count()
+        left = joins.lookup_join(rows, lookup, ["k"]).select("k", "x", "name").collect()
+        inner = joins.lookup_join(rows, lookup, ["k"], how="inner").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     expected = [(i % 3, i, {0: "a", 1: "b"}.get(i % 3)) for i in range(1000)]

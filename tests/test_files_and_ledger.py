@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarterlight.operators import ledger
+from quarterlight.operators import compare, ledger
 from quarterlight.plans import reports
 from quarterlight.sinks import tables as sinks
 from quarterlight.sources import dictionaries, documents, listing, schedules
@@ -77,7 +77,7 @@ def test_scan_and_fingerprint(spark, folder, tmp_path):
     assert hashlib.sha256(content).hexdigest() in {r.file_hash for r in found}
     big = b"x" * (1024 * 1024) + b"tail"
     df = spark.createDataFrame([(bytearray(big),)], "content binary")
-    assert df.select(listing.fingerprint(F.col("content"))).first()[0] == hashlib.sha256(big[: 1024 * 1024]).hexdigest()
+    assert df.select(listing.fingerprint(F.col("content"))).first()[0] == hashlib.sha256(big).hexdigest()
 
 
 def test_ledger_life_cycle(spark, folder, tmp_path):
@@ -129,6 +129,63 @@ def test_batch_isolates_failures(spark, folder, lookups, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
 
 
+def test_batch_keeps_earlier_runs_and_retries_single_files(spark, folder, lookups, tmp_path):
+    out, seen = str(tmp_path / "out"), []
+    state = ledger.upsert_files(ledger.empty_ledger(spark), listing.scan_directory(spark, folder), F.lit(STAMP))
+    state = reports.run_batch(spark, state, *lookups, out, quarter="2024-Q1")
+    first = spark.read.parquet(out).count()
+    bad = f"{folder}/{NAME.format('RC', '09302024')}"
+    with open(bad, "w") as f:
+        f.write("WRONG\tRCON2170\n1\t2\n")
+    state = spark.read.parquet(ledger.write_snapshot(state, str(tmp_path / "ledger"), 0))
+    state = ledger.upsert_files(state, listing.scan_directory(spark, folder), F.lit(STAMP))
+    state = reports.run_batch(spark, state, *lookups, out, record=lambda s: seen.append({r.processing_status for r in s.collect()}))
+    got = {r.filename: r.processing_status for r in state.collect()}
+    assert got.pop(NAME.format("RC", "09302024")) == "failed" and set(got.values()) == {"completed"}
+    assert "processing" in seen[0]
+    assert spark.read.parquet(out).count() == first + 2  # the first run's rows are still there
+    with open(bad, "w") as f:
+        f.write("IDRSSD\tRCON2170\n1\t2\n")
+    state = spark.read.parquet(ledger.write_snapshot(state, str(tmp_path / "ledger"), 1))
+    state = reports.run_batch(spark, state, *lookups, out)
+    assert {r.processing_status for r in state.collect()} == {"completed"}
+    assert spark.read.parquet(out).count() == first + 3
+
+
+def test_jobs_do_not_grow_with_files(spark, lookups, tmp_path):
+    def jobs(n):
+        folder = tmp_path / f"many{n}"
+        folder.mkdir()
+        for i in range(n):
+            (folder / NAME.format("RC", f"0331{1900 + i}")).write_text(f"IDRSSD\tRCON2170\n{i}\t10\n")
+        spark.sparkContext.setJobGroup(f"files{n}", "")
+        rows = reports.process_directory(spark, str(folder), *lookups).count()
+        spark.sparkContext.setJobGroup("", "")
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"files{n}"))
+
+    (few, few_jobs), (many, many_jobs) = jobs(3), jobs(200)
+    assert (few, many) == (3, 200) and many_jobs <= few_jobs + 2
+
+
+def test_same_name_in_two_folders(spark, lookups, tmp_path):
+    for part, ids in (("a", "1\t1\n2\t2\n"), ("b", "3\t3\n")):
+        (tmp_path / "in" / part).mkdir(parents=True)
+        (tmp_path / "in" / part / NAME.format("RC", "03312024")).write_text("IDRSSD\tRCON2170\n" + ids)
+    long = reports.process_directory(spark, str(tmp_path / "in"), *lookups)
+    assert sorted(r.row_count for r in compare.file_counts(long).collect()) == [1, 2]
+
+
+def test_repeated_dictionary_keys(spark):
+    documents_ = spark.createDataFrame([('{"A": "one", "A": "two"}', "f1"), ('{"A": "three"}', "f0"), ('{"B": "b"}', "f2")], "value string, path string")
+    assert sorted(r[:] for r in dictionaries.code_descriptions(documents_).collect()) == [("A", "two"), ("B", "b")]
+    assert sorted(r[:] for r in dictionaries.institution_names(documents_).collect()) == [("A", "two"), ("B", "b")]
+
+
+def test_folder_prefix(spark, folder):
+    state = spark.createDataFrame([("/bulk/1/x", 2024, 1), ("/bulk/10/x", 2024, 1)], "filepath string, year int, quarter int")
+    assert [r.filepath for r in ledger.in_directory(state, "/bulk/1").collect()] == ["/bulk/1/x"]
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "codes.json").write_text(json.dumps({"_sample_codes": {"RCON1": "one"}, "other": 1}))
     (tmp_path / "names.json").write_text(json.dumps({"1": "First", "2": "Sécond"}))

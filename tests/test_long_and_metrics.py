@@ -155,7 +155,7 @@ def test_comparison_keeps_last_value_and_first_description(spark):
         "peer_group string, set_size int, ordinal int, schedule_code string, line_item string, mdrm_code string,"
         " description string, amount string, code_seq int",
     )
-    got = {r.mdrm_code: (r.description, r.primary, r.peer_1, r.peer_2) for r in compare.comparison(rows, []).collect()}
+    got = {r.mdrm_code: (r.description, r.primary, r.peer_1, r.peer_2) for r in compare.comparison(rows, [], ["code_seq"]).collect()}
     assert got == {"A": ("first", "2", "9", None), "B": ("only peer", "—", "5", None)}
 
 
