@@ -18,8 +18,8 @@ def metric_code_list() -> list[str]:
 
 
 def first_reported(long: DataFrame, keys: list[str], order: str = "row_seq") -> DataFrame:
-    """The first row of every (institution, schedule, code), its amount parsed or null."""
-    order_col = F.col(order) if order in long.columns else F.lit(0)
+    """The first row, by ``order``, of every (institution, schedule, code), its amount parsed or null."""
+    order_col = F.col(order)
     return long.groupBy(*keys, "schedule_seq", "mdrm_code").agg(
         F.min_by("amount_num", order_col).alias("value")
     )
@@ -55,13 +55,12 @@ def base_metrics(long: DataFrame, keys: list[str] | None = None, order: str = "r
 
 
 def wide_base_metrics(
-    frames: list[tuple[DataFrame, str | dict[str, str]]], keys: list[str] | None = None, order: str | None = None
+    frames: list[tuple[DataFrame, str | dict[str, str]]], keys: list[str] | None = None, order: str = "row_seq"
 ) -> DataFrame:
     """The same base metrics straight from wide schedule rows: (frame, its schedule or code -> schedule).
 
     Only metric codes are read and cleaned, and one row per institution and file is shuffled instead of
-    one row per cell.  ``order`` is the column that orders repeated rows of an institution; without it
-    the largest of the repeated values counts, so that the result does not depend on the task order.
+    one row per cell.  ``order`` is the column that orders repeated rows of an institution.
     """
     keys = keys or []
     parts, slots = [], set()
@@ -73,18 +72,16 @@ def wide_base_metrics(
         numbers = F.transform(
             F.transform(F.transform(cells, text.strip), text.stripped_amount), text.strict_number
         )
-        order_by = [order] if order else []
-        rows = rows.select(text.strip(F.col(dims.ID_COLUMN)).alias("rssd_id"), *keys, *order_by, numbers.alias("_n"))
+        rows = rows.select(text.strip(F.col(dims.ID_COLUMN)).alias("rssd_id"), *keys, order, numbers.alias("_n"))
         named = {c: f"{of(c)}|{c}" for c in codes}
         slots |= set(named.values())
         parts.append(
-            rows.select("rssd_id", *keys, *order_by, *[F.get("_n", F.lit(i)).alias(named[c]) for i, c in enumerate(codes)])
+            rows.select("rssd_id", *keys, order, *[F.get("_n", F.lit(i)).alias(named[c]) for i, c in enumerate(codes)])
         )
 
     def reported(slot: str) -> Column:
         value = F.col(f"`{slot}`")
-        first = F.min_by(value, F.when(value.isNotNull(), F.col(order))) if order else F.max(value)
-        return first.alias(slot)
+        return F.min_by(value, F.when(value.isNotNull(), F.col(order))).alias(slot)
 
     grouped = normalize.union_schedules(parts).groupBy("rssd_id", *keys).agg(*[reported(s) for s in sorted(slots)])
 

@@ -243,9 +243,8 @@ def _(spark, sf):
     )
     table = spark.read.schema(schema).json(path).select("doc_id", F.explode("tables").alias("t"))
     return table.select(
-        "doc_id", "t.table_ix", "t.name", "t.metadata.rows", "t.metadata.columns",
-        F.array_join(F.get("t.data", F.lit(1)), "¦").alias("first_row"),
-    )
+        "doc_id", "t.table_ix", "t.name", "t.metadata.rows", "t.metadata.columns", F.posexplode("t.data").alias("row_ix", "row")
+    ).withColumn("row", F.array_join("row", "¦"))
 
 
 @query("K4_comparison_tables")
@@ -361,6 +360,13 @@ def _(spark, sf):
     return profiled.select("doc_id", "table_ix", "n_rows", "n_cells", "is_financial")
 
 
+@query("P15_mixed_tables")
+def _(spark, sf):
+    profiled = tables.table_profile(documents.table_grids(documents.html_tables(D.mixed_tables(spark, sf))))
+    heads = F.array_join(F.col("header_rows").cast("array<string>"), ",")
+    return profiled.select("doc_id", "table_ix", "n_rows", "is_financial", "has_numbers", heads.alias("header_rows"))
+
+
 @query("P16_section_headings")
 def _(spark, sf):
     blocks = documents.text_blocks(D.table(spark, sf, "pages"))
@@ -478,7 +484,7 @@ def _(spark, sf):
 
 @query("J5_metric_lookup")
 def _(spark, sf):
-    return rounded(metrics.lookup_metrics(D.long_table(spark, sf), QUARTER, order="code_seq"))
+    return rounded(metrics.lookup_metrics(D.repeated_long(spark, sf), QUARTER))
 
 
 @query("J6_institution_search")
@@ -547,17 +553,17 @@ def _(spark, sf):
 # -- A: aggregations -------------------------------------------------------------------------------------
 @query("A1_base_metrics")
 def _(spark, sf):
-    return rounded(metrics.base_metrics(D.long_table(spark, sf), QUARTER, order="code_seq"))
+    return rounded(metrics.base_metrics(D.repeated_long(spark, sf), QUARTER))
 
 
 @query("A1_base_metrics_from_wide")
 def _(spark, sf):
-    return rounded(metrics.wide_base_metrics([(D.wide_schedules(spark, sf), D.SCHEDULE_OF)], QUARTER))
+    return rounded(metrics.wide_base_metrics([(D.repeated_wide(spark, sf), D.SCHEDULE_OF)], QUARTER))
 
 
 @query("A2_total_deposits")
 def _(spark, sf):
-    return rounded(metrics.base_metrics(D.long_table(spark, sf), QUARTER, order="code_seq").select(*IDS, "total_deposits"))
+    return rounded(metrics.base_metrics(D.repeated_long(spark, sf), QUARTER).select(*IDS, "total_deposits"))
 
 
 def _ratios(formulas):
@@ -641,6 +647,13 @@ def _(spark, sf):
     return tables.table_summary(tables.table_profile(_grids(spark, sf)), ["doc_id", "table_ix"])
 
 
+@query("A16_section_totals")
+def _(spark, sf):
+    docs = D.html_documents(spark, sf)
+    summary = tables.table_summary(tables.table_profile(documents.table_grids(documents.html_tables(docs))), ["doc_id", "table_ix"])
+    return tables.section_totals(summary.join(tables.tables_with_sections(docs), ["doc_id", "table_ix"]), ["doc_id", "keyword"])
+
+
 @query("A17_rows_by_schedule")
 def _(spark, sf):
     return D.long_table(spark, sf).groupBy("schedule_code").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -700,7 +713,7 @@ def _(spark, sf):
 
 @query("W2_first_reported")
 def _(spark, sf):
-    return rounded(metrics.first_reported(D.long_table(spark, sf), IDS, order="code_seq"))
+    return rounded(metrics.first_reported(D.repeated_long(spark, sf), IDS))
 
 
 @query("W3_delimited_sections")
@@ -785,7 +798,8 @@ def _(spark, sf):
 
 @query("R3_comparison")
 def _(spark, sf):
-    return _comparison(spark, sf).drop("sort_key", "set_size", "amounts")
+    rows = compare.attach_peers(D.repeated_long(spark, sf), compare.peer_groups(D.peer_members(spark, sf)))
+    return compare.comparison(rows, QUARTER, ["row_seq"], MEMBER_COLUMNS).drop("sort_key", "set_size", "amounts")
 
 
 @query("R4_ratio_table")

@@ -166,10 +166,44 @@ def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: li
     )
 
 
+def repeated_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long table with every row twice; the later copy (``row_seq`` 1) has other amounts."""
+    rows = long_table(spark, sf_dir).withColumn("row_seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    later = F.col("row_seq") == 1
+    return rows.withColumns(
+        {"amount": F.when(later, F.concat(F.lit("9"), "amount")).otherwise(F.col("amount")),
+         "amount_num": F.when(later, F.col("amount_num") * 2 + 1).otherwise(F.col("amount_num"))}
+    )
+
+
+def repeated_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide schedules with every row twice; the later copy (``row_seq`` 1) has a 9 before every number."""
+    rows = wide_schedules(spark, sf_dir).withColumn("row_seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    later = lambda c: (F.col("row_seq") == 1) & F.col(c).rlike("[0-9]")
+    return rows.withColumns({c: F.when(later(c), F.concat(F.lit("9"), c)).otherwise(F.col(c)) for c in SCHEDULE_OF})
+
+
+def mixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, html: a document per part; by its key a financial table with two header rows, one without numbers, one of two rows, or a
+    nested one inside a plain one."""
+    number = F.col("p_size").cast("string")
+    rows = F.concat(F.lit("<tr><td>Total income cost net loan</td><td>1,"), F.lpad(number, 3, "0"), F.lit("</td></tr>"))
+    financial = F.concat(
+        F.lit("<table><tr><th>Assets</th><th>Year</th></tr><tr><th>Name</th><th>Unit</th></tr>"), F.repeat(rows, 4), F.lit("</table>")
+    )
+    words = F.lit("<table><tr><td>Name</td><td>Town</td></tr><tr><td>Bob</td><td>Rome</td></tr><tr><td>Eve</td><td>Oslo</td></tr></table>")
+    small = F.concat(F.lit("<table><tr><td>Total assets</td><td>"), number, F.lit("</td></tr><tr><td>Net income</td><td>7</td></tr></table>"))
+    nested = F.concat(F.lit("</table><table><tr><td>Outer</td><td>"), small, F.lit("</td></tr><tr><td>End</td></tr></table>"))
+    kind = F.col("p_partkey") % 4
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.when(kind == 0, financial).when(kind == 1, words).when(kind == 2, small).otherwise(nested).alias("html")
+    )
+
+
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarterlight.operators import metrics
 
-    base = metrics.wide_base_metrics([(wide_schedules(spark, sf_dir), SCHEDULE_OF)], QUARTER)
+    base = metrics.wide_base_metrics([(wide_schedules(spark, sf_dir).withColumn("row_seq", F.lit(0)), SCHEDULE_OF)], QUARTER)
     return metrics.with_ratios(base)
 
 

@@ -297,10 +297,10 @@ SQL["K2_csv_per_table"] = f"""WITH {HTML},
   q AS (SELECT doc_id, table_ix, row_ix, col_ix, CASE WHEN text LIKE '%,%' THEN '"' || text || '"' ELSE text END AS t FROM cells)
   SELECT doc_id, 'TABLE_section_1_statement_of_Condition__' || doc_id || '_' || (table_ix + 1) || '.csv' AS file,
     string_agg(t, ',' ORDER BY col_ix) AS line FROM q GROUP BY doc_id, table_ix, row_ix"""
-SQL["K3_nested_json"] = f"""WITH {HTML} SELECT w.doc_id, w.table_ix,
-  'TABLE_section_1_statement_of_Condition__' || w.doc_id || '_' || (w.table_ix + 1) AS name, w.n_rows AS rows, w.width AS columns,
-  (SELECT string_agg(text, '¦' ORDER BY col_ix) FROM cells c WHERE c.doc_id = w.doc_id AND c.table_ix = w.table_ix AND c.row_ix = 1) AS first_row
-  FROM widths w"""
+SQL["K3_nested_json"] = f"""WITH {HTML}, r AS (SELECT doc_id, table_ix, row_ix, string_agg(text, '¦' ORDER BY col_ix) AS row FROM cells GROUP BY 1, 2, 3)
+  SELECT w.doc_id, w.table_ix,
+  'TABLE_section_1_statement_of_Condition__' || w.doc_id || '_' || (w.table_ix + 1) AS name, w.n_rows AS rows, w.width AS columns, row_ix, row
+  FROM widths w JOIN r ON r.doc_id = w.doc_id AND r.table_ix = w.table_ix"""
 COMPARED = MEMBER_ROWS + """, compared AS (SELECT quarter_key, peer_group, schedule_code, line_item, mdrm_code,
   any_value(description) AS description, any_value(set_size) AS set_size, """ + ", ".join(
     f"CASE WHEN any_value(set_size) > {i} THEN coalesce(max(amount) FILTER (ordinal = {i}), '—') END AS {m}" for i, m in enumerate(ITEMS)
@@ -365,6 +365,9 @@ _entities = "p"
 _strip_tags = "regexp_replace(piece, '<[^>]*>', '', 'g')"
 for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
     _strip_tags = f"replace({_strip_tags}, '{entity}', {text(char)})"
+SQL["P15_mixed_tables"] = """WITH t(kind, table_ix, n_rows, is_financial, has_numbers, header_rows) AS (VALUES
+    (0, 0, 6, true, true, '0,1'), (1, 0, 3, false, false, '0,1,2'), (2, 0, 2, false, true, ''), (3, 0, 2, false, false, ''), (3, 1, 2, false, true, ''))
+  SELECT p_partkey AS doc_id, table_ix, n_rows, is_financial, has_numbers, header_rows FROM part JOIN t ON p_partkey % 4 = kind"""
 SQL["P16_section_headings"] = f"""WITH a AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'),
     '(?is)<style\\b.*?</style\\s*>', '', 'g') AS h FROM pages),
@@ -532,6 +535,8 @@ SQL["A15_fact_groups"] = f"""WITH {FACTS} SELECT doc_id, 'CallReport_' || catego
   count(*) OVER (PARTITION BY doc_id, category) AS n_facts FROM tagged QUALIFY count(*) OVER (PARTITION BY doc_id, category) > 3"""
 SQL["A16_table_summary"] = f"""WITH {HTML} SELECT doc_id, table_ix, n_rows, width AS n_cols, true AS has_numbers,
   'Year 2023 vs 2024 | Amount | Share' AS preview, n_rows AS codes FROM widths"""
+SQL["A16_section_totals"] = f"""WITH {HTML} SELECT doc_id, CASE table_ix % 4 WHEN 0 THEN 'consolidated balance sheets' WHEN 3 THEN 'deposits'
+  ELSE 'segment information' END AS keyword, count(*) AS tables, CAST(sum(n_rows) AS BIGINT) AS total_rows, max(width) AS max_cols FROM widths GROUP BY 1, 2"""
 SQL["A17_rows_by_schedule"] = f"WITH {LONG} SELECT schedule_code, count(*) AS n_rows FROM long GROUP BY 1"
 SQL["A18_cleaning_statistics"] = f"""WITH {RAW}, s AS (SELECT code, CASE WHEN cell IS NULL OR trim(cell) IN ('', '.', 'NA', 'N/A') THEN 'skipped'
     WHEN upper(trim(cell)) IN ('ND', 'NR', 'CONF') THEN 'withheld' WHEN cell = 'abc' OR cell LIKE '(-%' THEN 'invalid' ELSE 'ok' END AS st FROM raw)
@@ -613,7 +618,9 @@ SQL["U3_expected_minus_found"] = f"""WITH {FOUND} SELECT year, quarter, expected
 SECTIONS = f"""WITH {MEMBERS}, m AS ({_matrix(_section_rows)}),
   s AS (SELECT quarter_key, peer_group, section_ix, section, row_ix, label, any_value(set_size) AS set_size, {_shown}, {PEER_AVG} FROM m GROUP BY 1, 2, 3, 4, 5, 6)"""
 SQL["R2_metric_sections"] = f"{SECTIONS} SELECT * FROM s"
-SQL["R3_comparison"] = f"WITH {COMPARED} SELECT * EXCLUDE (set_size) FROM compared"
+SQL["R3_comparison"] = f"WITH {COMPARED} SELECT quarter_key, peer_group, schedule_code, line_item, mdrm_code, description, " + ", ".join(
+    f"CASE WHEN \"{m}\" = '—' THEN '—' ELSE '9' || \"{m}\" END AS {m}" for m in ITEMS
+) + " FROM compared"
 SQL["R4_ratio_table"] = f"""WITH {MEMBERS}, m AS ({_matrix(_ratio_rows)})
   SELECT quarter_key, peer_group, row_ix, label, metric, {_shown}, {PEER_AVG} FROM m GROUP BY 1, 2, 3, 4, 5"""
 SQL["R5_dashboard"] = f"""WITH {RATIOS}, {PEERS}, t AS (SELECT metrics.*, peer_group, max(total_assets) OVER (PARTITION BY quarter_key, peer_group) AS largest

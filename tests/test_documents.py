@@ -1,6 +1,7 @@
 """Documents: nested tables, ragged rows, facts, sections; running values against brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,34 @@ def test_text_row_last_resort(spark):
     df = spark.createDataFrame([("12 Odd line RCON1 no amount",), ("Plain heading",), ("12",), ("RCFD77 5",)], "row_text string")
     got = sorted((r.line_item, r.description, r.code, r.amount, r.is_section_header) for r in report_rows.parse_text_rows(df, none).collect())
     assert got == [("", "Item RCFD77", "RCFD77", "77", False), ("", "Plain heading", "", "", True), ("12", "Odd line", "RCON1", "12", False)]
+
+
+def test_sections_with_markup_and_stop_headings(spark):
+    table = "<table><tr><td>1</td></tr></table>"
+    html = (
+        f"{table}<p><b>Consolidated Balance Sheets</b></p>{table}<p>text</p>{table}<h2>Signatures</h2>{table}"
+        f"<div>Consolidated <i>Statements</i> of Income</div>{table}<h3>Item 9. Exhibits</h3>{table}<p>Item 5 is text</p>{table}"
+    )
+    docs = spark.createDataFrame([(1, html), (2, "no table")], "doc_id int, html string")
+    got = {r.table_ix: r.keyword for r in tables.tables_with_sections(docs).collect()}
+    assert got[0] is None and got[3] is None and got[5] is None and got[6] is None
+    assert "balance sheet" in got[1] and got[2] == got[1] and "income" in got[4]
+
+
+def test_tables_grow_in_proportion(spark):
+    def seconds(n):
+        one = "<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>"
+        docs = spark.createDataFrame([(1, one * (n // 2))], "doc_id int, html string")
+        start = time.perf_counter()
+        assert documents.html_tables(docs).count() == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 5
+
+
+def test_nested_and_unbalanced_tables(spark):
+    html = "</table>x<table>A<table>B</table>C</table>y</table><table>D"
+    docs = spark.createDataFrame([(1, html)], "doc_id int, html string")
+    got = sorted((r.table_ix, r.table_html.replace("<table>", "").replace("</table>", "")) for r in documents.html_tables(docs).collect())
+    assert got == [(0, "AC"), (1, "B"), (2, "D")]
