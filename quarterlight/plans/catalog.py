@@ -191,6 +191,13 @@ def _(spark, sf):
     return documents.facts(D.fact_documents(spark, sf))
 
 
+@query("document_tables")
+def _(spark, sf):
+    # Each kind reads the documents for itself: they are stored once.
+    found = reports.document_tables(stored(D.filed_documents(spark, sf), "documents"))
+    return found.withColumn("cells", F.array_join("cells", "¦"))
+
+
 @query("S14_report_period")
 def _(spark, sf):
     return D.fact_documents(spark, sf).select("doc_id", documents.report_period(F.col("content")).alias("period_end"))
@@ -206,7 +213,9 @@ def _(spark, sf):
     key = F.col("o_orderkey")
     extension = F.get(F.array(*[F.lit(e) for e in (".pdf", ".SDF", ".txt", ".xml", ".htm")]), (key % 5).cast("int"))
     path = F.concat(F.lit("filing"), key.cast("string"), extension)
-    routed = D.table(spark, sf, "orders").select(documents.document_kind(path).alias("kind"), "o_custkey")
+    # Some say what they are only deep inside.
+    content = F.when(key % 7 == 0, F.concat(F.repeat(F.lit(" "), 2000), F.lit("<xbrl>"))).otherwise("plain")
+    routed = D.table(spark, sf, "orders").select(documents.document_kind(path, content).alias("kind"), "o_custkey")
     return routed.groupBy("o_custkey", "kind").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -911,11 +920,15 @@ def _(spark, sf):
 
 @query("stream_new_files")
 def _(spark, sf):
-    path = f"{schedule_folder(spark, sf)}/FFIEC CDR Call Schedule RCN"
-    header = [dims.ID_COLUMN, *[c for c, s in D.SCHEDULE_OF.items() if s == "RCN"], "TEXT1234"]
-    output, checkpoint = new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint")
-    run = new_files.process_new_files(
-        spark, path, header, "RCN", D.institutions(spark, sf), D.descriptions(spark, sf), output, checkpoint
-    )
-    run.awaitTermination()
-    return _with_file_quarter(spark.read.parquet(output)).select(*IDS, "mdrm_code", "line_item", "amount")
+    root, output, checkpoint = schedule_folder(spark, sf), new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint")
+    runs = []
+    for schedule in sorted(set(D.SCHEDULE_OF.values())):  # a header, and so a stream, for each schedule
+        header = [dims.ID_COLUMN, *[c for c, s in D.SCHEDULE_OF.items() if s == schedule], "TEXT1234"]
+        runs.append(new_files.process_new_files(
+            spark, f"{root}/FFIEC CDR Call Schedule {schedule}", header, schedule, D.institutions(spark, sf), D.descriptions(spark, sf),
+            f"{output}/{schedule}", f"{checkpoint}/{schedule}",
+        ))
+    for run in runs:
+        run.awaitTermination()
+    rows = normalize.union_schedules([spark.read.parquet(f"{output}/{s}") for s in sorted(set(D.SCHEDULE_OF.values()))])
+    return _with_file_quarter(rows).select(*IDS, "schedule_code", "mdrm_code", "line_item", "amount")

@@ -418,6 +418,23 @@ def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.concat(body, F.lit("\n")).alias("content"))
 
 
+def filed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, company, path, content: pages, tagged and delimited documents side by side."""
+    parts = [
+        (html_documents(spark, sf_dir).withColumnRenamed("html", "content"), 0, ".htm"),
+        (fact_documents(spark, sf_dir), 1, ".xml"),
+        (delimited_documents(spark, sf_dir), 2, ".SDF"),
+    ]
+    rows = [
+        df.select(
+            (F.col("doc_id") * 3 + i).alias("doc_id"), F.concat(F.lit("Company "), F.col("doc_id").cast("string")).alias("company"),
+            F.concat(F.lit("filing"), F.col("doc_id").cast("string"), F.lit(end)).alias("path"), "content",
+        )
+        for df, i, end in parts
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def text_line() -> Column:
     """A printed balance-sheet line built from an order (k, amt)."""
     k, ks = F.col("k"), F.col("k").cast("string")

@@ -278,6 +278,21 @@ tagged AS (SELECT doc_id, fact_ix, CASE WHEN plain THEN 'NumericValue' ELSE tag
 SQL["S13_tagged_facts"] = f"WITH {FACTS} SELECT * FROM tagged"
 SQL["S14_report_period"] = """SELECT o_orderkey // 64 AS doc_id, CASE WHEN o_orderkey // 64 % 5 <> 0
   THEN strftime(min_by(o_orderdate, o_orderkey), '%Y-%m-%d') END AS period_end FROM orders GROUP BY o_orderkey // 64"""
+SQL["document_tables"] = f"""WITH {HTML}, {FACTS}, {DELIMITED},
+  h AS (SELECT doc_id, table_ix, row_ix, string_agg(text, '¦' ORDER BY col_ix) AS line FROM cells GROUP BY 1, 2, 3),
+  t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, category) AS n FROM tagged),
+  p AS ({SQL["S14_report_period"]}),
+  s AS (SELECT *, sum(CAST(blank OR heads AS INTEGER)) OVER w AS section_no,
+    last_value(CASE WHEN heads THEN 'Schedule RC-' || k END IGNORE NULLS) OVER w AS title FROM lines
+    WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section_no) AS n FROM s WHERE NOT blank)
+  SELECT doc_id * 3 AS doc_id, 'Company ' || doc_id AS company, 'html' AS kind, NULL AS period_end, 'TABLE_' || CASE table_ix % 4 WHEN 0 THEN 'consolidated_balance_sheets'
+    WHEN 3 THEN 'deposits' ELSE 'segment_information' END || '_' || (table_ix + 1) AS table_name, row_ix, line AS cells FROM h
+  UNION ALL SELECT doc_id * 3 + 1, 'Company ' || doc_id, 'xbrl', period_end, 'CallReport_' || category, fact_ix,
+    category || '¦' || value || '¦' || context || '¦' || unit FROM t JOIN p USING (doc_id) WHERE n > 3
+  UNION ALL SELECT doc_id * 3 + 2, 'Company ' || doc_id, 'delimited', NULL,
+    'SDF_' || replace(regexp_replace(coalesce(title, 'Call_Report_Data'), '[^\\w\\s]', '', 'g'), ' ', '_')[1:40] || '_' || CAST(section_no AS BIGINT), line_no,
+    CASE WHEN heads THEN 'Schedule RC-' || k || '¦x' ELSE 'item, ' || k || '¦' || amt || '¦' END FROM c WHERE n >= 2"""
 TEXT_ROWS = """lines AS (
   SELECT o_orderkey AS k, o_orderkey // 400 AS doc_id, o_orderkey // 40 % 10 AS page_num, o_orderkey % 40 AS row_ix,
     CAST(o_orderkey % 30 + 1 AS VARCHAR) AS n, lpad(CAST(o_orderkey % 2000 AS VARCHAR), 4, '0') AS c,
@@ -288,8 +303,8 @@ printed AS (SELECT *, CASE kind WHEN 0 THEN n || '. Loans and leases RCFD' || c
   WHEN 5 THEN 'Schedule RC Dollar amounts in thousands ' || k WHEN 6 THEN n || '. Subtotal (net) RCON' || c || ' ' || amt || ' ' || n || '.'
   ELSE n || ' . RCON' || c || ' ' || amt END AS row_text FROM lines)"""
 SQL["S15_word_rows"] = f"WITH {TEXT_ROWS} SELECT doc_id, page_num, CAST(row_ix * 12 AS DOUBLE) AS row_top, row_text FROM printed"
-SQL["S16_document_routing"] = """SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'pdf' WHEN 3 THEN 'xbrl' WHEN 4 THEN 'html'
-  ELSE 'delimited' END AS kind, count(*) AS documents FROM orders GROUP BY 1, 2"""
+SQL["S16_document_routing"] = """SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 3 THEN 'xbrl' WHEN o_orderkey % 5 = 0 THEN 'pdf'
+  WHEN o_orderkey % 5 = 4 THEN 'html' ELSE 'delimited' END AS kind, count(*) AS documents FROM orders GROUP BY 1, 2"""
 
 # -- K -------------------------------------------------------------------------------------------------
 SQL["K1_long_by_schedule"] = f"WITH {LONG} SELECT rssd_id, quarter_key, schedule_code, mdrm_code, amount, amount_num AS amount_value FROM long"
@@ -675,4 +690,4 @@ SQL["I8_batch_run"] = f"""WITH {LONG}, f AS (SELECT DISTINCT schedule AS schedul
   SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, f.schedule_code, 'completed' AS processing_status,
     count(*) AS row_count, count(DISTINCT rssd_id) AS institution_count
   FROM f JOIN long ON long.schedule_code = f.schedule_code AND long.quarter_key = y || '-Q' || q GROUP BY 1, 2, 3"""
-SQL["stream_new_files"] = f"WITH {LONG} SELECT rssd_id, quarter_key, mdrm_code, line_item, amount FROM long WHERE schedule_code = 'RCN'"
+SQL["stream_new_files"] = f"WITH {LONG} SELECT rssd_id, quarter_key, schedule_code, mdrm_code, line_item, amount FROM long"

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names
-from quarterlight.operators import compare, ledger, metrics, normalize, quality
+from quarterlight.operators import compare, ledger, metrics, normalize, quality, tables
 from quarterlight.session import stored
-from quarterlight.sources import schedules
+from quarterlight.sources import documents, schedules
 
 
 def process_file(
@@ -133,6 +133,29 @@ def run_batch(
 _OUTCOME = "filepath string, status string, error string"
 
 
+def document_tables(docs: DataFrame, min_rows: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows of all tables of filing documents (keys, company, path, content): routed by kind, extracted, named.
+
+    Pages give their financial tables of ``min_rows`` rows or more, named by section; tagged documents give one table per
+    fact group with item, value, context and unit; delimited documents give one table per section.  Every row
+    carries the document's company, kind and period.
+    """
+    ids = list(keys)
+    routed = docs.withColumn("kind", documents.document_kind(F.col("path"), F.col("content")))
+    of = lambda kind: routed.filter(F.col("kind") == kind)
+    profiled = tables.table_profile(documents.table_grids(documents.html_tables(of("html"), "content", keys)))
+    sections = tables.tables_with_sections(of("html"), "content", keys).select(*ids, "table_ix", "keyword")
+    found = tables.financial_tables(profiled, min_rows).join(sections, [*ids, "table_ix"], "left")
+    name = names.table_name(F.lit("TABLE"), F.coalesce("keyword", F.lit("Unnamed")), F.col("table_ix"))
+    pages = found.select(*ids, name.alias("table_name"), F.posexplode("cells").alias("row_ix", "cells"))
+    facts = tables.fact_groups(documents.facts(of("xbrl"), "content", keys), ids)
+    tagged = facts.select(*ids, "table_name", F.col("fact_ix").alias("row_ix"), F.array("category", "value", "context", "unit").alias("cells"))
+    lines = tables.delimited_sections(documents.delimited_lines(of("delimited"), "content", keys), ids)
+    listed = lines.select(*ids, "table_name", F.col("line_no").alias("row_ix"), "cells")
+    about = routed.select(*ids, "company", "kind", F.when(F.col("kind") == "xbrl", documents.report_period(F.col("content"))).alias("period_end"))
+    return pages.unionByName(tagged).unionByName(listed).join(about, ids)
+
+
 def dashboard(
     long: DataFrame, peers: DataFrame, keys: list[str], order: str = "row_seq", table: DataFrame | None = None
 ) -> dict[str, DataFrame]:
