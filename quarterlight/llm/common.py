@@ -24,6 +24,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that none of the table's columns has."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import whole_text
+from quarterlight.llm.common import fresh, whole_text
 from quarterlight.operators.joins import computed_once
 
 SCOPE = 400
@@ -140,11 +140,11 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Spans are brought back to the documents by ``doc_id``, which must be unique here; documents without parts don't change.
     """
-    spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy("doc_id")
-    spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    whole = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
-    joined = whole.join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    text = F.col("_in.text")
+    id_, spans_ = fresh(docs, "_id", "_spans")
+    spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy(F.col("doc_id").alias(id_))
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(spans_))
+    joined = docs.join(spans, F.col("doc_id") == F.col(id_), "left")
+    text = F.col("text")
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -153,5 +153,5 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), fresh.alias("out"))
 
     end = lambda s: F.concat(s["out"], piece(s["at"], F.length(text).cast("long")))
-    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", begin, step, end))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"_in.`{c}`") for c in docs.columns])
+    clean = F.when(F.col(spans_).isNull(), text).otherwise(F.aggregate(spans_, begin, step, end))
+    return joined.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])

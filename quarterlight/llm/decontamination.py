@@ -12,7 +12,6 @@ item_id; other columns of the documents come through ``remove`` unchanged, whate
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import whole_text
+from quarterlight.llm.common import fresh, whole_text
 from quarterlight.operators.joins import computed_once
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -83,53 +83,56 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_ke
     No shuffle: all is worked out inside the row.  Windows are compared by 64-bit hashes; only documents with
     a repeated hash sort theirs, with their places, to find the words covered.
     """
-    # The input goes into one column, so that no name of it can clash with the working columns.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), whole_text().alias("_text"))
-    text = F.col("_text")
-    rows = computed_once(rows, "_lines", F.transform(F.split(text, "\n"), line_facts))
-    rows = computed_once(rows, "_words", F.transform(words_of(text), lambda w: F.xxhash64(w)))
-    n_words, half = F.size("_words"), WINDOW // 2
+    text_, lines_, words_, halves_, hashes_, sorted_, repeat_, failing_, found_ = fresh(
+        docs, "_text", "_lines", "_words", "_halves", "_hashes", "_sorted", "_repeat", "_failing", "_found"
+    )
+    text = F.col(text_)
+    rows = docs.select("*", whole_text().alias(text_))
+    rows = computed_once(rows, lines_, F.transform(F.split(text, "\n"), line_facts))
+    rows = computed_once(rows, words_, F.transform(words_of(text), lambda w: F.xxhash64(w)))
+    n_words, half = F.size(words_), WINDOW // 2
     nothing = F.array().cast("array<bigint>")
-    halves = F.transform(F.sequence(F.lit(0), n_words - half), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(half)]))
-    rows = computed_once(rows, "_halves", F.when(n_words < WINDOW, nothing).otherwise(halves))
+    halves = F.transform(F.sequence(F.lit(0), n_words - half), lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(half)]))
+    rows = computed_once(rows, halves_, F.when(n_words < WINDOW, nothing).otherwise(halves))
     # Few texts repeat half a window; only those can repeat a whole one.
-    windows = F.transform(F.sequence(F.lit(0), n_words - WINDOW), lambda i: F.xxhash64(F.get("_halves", i), F.get("_halves", i + half)))
-    suspect = F.size(F.array_distinct("_halves")) < F.size("_halves")
-    rows = computed_once(rows, "_hashes", F.when(suspect, windows).otherwise(nothing))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    placed = F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    rows = computed_once(rows, "_sorted", F.when(repeats, F.sort_array(placed)))
+    windows = F.transform(F.sequence(F.lit(0), n_words - WINDOW), lambda i: F.xxhash64(F.get(halves_, i), F.get(halves_, i + half)))
+    suspect = F.size(F.array_distinct(halves_)) < F.size(halves_)
+    rows = computed_once(rows, hashes_, F.when(suspect, windows).otherwise(nothing))
+    repeats = F.size(F.array_distinct(hashes_)) < F.size(hashes_)
+    placed = F.transform(hashes_, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = computed_once(rows, sorted_, F.when(repeats, F.sort_array(placed)))
 
     def twin(x, k):
-        return ((k > 0) & (F.get("_sorted", k - 1)["h"] == x["h"])) | F.coalesce(F.get("_sorted", k + 1)["h"] == x["h"], F.lit(False))
+        return ((k > 0) & (F.get(sorted_, k - 1)["h"] == x["h"])) | F.coalesce(F.get(sorted_, k + 1)["h"] == x["h"], F.lit(False))
 
-    twins = F.sort_array(F.transform(F.filter("_sorted", twin), lambda x: x["i"]))
+    twins = F.sort_array(F.transform(F.filter(sorted_, twin), lambda x: x["i"]))
     covered = F.aggregate(
         twins,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")),
         lambda s: s["n"],
     )
-    rows = computed_once(rows, "_repeat", F.coalesce(F.when(repeats, covered), F.lit(0).cast("long")))
-    rows = computed_once(rows, "_failing", F.transform("_lines", line_fails))
-    with_word = F.transform(F.filter("_lines", lambda f: f["ink"] > 0), lambda f: f["line"])
+    rows = computed_once(rows, repeat_, F.coalesce(F.when(repeats, covered), F.lit(0).cast("long")))
+    rows = computed_once(rows, failing_, F.transform(lines_, line_fails))
+    with_word = F.transform(F.filter(lines_, lambda f: f["ink"] > 0), lambda f: f["line"])
     lost = F.aggregate(
-        F.zip_with("_lines", "_failing", lambda f, bad: F.when(bad, f["ink"]).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n
+        F.zip_with(lines_, failing_, lambda f, bad: F.when(bad, f["ink"]).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n
     )
-    passing = F.filter("_lines", lambda f, i: ~F.get("_failing", i))
+    passing = F.filter(lines_, lambda f, i: ~F.get(failing_, i))
     clean = F.array_join(F.transform(passing, lambda f: f["line"]), "\n")
     found = F.struct(
         n_words.cast("long").alias("n_words"),
-        F.aggregate("_lines", F.lit(0).cast("long"), lambda s, f: s + f["ink"]).alias("word_chars"),
-        F.aggregate("_lines", F.lit(0).cast("long"), lambda s, f: s + f["symbols"]).alias("n_symbols"),
+        F.aggregate(lines_, F.lit(0).cast("long"), lambda s, f: s + f["ink"]).alias("word_chars"),
+        F.aggregate(lines_, F.lit(0).cast("long"), lambda s, f: s + f["symbols"]).alias("n_symbols"),
         (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
-        F.col("_repeat").alias("n_repeat_words"),
-        ((n_words < min_words) | (F.col("_repeat") * 100 > n_words * max_repeat_pct)).alias("base_failed"),
+        F.col(repeat_).alias("n_repeat_words"),
+        ((n_words < min_words) | (F.col(repeat_) * 100 > n_words * max_repeat_pct)).alias("base_failed"),
         lost.alias("lost_chars"),
         clean.alias("clean_text"),
     )
-    rows = computed_once(rows, "_found", found)
+    rows = computed_once(rows, found_, found)
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "clean_text")
-    kept = ~F.col("_found.base_failed") & (F.col("_found.lost_chars") * 100 <= F.col("_found.word_chars") * (100 - min_kept_pct))
+    of = lambda c: F.col(f"{found_}.{c}")
+    kept = ~of("base_failed") & (of("lost_chars") * 100 <= of("word_chars") * (100 - min_kept_pct))
     stay = [c for c in docs.columns if c.lower() not in (*new, "kept")]
-    return rows.select(*[F.col(f"_in.`{c}`") for c in stay], *[F.col(f"_found.{c}") for c in new], kept.alias("kept"))
+    return rows.select(*[F.col(f"`{c}`") for c in stay], *[of(c).alias(c) for c in new], kept.alias("kept"))

@@ -278,4 +278,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bl
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents of which each is the first of its group; all columns come through."""
     kept = near_duplicates(docs, width, similarity).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from quarterlight.llm import credentials, decontamination, line_rules
 
 SQL: dict[str, str] = {}
@@ -73,7 +71,7 @@ def op1() -> str:
     strong = ", ".join(f"'{k}'" for k in credentials.STRONG)
     scope, digits = credentials.SCOPE, "regexp_replace(hit, '[^0-9]', '', 'g')"
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in credentials.STRONG)
-    text = f"kind || ':' || start || ':' || stop"
+    text = "kind || ':' || start || ':' || stop"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS ({' UNION ALL '.join(parts)}),

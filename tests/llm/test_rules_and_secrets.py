@@ -47,16 +47,17 @@ def test_base_counts(documents, awkward):
 
 
 def test_line_rules_clean_and_reject(documents):
-    good = "This is a clean sentence with enough words to stand on its own, nothing is wrong with it at all.\n" * 1
+    good = "This is a clean sentence with enough words to stand on its own, nothing is wrong with it at all.\n"
+    other = "Some other words follow here, they make a second line that no rule of the list objects to either.\n"
     texts = [
-        good + good.replace("clean", "second") + "home | about | contact | login\nAll rights reserved.",
+        good + other + "home | about | contact | login\nAll rights reserved.",
         good + "*** $$$ ### " * 40,
         good + "STOP!! THIS!! NOW!! " * 40,
         " ".join("one | two | three | four".split() * 20),
     ]
     judged = line_rules.judge(documents(texts)).orderBy("doc_id").collect()
     assert [r["kept"] for r in judged] == [True, False, False, False]
-    assert judged[0]["clean_text"] == good + good.replace("clean", "second").rstrip("\n")
+    assert judged[0]["clean_text"] == good + other.rstrip("\n")
 
 
 def test_empty_tables(documents):
