@@ -85,7 +85,7 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """One row per reported part: ``row`` (a key of the input row), doc_id, kind, ord, start, stop, base.
+    """One row per reported part: ``row`` (a key of the input row), doc_id, text_hash, kind, ord, start, stop, base.
 
     An input row without parts gives one row of nulls, so that a report can list it.  Only ``doc_id`` and ``text``
     are read.
@@ -93,13 +93,15 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("_text")).withColumn("row", F.monotonically_increasing_id())
     for kind in PATTERNS:
         rows = computed_once(rows, f"_{kind}", parts_of(F.col("_text"), kind))
+    rows = rows.withColumn("text_hash", F.xxhash64("_text"))
     rows = computed_once(rows.drop("_text"), "_strong", F.concat(*[F.col(f"_{k}") for k in STRONG]))
 
     def apart(w):
         return ~F.exists("_strong", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
 
     weak = [F.filter(f"_{k}", apart) for k in PATTERNS if k not in STRONG]
-    parts = rows.select("row", "doc_id", F.explode_outer(F.concat("_strong", *weak)).alias("p")).select("row", "doc_id", "p.*")
+    parts = rows.select("row", "doc_id", "text_hash", F.explode_outer(F.concat("_strong", *weak)).alias("p"))
+    parts = parts.select("row", "doc_id", "text_hash", "p.*")
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
     near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope, scope)
     met = {r: F.coalesce(F.max(F.col("_role") == r).over(near), F.lit(False)) for r in ("id", "secret")}
@@ -108,7 +110,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     # A document whose weak parts all fall away keeps one row of nulls.
     shown = base | F.col("_linked")
     return linked.select(
-        "row", "doc_id", *[F.when(shown, F.col(c)).alias(c) for c in ("kind", "ord", "start", "stop")], F.when(shown, base).alias("base")
+        "row", "doc_id", "text_hash", *[F.when(shown, F.col(c)).alias(c) for c in ("kind", "ord", "start", "stop")], F.when(shown, base).alias("base")
     )
 
 
@@ -138,12 +140,14 @@ def report(parts: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every reported part replaced by ``mark``; other columns stay, a null text too.
 
-    Spans are brought back to the documents by ``doc_id``, which must be unique here; documents without parts don't change.
+    Spans are brought back to the documents by id and text, so that null and repeated ids do no harm; documents
+    without parts don't change.
     """
-    id_, spans_ = fresh(docs, "_id", "_spans")
-    spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy(F.col("doc_id").alias(id_))
+    id_, hash_, spans_ = fresh(docs, "_id", "_hash", "_spans")
+    spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(spans_))
-    joined = docs.join(spans, F.col("doc_id") == F.col(id_), "left")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_))
+    joined = docs.join(spans, same, "left")
     text = F.col("text")
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

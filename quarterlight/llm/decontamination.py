@@ -13,7 +13,7 @@ item_id; other columns of the documents come through ``remove`` unchanged, whate
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,18 +135,18 @@ class Automaton:
         return runs, items
 
 
-def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size; one item is never split.  Benchmarks are small, stated query sets."""
-    out: list[list[tuple[str, str]]] = [[]]
+def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of bounded size, one at a time; one item is never split.  There is always a first block."""
+    block: list[tuple[str, str]] = []
     size = 0
-    for item, text in items.select(F.col("item_id").cast("string"), whole_text()).toLocalIterator():
+    for item, text in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), whole_text()).toLocalIterator():
         n = len(words_of(text))
-        if out[-1] and size + n > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+        if block and size + n > block_words:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += n
-    return out
+    yield block
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

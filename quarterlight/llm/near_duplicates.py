@@ -15,7 +15,8 @@ shares none with probability below ``UNBANDED``.  Intermediate tables are writte
 counts come to the driver.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text shorter than
-a shingle is one shingle.  Ids are taken to be unique and not null; other columns, whatever their names, are not touched.
+a shingle is one shingle.  Rows that repeat an id are one document and stay or go together; a row without id is never
+the one that stays.  Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bl
     reps = classes.select("digest", "rep").join(groups, "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

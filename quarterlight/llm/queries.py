@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlight.llm import bpe, credentials, cross_entropy, decontamination, line_field, line_rules, main_text, near_duplicates, personal_data, toxicity
 from quarterlight.llm.common import read
 
-try:
-    import public_tokenizers
-
-    WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-except ModuleNotFoundError:  # only the default path of the vocabulary is unknown then
-    WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+#: The default vocabulary of op8 and of the pipeline; operators take its path as a parameter.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

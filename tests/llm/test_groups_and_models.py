@@ -210,3 +210,20 @@ def test_pipeline_stages_on_odd_rows(spark, documents, awkward):
         out = function(spark, docs.withColumn("n_chars", docs.doc_id), SF)
         assert "lang" in out.columns and out.count() <= len(awkward)
         assert function(spark, docs.withColumn("n_chars", docs.doc_id).filter("doc_id < 0"), SF).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    secret = "a password=hunter2hunter2 in a text that goes on for a while, with more than twenty words of no meaning at all, one after the other."
+    rows = [(None, secret), (None, "x " + secret), (1, secret), (1, "other words"), (2, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted(r["text"] or "" for r in credentials.masked(docs).collect())
+    assert texts == sorted((t or "").replace("password=hunter2hunter2", "[secret]") for _, t in rows)
+    assert credentials.report(credentials.scan(docs)).count() == line_rules.judge(docs).count() == bpe.digests(docs, WORD_BPE).count() == 6
+    groups = near_duplicates.near_duplicates(docs).collect()
+    assert len(groups) == 6 and not any(r["kept"] for r in groups if r["doc_id"] is None)
+    assert near_duplicates.deduplicated(docs).filter("doc_id = 2").count() == 1
+    field = line_field.learn(docs, docs.selectExpr("doc_id", "1 as label"))
+    assert line_field.score(docs, field).count() == 6
+    items = spark.createDataFrame([(None, "text that goes on for a while with more than twenty words")], "item_id long, text string")
+    assert decontamination.report(decontamination.find(docs, items)).filter("contaminated").count() == 3
+    assert decontamination.remove(docs, items).count() == 6
