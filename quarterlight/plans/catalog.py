@@ -239,7 +239,9 @@ def _named_tables(spark, sf):
 def _(spark, sf):
     path = new_folder(spark, "csv")
     sinks.write_table_csv(_named_tables(spark, sf), path, ["doc_id"])
-    return spark.read.text(f"{path}/tables").select(F.col("doc_id").cast("bigint").alias("doc_id"), "file", F.col("value").alias("line"))
+    written = spark.read.parquet(f"{path}/tables")
+    total = spark.read.json(f"{path}/_metadata_json").first().table_count
+    return written.select("doc_id", "file", F.explode(F.split("value", "\n")).alias("line"), F.lit(total).alias("table_count"))
 
 
 @query("K3_nested_json")

@@ -311,7 +311,7 @@ SQL["K1_long_by_schedule"] = f"WITH {LONG} SELECT rssd_id, quarter_key, schedule
 SQL["K2_csv_per_table"] = f"""WITH {HTML},
   q AS (SELECT doc_id, table_ix, row_ix, col_ix, CASE WHEN text LIKE '%,%' THEN '"' || text || '"' ELSE text END AS t FROM cells)
   SELECT doc_id, 'TABLE_section_1_statement_of_Condition__' || doc_id || '_' || (table_ix + 1) || '.csv' AS file,
-    string_agg(t, ',' ORDER BY col_ix) AS line FROM q GROUP BY doc_id, table_ix, row_ix"""
+    string_agg(t, ',' ORDER BY col_ix) AS line, (SELECT count(*) FROM widths) AS table_count FROM q GROUP BY doc_id, table_ix, row_ix"""
 SQL["K3_nested_json"] = f"""WITH {HTML}, r AS (SELECT doc_id, table_ix, row_ix, string_agg(text, '¦' ORDER BY col_ix) AS row FROM cells GROUP BY 1, 2, 3)
   SELECT w.doc_id, w.table_ix,
   'TABLE_section_1_statement_of_Condition__' || w.doc_id || '_' || (w.table_ix + 1) AS name, w.n_rows AS rows, w.width AS columns, row_ix, row

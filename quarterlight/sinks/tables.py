@@ -33,19 +33,27 @@ def write_comparison(compared: DataFrame, path: str, members: list[str]) -> None
     ordered.write.mode("errorifexists").partitionBy("schedule_code").parquet(path)
 
 
-def write_table_csv(grids: DataFrame, path: str, keys: list[str]) -> None:
-    """One header-less CSV folder per table (by file name) and a JSON file with the totals.
+def write_table_csv(grids: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """The CSV text of every table, one row each (keys, file name, text), in ``buckets`` folders, and the totals as JSON.
 
-    A table is one row here, so its lines stay in order and no shuffle is needed before the write.
+    The number of folders does not grow with the tables; ``export_csv`` writes files for a chosen set.  A table is one
+    row here, so its lines stay in order and no shuffle is needed; the totals are counted from what was written.
     """
     lines = F.array_join(F.transform("cells", lambda r: text.csv_line(r)), "\n")
     out = grids.select(*keys, names.csv_file_name(F.col("table_name")).alias("file"), lines.alias("value"))
-    out.write.mode("errorifexists").partitionBy(*keys, "file").text(f"{path}/tables")
-    grids.agg(F.count(F.lit(1)).alias("table_count"), F.current_timestamp().alias("extraction_date")).write.json(
+    out = out.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    out.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/tables")
+    written = grids.sparkSession.read.parquet(f"{path}/tables")
+    written.agg(F.count(F.lit(1)).alias("table_count"), F.current_timestamp().alias("extraction_date")).write.json(
         f"{path}/_metadata_json"
     )
 
 
+def export_csv(written: DataFrame, path: str, keys: list[str]) -> None:
+    """One folder with one CSV text per table: for a chosen set of the written tables, not for all of them."""
+    written.select(*keys, "file", "value").write.mode("errorifexists").partitionBy(*keys, "file").text(path)
+
+
 def document_json(grids: DataFrame, keys: list[str]) -> DataFrame:
     """One nested record per document with all its tables.
 
