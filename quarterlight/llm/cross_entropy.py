@@ -132,7 +132,8 @@ def learn(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, classes:
     """``targets``: the doc_id of the documents that are like the target; only the tables' cells come to the driver."""
     words = vocabulary(docs, size, classes)
     chosen = targets.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
+    # One strategy at every size: the targets grow with the corpus, so they are never a bounded side to broadcast.
+    marked = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left")
     got = counts(marked, words).toArrow()
     tables = []
     for name in ("background", "target"):
