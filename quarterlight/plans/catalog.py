@@ -681,6 +681,11 @@ def _(spark, sf):
     return rounded(quality.quality_report(D.wide_schedules(spark, sf), QUARTER))
 
 
+@query("Q1_quality_issues")
+def _(spark, sf):
+    return rounded(quality.quality_report(D.sparse_schedule(spark, sf), ["part"]))
+
+
 @query("Q2_available_ids")
 def _(spark, sf):
     return quality.available_ids(D.wide_schedules(spark, sf))
@@ -692,6 +697,15 @@ def _(spark, sf):
     return rounded(compare.validate_peers(peers, D.metric_table(spark, sf), QUARTER))
 
 
+@query("Q3_size_gaps")
+def _(spark, sf):
+    place = F.col("rssd_id").cast("bigint") % 11
+    apart = D.metric_table(spark, sf).withColumn(
+        "total_assets", F.col("total_assets") * F.when(place == 2, 60.0).when(place == 7, 500.0).otherwise(1.0)
+    )
+    return rounded(compare.validate_peers(compare.peer_groups(D.peer_members(spark, sf)), apart, QUARTER))
+
+
 @query("Q4_ratio_ratings")
 def _(spark, sf):
     return rounded(metrics.rate_ratios(D.metric_table(spark, sf), IDS))

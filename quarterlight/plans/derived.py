@@ -183,6 +183,17 @@ def repeated_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.when(later(c), F.concat(F.lit("9"), c)).otherwise(F.col(c)) for c in SCHEDULE_OF})
 
 
+def sparse_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide schedule of orders in four parts: filled, nearly empty, almost wholly empty, and without ids."""
+    key = F.col("o_orderkey")
+    part = (key % 4).cast("int")
+    filled = F.when(part.isin(0, 3), F.lit(True)).when(part == 1, key % 12 == 1).otherwise(key % 160 == 2)
+    codes = {f"RCON000{i}": F.when(filled if i == 0 else filled & part.isin(0, 3), key.cast("string")) for i in range(8)}
+    return table(spark, sf_dir, "orders").select(
+        F.when(part != 3, F.col("o_custkey").cast("string")).alias(dims.ID_COLUMN), part.alias("part"), *[c.alias(n) for n, c in codes.items()]
+    )
+
+
 def mixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, html: a document per part; by its key a financial table with two header rows, one without numbers, one of two rows, or a
     nested one inside a plain one."""

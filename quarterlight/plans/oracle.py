@@ -564,12 +564,24 @@ SQL["Q1_quality_report"] = f"""WITH {RAW}, c AS (SELECT quarter_key, count(*) FI
     count(*) FILTER (regexp_matches(code, '^(RCON|RCFD|RIAD|RCFN)')) AS total FROM raw GROUP BY 1)
   SELECT quarter_key, n_rows, institutions, filled_cells, round(filled_cells / CAST(total AS DOUBLE) * 100, 6) AS density_pct,
     CASE WHEN filled_cells * 10 < total THEN 'Low' ELSE '' END AS issues FROM c"""
+SQL["Q1_quality_issues"] = """WITH r AS (SELECT o_orderkey % 4 AS part, o_custkey, CASE o_orderkey % 4 WHEN 1 THEN CAST(o_orderkey % 12 = 1 AS INTEGER)
+    WHEN 2 THEN CAST(o_orderkey % 160 = 2 AS INTEGER) ELSE 8 END AS filled FROM orders),
+  c AS (SELECT CAST(part AS INTEGER) AS part, count(*) AS n_rows, count(DISTINCT CASE WHEN part <> 3 THEN o_custkey END) AS institutions,
+    CAST(sum(filled) AS BIGINT) AS filled_cells, sum(filled) / (8.0::DOUBLE * count(*)) * 100 AS d FROM r GROUP BY 1)
+  SELECT part, n_rows, institutions, filled_cells, round(d, 6) AS density_pct, CASE WHEN institutions = 0 THEN 'No valid institution IDs found'
+    WHEN d < 1 THEN 'Very low data density: ' || printf('%.1f%%', d) WHEN d < 10 THEN 'Low data density: ' || printf('%.1f%%', d) ELSE '' END AS issues FROM c"""
 SQL["Q2_available_ids"] = f"""WITH {RAW} SELECT id AS "IDRSSD", count(*) FILTER (ix = 0) AS n_rows FROM raw GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
 SQL["Q3_peer_validation"] = f"""WITH {MEMBERS}, c AS (SELECT quarter_key, peer_group, any_value(set_size) AS members,
     max(total_assets) FILTER (total_assets > 0) AS largest, min(total_assets) FILTER (total_assets > 0) AS smallest,
     count(*) FILTER (total_assets > 0) AS n FROM members GROUP BY 1, 2)
   SELECT quarter_key, peer_group, members, round(largest, 6) AS largest, round(smallest, 6) AS smallest, members BETWEEN 2 AND 4 AS is_valid,
     CASE WHEN n >= 2 AND largest > smallest * 100 THEN 'large' WHEN n >= 2 AND largest > smallest * 50 THEN 'significant' ELSE 'none' END AS size_warning FROM c"""
+SQL["Q3_size_gaps"] = f"""WITH {MEMBERS}, a AS (SELECT quarter_key, peer_group, set_size,
+    total_assets * CASE CAST(pid AS BIGINT) % 11 WHEN 2 THEN 60.0::DOUBLE WHEN 7 THEN 500.0::DOUBLE ELSE 1.0::DOUBLE END AS t FROM members),
+  c AS (SELECT quarter_key, peer_group, any_value(set_size) AS members, max(t) FILTER (t > 0) AS largest, min(t) FILTER (t > 0) AS smallest,
+    count(*) FILTER (t > 0) AS n FROM a GROUP BY 1, 2)
+  SELECT quarter_key, peer_group, members, round(largest, 6) AS largest, round(smallest, 6) AS smallest, members BETWEEN 2 AND 4 AS is_valid,
+    CASE WHEN n >= 2 AND largest > smallest * 100 THEN 'large' WHEN n >= 2 AND largest > smallest * 50 THEN 'significant' ELSE 'none' END AS size_warning FROM c"""
 _rated = " UNION ALL ".join(
     f"SELECT rssd_id, quarter_key, {text(l)} AS label, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM metrics" for l, m in dims.RATIO_TABLE
 )
