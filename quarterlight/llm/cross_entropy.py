@@ -4,10 +4,14 @@ Two bigram models of the same order, smoothing and vocabulary are counted: a tar
 such, a background model over all documents.  A document's score is the mean, over its tokens, of the target's loss
 less the background's: the lower, the more it is like the target.
 
-The shared vocabulary has the most frequent words of all documents; the others fall into classes by their ending, so no
-token is left out.  With ``VOCABULARY`` entries a model is a table of that many rows and columns at most, whatever the
-corpus's size: that is the bound under which the two tables are broadcast.  Counts cover every text of the corpus;
-they are summed in each task before they are shuffled.
+The shared vocabulary is every word of all documents, and every pair of neighbours is counted, so what is gathered grows
+with the corpus.  Words are known by a 64-bit hash: among fifteen million words, two share one with probability 6e-6.
+Counts are summed in each task before they are shuffled, and stay in tables (``Tables``); a document is scored by joining its
+pairs, one row for each with its number of occurrences, with the pairs' losses.  Frequent words and pairs
+are split by adaptive execution's skew join; nothing but three totals comes to the driver.
+
+Only where a caller of ``learn`` names a ``size`` is the vocabulary bounded: then it has the most frequent words, the others fall
+into classes by their ending, and a model is a table of ``size`` rows and columns that is broadcast.
 
 Words are runs of ASCII letters, digits and other characters beyond ASCII, in lower case.  Defined results: a null or
 empty text, or one without words, has no tokens and zero losses; a target without documents gives the uniform model;
@@ -23,14 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterlight.llm.common import map_batches, map_rows
 from quarterlight.llm.decontamination import words_of
+from quarterlight.session import stored
 
-VOCABULARY, CLASSES, STRENGTH, FLUSH = 2048, 256, 20.0, 200_000
+CLASSES, STRENGTH, FLUSH = 256, 20.0, 200_000
 TOKENS = 1 << 20
+#: Stands before the first word of a text.
+START = 0
 
 
 @dataclass
@@ -53,7 +61,7 @@ class Vocabulary:
         return t + self.size * np.concatenate(([0], t[:-1])) if len(t) else t
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int, classes: int = CLASSES) -> Vocabulary:
     """The most frequent words over all documents, ties by the word."""
 
     def run(rows):
@@ -128,12 +136,146 @@ class Models:
         return len(pairs), t, b, t - b
 
 
-def learn(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, classes: int = CLASSES) -> Models:
-    """``targets``: the doc_id of the documents that are like the target; only the tables' cells come to the driver."""
-    words = vocabulary(docs, size, classes)
+class Hashes(dict):
+    """The 64-bit hash of every word asked for; forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def pairs(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Every word of a text and the one before it."""
+        words = words_of(text)
+        t = np.fromiter(map(self.__getitem__, words), np.uint64, len(words)).view(np.int64)
+        return np.concatenate(([START], t[:-1])) if len(t) else t, t
+
+
+def summed(first: np.ndarray, second: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs of numbers, and the sums of the values of each."""
+    order = np.lexsort((first, second))
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+    return first[starts], second[starts], *[np.add.reduceat(v[order], starts) for v in values]
+
+
+def grams(marked: DataFrame) -> DataFrame:
+    """(before, word, background, target): occurrences of pairs, of words (no ``before``) and of words as the first of a pair (no ``word``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        waiting: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+        def batch(before, word, n, target):
+            for at in range(0, len(n), 100_000):
+                part = slice(at, at + 100_000)
+                columns = [pa.nulls(len(n[part]), pa.int64()) if c is None else pa.array(c[part]) for c in (before, word, n, target)]
+                yield pa.RecordBatch.from_arrays(columns, names=["before", "word", "background", "target"])
+
+        def add():
+            if not waiting:
+                return
+            before, word = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+            target = np.repeat([int(w[2]) for w in waiting], [len(w[1]) for w in waiting])
+            waiting.clear()
+            before, word, n, target = summed(before, word, np.ones(len(word), np.int64), target)
+            yield from batch(before, word, n, target)
+            none = np.zeros(len(n), np.int64)
+            for k, one in enumerate((word, before)):
+                one, _, *sums = summed(one, none, n, target)
+                yield from batch(None if k == 0 else one, one if k == 0 else None, *sums)
+
+        size = 0
+        for rows in batches:
+            for text, target in zip(rows.column(0), rows.column(1)):
+                pairs = hashes.pairs(text.as_py())
+                if len(pairs[1]):
+                    waiting.append((*pairs, bool(target.as_py())))
+                    size += len(pairs[1])
+                if size > 4 * TOKENS:
+                    yield from add()
+                    size = 0
+        yield from add()
+
+    parts = map_batches(marked.select("text", "is_target"), run, "before long, word long, background long, target long")
+    return parts.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+@dataclass
+class Tables:
+    """Counts over the full vocabulary, of ``size`` entries with the one before the first word, and all words' occurrences."""
+
+    grams: DataFrame
+    size: int
+    background: int
+    target: int
+
+    def losses(self, strength: float = STRENGTH) -> DataFrame:
+        """(before, word, target_loss, background_loss) of every pair: bigrams leaning on unigrams, these on the uniform."""
+        sides = ("background", "target")
+        single = self.grams.filter("before is null").select("word", *[F.col(s).alias(f"{s}_single") for s in sides])
+        first = self.grams.filter("word is null").select("before", *[F.col(s).alias(f"{s}_before") for s in sides])
+
+        def loss(side: str, total: int) -> Column:
+            one = (F.col(f"{side}_single") + 1) / F.lit(float(total + self.size))
+            return -F.log((F.col(side) + strength * one) / (F.col(f"{side}_before") + strength))
+
+        pairs = self.grams.filter("before is not null and word is not null")
+        # One strategy at every size, as all of these grow with the corpus.
+        pairs = pairs.join(single.hint("merge"), "word").join(first.hint("merge"), "before")
+        return pairs.select("before", "word", loss("target", self.target).alias("target_loss"), loss("background", self.background).alias("background_loss"))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = Hashes()
+            for batch in batches:
+                ready: list[tuple] = []
+                size = 0
+
+                def out():
+                    columns = [pa.array(np.concatenate(c)) for c in list(zip(*ready))[:4]]
+                    ids = pa.array([i for *_, i, n in ready for _ in range(n)], pa.int64())
+                    return pa.RecordBatch.from_arrays([*columns, ids], names=["row", "before", "word", "n", "doc_id"])
+
+                for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns)):
+                    before, word = hashes.pairs(text)
+                    if len(word):
+                        before, word, n = summed(before, word, np.ones(len(word), np.int64))
+                    else:  # a row that adds nothing, with a key of its own
+                        before, word, n = np.array([row]), np.array([row]), np.zeros(1, np.int64)
+                    ready.append((np.full(len(n), row), before, word, n, doc_id, len(n)))
+                    size += len(n)
+                    if size > 100_000:
+                        yield out()
+                        ready, size = [], 0
+                if ready:
+                    yield out()
+
+        rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+        rows = map_batches(rows, run, "row long, before long, word long, n long, doc_id long")
+        joined = rows.join(self.losses().hint("merge"), ["before", "word"], "left")
+        unknown = F.raise_error(F.lit("a pair of words is not in the background: score the documents that were counted"))
+
+        def total(side: str) -> Column:
+            loss = F.col(f"{side}_loss")
+            return F.sum(F.when(F.col("n") == 0, 0.0).when(loss.isNull(), unknown.cast("double")).otherwise(F.col("n") * loss))
+
+        per = joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), total("target").alias("t"), total("background").alias("b"))
+        per = per.select("doc_id", "n_tokens", *[(F.col(c) / F.greatest("n_tokens", F.lit(1))).alias(name) for c, name in (("t", "ce_target"), ("b", "ce_background"))])
+        return per.withColumn("score", F.col("ce_target") - F.col("ce_background"))
+
+
+def learn(docs: DataFrame, targets: DataFrame, size: int | None = None, classes: int = CLASSES) -> Tables | Models:
+    """``targets``: the doc_id of the documents that are like the target.  ``size`` bounds the vocabulary; without it every word counts."""
     chosen = targets.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     # One strategy at every size: the targets grow with the corpus, so they are never a bounded side to broadcast.
     marked = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left")
+    if size is None:
+        counted = stored(grams(marked), "grams")
+        n, *totals = counted.filter("before is null").agg(F.count(F.lit(1)), *[F.coalesce(F.sum(s), F.lit(0)) for s in ("background", "target")]).first()
+        return Tables(counted, n + 1, *totals)
+    words = vocabulary(docs, size, classes)
     got = counts(marked, words).toArrow()
     tables = []
     for name in ("background", "target"):
@@ -143,8 +285,10 @@ def learn(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, classes:
     return Models(words, *tables)
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, score of every document."""
+def score(docs: DataFrame, models: Tables | Models) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background, score of every document; with ``Tables``, of documents that were counted."""
+    if isinstance(models, Tables):
+        return models.score(docs)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(rows):

@@ -176,6 +176,45 @@ def test_cross_entropy_against_plain_counts(spark, documents, awkward):
         assert row["score"] == pytest.approx(row["ce_target"] - row["ce_background"])
 
 
+def test_cross_entropy_over_every_word(spark, documents, awkward):
+    """More words than any fixed table has, in documents that differ only in words which occur once or twice."""
+    rare = [f"w{i}qqq" for i in range(3000)]
+    texts = [*awkward, " ".join(rare), "the cat " + " ".join(rare[:40]) + " the cat", "the cat " + " ".join(rare[40:80]), "the cat"]
+    docs = documents(texts)
+    docs = docs.union(docs.filter("doc_id = 10")).union(docs.filter("doc_id = 10").selectExpr("null", *docs.columns[1:]))
+    texts += [texts[10]] * 2
+    models = cross_entropy.learn(docs, spark.createDataFrame([(8,), (8,), (None,)], "doc_id long"))
+    ids = decontamination.words_of
+    size = len({w for t in texts for w in ids(t)}) + 1
+    assert size > 3000 and models.size == size
+
+    def loss(of, text):
+        pairs = Counter(p for t in of for p in zip([None, *ids(t)], ids(t)))
+        total, before, single = sum(pairs.values()), Counter(), Counter()
+        for (a, b), n in pairs.items():
+            before[a] += n
+            single[b] += n
+        s, own = cross_entropy.STRENGTH, ids(text)
+        one = lambda b: (single[b] + 1) / (total + size)
+        return sum(-math.log((pairs[a, b] + s * one(b)) / (before[a] + s)) for a, b in zip([None, *own], own)) / max(1, len(own))
+
+    found = cross_entropy.score(docs, models).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter([*range(len(texts) - 2), 10, None])
+    for row in found:
+        text = texts[10 if row["doc_id"] is None else row["doc_id"]]
+        assert row["n_tokens"] == len(ids(text))
+        assert row["ce_target"] == pytest.approx(loss([texts[8]], text))
+        assert row["ce_background"] == pytest.approx(loss(texts, text))
+        assert row["score"] == pytest.approx(row["ce_target"] - row["ce_background"])
+    scores = {r["doc_id"]: r["score"] for r in found}
+    assert scores[8] < scores[9]
+
+
+def test_cross_entropy_of_no_documents(spark, documents):
+    none = documents(["x"]).filter("doc_id < 0")
+    assert cross_entropy.score(none, cross_entropy.learn(none, none)).count() == 0
+
+
 def test_cross_entropy_without_rows(spark, documents):
     none = documents(["x"]).filter("doc_id < 0")
     models = cross_entropy.learn(none, none, 16, 4)
