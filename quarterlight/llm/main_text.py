@@ -2,10 +2,11 @@
 
 A page is read as a sequence of blocks, each with its root-to-leaf tag path (inline markup is no part of it,
 links are).  Text length and punctuation are summed by path and divided by the path's blocks, smoothed along the page,
-fused, and compared with a threshold; the paths above it are content.  Content paths then grow to
+fused, and compared with a threshold; on every page the paths above it are content.  Content paths then grow to
 their common container, so that short headings and list entries of the article are kept.  Elements that name
-themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments never count, and an element that
-names itself as the article is the container.
+themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments never count.  Elements that
+name themselves as the article bound the container if they have most of the content that the ratios chose, and their blocks'
+scores count twice then.
 
 Defined results: a null, empty or text-free page gives an empty text; broken markup is read as far as it goes, an
 unclosed tag at the end is dropped; repeated pages are each on their own; only page_id, url and html are read.
@@ -61,18 +62,18 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order."""
+    """Blocks of text in page order; ``inside`` numbers the elements around a block that name themselves as the article."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, outside, inside
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, label, outside, inside
     pieces: list[str] = []
-    in_link, linked, at, n = False, 0, 0, len(page)
+    in_link, linked, at, n, named_elements = False, 0, 0, len(page), 0
 
     def flush():
         nonlocal linked
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            top = stack[-1] if stack else ("", "", False, False)
+            top = stack[-1] if stack else ("", "", False, ())
             label = "/".join(s[1] for s in stack)
             out.append(Block(label + "/a" if linked * 2 > len(text) else label, text, min(linked, len(text)), top[2], top[3]))
         linked = 0
@@ -136,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in CLOSES:
             leave(CLOSES[tag], BARRIER_FREE.get(tag, BARRIERS))
-        parent = stack[-1] if stack else ("", "", False, False)
+        parent = stack[-1] if stack else ("", "", False, ())
         named = [_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x[0] or x[1] or x[2]).lower()) for x in _NAMING.findall(attributes)] if attributes else []
         words = {w for group in named for w in group}
         page_header = tag == "header" and not parent[3]
@@ -144,7 +145,8 @@ def blocks_of(page: str) -> list[Block]:
         outside = parent[2] or tag in OUTSIDE_TAGS or page_header or bool(words & OUTSIDE_WORDS) and tag not in ("html", "body", "article", "main")
         outside = outside or tag in INSIDE_TAGS and bool(words & {"comment", "comments", "reply", "related"})
         label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
-        stack.append((tag, label, outside, parent[3] or inside))
+        named_elements += inside
+        stack.append((tag, label, outside, (*parent[3], named_elements) if inside else parent[3]))
     flush()
     return out
 
@@ -180,16 +182,39 @@ def content(blocks: list[Block]) -> list[Block]:
     best = max(b.score for b in own)
     threshold = min(best, max(mean - spread, best / 2))
     path_score = {p: sum(b.score for b in group) / len(group) for p, group in by_path.items()}
-    chosen = {p for p, s in path_score.items() if s >= threshold and not p.endswith("/a")}
-    marked = [b for b in own if b.inside and not b.path.endswith("/a")]
-    if marked:  # the page names its article
-        return [b for b in own if b.inside and (b.linked * 2 <= len(b.text) or b.path in chosen or b.linked < 200)] if any(
-            PUNCTUATION.search(b.text) or len(b.text) > 20 for b in marked
-        ) else marked
-    if not chosen:
+    plain = {p: s for p, s in path_score.items() if not p.endswith("/a")}
+    if not plain:
         return []
+    chosen = {p for p, s in plain.items() if s >= threshold} or {max(plain, key=plain.__getitem__)}
+    bound = bounds([b for b in own if b.path in chosen])
+    if bound:
+        own = [b for b in own if not bound.isdisjoint(b.inside)]
+        chosen &= {b.path for b in own}
     container = common_container(chosen)
-    return [b for b in own if b.path in chosen or (container and within(b.path, container) and b.linked * 2 <= len(b.text))]
+
+    def stays(b: Block) -> bool:
+        if b.path in chosen:
+            return True
+        near = bool(container) and within(b.path, container)
+        if b.path.endswith("/a"):
+            return bool(bound) and b.linked < 200
+        return near or bool(bound) and (2 * b.score >= threshold or b.path.rpartition("/")[2].partition(".")[0] in HEADINGS)
+
+    return [b for b in own if stays(b)]
+
+
+def bounds(chosen: list[Block]) -> set[int]:
+    """The elements named as the article that have most of the chosen text, each as deep as all its chosen text lies; none if others have it."""
+    size: dict[int, int] = defaultdict(int)
+    chains = set()
+    for b in chosen:
+        chains.add(b.inside)
+        for e in b.inside:
+            size[e] += len(b.text)
+    outer = {c[0] for c in chains if c}
+    if 2 * sum(size[e] for e in outer) <= sum(len(b.text) for b in chosen):
+        return set()
+    return {max(e for c in chains if c and c[0] == o for e in c if size[e] == size[o]) for o in outer}
 
 
 def common_container(paths: set[str]) -> str:

@@ -137,6 +137,23 @@ def test_pages_without_text(page):
     assert main_text.main_text(page) == ""
 
 
+LONG = "This is the article, and it goes on for a while; it has commas, clauses and full stops. So does this sentence, which ends here."
+
+
+def test_ratios_decide_and_not_names():
+    """Teasers named as posts, and an article without a name: what is long and punctuated is the text."""
+    teasers = "".join(f'<div class="post"><p>Teaser {i}</p></div>' for i in range(4))
+    article = "".join(f"<p>{i} {LONG}</p>" for i in range(6))
+    page = f'<html><body><div class="left">{teasers}</div><div class="x"><h1>Title</h1>{article}<ul><li>point</li></ul></div></body></html>'
+    assert main_text.main_text(page) == "\n".join(["Title", *[f"{i} {LONG}" for i in range(6)], "point"])
+    # In a named wrapper that holds both, too.
+    inner = f'<main><div class="left">{"<p>Go</p>" * 12}</div><div class="x"><h1>Title</h1>{article}</div></main>'
+    assert "Go\nGo" not in main_text.main_text(inner) and main_text.main_text(inner).endswith(f"5 {LONG}")
+    # Several named articles.
+    two = "".join(f"<article><header><h2>Part {k}</h2></header><div>{article}</div></article>" for k in range(2))
+    assert main_text.main_text(two).count("\n") == 13
+
+
 def test_all_pages(spark):
     pages = read(spark, SF, "pages")
     rows = {r["page_id"]: r for r in main_text.extract(pages).collect()}
