@@ -3,10 +3,11 @@
 A page is read as a sequence of blocks, each with its root-to-leaf tag path (inline markup is no part of it,
 links are).  Text length and punctuation are summed by path and divided by the path's blocks, smoothed along the page,
 fused, and compared with a threshold; on every page the paths above it are content.  Content paths then grow to
-their common container, so that short headings and list entries of the article are kept.  Elements that name
+their common container, so that short headings and list entries of the article are kept; a block that is mostly
+link stays in it by its own fused score, whatever its length.  Elements that name
 themselves as menus, headers, footers, sidebars, notices, adverts, forms or comments never count.  Elements that
-name themselves as the article bound the container if they have most of the content that the ratios chose, and their blocks'
-scores count twice then.
+name themselves as the article bound the container if they have most of the content that the ratios chose, and weigh then:
+links cost their blocks half, and their blocks' scores count twice.
 
 Defined results: a null, empty or text-free page gives an empty text; broken markup is read as far as it goes, an
 unclosed tag at the end is dropped; repeated pages are each on their own; only page_id, url and html are read.
@@ -173,8 +174,8 @@ def content(blocks: list[Block]) -> list[Block]:
     for path, group in by_path.items():
         n, length = len(group), sum(len(b.text) for b in group)
         marks = sum(len(PUNCTUATION.findall(b.text)) for b in group)
-        unlinked = 1 - sum(b.linked for b in group) / max(1, length)
-        ratio[path] = (length / n) * (1 + marks / n) * unlinked
+        linked = sum(b.linked / 2 if b.inside else b.linked for b in group)
+        ratio[path] = (length / n) * (1 + marks / n) * (1 - linked / max(1, length))
     for b, score in zip(own, smoothed([math.log1p(ratio[b.path]) for b in own])):
         b.score = score
     mean = sum(b.score for b in own) / len(own)
@@ -182,7 +183,8 @@ def content(blocks: list[Block]) -> list[Block]:
     best = max(b.score for b in own)
     threshold = min(best, max(mean - spread, best / 2))
     path_score = {p: sum(b.score for b in group) / len(group) for p, group in by_path.items()}
-    plain = {p: s for p, s in path_score.items() if not p.endswith("/a")}
+    # Blocks that are mostly link are judged one by one below, unless the article has no others.
+    plain = {p: s for p, s in path_score.items() if not p.endswith("/a")} or {p: path_score[p] for p, g in by_path.items() if g[0].inside}
     if not plain:
         return []
     chosen = {p for p, s in plain.items() if s >= threshold} or {max(plain, key=plain.__getitem__)}
@@ -197,7 +199,7 @@ def content(blocks: list[Block]) -> list[Block]:
             return True
         near = bool(container) and within(b.path, container)
         if b.path.endswith("/a"):
-            return bool(bound) and b.linked < 200
+            return (near or bool(bound)) and b.score * (2 if bound else 1) >= threshold
         return near or bool(bound) and (2 * b.score >= threshold or b.path.rpartition("/")[2].partition(".")[0] in HEADINGS)
 
     return [b for b in own if stays(b)]

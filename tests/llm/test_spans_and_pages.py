@@ -154,6 +154,20 @@ def test_ratios_decide_and_not_names():
     assert main_text.main_text(two).count("\n") == 13
 
 
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<div>", "</div>")])
+@pytest.mark.parametrize("linked", ["A source, in short.", "A quotation, set as a link, that is long. " * 12])
+def test_linked_paragraphs_of_the_article(tags, linked):
+    linked = linked.strip()
+    paragraphs = [f"{i} {LONG}" for i in range(6)]
+    paragraphs[3] = linked
+    body = "".join(f"<p>{'<a href=x>' + p + '</a>' if p == linked else p}</p>" for p in paragraphs)
+    menu = "<ul>" + '<li><a href="x">More</a></li>' * 12 + "</ul>"
+    assert main_text.main_text(f"<body>{tags[0]}{body}{menu}{tags[1]}</body>").split("\n")[:6] == paragraphs
+    assert main_text.main_text(f"<body>{tags[0]}{menu}{body}{tags[1]}</body>").count("More") < 4
+    alone = f"<article><p><a href=x>{linked}</a></p></article>"
+    assert main_text.main_text(alone) == linked
+
+
 def test_all_pages(spark):
     pages = read(spark, SF, "pages")
     rows = {r["page_id"]: r for r in main_text.extract(pages).collect()}
