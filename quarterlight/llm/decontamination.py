@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import map_batches, map_rows, whole_text
+from quarterlight.llm.common import fresh, map_batches, map_rows, whole_text
+from quarterlight.session import stored
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -211,34 +212,80 @@ def cut(text: str, automaton: Automaton, min_span: int, max_coverage: float) ->
         if first and sum(b - a for a, b in runs) > max_coverage * len(words):
             return None
         first = False
-        places = [m.span() for m in _WORD.finditer(data)]
-        kept, at = [], 0
-        for a, b in runs:
-            kept.append(data[at : places[a][0]])
-            at = places[b - 1][1]
-        data = b"".join([*kept, data[at:]])
+        data = spliced(data, runs)
+
+
+def spliced(data: bytes, runs: list) -> bytes:
+    """The text without the words of the runs."""
+    places = [m.span() for m in _WORD.finditer(data)]
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(data[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*kept, data[at:]])
 
 
 def remove(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """The documents with their hit spans cut out (``n_chars`` follows where it exists); those mostly hit go.
 
-    All columns come through; a null text stays null.
+    All columns come through; a null text stays null.  The number of blocks makes no difference to the result.
     """
-    for block in blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            automaton = Automaton(sent.value, window)
-            for batch in batches:
-                column = batch.schema.get_field_index("text")
-                new = [None if t is None else cut(t, automaton, min_span, max_coverage) for t in batch.column(column).to_pylist()]
-                gone = [n is None and t for n, t in zip(new, batch.column(column).is_valid().to_pylist())]
-                batch = batch.set_column(column, batch.schema.field(column), pa.array(new, batch.schema.field(column).type))
-                if (k := batch.schema.get_field_index("n_chars")) >= 0:
-                    kind = batch.schema.field(k).type
-                    lengths = [old if t is None else len(t) for t, old in zip(new, batch.column(k).to_pylist())]
-                    batch = batch.set_column(k, batch.schema.field(k), pa.array(lengths, kind))
-                yield batch.filter(pa.array([not g for g in gone]))
-
-        docs = map_batches(docs, run, docs.schema)
-    return docs
+    of_items = blocks(items)
+    block = next(of_items)
+    if next(of_items, None) is not None:
+        return remove_by_rounds(docs, items, window, min_span, max_coverage)
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        automaton = Automaton(sent.value, window)
+        for batch in batches:
+            column = batch.schema.get_field_index("text")
+            new = [None if t is None else cut(t, automaton, min_span, max_coverage) for t in batch.column(column).to_pylist()]
+            gone = [n is None and t for n, t in zip(new, batch.column(column).is_valid().to_pylist())]
+            batch = batch.set_column(column, batch.schema.field(column), pa.array(new, batch.schema.field(column).type))
+            if (k := batch.schema.get_field_index("n_chars")) >= 0:
+                kind = batch.schema.field(k).type
+                lengths = [old if t is None else len(t) for t, old in zip(new, batch.column(k).to_pylist())]
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(lengths, kind))
+            yield batch.filter(pa.array([not g for g in gone]))
+
+    return map_batches(docs, run, docs.schema)
+
+
+def remove_by_rounds(docs: DataFrame, items: DataFrame, window: int, min_span: int, max_coverage: float) -> DataFrame:
+    """``remove`` for several blocks: every round finds the hits of all blocks and cuts their union, until no block hits.
+
+    Only the documents that a round has cut are looked at again.
+    """
+    row_, round_, new_ = fresh(docs, "_row", "_round", "_new")
+    base = stored(docs.withColumn(row_, F.monotonically_increasing_id()), "decontaminate-rows")
+    active = base.filter("text is not null").select(F.col(row_).alias("doc_id"), "text")
+    changes = []
+    while True:
+        hit = find(active, items, window).filter(F.size("runs") > 0).select("doc_id", "n_words", "runs")
+
+        def run(rows, first=not changes):
+            for row, text, n_words, flat in rows:
+                runs = [(a, b) for a, b in zip(flat[::2], flat[1::2]) if b - a >= min_span]
+                if runs:
+                    mostly = first and sum(b - a for a, b in runs) > max_coverage * n_words
+                    yield row, None if mostly else spliced(text.encode("utf-8", "replace"), runs).decode("utf-8")
+
+        found = active.join(hit, "doc_id").select("doc_id", "text", "n_words", "runs")
+        change = stored(map_rows(found, run, "doc_id long, text string"), f"decontaminate-round-{len(changes)}")
+        if change.isEmpty():
+            break
+        changes.append(change.withColumn("round", F.lit(len(changes))))
+        active = change.filter("text is not null")
+    if not changes:
+        return base.drop(row_)
+    every = changes[0]
+    for change in changes[1:]:
+        every = every.unionByName(change)
+    last = every.groupBy(F.col("doc_id").alias(row_)).agg(F.max("round").alias(round_), F.max_by("text", "round").alias(new_))
+    joined = base.join(last, row_, "left").filter(F.col(round_).isNull() | F.col(new_).isNotNull())
+    joined = joined.withColumn("text", F.coalesce(F.col(new_), F.col("text")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -110,6 +110,33 @@ def test_overlap_and_removal(spark, documents, awkward, monkeypatch):
         assert left[7] == clean + "\n" + clean and left[8] == clean + "a !" and 9 not in left and left[10] == clean
 
 
+def test_blocks_make_no_difference_to_removal(spark, documents, awkward, monkeypatch):
+    """Documents hit by the items of two blocks: mostly benchmark together, unequally covered, and parts that meet after a cut of another block."""
+    one, two = (" ".join(f"{k}{i}" for i in range(12)) for k in "ab")
+    items = spark.createDataFrame([(1, one), (2, two), (3, "p q r s t u"), (4, None)], "item_id long, text string")
+    other = lambda n: " ".join(f"z{i}" for i in range(n))
+    texts = [
+        *awkward,
+        f"{one} {other(16)} {two}",  # 30 % and 30 %
+        f"{one} {other(100)} {two}",
+        f"p q r {two} s t u {other(60)}",  # the first block's item appears when the second's is out
+        f"{one[:20]} p q r s t u {one[20:]} {other(60)}",
+        other(30),
+    ]
+    results = []
+    for block_words in (1000, 3):
+        monkeypatch.setattr(decontamination.blocks, "__defaults__", (block_words,))
+        docs = documents(texts, n_chars=-1)
+        rows = decontamination.remove(docs, items).orderBy("doc_id").collect()
+        assert rows[0].asDict().keys() == set(docs.columns)
+        results.append(rows)
+    assert results[0] == results[1]
+    left = {r["doc_id"]: r["text"] for r in results[1]}
+    assert 7 not in left and len(left) == len(texts) - 1
+    assert left[8].split() == other(100).split() and left[9].split() == other(60).split() and left[11] == other(30)
+    assert all(r["n_chars"] == (-1 if r["text"] is None else len(r["text"])) for r in results[1])
+
+
 def test_no_items(spark, documents):
     none = benchmark(spark).filter("item_id < 0")
     assert [r["n_hit"] for r in decontamination.report(decontamination.find(documents(["a b", None]), none)).collect()] == [0, 0]
