@@ -15,8 +15,9 @@ shares none with probability below ``UNBANDED``.  Intermediate tables are writte
 counts come to the driver.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text shorter than
-a shingle is one shingle.  Rows that repeat an id are one document and stay or go together; a row without id is never
-the one that stays.  Other columns, whatever their names, are not touched.
+a shingle is one shingle.  In ``near_duplicates``, rows that repeat an id are one document, and a row without id is never
+the one that is kept.  ``deduplicated`` goes by rows instead: one row of each group stays, the one with the smallest id or,
+without any, the first; so do all rows that are linked with nothing.  Other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterlight.llm.common import map_rows
+from quarterlight.llm.common import fresh, map_rows
 from quarterlight.session import stored
 
 MISS, UNBANDED, MOST_HASHES, BATCH = 1e-7, 5e-6, 320, 32
@@ -277,6 +278,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bl
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents of which each is the first of its group; all columns come through."""
-    kept = near_duplicates(docs, width, similarity).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group, by id (those without last) and place; all columns come through."""
+    (row_,) = fresh(docs, "_row")
+    # Stored, as every use must see the same numbers.
+    rows = stored(docs.withColumn(row_, F.monotonically_increasing_id()), "numbered")
+    numbered = rows.select(F.col(row_).alias("doc_id"), "text")
+    groups = near_duplicates(numbered, width, similarity).select(F.col("doc_id").alias("row"), "component_id")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    # One strategy at every size: both sides have a small row for each document.
+    ids = rows.select(F.col(row_).alias("row"), F.col("doc_id").alias("id"))
+    best = groups.join(ids.hint("merge"), "row").groupBy("component_id").agg(F.min(place).alias("first"))
+    kept = best.select(F.col("first.row").alias(row_))
+    return rows.join(kept, row_, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -266,3 +266,17 @@ def test_rows_without_or_with_repeated_ids(spark):
     items = spark.createDataFrame([(None, "text that goes on for a while with more than twenty words")], "item_id long, text string")
     assert decontamination.report(decontamination.find(docs, items)).filter("contaminated").count() == 3
     assert decontamination.remove(docs, items).count() == 6
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "a text that goes on for a while, with more than twenty words of no meaning at all, one after the other, until it ends"
+    rows = [
+        (None, "clean and unique, without any id"), (None, None), (None, ""), (3, ""),
+        (7, text), (7, text), (None, text), (9, text + " soon"), (7, "another text under the same id"),
+        (None, "copies, all of them without an id"), (None, "copies, all of them without an id"),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place long").repartition(3, "place")
+    out = near_duplicates.deduplicated(docs)
+    assert out.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert left == Counter({rows[k]: 1 for k in (0, 1, 2, 3, 4, 8, 9)})
