@@ -144,7 +144,7 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     without parts don't change.
     """
     id_, hash_, spans_ = fresh(docs, "_id", "_hash", "_spans")
-    spans = scan(docs).filter(F.col("kind").isNotNull() & (F.col("kind") != "endpoint")).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    spans = scan(docs).filter(F.col("kind").isNotNull()).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(spans_))
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_))
     joined = docs.join(spans, same, "left")

@@ -113,6 +113,17 @@ def test_masking_keeps_the_rest(documents, awkward):
     assert masked[-1]["spans"] == 1
 
 
+def test_linked_endpoints_are_masked(documents):
+    secret = "password=hunter2hunter2"
+    texts = [f"user = alice\n{secret}\npostgres://svc:pw@host.example.com/db end", "see https://host.example.com/db alone"]
+    docs = documents(texts)
+    spans = [r["spans"] for r in credentials.report(credentials.scan(docs)).orderBy("doc_id").collect()]
+    assert "endpoint:" in spans[0] and spans[1] == ""
+    masked = [r["text"] for r in credentials.masked(docs).orderBy("doc_id").collect()]
+    assert "svc" not in masked[0] and "pw@" not in masked[0] and "hunter2" not in masked[0] and masked[0].endswith(" end")
+    assert masked[1] == texts[1]
+
+
 def test_repeated_rows_stay_apart(documents):
     one = documents(["password=abcdefgh1"])
     assert [r["n_assign"] for r in credentials.report(credentials.scan(one.union(one))).collect()] == [1, 1]
