@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlight.llm import bpe, credentials, cross_entropy, decontamination, line_field, line_rules, main_text, near_duplicates, personal_data, toxicity
+from quarterlight.llm import (
+    bpe, credentials, cross_entropy, decontamination, drift_clusters, line_field, line_rules, main_text, near_duplicates, packing, personal_data,
+    phrases, toxicity,
+)
 from quarterlight.llm.common import read
 
 #: The default vocabulary of op8 and of the pipeline; operators take its path as a parameter.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: That of op11.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +94,18 @@ def cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_benchmark_overlap")
 def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(decontamination.find(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
+
+
+@query("op11_balanced_packing")
+def balanced_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(read(spark, sf, "documents"), BYTE_BPE)
+
+
+@query("op12_phrase_stripes")
+def phrase_stripes(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf, "documents"))
+
+
+@query("op13_drift_clusters")
+def drift_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return drift_clusters.cluster(read(spark, sf, "embeddings"))

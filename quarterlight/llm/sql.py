@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarterlight.llm import credentials, decontamination, line_rules
+from quarterlight.llm import credentials, decontamination, drift_clusters, line_rules, phrases
 
 SQL: dict[str, str] = {}
 
@@ -121,6 +121,61 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def op12() -> str:
+    """All phrases of up to four words, counted plainly; longer ones are looked up word by word from each side."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    spell = lambda a, b: f"array_to_string(words[{a}:{b}], ' ')"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+every AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, words[i:i + size - 1] AS words FROM (
+    SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, range(1, {phrases.LONGEST + 1}) AS s(size) WHERE len(words) >= size)),
+f AS MATERIALIZED (SELECT lang, words, {spell("1", "len(words)")} AS phrase, count(*)::BIGINT AS f FROM grams GROUP BY lang, words HAVING count(*) >= {phrases.LEAST}),
+inside AS (
+  SELECT lang, {spell("a", "b")} AS phrase, max(f) AS around FROM (
+    SELECT *, unnest(range(a + 1, least(len(words), a + len(words) - 2) + 1)) AS b FROM (SELECT *, unnest(range(1, len(words))) AS a FROM f WHERE len(words) > 2))
+  WHERE b - a + 1 BETWEEN 2 AND len(words) - 1 GROUP BY ALL),
+c AS (
+  SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase) WHERE len(words) > 1 AND NOT coalesce(100::HUGEINT * around >= {phrases.SUBSUMED}::HUGEINT * f, false)),
+cuts AS (SELECT lang, phrase, f AS a, k, {spell("1", "k")} AS lp, {spell("k + 1", "len(words)")} AS rp FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, ({phrases.SCORE}::HUGEINT * a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN every USING (lang) WHERE rank <= {phrases.TOP}"""
+
+
+def op13(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """Every round compares every vector with every centroid."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+a{turn} AS MATERIALIZED (
+  SELECT rid, arg_min(j, (d, j)) AS cluster, min(d) AS distance FROM (
+    SELECT rid, j, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{turn} c USING (i) GROUP BY rid, j) GROUP BY rid)""")
+        if turn < rounds:
+            steps.append(f"""
+c{turn + 1} AS MATERIALIZED (
+  SELECT j, i, coalesce(m.x, c{turn}.x) AS x FROM c{turn} LEFT JOIN (
+    SELECT cluster AS j, i, CASE WHEN sum(v.x) >= 0 THEN sum(v.x) // count(*) ELSE -((-sum(v.x) + count(*) - 1) // count(*)) END::BIGINT AS x
+    FROM a{turn} JOIN v USING (rid) GROUP BY cluster, i) m USING (j, i))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({drift_clusters.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+v AS MATERIALIZED (SELECT rid, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM kept),
+firsts AS (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), x) - 1)::INTEGER AS j, x FROM kept),
+c0 AS MATERIALIZED (SELECT j, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM firsts WHERE j < {k}),{",".join(steps)},
+digests AS (SELECT j AS cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN digests USING (cluster)"""
+
+
+SQL["op12_phrase_stripes"] = op12()
+SQL["op13_drift_clusters"] = op13()
 SQL["op1_credential_links"] = op1()
 SQL["op10_benchmark_overlap"] = op10()
 SQL["op7_line_rules"] = op7()
