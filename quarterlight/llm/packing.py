@@ -12,7 +12,7 @@ lengths are powers of two, each a sequence of its own that needs no padding.  No
 source or key is spread like any other rows, and a lost task is done again on its own.  A sequence's id is made of the partition's
 number and its place there, so ids are unique, and the same for the same partitions.
 
-The vocabulary is a ``tokenizers`` file at the same path on every machine.  Long texts are given to it in blocks that are cut before
+The vocabulary is a ``tokenizers`` file at the same path on every machine.  Long texts are coded in blocks that are cut before
 a space that follows a letter and stands before one: no token of a byte-level vocabulary spans that place.
 
 Defined results: a null or empty text is its end token alone; repeated rows and rows without id are packed each on its own;
@@ -22,6 +22,7 @@ without documents, there are no pieces; only the two named columns are read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -32,12 +33,16 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quarterlight.llm.bpe import byte_letters
 from quarterlight.llm.common import map_rows
 
 LENGTH, END, WINDOW = 1024, 0, 1024
 #: Six times the width of a model of 768 numbers a token: where linear and quadratic work are equal.
 LINEAR = 4608
-TEXT_BLOCK, BATCH_CHARS = 1 << 19, 1 << 20
+TEXT_BLOCK = 1 << 19
+#: Fixed value of the format: the pattern of a byte-level vocabulary's words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNCOMMON = re.compile("[^\\t\\n\\r -~\xa0-\u024f\u2010-\u2015\u2018-\u201e\u2026\u20ac]|\\s{200}")
 _CUT = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 #: Partition number above, place in it below.
 PLACES = 1 << 32
@@ -49,12 +54,50 @@ def cost(n: int) -> int:
     return LINEAR * n + n * n
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Coder:
+    """Ids of texts by a byte-level vocabulary.
+
+    Where the merges' order is the ids' order, a rank table says the same as the merge list, and the faster library that
+    works on ranks is used, but only for texts of common characters, whose classes no two Unicode versions see differently; all
+    others, and texts with very long runs of space, go to the library that the file is written for.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.ranks = self.by_ranks(path)
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
-    return Tokenizer.from_file(path)
+    @staticmethod
+    def by_ranks(path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, vocab = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        results = [vocab[a + b] for a, b in merges]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if not plain or results != sorted(set(results)) or not all(t["special"] and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"]):
+            return None
+        import tiktoken
+
+        of = {letter: bytes([b]) for b, letter in enumerate(byte_letters())}
+        ranks = {b"".join(of[x] for x in token): i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, text: str) -> np.ndarray:
+        """As the file's library gives them without special tokens added."""
+        if self.ranks is None or _UNCOMMON.search(text):
+            parts = [c.ids for c in self.whole.encode_batch_fast(list(blocks(text)), add_special_tokens=False)]
+        else:
+            parts = [self.ranks.encode(part, allowed_special="all") for part in blocks(text)]
+        return np.array(parts[0], np.uint32) if len(parts) == 1 else np.concatenate([np.array(p, np.uint32) for p in parts])
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def blocks(text: str, size: int = TEXT_BLOCK) -> Iterator[str]:
@@ -69,19 +112,6 @@ def blocks(text: str, size: int = TEXT_BLOCK) -> Iterator[str]:
     yield text[at:]
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, as the library gives them without special tokens added."""
-    parts, counts = [], []
-    for text in texts:
-        mine = list(blocks(text))
-        parts += mine
-        counts.append(len(mine))
-    coded, at = tokenizer(path).encode_batch_fast(parts, add_special_tokens=False), 0
-    for n in counts:
-        yield np.concatenate([np.array(c.ids, np.uint32) for c in coded[at : at + n]])
-        at += n
-
-
 class Piece:
     """Consecutive tokens of one document."""
 
@@ -187,22 +217,9 @@ def pack(
 
     def run(rows):
         packer = Packer(TaskContext.get().partitionId() * PLACES, length, window)
-        waiting: list[tuple] = []
-        chars = 0
-
-        def out():
-            for (doc, _), ids in zip(waiting, token_ids([t for _, t in waiting], path)):
-                yield from packer.add(doc, np.append(ids, np.uint32(end)))
-            waiting.clear()
-
+        ids_of = coder(path).ids
         for doc, text in rows:
-            waiting.append((doc, text or ""))
-            chars += len(text or "")
-            if chars >= BATCH_CHARS or len(waiting) >= 1024:
-                yield from out()
-                chars = 0
-        if waiting:
-            yield from out()
+            yield from packer.add(doc, np.append(ids_of(text or ""), np.uint32(end)))
         yield from packer.end()
 
     return map_rows(docs.select(id_column, text_column), run, SCHEMA)

@@ -36,7 +36,7 @@ from quarterlight.session import stored
 
 LONGEST, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
 SCORE = 2_000_000
-SHARES, WORD_PARTS, FILTER_BITS, FLUSH = 4096, 1024, 1 << 26, 1 << 20
+SHARES, WORD_PARTS, FILTER_BITS, FLUSH = 4096, 1024, 1 << 26, 1 << 22
 #: No byte of UTF-8; stands between pieces.
 BREAK = b"\xff"
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -139,7 +139,7 @@ class Filler:
         self.size = 0
 
     def stripes(self, lang: str, ids: np.ndarray, names: list[bytes]):
-        """(lang, prefix, part, words, counts) of all phrases of ``length`` + 1 words that lie in ``ids``."""
+        """(lang, prefix, part, total, words, counts) of all phrases of ``length`` + 1 words that lie in ``ids``."""
         hashes = np.fromiter(map(word_digest, names), np.uint64, len(names))
         n = len(ids) - self.length
         if n <= 0:
@@ -186,22 +186,24 @@ class Filler:
         if not len(prefix):
             return
         keys, counts = np.unique(prefix * len(names) + follow, return_counts=True)
-        before, last = keys // len(names), (keys % len(names)).tolist()
-        counts = counts.astype("<u4")
-        starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))).tolist()
-        for a, b in zip(starts, [*starts[1:], len(keys)]):
-            name = prefixes[int(before[a])]
-            parts = WORD_PARTS if self.length == 0 else self.parts.get((lang, name), 1)
-            spelled = name.decode()
+        before, last = keys // len(names), keys % len(names)
+        starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        totals, firsts = np.add.reduceat(counts, starts).tolist(), before[starts].tolist()
+        ends, starts = [*starts[1:].tolist(), len(keys)], starts.tolist()
+        words, raw = [names[i] for i in last.tolist()], counts.astype("<u4").tobytes()
+        for a, b, first, total in zip(starts, ends, firsts, totals):
+            name = prefixes[first]
+            parts = WORD_PARTS if self.length == 0 else self.parts.get((lang, name), 1) if self.parts else 1
             if parts == 1:
-                yield lang, spelled, 0, b" ".join([names[i] for i in last[a:b]]).decode(), counts[a:b].tobytes()
+                yield lang, name.decode(), 0, total, b" ".join(words[a:b]).decode(), raw[4 * a : 4 * b]
                 continue
-            dealt = np.array([zlib.crc32(names[i]) % parts for i in last[a:b]])
+            dealt = np.array([zlib.crc32(w) % parts for w in words[a:b]])
             order = np.argsort(dealt, kind="stable")
             cuts = np.flatnonzero(np.diff(dealt[order])) + 1
             for group in np.split(order, cuts):
-                some = b" ".join([names[last[a + i]] for i in group.tolist()]).decode()
-                yield lang, spelled, int(dealt[group[0]]), some, counts[a:b][group].tobytes()
+                some = b" ".join([words[a + i] for i in group.tolist()]).decode()
+                n = counts[a:b][group]
+                yield lang, name.decode(), int(dealt[group[0]]), int(n.sum()), some, n.astype("<u4").tobytes()
 
 
 class _Pairs:
@@ -215,7 +217,7 @@ class _Pairs:
 
 
 def stripes(docs: DataFrame, length: int, least: int, frequent: Filter | None, parts: dict, flush: int) -> DataFrame:
-    """(lang, prefix, part, total, word, n): merged stripes; counters under ``least`` are only in the total."""
+    """(lang, prefix, part, total, words, counts): merged stripes; counters under ``least`` are only in the total."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((frequent, parts))
 
@@ -229,15 +231,19 @@ def stripes(docs: DataFrame, length: int, least: int, frequent: Filter | None, p
 
     def merge(rows):
         for (lang, prefix, part), group in groupby(rows, key=lambda r: r[:3]):
-            stripe: defaultdict[str, int] = defaultdict(int)
-            for *_, words, counts in group:
-                for word, n in zip(words.split(" "), np.frombuffer(counts, "<u4").tolist()):
-                    stripe[word] += n
-            kept = [(w, n) for w, n in stripe.items() if n >= least]
-            yield lang, prefix, part, sum(stripe.values()), [w for w, _ in kept], [n for _, n in kept]
+            packed = list(group)
+            total, kept = sum(r[3] for r in packed), []
+            if total >= least:
+                stripe: defaultdict[str, int] = defaultdict(int)
+                for *_, words, counts in packed:
+                    for word, n in zip(words.split(" "), np.frombuffer(counts, "<u4").tolist()):
+                        stripe[word] += n
+                kept = [(w, n) for w, n in stripe.items() if n >= least]
+            if kept or not length:
+                yield lang, prefix, part, total, [w for w, _ in kept], [n for _, n in kept]
 
     marked = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    filled = map_rows(marked, fill, "lang string, prefix string, part int, words string, counts binary")
+    filled = map_rows(marked, fill, "lang string, prefix string, part int, total long, words string, counts binary")
     dealt = filled.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
     return map_rows(dealt, merge, "lang string, prefix string, part int, total long, words array<string>, counts array<long>")
 

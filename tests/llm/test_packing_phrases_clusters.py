@@ -304,3 +304,18 @@ def test_approach_is_never_too_small():
         points = center + radius * points / np.linalg.norm(points, axis=1, keepdims=True) * rng.uniform(0, 1, (300, 1)) ** 0.2
         nearer = np.linalg.norm(points - before, axis=1) - np.linalg.norm(points - after, axis=1)
         assert nearer.max() <= drift_clusters.approach(center, radius, before, after)
+
+
+def test_both_libraries_give_the_same_ids(spark):
+    rng = random.Random(8)
+    own, coder = Tokenizer.from_file(BYTE_BPE), packing.coder(BYTE_BPE)
+    assert coder.ranks is not None
+    letters = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x250), 9, 10, 13, 0x2019, 0x20AC)] + [" ", "  ", "\n\n", "'s", "'LL", " the", "ing", "<|endoftext|>", "<|end"] * 20
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 300))) for _ in range(400)] + ["a" * 3000, "12 " * 900, "x" + " " * 900 + "y", "﻿ß᠎中文 \x85 \x1c", "ǅ²½ª"]
+    texts += [r["text"] or "" for r in read(spark, SF, "documents").collect()]
+    used = 0
+    for text in texts:
+        expected = own.encode(text, add_special_tokens=False).ids
+        assert coder.ids(text).tolist() == expected
+        used += not packing._UNCOMMON.search(text)
+    assert used > 0.5 * len(texts)
