@@ -3,7 +3,8 @@
 Merges of a word can only depend on a bounded number of symbols to the right: ``sufficient_lookahead`` computes
 that number from the merge list.  A long word is therefore read in blocks; tokens that end before the last
 ``lookahead`` symbols of the block are stable and leave, and the rest starts the next block, so that a word of
-any length needs the memory of one block.  (Merging the rest anew is right: no merge of the whole word crosses
+any length needs the memory of one block.  A block in which no token is stable, as one token fills it, is doubled; the
+longest token and the lookahead bound that.  (Merging the rest anew is right: no merge of the whole word crosses
 a token's end, so both sides merge independently.)  Short words are merged at once and kept in a
 cache of bounded size.  Decoding feeds token bytes through an incremental UTF-8 decoder, whose state
 carries characters that are cut between tokens.
@@ -149,10 +150,10 @@ class Transducer:
 
     def word(self, symbols: bytes) -> Iterator[list[int]]:
         """Token ids of one word, block by block as they become stable."""
-        at, n = 0, len(symbols)
+        at, n, block = 0, len(symbols), self.block
         width = None
         while at < n:
-            stop = min(n, at + self.block)
+            stop = min(n, at + block)
             ids = [self.inside[b] for b in symbols[at:stop]]
             if stop == n:
                 ids[-1] = self.last[symbols[-1]]
@@ -166,6 +167,8 @@ class Transducer:
                     break
                 stable.append(t)
                 at = end
+            # A token of the block's length leaves none stable: a larger block, at most the longest token and the lookahead, has one.
+            block = self.block if stable else 2 * block
             yield stable
 
     @lru_cache(maxsize=1)  # noqa: B019

@@ -1,6 +1,7 @@
 """BPE encoding and decoding against the tokenizers library."""
 
 import hashlib
+import json
 import random
 from array import array
 
@@ -89,3 +90,19 @@ def test_whole_table(spark, library):
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, WORD_BPE).collect()}
     for row in docs.collect():
         assert got[row["doc_id"]] == library.encode(row["text"] or "", add_special_tokens=False).ids
+
+
+def test_token_longer_than_a_block(tmp_path):
+    """Merges that grow by one letter need little lookahead, yet one token fills many blocks."""
+    letters, merges = bpe.byte_letters(), []
+    for k in range(1, 26):
+        merges.append(("abcdefghijklmnopqrstuvwxyz"[:k], "abcdefghijklmnopqrstuvwxyz"[k]))
+    names = [*letters, *(a + b for a, b in merges)]
+    vocab = {n: i for i, n in enumerate(names)}
+    path = tmp_path / "letters.json"
+    path.write_text(json.dumps({"added_tokens": [], "model": {"type": "BPE", "vocab": vocab, "merges": [f"{a} {b}" for a, b in merges]}}))
+    t = bpe.Transducer(str(path))
+    assert (t.lookahead, t.block) == (2, 8)
+    word = "abcdefghijklmnopqrstuvwxyz" * 40 + "abcx" + "a" * 200
+    expected = t.merged_by_heap([t.inside[b] for b in word.encode()])
+    assert ids(t, word) == expected and expected[:40] == [vocab["abcdefghijklmnopqrstuvwxyz"]] * 40
