@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names, ratios
+from quarterlight.operators import ranks
 from quarterlight.operators.joins import lookup_join
+from quarterlight.session import stored
 
 
 def member_name(ordinal: int) -> str:
@@ -39,6 +41,16 @@ def peer_groups(members: DataFrame) -> DataFrame:
     )
 
 
+def large_peer_groups(members: DataFrame) -> DataFrame:
+    """The same as ``peer_groups`` for groups of any size: places are counted in ranges, so no task holds a group."""
+    first = members.groupBy("peer_group", "rssd_id").agg(F.min("seq").alias("seq"))
+    place = F.struct("seq", "rssd_id").alias("place")
+    counted = ranks.cumulative(first.select("peer_group", place, F.lit(1).cast("long").alias("n")), ["peer_group"], "place")
+    sizes = first.groupBy("peer_group").agg(F.count(F.lit(1)).cast("int").alias("set_size"))
+    placed = counted.select("peer_group", "place.rssd_id", (F.col("upto") - 1).cast("int").alias("ordinal"))
+    return lookup_join(placed, sizes, ["peer_group"]).select("peer_group", "rssd_id", "ordinal", "set_size")
+
+
 def attach_peers(rows: DataFrame, peers: DataFrame) -> DataFrame:
     """Rows of peer-group members, with group, ordinal and size (an institution in one group)."""
     return lookup_join(rows, peers, ["rssd_id"], how="inner")
@@ -105,31 +117,32 @@ def ratio_table(peer_metrics: DataFrame, keys: list[str], columns: int = dims.MA
 
 
 def peer_statistics(peer_metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, median, population deviation and the primary's percentile for five metrics."""
-    items = [(i, label, d, m) for i, (label, m, d) in enumerate(dims.STATISTIC_METRICS)]
-    matrix = _laid_out(peer_metrics, keys, "row_ix int, label string, divisor double", items, 1)
-    scaled = matrix.withColumn("members", F.transform("members", lambda v: v / F.col("divisor")))
-    scaled = scaled.withColumn("mean", _mean(F.col("members")))
-    ranked, n = F.sort_array("members"), F.col("set_size")
-    low = F.get(ranked, ((n - 1) / 2).cast("int"))
-    high = F.get(ranked, (n / 2).cast("int"))
-    squares = F.transform("members", lambda v: (v - F.col("mean")) * (v - F.col("mean")))
-    own = F.get("members", F.lit(0))
-    at_most = F.size(F.filter("members", lambda v: v <= own))
-    return scaled.select(
-        *keys, "peer_group", "row_ix", "label", "mean",
-        ((low + high) / 2).alias("median"),
-        F.sqrt(_mean(squares)).alias("std_dev"),
-        (at_most / n.cast("double") * 100).alias("primary_percentile"),
+    """Mean, median, population deviation and the primary's percentile for five metrics, for groups of any size.
+
+    Values are counted and ranked in ranges (``ranks``); a member without data counts as 0, in one row for all of them.
+    """
+    by = [*keys, "peer_group", "row_ix", "label"]
+    items = F.array(
+        *[
+            F.struct(F.lit(i).alias("row_ix"), F.lit(label).alias("label"), (F.coalesce(F.col(m).cast("double"), F.lit(0.0)) / F.lit(d)).alias("value"))
+            for i, (label, m, d) in enumerate(dims.STATISTIC_METRICS)
+        ]
+    )
+    rows = stored(peer_metrics.select(*keys, "peer_group", "ordinal", "set_size", F.inline(items)), "values")
+    groups = rows.groupBy(*by).agg(
+        F.max("set_size").alias("set_size"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("ordinal") == 0, F.col("value"))), F.lit(0.0)).alias("own")
     )
+    absent = groups.filter("set_size > n").select(*by, F.lit(0.0).alias("value"), (F.col("set_size") - F.col("n")).alias("n"))
+    counts = ranks.value_counts(rows, by).unionByName(absent).groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    found = ranks.statistics(stored(counts, "counts"), by, groups.select(*by, "own"))
+    return found.select(*by, "mean", "median", "std_dev", F.col("percentile").alias("primary_percentile"))
 
 
 def percentile_ranks(peer_metrics: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Share of group members whose value is at most the member's own, for every member."""
+    """Share of group members whose value is at most the member's own, for every member, in groups of any size."""
     items = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics]
     long = peer_metrics.select(*keys, "peer_group", "rssd_id", F.inline(F.array(*items)))
-    group = Window.partitionBy(*keys, "peer_group", "metric").orderBy("value")
-    return long.withColumn("percentile", F.cume_dist().over(group) * 100)
+    return ranks.percentile_ranks(stored(long, "values"), [*keys, "peer_group", "metric"])
 
 
 def share_of_largest(metrics: DataFrame, keys: list[str], value: str = "total_assets") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from quarterlight import dims
 from quarterlight.functions import names, text
-from quarterlight.operators.joins import lookup_join, running_values
+from quarterlight.operators.joins import computed_once, lookup_join, running_values
 from quarterlight.sources import documents
 
 
@@ -84,17 +84,16 @@ def financial_sections(
 
     Blocks over ``limit`` characters are running text rather than headings: they are kept and flagged (``is_heading``).
     """
-    lower = F.lower("text")
     listed = F.array(*[F.lit(k) for k in keywords])
-    hit = F.get(F.filter(listed, lambda k: F.contains(lower, k)), F.lit(0))
-    found = blocks.withColumn("keyword", hit)
+    lower = computed_once(computed_once(blocks, "_plain", F.col("text")), "_lower", F.lower("_plain"))
+    found = computed_once(lower, "keyword", F.get(F.filter(listed, lambda k: F.contains(F.col("_lower"), k)), F.lit(0)))
     return found.filter(F.col("keyword").isNotNull()).select(
         *keys,
         "block_ix",
         "tag",
-        lower.alias("shown_text"),
+        F.col("_lower").alias("shown_text"),
         "keyword",
-        (F.length("text") <= limit).alias("is_heading"),
+        (F.length("_plain") <= limit).alias("is_heading"),
         section_priority(F.col("keyword")).alias("priority"),
     )
 
@@ -119,7 +118,7 @@ def tables_with_sections(
 
     def heading(block: Column) -> Column:
         """The keyword, '' for a stop heading, null for other text."""
-        lower, tag = F.lower(documents.block_text(block)), documents.block_tag(block)
+        lower, tag = block["text"], block["tag"]
         keyword = F.get(F.filter(listed, lambda k: F.contains(lower, k)), F.lit(0))
         stop = tag.isin(*dims.SECTION_STOP_TAGS) & F.exists(stops, lambda k: F.contains(lower, k))
         return F.when(F.length(lower) <= limit, F.coalesce(keyword, F.when(stop, "")))
@@ -127,7 +126,9 @@ def tables_with_sections(
     def last_heading(piece: Column) -> Column:
         outside = F.element_at(F.split(piece, r"(?i)</table\s*>"), -1)
         blocks = F.filter(documents.block_pieces(outside), lambda p: p.contains("\u0002"))
-        return F.try_element_at(F.filter(F.transform(blocks, heading), lambda h: h.isNotNull()), F.lit(-1))
+        # The markup of a block is cleaned once, however many keywords look at it.
+        cleaned = F.transform(blocks, lambda p: F.struct(F.lower(documents.block_text(p)).alias("text"), documents.block_tag(p).alias("tag")))
+        return F.try_element_at(F.filter(F.transform(cleaned, heading), lambda h: h.isNotNull()), F.lit(-1))
 
     # The piece before the n-th opening tag is about table n; its heading is carried over later tables.
     pieces = docs.select(*keys, F.posexplode(F.split(no_comments, r"(?i)<table\b")).alias("table_ix", "_piece"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names, ratios, text
-from quarterlight.operators import compare, ledger, metrics, normalize, quality, report_rows, search, tables
+from quarterlight.operators import compare, ledger, metrics, normalize, quality, records, report_rows, search, tables
 from quarterlight.plans import derived as D
 from quarterlight.plans import reports
 from quarterlight.session import new_folder, stored
 from quarterlight.sinks import tables as sinks
-from quarterlight.sources import dictionaries, documents, listing, schedules
+from quarterlight.sources import byte_ranges, dictionaries, documents, listing, schedules
 from quarterlight.streaming import new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,19 @@ def _(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", listing.fingerprint(content).alias("file_hash"))
 
 
+@query("S6_merkle_fingerprint")
+def _(spark, sf):
+    """Every text as a file of 64-byte leaves, four to a node, and the same with another last byte."""
+    docs = D.table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    size = F.octet_length("content")
+    changed = F.concat(F.substring(F.col("content"), F.lit(1), size - 1), F.lit("~").cast("binary"))
+    files = docs.withColumn("edition", F.lit(0)).unionByName(docs.select("doc_id", changed.alias("content"), F.lit(1).alias("edition")))
+    starts = F.posexplode(F.sequence(F.lit(0), size - 1, F.lit(64))).alias("leaf_ix", "start")
+    leaves = files.select("doc_id", "edition", "content", starts).withColumn("content", F.expr("substring(content, start + 1, 64)"))
+    most = files.agg(F.max(F.ceil(size / 64))).first()[0] or 1
+    return byte_ranges.merkle_roots(leaves, most, ("doc_id", "edition"), 4)
+
+
 @query("S7_code_dictionary")
 def _(spark, sf):
     return dictionaries.code_descriptions(D.dictionary_documents(spark, sf))
@@ -177,10 +190,26 @@ def _(spark, sf):
     return lines.select("doc_id", "line_no", F.array_join("cells", "¦").alias("cells"))
 
 
+@query("S11_quoted_records")
+def _(spark, sf):
+    found = records.delimited_records(D.quoted_documents(spark, sf), block_chars=1000)
+    return found.select("doc_id", "record_no", F.array_join("cells", "¦").alias("cells"))
+
+
 def _grids(spark, sf):
     return documents.table_grids(documents.html_tables(D.html_documents(spark, sf)))
 
 
+@query("S12_spanned_cells")
+def _(spark, sf):
+    return documents.explode_cells(documents.table_grids(documents.html_tables(D.spanned_documents(spark, sf))))
+
+
+@query("S12_merged_cells")
+def _(spark, sf):
+    return documents.merged_cells(documents.html_tables(D.spanned_documents(spark, sf)))
+
+
 @query("S12_html_tables")
 def _(spark, sf):
     return documents.explode_cells(_grids(spark, sf))
@@ -601,6 +630,22 @@ def _(spark, sf):
     return rounded(compare.peer_statistics(_members(spark, sf), QUARTER), 8)
 
 
+def _everyone(spark, sf):
+    """All institutions as one peer group."""
+    members = D.peer_members(spark, sf).select(F.lit(0).alias("peer_group"), "rssd_id", F.col("rssd_id").cast("int").alias("seq"))
+    return compare.attach_peers(D.metric_table(spark, sf), compare.large_peer_groups(members))
+
+
+@query("A7_one_large_group")
+def _(spark, sf):
+    return rounded(compare.peer_statistics(_everyone(spark, sf), QUARTER), 8)
+
+
+@query("W7_one_large_group")
+def _(spark, sf):
+    return rounded(compare.percentile_ranks(_everyone(spark, sf), QUARTER, ["total_assets", "roa", "npl_ratio"]))
+
+
 @query("A8_amounts_per_schedule")
 def _(spark, sf):
     return compare.amounts_per_schedule(D.long_table(spark, sf), QUARTER)

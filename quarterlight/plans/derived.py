@@ -385,6 +385,37 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, html: one table for each order, with row and column spans of four kinds; ids repeat or are missing."""
+    k, amt = F.col("k").cast("string"), F.col("amt").cast("string")
+    html = (
+        F.when(F.col("k") % 4 == 0, F.concat(F.lit(
+            '<table><tr><th rowspan="2">Item</th><th colspan=2>Amounts</th></tr><tr><th>New</th><th>Old</th></tr><tr><td>No '), k,
+            F.lit("</td><td>"), amt, F.lit("</td><td>5</td></tr></table>")))
+        .when(F.col("k") % 4 == 1, F.concat(F.lit('<p>x</p><table><tr><td rowspan="0">Group '), k, F.lit("</td><td>first</td></tr><tr><td>second</td></tr><tr><td>third</td></tr></table>")))
+        .when(F.col("k") % 4 == 2, F.concat(F.lit("<table><tr><td rowspan=2>left</td><td ROWSPAN='9'>"), amt, F.lit(
+            "</td><td>right</td></tr><tr><td colspan='2'>wide</td></tr><tr><td>under</td><td>last</td></tr></table>")))
+        .otherwise(F.concat(F.lit("<table><tr><td>only "), k, F.lit("</td></tr></table>")))
+    )
+    return _orders(spark, sf_dir).select(F.when(F.col("k") % 10 != 0, F.expr("k div 2")).alias("doc_id"), html.alias("html"))
+
+
+def quoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: 128 order keys per document; quoted cells hold separators, quotes and line breaks; every fourth id is missing."""
+    k = F.col("k")
+    doc = F.expr("k div 128")
+    sep = F.when(doc % 3 == 0, "\t").when(doc % 3 == 1, "|").otherwise(",")
+    line = (
+        F.when(k % 23 == 0, "")
+        .when(k % 7 == 0, F.concat(F.lit('"first'), sep, F.lit('line\n\nof ""'), k.cast("string"), F.lit('"""'), sep, F.lit('"\n"'), sep))
+        .otherwise(F.concat(k.cast("string"), sep, F.lit('"'), F.col("amt").cast("string"), F.lit('\r\nend"'), F.when(k % 2 == 0, "\r").otherwise("")))
+    )
+    rows = _orders(spark, sf_dir).select(doc.alias("doc_id"), "k", line.alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda r: r["line"]), "\n")
+    last = F.when(F.col("doc_id") % 2 == 0, "\n").otherwise("")
+    return rows.groupBy("doc_id").agg(body.alias("body")).select(F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")).alias("doc_id"), F.concat("body", last).alias("content"))
+
+
 def fact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: tagged facts of 64 order keys; every fifth document has plain numbers only."""
     k = F.col("k")

@@ -236,6 +236,15 @@ ledger AS (
 SQL["S5_file_inventory"] = f"""WITH {FILES} SELECT filepath, schedule_code, mdy AS report_date, year, quarter, quarter_key,
   CASE WHEN part_text <> '' THEN k % 2 + 1 END AS part, file_size FROM inv"""
 SQL["S6_content_fingerprint"] = "SELECT doc_id, sha256(text) AS file_hash FROM documents"
+SQL["S6_merkle_fingerprint"] = """WITH RECURSIVE d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE text <> ''),
+  f AS (SELECT doc_id, 0 AS edition, hex(b) AS h FROM d UNION ALL SELECT doc_id, 1, hex(b)[1:-3] || '7E' FROM d),
+  l AS (SELECT doc_id, edition, i AS ix, sha256(unhex('4C' || h[i * 128 + 1:i * 128 + 128])) AS hash, 1 AS leaves
+    FROM (SELECT *, unnest(range((length(h) + 127) // 128)) AS i FROM f)),
+  n AS (SELECT doc_id, edition, 0 AS height, ix, hash, count(*) OVER (PARTITION BY doc_id, edition) AS n_leaves, count(*) OVER (PARTITION BY doc_id, edition) AS width FROM l
+    UNION ALL
+    SELECT doc_id, edition, height + 1, ix // 4, sha256('N' || string_agg(hash, '' ORDER BY ix)), any_value(n_leaves), (any_value(width) + 3) // 4
+    FROM n WHERE width > 1 GROUP BY doc_id, edition, height, ix // 4)
+  SELECT doc_id, edition, n_leaves, hash AS root FROM n WHERE width = 1"""
 SQL["S7_code_dictionary"] = "SELECT 'RCON' || p_partkey AS mdrm_code, p_name AS description FROM part"
 SQL["S8_institution_lookup"] = "SELECT CAST(s_suppkey AS VARCHAR) AS rssd_id, s_name AS name FROM supplier"
 COMPANIES = """companies AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, CAST(c_custkey AS VARCHAR) AS cik_raw,
@@ -255,6 +264,27 @@ DELIMITED = """lines AS (
 SQL["S11_delimited_documents"] = f"""WITH {DELIMITED} SELECT doc_id, line_no, CASE WHEN blank THEN ''
   WHEN heads THEN 'Schedule RC-' || k || '¦x' ELSE 'item, ' || k || '¦' || amt || '¦' END AS cells FROM lines"""
 
+SQL["S11_quoted_records"] = """WITH lines AS (
+  SELECT o_orderkey AS k, o_orderkey // 128 AS d, CAST(round(o_totalprice) AS BIGINT) AS amt FROM orders),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k) - 1 AS record_no, k = max(k) OVER (PARTITION BY d) AS is_last FROM lines)
+  SELECT CASE WHEN d % 4 <> 0 THEN d END AS doc_id, record_no, CASE WHEN k % 23 = 0 THEN '' WHEN k % 7 = 0
+    THEN 'first' || CASE d % 3 WHEN 0 THEN chr(9) WHEN 1 THEN '|' ELSE ',' END || 'line' || chr(10) || chr(10) || 'of "' || k || '"¦' || chr(10) || '¦'
+    ELSE k || '¦' || amt || chr(13) || chr(10) || 'end' END AS cells
+  FROM numbered WHERE NOT (is_last AND k % 23 = 0 AND d % 2 <> 0)"""
+_SPANNED = """t AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey // 2 END AS doc_id, 0 AS table_ix, o_orderkey AS k, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS amt FROM orders)"""
+SQL["S12_spanned_cells"] = f"""WITH {_SPANNED}, g AS (SELECT doc_id, table_ix, CASE k % 4
+    WHEN 0 THEN [['Item', 'Amounts', ''], ['', 'New', 'Old'], ['No ' || k, amt, '5']]
+    WHEN 1 THEN [['Group ' || k, 'first'], ['', 'second'], ['', 'third']]
+    WHEN 2 THEN [['left', amt, 'right', ''], ['', '', 'wide', ''], ['under', '', 'last', '']]
+    ELSE [['only ' || k]] END AS rows FROM t),
+  r AS (SELECT doc_id, table_ix, unnest(rows) AS row, generate_subscripts(rows, 1) - 1 AS row_ix FROM g)
+  SELECT doc_id, table_ix, CAST(row_ix AS INTEGER) AS row_ix, CAST(generate_subscripts(row, 1) - 1 AS INTEGER) AS col_ix, unnest(row) AS text FROM r"""
+SQL["S12_merged_cells"] = f"""WITH {_SPANNED}, m AS (SELECT doc_id, table_ix, unnest(CASE k % 4
+    WHEN 0 THEN [{{'row_ix': 0, 'col_ix': 0, 'colspan': 1, 'rowspan': 2, 'value': 'Item'}}, {{'row_ix': 0, 'col_ix': 1, 'colspan': 2, 'rowspan': 1, 'value': 'Amounts'}}]
+    WHEN 1 THEN [{{'row_ix': 0, 'col_ix': 0, 'colspan': 1, 'rowspan': 3, 'value': 'Group ' || k}}]
+    WHEN 2 THEN [{{'row_ix': 0, 'col_ix': 0, 'colspan': 1, 'rowspan': 2, 'value': 'left'}}, {{'row_ix': 0, 'col_ix': 1, 'colspan': 1, 'rowspan': 3, 'value': amt}},
+      {{'row_ix': 1, 'col_ix': 2, 'colspan': 2, 'rowspan': 1, 'value': 'wide'}}] END, recursive := true) FROM t)
+  SELECT * FROM m"""
 HTML = """rows AS (
   SELECT o_orderkey AS k, o_orderkey // 256 AS doc_id, CAST(o_orderkey // 32 % 8 AS INTEGER) AS table_ix,
     CAST(o_orderkey % 32 + 1 AS INTEGER) AS row_ix, CAST(round(o_totalprice) AS BIGINT) AS amt,
@@ -529,6 +559,8 @@ SQL["A7_peer_statistics"] = f"""WITH {MEMBERS}, m AS ({_matrix(_stat_rows)}),
   SELECT m.quarter_key, m.peer_group, m.row_ix, m.label, round(avg(v), 8) AS mean, round(median(v), 8) AS median,
     round(stddev_pop(v), 8) AS std_dev, round(100.0 * count(*) FILTER (v <= pv) / count(*), 8) AS primary_percentile
   FROM m JOIN p ON p.quarter_key = m.quarter_key AND p.peer_group = m.peer_group AND p.row_ix = m.row_ix GROUP BY 1, 2, 3, 4"""
+_ONE_GROUP = "s_suppkey // 11 * 3 + CASE WHEN s_suppkey % 11 = 0 THEN 0 WHEN s_suppkey % 11 < 5 THEN 1 ELSE 2 END", "0"
+SQL["A7_one_large_group"] = SQL["A7_peer_statistics"].replace(*_ONE_GROUP)
 SQL["A8_amounts_per_schedule"] = f"WITH {LONG} SELECT quarter_key, schedule_code, count(*) AS amounts FROM long GROUP BY 1, 2"
 SQL["A9_report_summary"] = f"""WITH {LONG} SELECT quarter_key, schedule_code, coalesce(any_value(sname), schedule_code) AS schedule_name, count(*) AS n_rows,
   count(DISTINCT rssd_id) AS institutions FROM long LEFT JOIN info ON sc = schedule_code GROUP BY 1, 2"""
@@ -624,6 +656,7 @@ _ranks = " UNION ALL ".join(
 )
 SQL["W7_percentile_ranks"] = f"""WITH {RATIOS}, {PEERS}, r AS ({_ranks}) SELECT quarter_key, peer_group, rssd_id, metric, round(v, 6) AS value,
   round(cume_dist() OVER (PARTITION BY quarter_key, peer_group, metric ORDER BY v) * 100, 6) AS percentile FROM r"""
+SQL["W7_one_large_group"] = SQL["W7_percentile_ranks"].replace(*_ONE_GROUP)
 SQL["O1_top_items"] = f"""WITH {LONG} SELECT rssd_id, quarter_key, CAST(rk AS INTEGER) AS rank, line_item, description, mdrm_code,
   round(amount_num, 6) AS amount_num FROM (SELECT *, row_number() OVER (PARTITION BY rssd_id, quarter_key ORDER BY amount_num DESC, code_seq) AS rk
     FROM long WHERE schedule_code = 'RC') WHERE rk <= 5"""

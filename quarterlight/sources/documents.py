@@ -44,16 +44,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def html_tables(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per table: its number in the document, raw body text and raw row bodies.
 
-    The text is cut at every table tag, one row per piece.  The depth after a piece is a running sum, and the table it
+    Rows that share an id, or have none, are documents of their own.  The text is cut at every table tag, one row per piece.  The depth after a piece is a running sum, and the table it
     belongs to is the last one opened at that depth, so a nested table's rows are its own and the outer table keeps
     the pieces around it.  The work grows with the pieces, and pieces of one document stay in one partition throughout.
     """
     no_comments = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    pieces = docs.select(*keys, F.posexplode(F.split(no_comments, _TABLE_EDGE)).alias("_ix", "_piece"))
+    docs = docs.withColumn("_doc", F.monotonically_increasing_id())
+    pieces = docs.select("_doc", *keys, F.posexplode(F.split(no_comments, _TABLE_EDGE)).alias("_ix", "_piece"))
     tag = F.lower(F.substring("_piece", 1, 7))
     opens, closes = tag.startswith("<table"), tag.startswith("</table")
-    so_far = Window.partitionBy(*keys).orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
-    at_depth = Window.partitionBy(*keys, "_depth").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_doc").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
+    at_depth = Window.partitionBy("_doc", "_depth").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
     stepped = pieces.withColumn("_step", F.when(opens, 1).when(closes, -1).otherwise(0)).withColumns(
         {"_number": F.sum(F.when(opens, 1).otherwise(0)).over(so_far), "_sum": F.sum("_step").over(so_far)}
     )
@@ -61,7 +62,7 @@ def html_tables(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("d
     depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))
     inside = stepped.withColumn("_depth", depth).filter("_depth > 0")
     owned = inside.withColumn("_owner", F.max(F.when(F.col("_step") == 1, F.col("_number"))).over(at_depth))
-    gathered = owned.groupBy(*keys, "_owner").agg(F.sort_array(F.collect_list(F.struct("_ix", "_piece"))).alias("_ps"))
+    gathered = owned.groupBy("_doc", *keys, "_owner").agg(F.sort_array(F.collect_list(F.struct("_ix", "_piece"))).alias("_ps"))
     tables = gathered.select(
         *keys, (F.col("_owner") - 1).cast("int").alias("table_ix"), F.array_join(F.transform("_ps", lambda p: p["_piece"]), "").alias("table_html")
     )
@@ -69,31 +70,107 @@ def html_tables(docs: DataFrame, html: str = "html", keys: tuple[str, ...] = ("d
     return computed_once(tables, "row_html", rows)
 
 
+#: The most that HTML lets one cell span.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+
+
 def _row_cells(row: Column, negatives_first: bool) -> Column:
-    """Cleaned cells of one row; a colspan is followed by blank cells."""
+    """Cells of one row: cleaned text, colspan, rowspan (0: to the end of the table)."""
     pieces = F.slice(F.split(row, r"(?i)<(?=t[dh]\b)"), 2, 2_000_000_000)
 
     def expand(piece: Column) -> Column:
         tag_end = F.instr(piece, F.lit(">"))
         attributes = F.substring(piece, F.lit(1), tag_end)
         body = F.get(F.split(F.substring(piece, tag_end + 1, F.length(piece)), r"(?i)</t[dhr]\b", 2), F.lit(0))
-        span = F.coalesce(
-            F.nullif(F.regexp_extract(attributes, r"""(?i)colspan\s*=\s*["']?(\d+)""", 1), F.lit("")).try_cast("int"),
-            F.lit(1),
-        )
+
+        def span(name: str, most: int) -> Column:
+            number = F.nullif(F.regexp_extract(attributes, rf"""(?i){name}\s*=\s*["']?\s*(\d+)""", 1), F.lit(""))
+            # A number of too many digits is over the limit too.
+            return F.coalesce(F.when(number.isNotNull(), F.least(F.coalesce(number.try_cast("int"), F.lit(most)), F.lit(most))), F.lit(1))
+
         cell = text.clean_cell(text.markup_text(body), negatives_first)
-        return F.concat(F.array(cell), F.array_repeat(F.lit(""), F.greatest(span - 1, F.lit(0))))
+        return F.struct(cell.alias("text"), F.greatest(span("colspan", MAX_COLSPAN), F.lit(1)).alias("colspan"), span("rowspan", MAX_ROWSPAN).alias("rowspan"))
+
+    return F.transform(pieces, expand)
+
+
+_PLACED = "array<struct<col:int,colspan:int,rowspan:int,text:string>>"
+
+
+def _let(value: Column, then) -> Column:
+    """A value that an expression uses several times, worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _placed_row(open_: Column, cells: Column) -> Column:
+    """struct(open, placed): the cells of one row put into the columns that no span from above covers.
+
+    ``open`` has, for each column, how many rows (this one included) are still covered.
+    """
+
+    def step(state: Column, cell: Column) -> Column:
+        width = F.size(state["open"])
+        free = F.get(F.filter(F.sequence(state["x"], F.greatest(state["x"], width)), lambda i: F.coalesce(F.get(state["open"], i), F.lit(0)) == 0), F.lit(0))
+
+        def put(x: Column) -> Column:
+            stop = (x + cell["colspan"]).cast("int")
+            rows = F.when(cell["rowspan"] == 0, MAX_ROWSPAN).otherwise(cell["rowspan"])
+            covered = lambda i: F.coalesce(F.get(state["open"], i), F.lit(0))
+            opened = F.transform(
+                F.sequence(F.lit(0), F.greatest(width, stop) - 1), lambda i: F.when((i >= x) & (i < stop), F.greatest(covered(i), rows)).otherwise(covered(i))
+            )
+            entry = F.struct(x.alias("col"), cell["colspan"].alias("colspan"), rows.alias("rowspan"), cell["text"].alias("text"))
+            return F.struct(stop.alias("x"), opened.alias("open"), F.concat(state["placed"], F.array(entry)).alias("placed"))
 
-    return F.flatten(F.transform(pieces, expand))
+        return _let(free, put)
+
+    begun = F.struct(F.lit(0).alias("x"), open_.alias("open"), F.array().cast(_PLACED).alias("placed"))
+    return F.aggregate(cells, begun, step)
+
+
+def placed_cells(tables: DataFrame, negatives_first: bool = False) -> DataFrame:
+    """Add ``placed`` (for each row its cells with col, colspan, rowspan, text) and the number of rows and columns.
+
+    One sweep over the rows carries the spans that are still open; its work is that of the grid's area.  Spans are
+    bounded as in HTML.  Where a wide cell runs into one that comes from above, both cover the place.
+    """
+    parsed = computed_once(tables, "_cells", F.transform("row_html", lambda r: _row_cells(r, negatives_first)))
+
+    def row(state: Column, cells: Column) -> Column:
+        def next_(r: Column) -> Column:
+            below = F.transform(r["open"], lambda n: F.greatest(n - 1, F.lit(0)))
+            return F.struct(below.alias("open"), F.concat(state["rows"], F.array(r["placed"])).alias("rows"))
+
+        return _let(_placed_row(state["open"], cells), next_)
+
+    begun = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(f"array<{_PLACED}>").alias("rows"))
+    swept = computed_once(parsed, "_swept", F.aggregate("_cells", begun, row))
+    return swept.withColumns({"placed": F.col("_swept.rows"), "n_rows": F.size("_swept.rows"), "n_cols": F.size("_swept.open")}).drop("_cells", "_swept")
 
 
 def table_grids(tables: DataFrame, negatives_first: bool = False) -> DataFrame:
-    """Add ``cells`` (rows of cleaned cells padded to the widest row), row and column counts."""
-    parsed = computed_once(tables, "_ragged", F.transform("row_html", lambda r: _row_cells(r, negatives_first)))
-    width = F.coalesce(F.array_max(F.transform("_ragged", lambda r: F.size(r))), F.lit(0))
-    sized = computed_once(parsed.withColumn("n_rows", F.size("_ragged")), "n_cols", width)
-    padded = F.transform("_ragged", lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("n_cols") - F.size(r))))
-    return computed_once(sized, "cells", padded).drop("_ragged")
+    """Add ``cells`` (rows of cleaned cells padded to the widest row), row and column counts.
+
+    A spanning cell's text stands in its first place; the other places that it covers are blank.
+    """
+
+    def full(cells: Column) -> Column:
+        by_place = lambda m: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit("")))
+        return _let(F.map_from_entries(F.transform(cells, lambda c: F.struct(c["col"], c["text"]))), by_place)
+
+    placed = placed_cells(tables, negatives_first)
+    # A table without any cell has rows without places.
+    grid = F.when(F.col("n_cols") > 0, F.transform("placed", full)).otherwise(F.transform("placed", lambda r: F.array().cast("array<string>")))
+    return computed_once(placed, "cells", grid).drop("placed")
+
+
+def merged_cells(tables: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_ix"), negatives_first: bool = False) -> DataFrame:
+    """keys, row_ix, col_ix, colspan, rowspan, value: the cells that cover more than one place, ends of the table taken into account."""
+    placed = placed_cells(tables, negatives_first)
+    rows = placed.select(*keys, "n_rows", F.posexplode("placed").alias("row_ix", "_row"))
+    cells = rows.select(*keys, "row_ix", F.inline("_row"), F.col("n_rows").alias("_n_rows"))
+    cells = cells.withColumn("rowspan", F.least(F.col("rowspan"), F.col("_n_rows") - F.col("row_ix")))
+    return cells.filter("colspan > 1 or rowspan > 1").select(*keys, "row_ix", F.col("col").alias("col_ix"), "colspan", "rowspan", F.col("text").alias("value"))
 
 
 def explode_cells(grids: DataFrame, keys: tuple[str, ...] = ("doc_id", "table_ix")) -> DataFrame:

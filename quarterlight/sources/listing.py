@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterlight.functions import names
 from quarterlight.operators.joins import computed_once
+from quarterlight.sources import byte_ranges
 
 MIN_BULK_FILES = 10
 
@@ -27,7 +28,7 @@ def describe_files(files: DataFrame) -> DataFrame:
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
     """Inventory of the bulk files in a folder with size, time and fingerprint.
 
-    Spark's ``binaryFile`` reads files of up to 2 GiB; split larger ones before they are listed.
+    Spark's ``binaryFile`` reads files of up to 2 GiB; ``scan_large_files`` has no such bound.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory)
     return describe_files(
@@ -41,6 +42,26 @@ def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def scan_large_files(spark: SparkSession, directory: str, leaf: int = byte_ranges.LEAF, split: int = byte_ranges.SPLIT) -> DataFrame:
+    """The same inventory with ``file_hash`` from the Merkle tree of a file's byte ranges: files of any size, read in parallel.
+
+    The list of files, not their contents, is on the driver.  Hashes are comparable among inventories of one ``leaf`` size.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(directory).select("path", "length", "modificationTime")
+    listed = [(r["path"], r["length"]) for r in files.collect()]
+    leaves = byte_ranges.file_leaves(spark, listed, leaf, split)
+    roots = byte_ranges.merkle_roots(leaves, max((-(-n // leaf) for _, n in listed), default=1)).drop("n_leaves")
+    return describe_files(
+        files.join(roots, "path").select(
+            F.col("path").alias("filepath"),
+            names.file_name(F.col("path")).alias("filename"),
+            F.col("length").alias("file_size"),
+            F.col("modificationTime").alias("last_modified"),
+            F.col("root").alias("file_hash"),
+        )
+    )
+
+
 def folder_check(files: DataFrame, keys: list[str]) -> DataFrame:
     """Per folder: number of bulk schedule files and whether there are enough of them."""
     name = F.col("filename")

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from quarterlight import dims
 from quarterlight.functions import names, text
+from quarterlight.sources import byte_ranges
 
 
 def code_columns(columns: list[str]) -> list[str]:
@@ -79,26 +80,14 @@ def plain_path(file_path: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "file:/")
 
 
-def first_lines(spark: SparkSession, directories: str | list[str]) -> DataFrame:
-    """path, header: the first line of every file below the folders, found in one distributed job."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(directories)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-    )
-    placed = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id())
-    return placed.groupBy("path").agg(F.min_by("value", "n").alias("header"))
-
-
 def group_by_header(spark: SparkSession, listed: list[tuple[str, str]]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
     """(schedule code, header) -> paths of the listed (code, path), so that each group can be one scan.
 
-    The headers come from one job over the files' folders, whatever the number of files; a file without a first
-    line, or one that is gone, is grouped under an empty header.
+    The headers come from one job that opens the listed files and reads their first lines, whatever the number and size of
+    the files; a file without a first line, or one that is gone, is grouped under an empty header.
     """
-    folders = sorted({path.rsplit("/", 1)[0] for _, path in listed})
-    found = first_lines(spark, folders).groupBy("header").agg(F.collect_list("path").alias("paths")).collect() if folders else []
-    header_of = {p: tuple(c.strip('"') for c in r["header"].rstrip("\r").split("\t")) for r in found for p in r["paths"]}
+    found = byte_ranges.first_lines(spark, [path for _, path in listed]).collect() if listed else []
+    header_of = {r["path"]: tuple(c.strip('"') for c in r["header"].split("\t")) for r in found}
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     for code, path in listed:
         groups.setdefault((code, header_of.get(path, ())), []).append(path)
