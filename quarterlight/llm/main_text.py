@@ -19,12 +19,14 @@ import html
 import math
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from quarterlight.llm.common import map_rows
 
 SKIPPED = frozenset("script style template noscript svg math iframe object canvas audio video head title select textarea button".split())
+FOREIGN, RAW_TEXT = frozenset(("svg", "math")), frozenset(("script", "style", "textarea", "title", "iframe"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong strike sub sup time tt u var".split()
@@ -45,16 +47,24 @@ OUTSIDE_WORDS = frozenset(
     " pagination pager subscribe subscription newsletter signup login popup modal overlay toolbar widget complementary contentinfo search"
     " alert disclaimer legal copyright skip".split()
 )
+#: Outside words that an article's own parts bear as well; they count only outside of an article element.
+AMBIGUOUS_WORDS = frozenset("discussion legal search alert copyright skip overlay toolbar widget header banner".split())
 INSIDE_TAGS = frozenset(("article", "main"))
 INSIDE_WORDS = frozenset("article articlebody post content maincontent entry story main".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：؟]")
 
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: A quote opens a value only straight after the equals sign.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMING = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=256)
+def closing_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I)
+
+
 class Block:
     __slots__ = ("path", "text", "linked", "outside", "inside", "score")
 
@@ -133,8 +143,14 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in SKIPPED and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if tag in FOREIGN and attributes.rstrip().endswith("/"):
+                continue
+            end = closing_tag(tag).search(page, at)
+            if end:
+                at = end.end()
+            else:  # raw text runs to the end of the page, other elements to that of their parent
+                parent_end = closing_tag(stack[-1][0]).search(page, at) if stack and tag not in RAW_TEXT else None
+                at = parent_end.start() if parent_end else n
             continue
         if tag in CLOSES:
             leave(CLOSES[tag], BARRIER_FREE.get(tag, BARRIERS))
@@ -143,7 +159,11 @@ def blocks_of(page: str) -> list[Block]:
         words = {w for group in named for w in group}
         page_header = tag == "header" and not parent[3]
         inside = tag in INSIDE_TAGS or bool(words & INSIDE_WORDS)
-        outside = parent[2] or tag in OUTSIDE_TAGS or page_header or bool(words & OUTSIDE_WORDS) and tag not in ("html", "body", "article", "main")
+        in_article = any(s[0] in INSIDE_TAGS and not s[2] for s in stack)
+        telling = words & OUTSIDE_WORDS - AMBIGUOUS_WORDS if in_article else words & OUTSIDE_WORDS
+        # A name that says both says nothing.
+        named_outside = bool(telling) and not (words & INSIDE_WORDS and words & OUTSIDE_WORDS <= AMBIGUOUS_WORDS) and tag not in ("html", "body", "article", "main")
+        outside = parent[2] or tag in OUTSIDE_TAGS or page_header or named_outside
         outside = outside or tag in INSIDE_TAGS and bool(words & {"comment", "comments", "reply", "related"})
         label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
         named_elements += inside

@@ -208,3 +208,23 @@ def test_all_pages(spark):
 def test_long_page_is_linear():
     page = "<article>" + "<div>" * 3000 + "<p>word, word." * 20000
     assert main_text.main_text(page).count("\n") == 19999
+
+
+PROSE = "A sentence of some length, with marks; it goes on for a while, and then it ends. "
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><p title=don't>First part of it.</p><p>It's more of it.</p><p>Third part.</p></article>", "First part of it.\nIt's more of it.\nThird part."),
+        ('<article><p a=\'>\' b="x>y">One.</p><p class="q"r\'s>Two.</p></article>', "One.\nTwo."),
+        ("<article><p>Before.</p><svg viewBox='0 0 1 1' /><p>After the picture.</p></article>", "Before.\nAfter the picture."),
+        ("<article><p>Before.</p><div><svg><path></div><p>After the picture.</p></article>", "Before.\nAfter the picture."),
+        ('<div class="legal content"><article><p>' + PROSE * 3 + "</p></article></div>", (PROSE * 3).strip()),
+        ('<div class="search-results entry"><article><p>' + PROSE * 3 + "</p></article></div>", (PROSE * 3).strip()),
+        ('<article><p>' + PROSE * 2 + '</p><section id="discussion"><h2>Discussion</h2><p>' + PROSE * 3 + "</p></section></article>", f"{(PROSE * 2).strip()}\nDiscussion\n{(PROSE * 3).strip()}"),
+        ('<body><ul><li><a href=x>Home page</a></li><li><a href=y>News of the day</a></li></ul><div class=layout><div class=col><p>' + PROSE * 4 + "</p><p>" + PROSE * 3 + "</p></div><div class=rail><a href=z>More</a></div></div></body>", f"{(PROSE * 4).strip()}\n{(PROSE * 3).strip()}"),
+    ],
+)
+def test_odd_pages(page, expected):
+    assert main_text.main_text(page) == expected
