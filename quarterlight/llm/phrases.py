@@ -1,7 +1,7 @@
 """Phrases of two to four words by the stripes pattern.
 
-For every prefix of none to three words there is a stripe: a counter of the words that follow it.  Tasks fill stripes from the text and
-pack each into one row; rows of one prefix are merged elementwise.  The counters of all stripes are the
+For every prefix of none to three words there is a stripe: a counter of the words that follow it.  Tasks fill stripes from the text;
+those of one prefix are merged elementwise.  The counters of all stripes are the
 frequencies of all phrases (extensions), the stripe of the empty prefix has the words and, summed, their number (the
 prefix's total), and a stripe's largest counter is the largest frequency of any phrase that adds a word to its prefix; the same
 counters, seen from the phrase without its first word, give the other side (``subsumption``).
@@ -10,9 +10,10 @@ A phrase can only be frequent if what is left without its first or last word is.
 length, and a task takes up a word only where both shorter phrases are in a filter (a bit table, at most ``FILTER_BITS``) of the
 frequent ones: a false hit there costs work and changes nothing.
 
-Hot prefixes: a stripe whose prefix has more than one in ``SHARES`` of all words is cut into parts by the next word's digest, so that a
-part has about that share at most; at most ``SHARES`` prefixes of a length can be that frequent, which bounds the table of parts
-that is broadcast.  The empty prefix has ``WORD_PARTS`` parts.  No task holds more than one part besides its own text block.
+A row holds a task's stripes of one bucket of prefixes, and a bucket is merged at once; there are as many as keep it at about
+``BUCKET_BYTES`` of text.  Hot prefixes: a stripe whose prefix has more than one in ``SHARES`` of all words is dealt to several buckets by the
+next word's digest; at most ``SHARES`` prefixes of a length can be that frequent, which bounds the table of them that is
+broadcast.  The empty prefix is dealt to all buckets.  No task holds more than one bucket, or its own ``FLUSH`` words and one text.
 
 Words are runs without space and tab inside the pieces between ``. , ; : ! ?`` and line breaks, A-Z in lower case; everything is counted
 per lang.  Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count each; without
@@ -36,7 +37,8 @@ from quarterlight.session import stored
 
 LONGEST, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
 SCORE = 2_000_000
-SHARES, WORD_PARTS, FILTER_BITS, FLUSH = 4096, 1024, 1 << 26, 1 << 22
+SHARES, FILTER_BITS, FLUSH = 4096, 1 << 26, 1 << 22
+BUCKETS, BUCKET_BYTES = 256, 1 << 22
 #: No byte of UTF-8; stands between pieces.
 BREAK = b"\xff"
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -114,8 +116,8 @@ class Words(dict):
 class Filler:
     """The stripes of one task: for prefixes of ``length`` words, counters of the next word."""
 
-    def __init__(self, length: int, frequent: Filter | None, parts: dict[tuple[str, bytes], int], flush: int):
-        self.length, self.frequent, self.parts, self.flush = length, frequent, parts, flush
+    def __init__(self, length: int, frequent: Filter | None, parts: dict[tuple[str, bytes], int], buckets: int, flush: int):
+        self.length, self.frequent, self.parts, self.buckets, self.flush = length, frequent, parts, buckets, flush
         self.waiting: dict[str, list[np.ndarray]] = defaultdict(list)
         self.words: dict[str, Words] = defaultdict(Words)
         self.size = 0
@@ -139,7 +141,7 @@ class Filler:
         self.size = 0
 
     def stripes(self, lang: str, ids: np.ndarray, names: list[bytes]):
-        """(lang, prefix, part, total, words, counts) of all phrases of ``length`` + 1 words that lie in ``ids``."""
+        """(lang, bucket, prefixes, sizes, words, counts) of all phrases of ``length`` + 1 words that lie in ``ids``."""
         hashes = np.fromiter(map(word_digest, names), np.uint64, len(names))
         n = len(ids) - self.length
         if n <= 0:
@@ -188,22 +190,25 @@ class Filler:
         keys, counts = np.unique(prefix * len(names) + follow, return_counts=True)
         before, last = keys // len(names), keys % len(names)
         starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        totals, firsts = np.add.reduceat(counts, starts).tolist(), before[starts].tolist()
-        ends, starts = [*starts[1:].tolist(), len(keys)], starts.tolist()
-        words, raw = [names[i] for i in last.tolist()], counts.astype("<u4").tobytes()
-        for a, b, first, total in zip(starts, ends, firsts, totals):
-            name = prefixes[first]
-            parts = WORD_PARTS if self.length == 0 else self.parts.get((lang, name), 1) if self.parts else 1
-            if parts == 1:
-                yield lang, name.decode(), 0, total, b" ".join(words[a:b]).decode(), raw[4 * a : 4 * b]
-                continue
-            dealt = np.array([zlib.crc32(w) % parts for w in words[a:b]])
-            order = np.argsort(dealt, kind="stable")
-            cuts = np.flatnonzero(np.diff(dealt[order])) + 1
-            for group in np.split(order, cuts):
-                some = b" ".join([words[a + i] for i in group.tolist()]).decode()
-                n = counts[a:b][group]
-                yield lang, name.decode(), int(dealt[group[0]]), int(n.sum()), some, n.astype("<u4").tobytes()
+        sizes = np.diff(np.append(starts, len(keys)))
+        named = [prefixes[i] for i in before[starts].tolist()]
+        bucket = np.repeat(np.fromiter((zlib.crc32(n) % self.buckets for n in named), np.int64, len(named)), sizes)
+        for a, n, name in zip(starts.tolist(), sizes.tolist(), named) if self.parts or not self.length else ():
+            # A hot stripe is dealt out by its words.
+            parts = self.parts.get((lang, name), 1) if self.length else self.buckets
+            if parts > 1:
+                spelled = (names[i] for i in last[a : a + n].tolist())
+                bucket[a : a + n] = [zlib.crc32(b"%s %d" % (name, zlib.crc32(w) % parts)) % self.buckets for w in spelled]
+        order = np.argsort(bucket, kind="stable")
+        bucket, before, last, counts = bucket[order], before[order], last[order].tolist(), counts[order].astype("<u4")
+        new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+        edges = np.flatnonzero(new | np.concatenate(([True], before[1:] != before[:-1])))
+        sizes = np.diff(np.append(edges, len(bucket))).astype("<u4")
+        first_edges = np.flatnonzero(new[edges])
+        for x, y in zip(first_edges.tolist(), [*first_edges[1:].tolist(), len(edges)]):
+            a, b = int(edges[x]), int(edges[y]) if y < len(edges) else len(bucket)
+            some = b"\n".join([prefixes[i] for i in before[edges[x:y]].tolist()]).decode()
+            yield lang, int(bucket[a]), some, sizes[x:y].tobytes(), b" ".join([names[i] for i in last[a:b]]).decode(), counts[a:b].tobytes()
 
 
 class _Pairs:
@@ -216,13 +221,12 @@ class _Pairs:
         return self.spelled[int(self.before[i])] + b" " + self.names[int(self.last[i])]
 
 
-def stripes(docs: DataFrame, length: int, least: int, frequent: Filter | None, parts: dict, flush: int) -> DataFrame:
-    """(lang, prefix, part, total, words, counts): merged stripes; counters under ``least`` are only in the total."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((frequent, parts))
+def stripes(docs: DataFrame, length: int, least: int, frequent: Filter | None, parts: dict, buckets: int, flush: int) -> DataFrame:
+    """(lang, prefix, total, words, counts): merged stripes; counters under ``least`` are only in the total."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, parts))
 
     def fill(rows):
-        filler = Filler(length, *sent.value, flush)
+        filler = Filler(length, *sent.value, buckets, flush)
         for lang, text in rows:
             for tokens in tokens_of(text):
                 if tokens:
@@ -230,22 +234,30 @@ def stripes(docs: DataFrame, length: int, least: int, frequent: Filter | None, p
         yield from filler.out()
 
     def merge(rows):
-        for (lang, prefix, part), group in groupby(rows, key=lambda r: r[:3]):
-            packed = list(group)
-            total, kept = sum(r[3] for r in packed), []
-            if total >= least:
-                stripe: defaultdict[str, int] = defaultdict(int)
-                for *_, words, counts in packed:
-                    for word, n in zip(words.split(" "), np.frombuffer(counts, "<u4").tolist()):
-                        stripe[word] += n
-                kept = [(w, n) for w, n in stripe.items() if n >= least]
-            if kept or not length:
-                yield lang, prefix, part, total, [w for w, _ in kept], [n for _, n in kept]
+        for (lang, _), group in groupby(rows, key=lambda r: r[:2]):
+            packed, totals = [], defaultdict(int)
+            for _, _, prefixes, sizes, words, counts in group:
+                prefixes, sizes, counts = prefixes.split("\n"), np.frombuffer(sizes, "<u4"), np.frombuffer(counts, "<u4")
+                packed.append((prefixes, sizes, words, counts))
+                for prefix, n in zip(prefixes, np.add.reduceat(counts, np.cumsum(sizes, dtype=np.int64) - sizes, dtype=np.int64).tolist()):
+                    totals[prefix] += n
+            merged: dict[str, defaultdict[str, int]] = {p: defaultdict(int) for p, n in totals.items() if n >= least}
+            for prefixes, sizes, words, counts in packed if merged else ():
+                words, counts, at = words.split(" "), counts.tolist(), 0
+                for prefix, size in zip(prefixes, sizes.tolist()):
+                    if (stripe := merged.get(prefix)) is not None:
+                        for word, n in zip(words[at : at + size], counts[at : at + size]):
+                            stripe[word] += n
+                    at += size
+            for prefix, total in totals.items():
+                kept = [(w, n) for w, n in merged[prefix].items() if n >= least] if prefix in merged else []
+                if kept or not length:
+                    yield lang, prefix, total, [w for w, _ in kept], [n for _, n in kept]
 
     marked = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    filled = map_rows(marked, fill, "lang string, prefix string, part int, total long, words string, counts binary")
-    dealt = filled.repartition("lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
-    return map_rows(dealt, merge, "lang string, prefix string, part int, total long, words array<string>, counts array<long>")
+    filled = map_rows(marked, fill, "lang string, bucket long, prefixes string, sizes binary, words string, counts binary")
+    dealt = filled.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return map_rows(dealt, merge, "lang string, prefix string, total long, words array<string>, counts array<long>")
 
 
 def phrase(prefix: str = "prefix", word: str = "word"):
@@ -285,8 +297,9 @@ def frequencies(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, length, phrase, prefix, f) of all phrases of up to ``longest`` words with f >= ``least``, and (lang, n)."""
     tables, frequent, parts, every = [], None, {}, None
+    buckets = max(BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     for length in range(longest):
-        merged = stored(stripes(docs, length, least, frequent, parts, flush), "stripes")
+        merged = stored(stripes(docs, length, least, frequent, parts, buckets, flush), "stripes")
         if length == 0:
             every = stored(merged.groupBy("lang").agg(F.sum("total").alias("n")), "words")
             total = every.agg(F.sum("n")).first()[0] or 0
