@@ -3,7 +3,8 @@
 1. Every text becomes a set of word shingles, a signature, and band keys.  Texts with the same set form a class; only
    its smallest id goes on, so that copies never meet each other.
 2. Classes that share a band key are candidates.  Each member of a key is tied to the key's smallest
-   member, and connected components of these ties are clusters: all candidates of a class are in its cluster.
+   member; of these ties, one link for a member and few between the smallest ones are enough (``ties``).  Connected
+   components of the links are clusters: all candidates of a class are in its cluster.
 3. Inside a cluster, signatures of banded candidates are compared in batches.  After each batch, a pair goes if
    the posterior probability that it reaches the threshold is below ``MISS``.  Survivors are confirmed on their full sets,
    unless links found before connect the two already.  So a cluster gives a spanning forest, not its pairs.
@@ -157,6 +158,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def ties(tied: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of the pairs (rep, low), where a member has at most one low for each of its bands.
+
+    A member keeps one link, to the smallest of its lows; its other lows are linked with that one, and as the members of
+    a large group have the same few lows, these links are few after ``distinct``.
+    """
+    each = tied.groupBy("rep").agg(F.min("low").alias("least"), F.collect_set("low").alias("lows"))
+    own = each.select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    between = each.filter(F.size("lows") > 1).select(F.explode("lows").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    return own.unionByName(between)
+
+
 class Block:
     """Candidate pairs of one task, confirmed and joined."""
 
@@ -249,8 +262,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bl
     )
     keys = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     lowest = keys.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    ties = keys.join(lowest, ["band", "key"]).filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    clusters = components(ties).withColumnsRenamed({"node": "rep", "label": "cluster"})
+    tied = keys.join(lowest, ["band", "key"]).filter("rep <> low").select("rep", "low")
+    clusters = components(ties(tied)).withColumnsRenamed({"node": "rep", "label": "cluster"})
     members = stored(clusters.join(classes.drop("digest"), "rep"), "members")
     weights = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")

@@ -280,3 +280,32 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == docs.columns
     left = Counter((r["doc_id"], r["text"]) for r in out.collect())
     assert left == Counter({rows[k]: 1 for k in (0, 1, 2, 3, 4, 8, 9)})
+
+
+def test_few_links_for_many_near_copies(spark):
+    """Members of a large group keep about one link each, and the components are those of all their ties."""
+    rng, signer = random.Random(6), near_duplicates.Signer(0.8)
+    words, rows = [f"w{i}" for i in range(300)], []
+    for i in range(600):
+        own = list(words)
+        for _ in range(6):
+            own[rng.randrange(300)] = f"v{rng.randint(0, 9)}"
+        rows.append((i, signer.sign(near_duplicates.shingles(" ".join(own), 5))[1]))
+    low = {}
+    for i, bands in reversed(rows):
+        low |= {(k, key): i for k, key in enumerate(bands)}
+    tied = [(i, low[k, key]) for i, bands in rows for k, key in enumerate(bands) if low[k, key] != i]
+    tied += [(900, 901), (900, 902), (903, 902)]
+    links = near_duplicates.ties(spark.createDataFrame(tied, "rep long, low long"))
+    assert links.count() < 0.4 * len(set(tied))
+    parent = {x: x for pair in tied for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in tied:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert {r["node"]: r["label"] for r in near_duplicates.components(links).collect()} == {x: find(x) for x in parent}
