@@ -139,11 +139,16 @@ def mark_processed(ledger: DataFrame, counts: DataFrame, now: Column | None = No
     ).drop("new_rows", "new_institutions")
 
 
-def purge_old(ledger: DataFrame, days_old: int = 90, now: dt.datetime | None = None) -> DataFrame:
-    """Drop processed rows older than ``days_old`` days."""
+def processed_before(days_old: int = 90, now: dt.datetime | None = None) -> Column:
+    """Whether a row was processed more than ``days_old`` days ago."""
     limit = (now or dt.datetime.now()) - dt.timedelta(days=days_old)
     old = F.col("is_processed") & (F.col("processed_date") < F.lit(str(limit)).cast("timestamp"))
-    return ledger.filter(~F.coalesce(old, F.lit(False)))
+    return F.coalesce(old, F.lit(False))
+
+
+def purge_old(ledger: DataFrame, days_old: int = 90, now: dt.datetime | None = None) -> DataFrame:
+    """Drop processed rows older than ``days_old`` days."""
+    return ledger.filter(~processed_before(days_old, now))
 
 
 def processing_totals(ledger: DataFrame) -> DataFrame:

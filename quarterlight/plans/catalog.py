@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names, ratios, text
-from quarterlight.operators import compare, ledger, metrics, normalize, quality, records, report_rows, search, tables
+from quarterlight.operators import compare, ledger, ledger_log, metrics, normalize, quality, records, report_rows, search, tables, term_index
 from quarterlight.plans import derived as D
 from quarterlight.plans import reports
 from quarterlight.session import new_folder, stored
 from quarterlight.sinks import tables as sinks
 from quarterlight.sources import byte_ranges, dictionaries, documents, listing, schedules
-from quarterlight.streaming import new_files
+from quarterlight.streaming import new_files, routed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,8 @@ def now():
 QUARTER = D.QUARTER
 IDS = ["rssd_id", "quarter_key"]
 MEMBER_COLUMNS = 6
+#: Codes that the amended files of the stream keep.
+AMENDED_CODES = ("RCFD2170", "RCON2170", "RCON2122", "RCON2200", "RCON6631")
 PAGE_KEYWORDS = ("que", "edthe", "und", "ción", "the")
 
 
@@ -77,23 +79,28 @@ def schedule_folder(spark: SparkSession, sf: str) -> str:
         return _WRITTEN[key]
     root = new_folder(spark, "schedules")
     wide = D.wide_schedules(spark, sf)
-    year, quarter = F.split("quarter_key", "-Q")[0], F.split("quarter_key", "-Q")[1]
-    month_day = F.when(quarter == "1", "0331").when(quarter == "2", "0630").when(quarter == "3", "0930").otherwise("1231")
     for schedule in sorted(set(D.SCHEDULE_OF.values())):
-        codes = [c for c, s in D.SCHEDULE_OF.items() if s == schedule]
-        file = F.concat(F.lit(f"FFIEC CDR Call Schedule {schedule} "), month_day, year, F.lit(".txt"))
-        (
-            wide.select(dims.ID_COLUMN, *codes, "TEXT1234", file.alias("f"))
-            .repartition("f")
-            .write.partitionBy("f")
-            .option("sep", "\t").option("header", True).option("extension", "txt")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .csv(f"{root}/FFIEC CDR Call Schedule {schedule}")
-        )
+        write_schedule(wide, schedule, f"{root}/FFIEC CDR Call Schedule {schedule}")
     _WRITTEN[key] = root
     return root
 
 
+def write_schedule(wide: DataFrame, schedule: str, target: str, codes: list[str] | None = None) -> None:
+    """One file (a Spark-written folder) per quarter with a schedule's codes, or others."""
+    year, quarter = F.split("quarter_key", "-Q")[0], F.split("quarter_key", "-Q")[1]
+    month_day = F.when(quarter == "1", "0331").when(quarter == "2", "0630").when(quarter == "3", "0930").otherwise("1231")
+    codes = codes or [c for c, s in D.SCHEDULE_OF.items() if s == schedule]
+    file = F.concat(F.lit(f"FFIEC CDR Call Schedule {schedule} "), month_day, year, F.lit(".txt"))
+    (
+        wide.select(dims.ID_COLUMN, *codes, "TEXT1234", file.alias("f"))
+        .repartition("f")
+        .write.partitionBy("f")
+        .option("sep", "\t").option("header", True).option("extension", "txt")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(target)
+    )
+
+
 def _with_file_quarter(df: DataFrame) -> DataFrame:
     fields = names.listing_fields(F.col("source_file"))
     label = names.quarter_key(fields["year"], fields["quarter"])
@@ -542,6 +549,39 @@ def _(spark, sf):
     return normalize.union_schedules(found)
 
 
+@query("J6_institution_terms")
+def _(spark, sf):
+    # Customers' names and segments, searched for terms made of suppliers' keys and segments: long and short, repeated, ids, blanks.
+    customers, key = D.table(spark, sf, "customer"), F.col("s_suppkey")
+    listed = customers.select(
+        F.col("c_custkey").cast("string").alias("rssd_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("name")
+    )
+    number = key.cast("string")
+    of_suppliers = F.array(
+        F.concat(F.lit(" #"), F.lpad(number, 8, "0")), F.concat(F.lit("R#"), F.lpad(number, 9, "0"), F.lit(" b")),
+        F.concat(number, F.lit(" m")), number, (key + 1000000).cast("string"), F.lit(" "), F.lit(None).cast("string"), F.lit("no such"),
+    )
+    terms = D.table(spark, sf, "supplier").select(F.explode(of_suppliers).alias("term")).unionByName(
+        customers.select(F.explode(F.array(F.initcap(F.substring("c_mktsegment", 2, 5)), F.substring("c_mktsegment", 1, 2), F.lit("#"))).alias("term"))
+    )
+    return term_index.search_institutions(listed, terms)
+
+
+@query("J7_company_requests")
+def _(spark, sf):
+    # Stored once: the maps of tickers would be parsed again for each kind of search.
+    companies = stored(dictionaries.company_tickers(D.ticker_documents(spark, sf)), "companies")
+    number = F.col("s_suppkey").cast("string")
+    asked = F.array(
+        F.struct(F.lit("ticker").alias("search"), F.concat(F.lit("au"), number).alias("query")),
+        F.struct(F.lit("cik").alias("search"), number.alias("query")),
+        F.struct(F.lit("cik").alias("search"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 10, "0").alias("query")),
+        F.struct(F.lit("name").alias("search"), F.concat(F.lit("R#"), F.lpad(number, 8, "0")).alias("query")),
+        F.struct(F.lit("other").alias("search"), number.alias("query")),
+    )
+    return term_index.search_companies(companies, D.table(spark, sf, "supplier").select(F.inline(asked)))
+
+
 @query("J8_filing_as_of")
 def _(spark, sf):
     return search.filing_as_of(_filings(spark, sf), "10-Q", dt.date(1998, 6, 30)).drop("form")
@@ -960,6 +1000,32 @@ def _(spark, sf):
     return ledger.purge_old(D.stored_ledger(spark, sf), 1000, NOW).select("filepath", "processing_status")
 
 
+@query("I1_ledger_log")
+def _(spark, sf):
+    """Every version of a log of five batches, one of them repeated, with a snapshot between them."""
+    root, inventory = new_folder(spark, "ledger-log"), D.inventory(spark, sf)
+    day = lambda n: NOW + dt.timedelta(days=n)
+    ledger_log.create(D.stored_ledger(spark, sf), root, day(-1))
+    ledger_log.upsert_files(spark, root, "scan", inventory, day(0))
+    first = ledger_log.state(spark, root)
+    bad = F.col("schedule_code").startswith("RC")
+    outcomes = first.filter("processing_status <> 'completed'").select(
+        "filepath", F.when(bad, "failed").otherwise("completed").alias("status"), F.when(bad, "bad file").alias("error")
+    )
+    ledger_log.set_status(spark, root, "outcomes", outcomes, day(1))
+    ledger_log.compact(spark, root, day(1))
+    ledger_log.set_status(spark, root, "outcomes", outcomes, day(5))  # again: nothing happens
+    counts = ledger_log.state(spark, root).filter("processing_status = 'completed' and not is_processed").select(
+        "filepath", F.length("filename").cast("bigint").alias("row_count"), F.lit(2).cast("bigint").alias("institution_count")
+    )
+    ledger_log.mark_processed(spark, root, "counts", counts, day(2))
+    ledger_log.reset_failed(spark, root, "reset", day(3), "1998-Q1")
+    last = ledger_log.purge_old(spark, root, "purge", day(4), 1000)
+    versions = [ledger_log.state(spark, root, n).select(F.lit(n).alias("version"), *_STATE) for n in range(last)]
+    versions.append(ledger_log.state(spark, root, as_of=day(4)).select(F.lit(last).alias("version"), *_STATE))
+    return _plain(normalize.union_schedules(versions))
+
+
 @query("I8_batch_run")
 def _(spark, sf):
     root = schedule_folder(spark, sf)
@@ -993,3 +1059,27 @@ def _(spark, sf):
         run.awaitTermination()
     rows = normalize.union_schedules([spark.read.parquet(f"{output}/{s}") for s in sorted(set(D.SCHEDULE_OF.values()))])
     return _with_file_quarter(rows).select(*IDS, "schedule_code", "mdrm_code", "line_item", "amount")
+
+
+@query("stream_amended_filings")
+def _(spark, sf):
+    # The second run finds amended files of every ninth institution with fewer codes and a new one, the third nothing new.
+    root, wide = new_folder(spark, "incoming"), D.wide_schedules(spark, sf)
+    inst, desc = D.institutions(spark, sf), D.descriptions(spark, sf)
+
+    def run():
+        routed.process_new_files(spark, f"{root}/files", inst, desc, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+
+    for schedule in ("RC", "RCN"):
+        write_schedule(wide, schedule, f"{root}/files/first {schedule}")
+    run()
+    amended = wide.filter(F.col(dims.ID_COLUMN).try_cast("int") % 9 == 0).withColumn("RCON9999", F.col("TEXT1234"))
+    write_schedule(amended, "RC", f"{root}/files/second RC", [*AMENDED_CODES, "RCON9999"])
+    run()
+    run()
+    return rounded(
+        routed.current_rows(spark, f"{root}/out").groupBy("rssd_id", "quarter_key", "schedule_code").agg(
+            F.count(F.lit(1)).alias("cells"), F.sum("amount_num").alias("total"),
+            F.count(F.when(F.col("mdrm_code") == "RCON9999", 1)).alias("new_cells"), F.max("batch").cast("int").alias("batch"),
+        )
+    )

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from quarterlight import dims
 from quarterlight.plans import derived
-from quarterlight.plans.catalog import PAGE_KEYWORDS
+from quarterlight.plans.catalog import AMENDED_CODES, PAGE_KEYWORDS
 
 SQL: dict[str, str] = {}
 
@@ -518,6 +518,19 @@ SQL["J6_institution_search"] = """WITH i AS (SELECT CASE WHEN s_suppkey % 10 = 3
 SQL["J7_company_search"] = f"""WITH {COMPANIES} SELECT cik, ticker, name, 'ticker' AS search FROM companies WHERE lower(ticker) = 'au17'
   UNION ALL SELECT cik, ticker, name, 'name' FROM companies WHERE contains(lower(name), 'customer#00000001')
   UNION ALL SELECT cik, ticker, name, 'cik' FROM companies WHERE cik_raw = '21' OR cik = '0000000022'"""
+SQL["J6_institution_terms"] = """WITH i AS (SELECT CAST(c_custkey AS VARCHAR) AS rssd_id, c_name || ' ' || c_mktsegment AS name FROM customer),
+  k AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS n FROM supplier),
+  t AS (SELECT '#' || lpad(n, 8, '0') AS term FROM k UNION SELECT 'R#' || lpad(n, 9, '0') || ' b' FROM k UNION SELECT n || ' m' FROM k
+    UNION SELECT 'no such' UNION SELECT '#' UNION SELECT upper(c_mktsegment[2:2]) || lower(c_mktsegment[3:6]) FROM customer
+    UNION SELECT c_mktsegment[1:2] FROM customer),
+  ids AS (SELECT n AS term FROM k UNION SELECT CAST(k + 1000000 AS VARCHAR) FROM k)
+  SELECT term, rssd_id, name, lower(name) = lower(term) AS is_exact FROM i, t WHERE contains(lower(name), lower(term))
+  UNION ALL SELECT term, term, coalesce(name, 'Institution ' || term), true FROM ids LEFT JOIN i ON rssd_id = term"""
+SQL["J7_company_requests"] = f"""WITH {COMPANIES}, k AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS n FROM supplier),
+  asked AS (SELECT 'ticker' AS search, 'au' || n AS query FROM k UNION SELECT 'cik', n FROM k
+    UNION SELECT 'cik', lpad(CAST(3 * k AS VARCHAR), 10, '0') FROM k UNION SELECT 'name', 'R#' || lpad(n, 8, '0') FROM k)
+  SELECT search, query, cik, ticker, name FROM asked, companies WHERE CASE search WHEN 'ticker' THEN lower(ticker) = lower(query)
+    WHEN 'cik' THEN query IN (cik, cik_raw) ELSE contains(lower(name), lower(query)) END"""
 SQL["J8_filing_as_of"] = f"""WITH {FILINGS} SELECT cik, filing_date, accession_number, url FROM filings
   WHERE form = '10-Q' AND filing_date <= DATE '1998-06-30' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, seq) = 1"""
 SQL["J8_filings_for_requests"] = f"""WITH {FILINGS}, daily AS (SELECT cik, filing_date, min_by(accession_number, seq) AS accession_number
@@ -730,9 +743,41 @@ SQL["I6_reset_failed"] = f"""WITH {FILES}, r AS (SELECT *, quarter_key = '1998-Q
     count(CASE WHEN NOT hit THEN err END) AS errors FROM r GROUP BY 1, 2, 3"""
 SQL["I7_purge_old"] = f"""WITH {FILES} SELECT filepath, status AS processing_status FROM ledger
   WHERE NOT (done AND o_orderdate < TIMESTAMP '2001-01-01' - INTERVAL 1000 DAY)"""
+_day = lambda n: f"strftime(TIMESTAMP {NOW} + INTERVAL {n} DAY, '%Y-%m-%d %H:%M:%S')"
+SQL["I1_ledger_log"] = f"""WITH {FILES},
+  s0 AS (SELECT filepath, filename, schedule_code, quarter_key, file_hash, done, CASE WHEN done THEN stamp END AS done_at, row_count,
+    institution_count, stamp AS updated, status, err, retries, CAST(NULL AS VARCHAR) AS retried, k FROM ledger),
+  s1 AS (SELECT * EXCLUDE (fresh) REPLACE (CASE WHEN fresh THEN sha256(CAST(k AS VARCHAR)) ELSE file_hash END AS file_hash, done AND NOT fresh AS done,
+      CASE WHEN fresh THEN 'pending' ELSE status END AS status, CASE WHEN fresh THEN {_day(0)} ELSE updated END AS updated)
+      FROM (SELECT *, k % 7 = 0 AND k % 5 <> 0 AS fresh FROM s0)
+    UNION ALL SELECT filepath, filename, schedule_code, quarter_key, hash, false, NULL, NULL, NULL, {_day(0)}, 'pending', NULL, 0, NULL, k
+      FROM inv WHERE k % 5 = 0),
+  s2 AS (SELECT * EXCLUDE (hit, bad) REPLACE (CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'bad file' ELSE err END AS err,
+      CASE WHEN hit THEN {_day(1)} ELSE updated END AS updated, CAST(retries + CAST(bad AS INTEGER) AS INTEGER) AS retries,
+      CASE WHEN bad THEN {_day(1)} END AS retried)
+    FROM (SELECT *, status <> 'completed' AS hit, status <> 'completed' AND starts_with(schedule_code, 'RC') AS bad FROM s1)),
+  s3 AS (SELECT * EXCLUDE (hit) REPLACE (done OR hit AS done, CASE WHEN hit THEN {_day(2)} ELSE done_at END AS done_at,
+      CASE WHEN hit THEN length(filename) ELSE row_count END AS row_count, CASE WHEN hit THEN 2 ELSE institution_count END AS institution_count,
+      CASE WHEN hit THEN {_day(2)} ELSE updated END AS updated) FROM (SELECT *, status = 'completed' AND NOT done AS hit FROM s2)),
+  s4 AS (SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN NOT hit THEN err END AS err)
+    FROM (SELECT *, status = 'failed' AND quarter_key = '1998-Q1' AS hit FROM s3)),
+  s5 AS (SELECT * FROM s4 WHERE NOT (done AND CAST(done_at AS TIMESTAMP) < TIMESTAMP {NOW} - INTERVAL 996 DAY))
+  SELECT CAST(v AS INTEGER) AS version, filepath, file_hash, done AS is_processed, done_at AS processed_date, row_count, institution_count,
+    updated AS updated_at, status AS processing_status, err AS error_message, retries AS retry_count, retried AS last_retry_date
+  FROM (SELECT 0 AS v, * FROM s0 UNION ALL SELECT 1, * FROM s1 UNION ALL SELECT 2, * FROM s2 UNION ALL SELECT 3, * FROM s3
+    UNION ALL SELECT 4, * FROM s4 UNION ALL SELECT 5, * FROM s5)"""
 SQL["I8_batch_run"] = f"""WITH {LONG}, f AS (SELECT DISTINCT schedule AS schedule_code, y, q FROM raw JOIN (SELECT DISTINCT supp AS s2, y, q FROM sums) t
     ON t.s2 = raw.supp AND t.y || '-Q' || t.q = raw.quarter_key)
   SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, f.schedule_code, 'completed' AS processing_status,
     count(*) AS row_count, count(DISTINCT rssd_id) AS institution_count
   FROM f JOIN long ON long.schedule_code = f.schedule_code AND long.quarter_key = y || '-Q' || q GROUP BY 1, 2, 3"""
 SQL["stream_new_files"] = f"WITH {LONG} SELECT rssd_id, quarter_key, schedule_code, mdrm_code, line_item, amount FROM long"
+SQL["stream_amended_filings"] = f"""WITH {LONG}, again AS (
+    SELECT rssd_id, quarter_key, schedule_code, mdrm_code, amount_num, 1 AS batch FROM long WHERE mdrm_code IN ({", ".join(map(text, AMENDED_CODES))})
+      AND TRY_CAST(rssd_id AS INTEGER) % 9 = 0
+    UNION ALL SELECT DISTINCT id, quarter_key, 'RC', 'RCON9999', CAST(lines AS DOUBLE), 1 FROM raw WHERE TRY_CAST(id AS INTEGER) % 9 = 0),
+  now AS (SELECT rssd_id, quarter_key, schedule_code, mdrm_code, amount_num, 0 AS batch FROM long
+      WHERE schedule_code = 'RCN' OR schedule_code = 'RC' AND TRY_CAST(rssd_id AS INTEGER) % 9 <> 0
+    UNION ALL SELECT * FROM again)
+  SELECT rssd_id, quarter_key, schedule_code, count(*) AS cells, sum(amount_num) AS total,
+    count(*) FILTER (mdrm_code = 'RCON9999') AS new_cells, CAST(max(batch) AS INTEGER) AS batch FROM now GROUP BY 1, 2, 3"""
