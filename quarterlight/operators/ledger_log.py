@@ -14,13 +14,14 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlight.operators import ledger
 
 COMMIT_SCHEMA = "version bigint, batch_id string, committed_at timestamp, kind string, folder string"
-_CHANGE_SCHEMA = ledger.LEDGER_SCHEMA + ", removed boolean"
+_CHANGE_SCHEMA = ledger.LEDGER_SCHEMA + ", removed boolean, version bigint"
+COLUMNS = [c.split()[0] for c in _CHANGE_SCHEMA.split(",")]
 
 
 def _stamp(now: dt.datetime):
@@ -34,52 +35,55 @@ def create(start: DataFrame, root: str, now: dt.datetime) -> None:
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    """One row per committed batch; of a commit that was written twice, the first."""
-    every = spark.read.schema(COMMIT_SCHEMA).parquet(f"{root}/commits")
-    first = every.groupBy("kind", "batch_id").agg(F.min_by(F.struct("version", "committed_at", "folder"), "version").alias("c"))
-    return first.select("c.version", "batch_id", "c.committed_at", "kind", "c.folder")
+    """One row per committed batch: version, batch_id, committed_at, kind, folder."""
+    return spark.createDataFrame(_listed(spark, root), COMMIT_SCHEMA)
 
 
 def state(spark: SparkSession, root: str, version: int | None = None, as_of: dt.datetime | None = None) -> DataFrame:
     """The ledger at a version, at a time (the last batch committed up to it), or now.
 
-    The list of batches since the last snapshot, not their rows, is on the driver.  Snapshot rows are unique, so only paths
+    The list of batches, not their rows, is on the driver.  Snapshot rows are unique, so only paths
     that changed since are looked for in it; it is not grouped again.  A version or time before the log gives an empty ledger.
     """
-    listed = commits(spark, root)
+    return _state(spark, root, _listed(spark, root, version, as_of))
+
+
+def _listed(spark: SparkSession, root: str, version: int | None = None, as_of: dt.datetime | None = None) -> list[Row]:
+    """The commits up to a version and a time in order, by one job without a shuffle; of a commit written twice, the first."""
+    every = spark.read.schema(COMMIT_SCHEMA).parquet(f"{root}/commits")
     if version is not None:
-        listed = listed.filter(F.col("version") <= version)
+        every = every.filter(F.col("version") <= version)
     if as_of is not None:
-        listed = listed.filter(F.col("committed_at") <= _stamp(as_of))
-    snapshot = listed.filter("kind = 'snapshot'").orderBy(F.desc("version")).limit(1).collect()
+        every = every.filter(F.col("committed_at") <= _stamp(as_of))
+    first: dict[tuple[str, bool], Row] = {}
+    for row in sorted(every.collect(), key=lambda r: r["version"]):
+        first.setdefault((row["batch_id"], row["kind"] == "snapshot"), row)
+    return list(first.values())
+
+
+def _state(spark: SparkSession, root: str, listed: list[Row]) -> DataFrame:
+    snapshot = [r for r in listed if r["kind"] == "snapshot"][-1:]
     if not snapshot:
         return ledger.empty_ledger(spark)
-    later = listed.filter((F.col("kind") != "snapshot") & (F.col("version") > snapshot[0]["version"])).orderBy("version").collect()
-    base = _changes(spark, root, snapshot[0]["folder"]).drop("removed")
+    later = [r for r in listed if r["kind"] != "snapshot" and r["version"] > snapshot[0]["version"]]
+    base = _changes(spark, root, snapshot).drop("removed", "version")
     if not later:
         return base
-    tail = _merged([_changes(spark, root, r["folder"]).withColumn("_version", F.lit(r["version"])) for r in later])
+    # The last state of every path that changed: partial results before the shuffle, however often a path changed.
+    changed = _changes(spark, root, later)
+    tail = changed.groupBy("filepath").agg(F.max_by(F.struct(*changed.columns), "version").alias("row")).select("row.*")
     unchanged = base.join(tail.select("filepath"), "filepath", "left_anti")
-    return unchanged.unionByName(tail.filter(~F.col("removed")).drop("removed"))
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The last state of every path in batches: an aggregation with partial results, whatever the number of changes of a path."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    whole = F.struct(*[c for c in rows.columns if c != "_version"])
-    return rows.groupBy("filepath").agg(F.max_by(whole, "_version").alias("row")).select("row.*")
+    return unchanged.unionByName(tail.filter(~F.col("removed")).drop("removed", "version"))
 
 
-def _changes(spark: SparkSession, root: str, folder: str) -> DataFrame:
-    return spark.read.schema(_CHANGE_SCHEMA).parquet(f"{root}/changes/{folder}")
+def _changes(spark: SparkSession, root: str, batches: list[Row]) -> DataFrame:
+    """The rows of batches by one scan, however many they are."""
+    return spark.read.schema(_CHANGE_SCHEMA).parquet(*[f"{root}/changes/{r['folder']}" for r in batches])
 
 
 def _write(rows: DataFrame, root: str, version: int, batch_id: str, now: dt.datetime, kind: str) -> None:
     spark, folder = rows.sparkSession, f"{version}-{uuid.uuid4().hex}"
-    columns = [*ledger.ledger_columns(spark), "removed"]
-    rows.select(*columns).write.parquet(f"{root}/changes/{folder}")
+    rows.withColumn("version", F.lit(version)).select(*COLUMNS).write.parquet(f"{root}/changes/{folder}")
     commit = spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"), F.lit(batch_id).alias("batch_id"), _stamp(now).alias("committed_at"),
         F.lit(kind).alias("kind"), F.lit(folder).alias("folder"),
@@ -94,17 +98,16 @@ def append(
 
     The rows may carry ``removed``.  A batch id that is committed already is not worked out again: its version is returned.
     """
-    listed = commits(spark, root).filter("kind <> 'snapshot'")
-    known, last = listed.agg(
-        F.max(F.when(F.col("batch_id") == batch_id, F.col("version"))), F.max("version")
-    ).first()
-    if known is not None:
-        return known
-    rows = change(state(spark, root))
+    listed = _listed(spark, root)
+    batches = {r["batch_id"]: r["version"] for r in listed if r["kind"] != "snapshot"}
+    if batch_id in batches:
+        return batches[batch_id]
+    last = max(batches.values(), default=0)
+    rows = change(_state(spark, root, listed))
     if "removed" not in rows.columns:
         rows = rows.withColumn("removed", F.lit(False))
-    _write(rows, root, (last or 0) + 1, batch_id, now, kind)
-    return (last or 0) + 1
+    _write(rows, root, last + 1, batch_id, now, kind)
+    return last + 1
 
 
 def _touched(rows: DataFrame, now: dt.datetime) -> DataFrame:
@@ -155,24 +158,17 @@ def compact(spark: SparkSession, root: str, now: dt.datetime) -> int:
 
     A version that has a snapshot gets no second one.
     """
-    version, stored = commits(spark, root).agg(
-        F.max("version"), F.max(F.when(F.col("kind") == "snapshot", F.col("version")))
-    ).first()
-    if stored != version:
-        _write(state(spark, root).withColumn("removed", F.lit(False)), root, version, f"snapshot-{version}", now, "snapshot")
+    listed = _listed(spark, root)
+    version = max(r["version"] for r in listed)
+    if not any(r["kind"] == "snapshot" and r["version"] == version for r in listed):
+        whole = _state(spark, root, listed).withColumn("removed", F.lit(False))
+        _write(whole, root, version, f"snapshot-{version}", now, "snapshot")
     return version
 
 
 def history(spark: SparkSession, root: str, filepaths: DataFrame) -> DataFrame:
     """(version, batch_id, kind, ledger columns, removed) of every change of the given paths, snapshots left out but the first."""
-    listed = [r for r in commits(spark, root).orderBy("version").collect() if r["kind"] != "snapshot" or r["version"] == 0]
-    parts = [
-        _changes(spark, root, r["folder"]).join(filepaths.select("filepath").distinct(), "filepath", "left_semi").select(
-            F.lit(r["version"]).alias("version"), F.lit(r["batch_id"]).alias("batch_id"), F.lit(r["kind"]).alias("kind"), "*"
-        )
-        for r in listed
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    listed = [r for r in _listed(spark, root) if r["kind"] != "snapshot" or r["version"] == 0]
+    rows = _changes(spark, root, listed).join(filepaths.select("filepath").distinct(), "filepath", "left_semi")
+    about = spark.createDataFrame(listed, COMMIT_SCHEMA).select("version", "batch_id", "kind")
+    return about.join(rows, "version")

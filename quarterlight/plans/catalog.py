@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarterlight import dims
 from quarterlight.functions import names, ratios, text
-from quarterlight.operators import compare, ledger, ledger_log, metrics, normalize, quality, records, report_rows, search, tables, term_index
+from quarterlight.operators import compare, distinct_ids, ledger, ledger_log, metrics, normalize, quality, records, report_rows, search, tables, term_index
 from quarterlight.plans import derived as D
 from quarterlight.plans import reports
 from quarterlight.session import new_folder, stored
@@ -85,14 +85,14 @@ def schedule_folder(spark: SparkSession, sf: str) -> str:
     return root
 
 
-def write_schedule(wide: DataFrame, schedule: str, target: str, codes: list[str] | None = None) -> None:
+def write_schedule(wide: DataFrame, schedule: str, target: str, codes: list[str] | None = None, id_name: str = dims.ID_COLUMN) -> None:
     """One file (a Spark-written folder) per quarter with a schedule's codes, or others."""
     year, quarter = F.split("quarter_key", "-Q")[0], F.split("quarter_key", "-Q")[1]
     month_day = F.when(quarter == "1", "0331").when(quarter == "2", "0630").when(quarter == "3", "0930").otherwise("1231")
     codes = codes or [c for c, s in D.SCHEDULE_OF.items() if s == schedule]
     file = F.concat(F.lit(f"FFIEC CDR Call Schedule {schedule} "), month_day, year, F.lit(".txt"))
     (
-        wide.select(dims.ID_COLUMN, *codes, "TEXT1234", file.alias("f"))
+        wide.select(F.col(dims.ID_COLUMN).alias(id_name), *codes, "TEXT1234", file.alias("f"))
         .repartition("f")
         .write.partitionBy("f")
         .option("sep", "\t").option("header", True).option("extension", "txt")
@@ -707,6 +707,22 @@ def _(spark, sf):
     return compare.file_counts(D.long_table(spark, sf).withColumn("source_file", file), "source_file")
 
 
+@query("A10_distinct_institutions")
+def _(spark, sf):
+    """Institutions of files, schedules, quarters, years and altogether, all from the files' bitmaps."""
+    number = F.col("rssd_id").try_cast("bigint")
+    odd = F.when(number % 7 == 0, F.concat(F.lit("0"), "rssd_id")).when(number % 11 == 0, F.concat("rssd_id", F.lit("-A")))
+    rows = D.long_table(spark, sf).select("schedule_code", "quarter_key", F.coalesce(odd, (number * 9973).cast("string")).alias("rssd_id"))
+    files = stored(distinct_ids.id_bitmaps(rows, ["schedule_code", "quarter_key"]), "bitmaps")
+    files = files.withColumn("year", F.substring("quarter_key", 1, 4))
+    levels = {"file": ["schedule_code", "quarter_key"], "schedule": ["schedule_code"], "quarter": ["quarter_key"], "year": ["year"], "all": []}
+    parts = [
+        distinct_ids.id_counts(files, keys).select(F.lit(level).alias("level"), F.concat_ws(" ", F.lit(level), *keys).alias("files"), "institutions")
+        for level, keys in levels.items()
+    ]
+    return normalize.union_schedules(parts)
+
+
 @query("A11_ledger_statistics")
 def _(spark, sf):
     return ledger.processing_by_quarter(D.stored_ledger(spark, sf))
@@ -931,6 +947,19 @@ def _(spark, sf):
     return rounded(parts["sections"].drop("set_size", "members"))
 
 
+def _bundle(make: Callable) -> Query:
+    def run(spark, sf):
+        table = stored(D.metric_table(spark, sf), "metrics")
+        parts = make(D.long_table(spark, sf), compare.peer_groups(D.peer_members(spark, sf)), QUARTER, "code_seq", table)
+        return rounded(reports.bundle_rows(parts, QUARTER))
+
+    return run
+
+
+query("R5_dashboard_rows")(_bundle(reports.dashboard))
+query("R5_key_metric_rows")(_bundle(reports.key_metrics))
+
+
 # -- I: incremental state ----------------------------------------------------------------------------------------
 def _plain(df: DataFrame) -> DataFrame:
     """Timestamps as text, so that results do not depend on session time zones."""
@@ -1045,6 +1074,37 @@ def _(spark, sf):
     )
 
 
+@query("I8_batch_retries")
+def _(spark, sf):
+    """Two runs: files without an id column fail in both, and files that arrive between them are processed by the second."""
+    root, wide = new_folder(spark, "batches"), D.wide_schedules(spark, sf)
+    inst, desc = D.institutions(spark, sf), D.descriptions(spark, sf)
+    log = f"{root}/log"
+    ledger_log.create(ledger.empty_ledger(spark), log, NOW)
+
+    def run(number: int):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(f"{root}/files")
+        found = listing.describe_files(files.select(
+            F.col("path").alias("filepath"), names.file_name(F.col("path")).alias("filename"), F.col("length").alias("file_size"),
+            F.col("modificationTime").alias("last_modified"), listing.fingerprint(F.col("content")).alias("file_hash"),
+        ))
+        time = NOW + dt.timedelta(days=number)
+        ledger_log.upsert_files(spark, log, f"scan {number}", found, time)
+        after = lambda state: reports.run_batch(spark, state, inst, desc, f"{root}/out")
+        ledger_log.append(spark, log, f"run {number}", time, after, "batch")
+
+    write_schedule(wide, "RC", f"{root}/files/RC")
+    write_schedule(wide, "RCRI", f"{root}/files/RCRI", id_name="BANK")
+    run(1)
+    write_schedule(wide, "RI", f"{root}/files/RI")
+    run(2)
+    rows = spark.read.parquet(f"{root}/out").groupBy("source_path").agg(F.count(F.lit(1)).alias("stored_rows"))
+    state = ledger_log.state(spark, log).join(rows, F.col("filepath") == F.col("source_path"), "left")
+    return state.select(
+        "year", "quarter", "schedule_code", "processing_status", "error_message", "retry_count", "row_count", "institution_count", "stored_rows"
+    )
+
+
 @query("stream_new_files")
 def _(spark, sf):
     root, output, checkpoint = schedule_folder(spark, sf), new_folder(spark, "stream"), new_folder(spark, "stream-checkpoint")

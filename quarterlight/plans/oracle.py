@@ -581,6 +581,10 @@ SQL["A9_comparison_summary"] = f"""WITH {MEMBER_ROWS} SELECT quarter_key, peer_g
   count(*) AS n_rows FROM rows GROUP BY 1, 2, 3, 4"""
 SQL["A10_file_counts"] = f"""WITH {LONG} SELECT schedule_code || ' ' || quarter_key AS source_file, count(*) AS row_count,
   count(DISTINCT rssd_id) AS institution_count FROM long GROUP BY 1"""
+_levels = {"file": "schedule_code || ' ' || quarter_key", "schedule": "schedule_code", "quarter": "quarter_key", "year": "quarter_key[1:4]"}
+SQL["A10_distinct_institutions"] = f"WITH {LONG} " + " UNION ALL ".join(
+    f"SELECT '{level}' AS level, '{level} ' || {key} AS files, count(DISTINCT rssd_id) AS institutions FROM long GROUP BY 1, 2" for level, key in _levels.items()
+) + " UNION ALL SELECT 'all', 'all', count(DISTINCT rssd_id) FROM long"
 SQL["A11_ledger_statistics"] = f"""WITH {FILES} SELECT year, quarter, quarter_key, count(*) AS total, count(*) FILTER (done) AS processed
   FROM ledger GROUP BY 1, 2, 3"""
 SQL["A11_ledger_totals"] = f"WITH {FILES} SELECT count(*) AS total_files, count(*) FILTER (done) AS processed_files FROM ledger"
@@ -711,6 +715,53 @@ SQL["R5_dashboard"] = f"""WITH {RATIOS}, {PEERS}, t AS (SELECT metrics.*, peer_g
     CASE WHEN deposit_stability_ratio < 70 THEN 'low' WHEN deposit_stability_ratio < 80 THEN 'moderate' ELSE 'good' END AS stability_flag FROM t"""
 SQL["R5_key_metrics"] = f"{SECTIONS} SELECT * EXCLUDE (set_size, peer_4, peer_5) FROM s"
 
+_cell = "SELECT '{t}' AS \"table\", quarter_key, {g} AS peer_group, {r} AS rssd_id, {i} AS item, {m} AS member, round({v}, 6) AS value, {c} AS content FROM {f}"
+_metric_cells = _cell.format(t="metrics", g="CAST(NULL AS BIGINT)", r="rssd_id", i="item", m="CAST(NULL AS VARCHAR)", v="v", c="CAST(NULL AS VARCHAR)",
+    f="(SELECT rssd_id, quarter_key, CAST(COLUMNS(* EXCLUDE (rssd_id, quarter_key, mix)) AS DOUBLE) FROM metrics)"
+      " UNPIVOT INCLUDE NULLS (v FOR item IN (COLUMNS(* EXCLUDE (rssd_id, quarter_key))))")
+
+
+def _member_rows(table: str, item: str, source: str) -> str:
+    """A group's members and their average, of rows (quarter_key, peer_group, ordinal, item columns, v)."""
+    each = _cell.format(t=table, g="peer_group", r="NULL", i=item, m="CASE ordinal WHEN 0 THEN 'primary' ELSE 'peer_' || ordinal END", v="v", c="NULL", f=source)
+    mean = _cell.format(t=table, g="peer_group", r="NULL", i=item, m="'peer_avg'", v="avg(v) FILTER (ordinal > 0)", c="NULL", f=source)
+    return f"{each} UNION ALL {mean} GROUP BY quarter_key, peer_group, {item}"
+
+
+_risk_text = {
+    "npl_status": "CASE WHEN npl_ratio < 1 THEN 'Excellent' WHEN npl_ratio < 2 THEN 'Good' ELSE 'Needs Attention' END",
+    "gap_flag": "CASE WHEN abs(gap_ratio) > 20 THEN 'high' WHEN abs(gap_ratio) > 10 THEN 'moderate' ELSE 'normal' END",
+    "liquidity_flag": "CASE WHEN liquid_assets_ratio < 10 THEN 'low' WHEN liquid_assets_ratio < 20 THEN 'moderate' ELSE 'good' END",
+    "wholesale_flag": "CASE WHEN wholesale_funding_ratio > 30 THEN 'high' WHEN wholesale_funding_ratio > 20 THEN 'moderate' ELSE 'normal' END",
+    "stability_flag": "CASE WHEN deposit_stability_ratio < 70 THEN 'low' WHEN deposit_stability_ratio < 80 THEN 'moderate' ELSE 'good' END",
+}
+_risk_numbers = ("npl_ratio", "ir_sensitivity_ratio", "gap_ratio", "earning_asset_yield", "cost_of_funds", "liquid_assets_ratio",
+                 "wholesale_funding_ratio", "deposit_stability_ratio")
+_risk_cells = " UNION ALL ".join(
+    [_cell.format(t="risk_flags", g="NULL", r="rssd_id", i=text(c), m="NULL", v=f"CAST({c} AS DOUBLE)", c="NULL", f="metrics") for c in _risk_numbers]
+    + [_cell.format(t="risk_flags", g="NULL", r="rssd_id", i=text(c), m="NULL", v="NULL::DOUBLE", c=e, f="metrics") for c, e in _risk_text.items()]
+)
+_asset_cells = " UNION ALL ".join(
+    _cell.format(t="total_assets", g="peer_group", r="rssd_id", i=text(c), m="NULL", v=e, c="NULL", f="shares")
+    for c, e in (("total_assets", "total_assets"), ("pct_of_largest", "total_assets / nullif(largest, 0) * 100"))
+)
+_status_cells = _cell.format(t="ratios", g="peer_group", r="NULL", i="label", m="'status'", v="NULL::DOUBLE",
+    c=f"CASE WHEN set_size = 1 THEN {_bands('metric', 'v')} END", f="ratio_rows WHERE ordinal = 0")
+_top_cells = _cell.format(t="top_items", g="NULL", r="rssd_id", i="mdrm_code", m="CAST(rk AS VARCHAR)", v="amount_num", c="line_item", f="top WHERE rk <= 5")
+SQL["R5_dashboard_rows"] = f"""WITH {MEMBERS}, ratio_rows AS ({_matrix(_ratio_rows)}),
+  shares AS (SELECT metrics.*, peer_group, max(total_assets) OVER (PARTITION BY quarter_key, peer_group) AS largest FROM metrics JOIN peers ON pid = rssd_id),
+  top AS (SELECT *, row_number() OVER (PARTITION BY rssd_id, quarter_key ORDER BY amount_num DESC, code_seq) AS rk FROM long WHERE schedule_code = 'RC')
+  {_metric_cells} UNION ALL {_asset_cells} UNION ALL {_member_rows('ratios', 'label', 'ratio_rows')} UNION ALL {_status_cells}
+  UNION ALL {_risk_cells} UNION ALL {_top_cells}"""
+_statistic = {"mean": "avg(v)", "median": "median(v)", "std_dev": "stddev_pop(v)", "primary_percentile": "100.0 * count(*) FILTER (v <= pv) / count(*)"}
+_statistic_cells = " UNION ALL ".join(
+    _cell.format(t="statistics", g="peer_group", r="NULL", i="label", m=text(n), v=e, c="NULL", f="stat_rows GROUP BY quarter_key, peer_group, label")
+    for n, e in _statistic.items()
+)
+SQL["R5_key_metric_rows"] = f"""WITH {MEMBERS}, section_rows AS (SELECT *, section || ': ' || label AS title FROM ({_matrix(_section_rows)}) WHERE has),
+  stat_rows AS (SELECT *, max(v) FILTER (ordinal = 0) OVER (PARTITION BY quarter_key, peer_group, label) AS pv FROM ({_matrix(_stat_rows)}))
+  {_metric_cells} UNION ALL {_member_rows('sections', 'title', 'section_rows')} UNION ALL {_statistic_cells}"""
+
 # -- I -------------------------------------------------------------------------------------------------
 NOW = "'2001-01-01 00:00:00'"
 _state = """filepath, file_hash, done AS is_processed, CASE WHEN done THEN stamp END AS processed_date, row_count, institution_count,
@@ -771,6 +822,12 @@ SQL["I8_batch_run"] = f"""WITH {LONG}, f AS (SELECT DISTINCT schedule AS schedul
   SELECT CAST(y AS INTEGER) AS year, CAST(q AS INTEGER) AS quarter, f.schedule_code, 'completed' AS processing_status,
     count(*) AS row_count, count(DISTINCT rssd_id) AS institution_count
   FROM f JOIN long ON long.schedule_code = f.schedule_code AND long.quarter_key = y || '-Q' || q GROUP BY 1, 2, 3"""
+SQL["I8_batch_retries"] = f"""WITH {LONG}, f AS (SELECT DISTINCT schedule AS schedule_code, quarter_key AS qk FROM raw WHERE schedule IN ('RC', 'RI', 'RCRI')),
+  n AS (SELECT schedule_code AS s, quarter_key AS k, count(*) AS n_rows, count(DISTINCT rssd_id) AS ids FROM long WHERE schedule_code <> 'RCRI' GROUP BY 1, 2)
+  SELECT CAST(qk[1:4] AS INTEGER) AS year, CAST(qk[7:7] AS INTEGER) AS quarter, schedule_code,
+    CASE schedule_code WHEN 'RCRI' THEN 'failed' ELSE 'completed' END AS processing_status,
+    CASE schedule_code WHEN 'RCRI' THEN 'no IDRSSD column' END AS error_message, CASE schedule_code WHEN 'RCRI' THEN 2 ELSE 0 END AS retry_count,
+    n_rows AS row_count, ids AS institution_count, n_rows AS stored_rows FROM f LEFT JOIN n ON s = schedule_code AND k = qk"""
 SQL["stream_new_files"] = f"WITH {LONG} SELECT rssd_id, quarter_key, schedule_code, mdrm_code, line_item, amount FROM long"
 SQL["stream_amended_filings"] = f"""WITH {LONG}, again AS (
     SELECT rssd_id, quarter_key, schedule_code, mdrm_code, amount_num, 1 AS batch FROM long WHERE mdrm_code IN ({", ".join(map(text, AMENDED_CODES))})

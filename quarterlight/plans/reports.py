@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterlight import dims
@@ -185,3 +185,53 @@ def key_metrics(
         "sections": compare.metric_sections(members, keys),
         "statistics": compare.peer_statistics(members, keys),
     }
+
+
+def _cells(df: DataFrame, table: str, columns: list[str], item: Column | None = None) -> DataFrame:
+    """One row per cell: the columns are the items, or the members of ``item``; text goes into ``content``."""
+    types = dict(df.dtypes)
+    none = F.lit(None).cast("string")
+    cell = lambda c: F.struct(
+        F.lit(table).alias("table"), (F.lit(c) if item is None else item).alias("item"), (none if item is None else F.lit(c)).alias("member"),
+        (F.lit(None) if types[c] == "string" else F.col(c)).cast("double").alias("value"), (F.col(c) if types[c] == "string" else none).alias("content"),
+    )
+    keys = [c for c in df.columns if c not in columns]
+    return df.select(*keys, F.inline(F.array(*[cell(c) for c in columns])))
+
+
+def _member_cells(df: DataFrame, table: str, item: Column) -> DataFrame:
+    """One row per member of a group, whatever their number; rows that are only labels have none."""
+    who = F.when(F.col("ordinal") == 0, compare.member_name(0)).otherwise(F.concat(F.lit("peer_"), F.col("ordinal").cast("string")))
+    rows = df.select("*", F.posexplode("members").alias("ordinal", "value"))
+    return rows.withColumns({"table": F.lit(table), "item": item, "member": who, "content": F.lit(None).cast("string")})
+
+
+def bundle_rows(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """All tables of a bundle (``dashboard`` or ``key_metrics``) as one: table, keys, peer_group, rssd_id, item, member, value, content.
+
+    Every table is whole, with all members of its groups; ``peer_group`` and ``rssd_id`` are null where a table has none.
+    """
+    def of(name: str, df: DataFrame) -> list[DataFrame]:
+        if name in ("ratios", "sections"):
+            item = F.col("label") if name == "ratios" else F.concat_ws(": ", "section", "label")
+            cells = ["peer_avg", "status"] if name == "ratios" else ["peer_avg"]
+            beside = df.filter(F.col("members").isNotNull()).select(*keys, "peer_group", item.alias("label"), *cells)
+            return [_member_cells(df, name, item), _cells(beside, name, cells, F.col("label"))]
+        if name == "statistics":
+            return [_cells(df, name, ["mean", "median", "std_dev", "primary_percentile"], F.col("label"))]
+        if name == "top_items":
+            ranked = df.withColumnRenamed("amount_num", "value")
+            return [ranked.withColumns({
+                "table": F.lit(name), "item": F.col("mdrm_code"), "member": F.col("rank").cast("string"), "content": F.col("line_item"),
+            })]
+        return [_cells(df, name, [c for c in df.columns if c not in ("rssd_id", "peer_group", *keys)])]
+
+    shown = ["table", *keys, "peer_group", "rssd_id", "item", "member", "value", "content"]
+    rows = None
+    for name, df in parts.items():
+        for part in of(name, df):
+            for missing, kind in (("peer_group", "bigint"), ("rssd_id", "string")):
+                if missing not in part.columns:
+                    part = part.withColumn(missing, F.lit(None).cast(kind))
+            rows = part.select(*shown) if rows is None else rows.unionByName(part.select(*shown))
+    return rows

@@ -8,7 +8,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quarterlight.operators import ledger, ledger_log, term_index
+from quarterlight.operators import distinct_ids, ledger, ledger_log, term_index
+from quarterlight.plans import reports
 from quarterlight.streaming import routed
 
 DAY = dt.datetime(2025, 1, 1)
@@ -155,3 +156,31 @@ def test_stream_routes_headers_and_settles_amendments(spark, tmp_path, lookups):
     ]
     filed = routed.filings(spark, output).filter("rssd_id = '1' and schedule_code = 'RC'").collect()
     assert sorted((r.batch, r.is_current, r.n_cells) for r in filed) == [(0, False, 2), (1, True, 2)]
+
+
+def test_distinct_ids_of_any_form(spark):
+    rows = [("a", "1"), ("a", "1"), ("a", "01"), ("a", None), ("a", "40000"), ("b", "1"), ("b", "x"), ("b", "-1"), ("b", "9" * 19),
+            ("c", None), ("c", "0"), ("c", "0"), ("c", "")]
+    ids = spark.createDataFrame(rows, "file string, rssd_id string")
+    maps = distinct_ids.id_bitmaps(ids, ["file"]).cache()
+    assert sorted(map(tuple, distinct_ids.id_counts(maps, ["file"]).collect())) == [("a", 3), ("b", 4), ("c", 2)]
+    assert distinct_ids.id_counts(maps, []).first()[0] == len({i for _, i in rows if i is not None})
+    assert distinct_ids.id_counts(distinct_ids.merged(maps, []), []).first()[0] == 8
+    none = distinct_ids.id_bitmaps(ids.limit(0), ["file"])
+    assert distinct_ids.id_counts(none, ["file"]).collect() == [] and distinct_ids.id_counts(none, []).first()[0] == 0
+
+
+def test_bundles_are_whole(spark):
+    """Every table of a bundle, every member of a group, and label rows without members."""
+    sections = spark.createDataFrame(
+        [("q", 1, "S", "L", [1.0] * 7, 1.0), ("q", 1, "S", "only a label", None, None)],
+        "quarter_key string, peer_group bigint, section string, label string, members array<double>, peer_avg double",
+    )
+    assets = spark.createDataFrame([("q", "7", 1, 5.0, None)], "quarter_key string, rssd_id string, peer_group bigint, total_assets double, flag string")
+    rows = reports.bundle_rows({"sections": sections, "total_assets": assets}, ["quarter_key"]).collect()
+    of = sorted((r.member, r.value) for r in rows if r.table == "sections" and r.item == "S: L")
+    assert of == [("peer_1", 1.0), ("peer_2", 1.0), ("peer_3", 1.0), ("peer_4", 1.0), ("peer_5", 1.0), ("peer_6", 1.0), ("peer_avg", 1.0), ("primary", 1.0)]
+    assert sorted((r.rssd_id, r.item, r.value, r.content) for r in rows if r.table == "total_assets") == [
+        ("7", "flag", None, None), ("7", "total_assets", 5.0, None)
+    ]
+    assert len(rows) == 10
