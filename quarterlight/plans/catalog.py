@@ -951,7 +951,9 @@ def _bundle(make: Callable) -> Query:
     def run(spark, sf):
         table = stored(D.metric_table(spark, sf), "metrics")
         parts = make(D.long_table(spark, sf), compare.peer_groups(D.peer_members(spark, sf)), QUARTER, "code_seq", table)
-        return rounded(reports.bundle_rows(parts, QUARTER))
+        # Statistics are in millions, with half units in the seventh place.
+        digits = F.when(F.col("table") == "statistics", F.round("value", 8)).otherwise(F.round("value", 6))
+        return reports.bundle_rows(parts, QUARTER).withColumn("value", digits)
 
     return run
 

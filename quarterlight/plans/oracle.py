@@ -755,7 +755,7 @@ SQL["R5_dashboard_rows"] = f"""WITH {MEMBERS}, ratio_rows AS ({_matrix(_ratio_ro
   UNION ALL {_risk_cells} UNION ALL {_top_cells}"""
 _statistic = {"mean": "avg(v)", "median": "median(v)", "std_dev": "stddev_pop(v)", "primary_percentile": "100.0 * count(*) FILTER (v <= pv) / count(*)"}
 _statistic_cells = " UNION ALL ".join(
-    _cell.format(t="statistics", g="peer_group", r="NULL", i="label", m=text(n), v=e, c="NULL", f="stat_rows GROUP BY quarter_key, peer_group, label")
+    _cell.replace("round({v}, 6)", "round({v}, 8)").format(t="statistics", g="peer_group", r="NULL", i="label", m=text(n), v=e, c="NULL", f="stat_rows GROUP BY quarter_key, peer_group, label")
     for n, e in _statistic.items()
 )
 SQL["R5_key_metric_rows"] = f"""WITH {MEMBERS}, section_rows AS (SELECT *, section || ': ' || label AS title FROM ({_matrix(_section_rows)}) WHERE has),

@@ -5,7 +5,7 @@ and a group is one scan; so a new column, or a new schedule, needs no stream of
 batch that is run again after a failure writes over its own rows, so nothing is stored twice.
 
 Amendments are settled when rows are read: a filing is one institution in one file, ``filings`` has one row for each, and
-the newest filing of (institution, quarter, schedule) wins.  Stored cells are not rewritten.
+the newest filing of (institution, quarter, schedule, part) wins.  Stored cells are not rewritten.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from quarterlight.plans.reports import header_error
 from quarterlight.sources import schedules
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
-FILING = ["rssd_id", "quarter_key", "schedule_code"]
+FILING = ["rssd_id", "quarter_key", "schedule_code", "part"]
 
 
 def stream_files(spark: SparkSession, directory: str, pattern: str = "*.txt", max_files: int | None = None) -> DataFrame:
@@ -57,7 +57,8 @@ def store_batch(
     if not parts:
         return
     fields = names.listing_fields(F.col("source_file"))
-    rows = normalize.union_schedules(parts).withColumn("quarter_key", names.quarter_key(fields["year"], fields["quarter"]))
+    quarter = names.quarter_key(fields["year"], fields["quarter"])
+    rows = normalize.union_schedules(parts).withColumns({"quarter_key": quarter, "part": fields["part"]})
     rows.write.mode("overwrite").parquet(f"{output}/rows/{folder}")
     times = spark.createDataFrame(sorted(modified.items()), "source_path string, modified timestamp")
     stored = spark.read.parquet(f"{output}/rows/{folder}")
@@ -82,7 +83,7 @@ def process_new_files(
 def filings(spark: SparkSession, output: str) -> DataFrame:
     """Every filing with its number of cells, batch, file time and whether it is the current one.
 
-    Of the filings of one institution, quarter and schedule the one of the latest batch is current, in a batch the file
+    Of the filings of one institution, quarter, schedule and part the one of the latest batch is current, in a batch the file
     modified last, then the greatest path.  An empty store can't be read.
     """
     every = spark.read.parquet(f"{output}/filings")

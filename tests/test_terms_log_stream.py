@@ -127,6 +127,8 @@ def test_stream_routes_headers_and_settles_amendments(spark, tmp_path, lookups):
     rc = NAME.format("RC", "03312024")
     (files / "1" / rc).write_text("IDRSSD\tRCON2170\tRCON0081\n1\t10\t5\n2\t20\t6\n")
     (files / "1" / NAME.format("RI", "03312024")).write_text("IDRSSD\tRIAD4340\n1\t7\n")
+    for part, code in ((1, "RIADB904"), (2, "RIADB905")):  # parts of one schedule stand side by side
+        (files / "1" / NAME.format("RCT", f"03312024({part} of 2)")).write_text(f"IDRSSD\t{code}\n4\t{part}\n")
     (files / "1" / "Readme.txt").write_text("nothing\there\n")
     (files / "1" / NAME.format("RCN", "03312024")).write_text("ID\tRCON1403\n1\t7\n")
 
@@ -135,6 +137,8 @@ def test_stream_routes_headers_and_settles_amendments(spark, tmp_path, lookups):
 
     def current():
         rows = routed.current_rows(spark, output).collect()
+        assert sorted((r.part, r.mdrm_code) for r in rows if r.schedule_code == "RCT") == [(1, "RIADB904"), (2, "RIADB905")]
+        rows = [r for r in rows if r.schedule_code != "RCT"]
         return sorted((r.rssd_id, r.schedule_code, r.mdrm_code, r.amount, r.batch) for r in rows)
 
     run()
