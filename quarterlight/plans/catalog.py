@@ -14,6 +14,7 @@ from quarterlight.operators import compare, distinct_ids, ledger, ledger_log, me
 from quarterlight.plans import derived as D
 from quarterlight.plans import reports
 from quarterlight.session import new_folder, stored
+from quarterlight.sinks import table_files
 from quarterlight.sinks import tables as sinks
 from quarterlight.sources import byte_ranges, dictionaries, documents, listing, schedules
 from quarterlight.streaming import new_files, routed
@@ -31,6 +32,7 @@ def now():
 QUARTER = D.QUARTER
 IDS = ["rssd_id", "quarter_key"]
 MEMBER_COLUMNS = 6
+BUCKETS = 16
 #: Codes that the amended files of the stream keep.
 AMENDED_CODES = ("RCFD2170", "RCON2170", "RCON2122", "RCON2200", "RCON6631")
 PAGE_KEYWORDS = ("que", "edthe", "und", "ción", "the")
@@ -280,6 +282,33 @@ def _(spark, sf):
     return written.select("doc_id", "file", F.explode(F.split("value", "\n")).alias("line"), F.lit(total).alias("table_count"))
 
 
+@query("K2_csv_files")
+def _(spark, sf):
+    path = new_folder(spark, "csv-files")
+    sinks.write_csv_files(_named_tables(spark, sf), path, "doc_id")
+    total = table_files.read_totals(path)["table_count"]
+    return table_files.read_files(spark, path).select(
+        F.col("folder").cast("long").alias("doc_id"), "file", F.explode(F.split("value", "\n")).alias("line"), F.lit(total).cast("long").alias("table_count")
+    )
+
+
+def _bucketed(spark, sf):
+    """The repeated long table, stored in buckets of institutions."""
+    path = new_folder(spark, "buckets")
+    return sinks.write_long_buckets(D.repeated_long(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, BUCKETS)
+
+
+@query("K1_bucketed_metrics")
+def _(spark, sf):
+    return rounded(metrics.base_metrics(_bucketed(spark, sf), QUARTER))
+
+
+@query("K1_bucketed_comparison")
+def _(spark, sf):
+    rows = compare.attach_peers(_bucketed(spark, sf), compare.peer_groups(D.peer_members(spark, sf)))
+    return compare.comparison(rows, QUARTER, ["row_seq"], MEMBER_COLUMNS).drop("sort_key", "set_size", "amounts")
+
+
 @query("K3_nested_json")
 def _(spark, sf):
     path = new_folder(spark, "json")

@@ -342,6 +342,7 @@ SQL["K2_csv_per_table"] = f"""WITH {HTML},
   q AS (SELECT doc_id, table_ix, row_ix, col_ix, CASE WHEN text LIKE '%,%' THEN '"' || text || '"' ELSE text END AS t FROM cells)
   SELECT doc_id, 'TABLE_section_1_statement_of_Condition__' || doc_id || '_' || (table_ix + 1) || '.csv' AS file,
     string_agg(t, ',' ORDER BY col_ix) AS line, (SELECT count(*) FROM widths) AS table_count FROM q GROUP BY doc_id, table_ix, row_ix"""
+SQL["K2_csv_files"] = SQL["K2_csv_per_table"]
 SQL["K3_nested_json"] = f"""WITH {HTML}, r AS (SELECT doc_id, table_ix, row_ix, string_agg(text, '¦' ORDER BY col_ix) AS row FROM cells GROUP BY 1, 2, 3)
   SELECT w.doc_id, w.table_ix,
   'TABLE_section_1_statement_of_Condition__' || w.doc_id || '_' || (w.table_ix + 1) AS name, w.n_rows AS rows, w.width AS columns, row_ix, row
@@ -552,6 +553,7 @@ SQL["J12_peer_rejection"] = """SELECT CAST(s_suppkey // 2 AS VARCHAR) AS rssd_id
 
 # -- A -------------------------------------------------------------------------------------------------
 SQL["A1_base_metrics"] = f"WITH {BASE} SELECT rssd_id, quarter_key, " + ", ".join(f"round({m}, 6) AS {m}" for m in dims.METRIC_CODES) + " FROM base"
+SQL["K1_bucketed_metrics"] = SQL["A1_base_metrics"]
 SQL["A1_base_metrics_from_wide"] = SQL["A1_base_metrics"]
 SQL["A2_total_deposits"] = f"WITH {BASE} SELECT rssd_id, quarter_key, round(total_deposits, 6) AS total_deposits FROM base"
 
@@ -698,6 +700,7 @@ SQL["R2_metric_sections"] = f"{SECTIONS} SELECT * FROM s"
 SQL["R3_comparison"] = f"WITH {COMPARED} SELECT quarter_key, peer_group, schedule_code, line_item, mdrm_code, description, " + ", ".join(
     f"CASE WHEN \"{m}\" = '—' THEN '—' ELSE '9' || \"{m}\" END AS {m}" for m in ITEMS
 ) + " FROM compared"
+SQL["K1_bucketed_comparison"] = SQL["R3_comparison"]
 SQL["R4_ratio_table"] = f"""WITH {MEMBERS}, m AS ({_matrix(_ratio_rows)})
   SELECT quarter_key, peer_group, row_ix, label, metric, {_shown}, {PEER_AVG} FROM m GROUP BY 1, 2, 3, 4, 5"""
 SQL["R5_dashboard"] = f"""WITH {RATIOS}, {PEERS}, t AS (SELECT metrics.*, peer_group, max(total_assets) OVER (PARTITION BY quarter_key, peer_group) AS largest

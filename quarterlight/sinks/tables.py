@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterlight.functions import names, text
+from quarterlight.sinks.table_files import write_files
 
 
 def write_long(long: DataFrame, path: str, fmt: str = "parquet", partition: str = "schedule_code") -> None:
@@ -22,6 +23,18 @@ def write_long(long: DataFrame, path: str, fmt: str = "parquet", partition: str
         writer.format(fmt).save(path)
 
 
+def write_long_buckets(long: DataFrame, table: str, path: str, buckets: int = 256, partition: str | None = None) -> DataFrame:
+    """The long table bucketed by institution: later groupings and joins by institution read it without a shuffle of their own.
+
+    The one shuffle is made here, by the buckets' own hash, so that a task writes whole buckets; adaptive execution splits a
+    bucket that an institution with very many rows makes large, which then has several files.  A filter on
+    ``rssd_id`` reads one bucket, one on ``partition`` the folders named.  ``table`` is registered over the files in ``path``.
+    """
+    writer = long.hint("rebalance", buckets, F.col("rssd_id")).write.mode("errorifexists").bucketBy(buckets, "rssd_id").option("path", path)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
+    return long.sparkSession.table(table)
+
+
 def write_comparison(compared: DataFrame, path: str, members: list[str]) -> None:
     """Comparison tables, one folder per schedule, with numeric columns next to the shown text."""
     numeric = {f"{m}_value": text.amount_number(F.col(m)) for m in members}
@@ -49,6 +62,12 @@ def write_table_csv(grids: DataFrame, path: str, keys: list[str], buckets: int =
     )
 
 
+def write_csv_files(grids: DataFrame, path: str, key: str) -> None:
+    """One CSV file without header for each table, in a folder for each document, and the totals in ``_metadata.json``."""
+    lines = F.array_join(F.transform("cells", lambda r: text.csv_line(r)), "\n")
+    write_files(grids.select(F.col(key).alias("folder"), names.csv_file_name(F.col("table_name")).alias("file"), lines.alias("value")), path)
+
+
 def export_csv(written: DataFrame, path: str, keys: list[str]) -> None:
     """One folder with one CSV text per table: for a chosen set of the written tables, not for all of them."""
     written.select(*keys, "file", "value").write.mode("errorifexists").partitionBy(*keys, "file").text(path)
