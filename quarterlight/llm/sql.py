@@ -85,17 +85,29 @@ good AS (
 apart AS (
   SELECT * FROM good g WHERE kind IN ({strong}) OR NOT EXISTS (
     SELECT 1 FROM good s WHERE s.doc_id = g.doc_id AND s.kind IN ({strong}) AND s.start < g.stop AND g.start < s.stop)),
-linked AS (
-  SELECT *, {', '.join(f"bool_or(role = '{r}') OVER s AS near_{r}" for r in ('id', 'secret', 'endpoint'))}
-  FROM apart WINDOW s AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)),
-spans AS (SELECT *, kind IN ({strong}) AS base FROM linked WHERE kind IN ({strong}) OR (near_id AND near_secret)),
+near AS (
+  SELECT s.*, o.role AS other, {{'kind': o.kind, 'ord': o.ord, 'start': o.start, 'stop': o.stop}} AS partner, abs(o.start - s.start) AS far
+  FROM apart s JOIN apart o ON o.doc_id = s.doc_id AND o.role <> 'secret' AND abs(o.start - s.start) <= {scope} WHERE s.role = 'secret'
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.kind, s.start, o.role ORDER BY abs(o.start - s.start), o.start) = 1),
+creds AS (
+  SELECT doc_id, kind, ord, start, stop, any_value(partner) FILTER (other = 'id') AS id, any_value(partner) FILTER (other = 'endpoint') AS endpoint, max(far) AS far
+  FROM near GROUP BY ALL HAVING count(*) FILTER (other = 'id') > 0 OR kind IN ({strong})),
+spans AS (
+  SELECT doc_id, kind, ord, start, stop, kind IN ({strong}) AS base FROM apart WHERE kind IN ({strong})
+  UNION SELECT doc_id, kind, ord, start, stop, kind IN ({strong}) FROM creds
+  UNION SELECT doc_id, id.kind, id.ord, id.start, id.stop, id.kind IN ({strong}) FROM creds WHERE id IS NOT NULL
+  UNION SELECT doc_id, endpoint.kind, endpoint.ord, endpoint.start, endpoint.stop, false FROM creds WHERE endpoint IS NOT NULL),
+links AS (
+  SELECT doc_id, count(*) AS n_credentials, string_agg(concat_ws('+', id.kind || ':' || id.start || ':' || id.stop, {text},
+    endpoint.kind || ':' || endpoint.start || ':' || endpoint.stop) || '@' || far, ',' ORDER BY start, ord) AS credentials
+  FROM creds GROUP BY doc_id),
 per AS (
   SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY start, ord) FILTER (WHERE base) AS base,
     string_agg({text}, ',' ORDER BY start, ord) AS spans, count(*) FILTER (WHERE NOT base) AS n_linked
   FROM spans GROUP BY doc_id)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in credentials.STRONG)}, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
-FROM d LEFT JOIN per USING (doc_id)"""
+  coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked, coalesce(n_credentials, 0) AS n_credentials, coalesce(credentials, '') AS credentials
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN links USING (doc_id)"""
 
 
 def op10() -> str:

@@ -1,6 +1,7 @@
 """Line rules and credential scan: SQL on the test tables, plain versions on awkward texts."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_against_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = connection.execute(SQL[name])
     columns = [d[0] for d in cursor.description]
@@ -105,6 +106,54 @@ def test_weak_parts_need_each_other(documents):
     assert [r["spans"] == "" for r in rows] == [False, True, True, True, False]
 
 
+def plain_credentials(text, scope=credentials.SCOPE):
+    """Every secret against every partner."""
+    found = []
+    for order, (kind, pattern) in enumerate(credentials.PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            value = m[credentials.VALUE_GROUP.get(kind, 0)]
+            digits = sum(c.isdigit() for c in value)
+            if len(value) >= credentials.LEAST[kind] and (kind != "weak_secret" or credentials.LEAST_DIGITS <= digits < len(value)):
+                found.append((m.start(), order, m.end(), kind))
+    strong = [p for p in found if p[3] in credentials.STRONG]
+    parts = [p for p in found if p in strong or not any(s[0] < p[2] and p[0] < s[2] for s in strong)]
+    out, shown = [], set(strong)
+    for s in sorted(p for p in parts if credentials.ROLES[p[3]] == "secret"):
+        near = {}
+        for role in ("id", "endpoint"):
+            others = [(abs(p[0] - s[0]), p) for p in parts if credentials.ROLES[p[3]] == role and abs(p[0] - s[0]) <= scope]
+            near[role] = min(others)[1] if others else None
+        if near["id"] or (s in strong and near["endpoint"]):
+            members = [p for p in (near["id"], s, near["endpoint"]) if p]
+            shown |= set(members)
+            out.append("+".join(f"{p[3]}:{p[0]}:{p[2]}" for p in members) + f"@{max(abs(p[0] - s[0]) for p in members)}")
+    return ",".join(out), ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in sorted(shown))
+
+
+def test_credentials_against_all_pairs(documents, awkward):
+    weak, hexa, key = "Zm9vYmFyMTIzNDU2Nzg5MHF1eA", "0a1b" * 9, "AKIA" + "Q7" * 8
+    pieces = [weak, hexa, key, "user = alice", "https://db.example.com/x", "password=hunter2hunter2", "key_id: k-1", "and so on " * 9, "plain é😀", f"redis://h/{weak}"]
+    draw = random.Random(3)
+    texts = [
+        *awkward, f"user = far {'x ' * 198}{weak}", f"user = far {'x ' * 199}{weak}", f"https://a.example.com {hexa}", f"https://a.example.com {weak}",
+        f"user = abc 12345 {weak} user = abd", *["\n".join(draw.choices(pieces, k=n)) for n in (3, 5, 8, 13, 40, 200, 1500)],
+    ]
+    rows = credentials.report(credentials.scan(documents(texts))).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows, strict=True):
+        links, spans = plain_credentials(text)
+        assert (row["credentials"], row["spans"]) == (links, spans), text
+        assert row["n_credentials"] == len(list(filter(None, links.split(","))))
+    assert sum(r["n_credentials"] for r in rows) > 500
+
+
+def test_many_parts_in_one_text(documents):
+    """A hundred thousand secrets in one text; no step works on pairs."""
+    text = "\n".join(f"{i:032x}" for i in range(100_000)) + " user = alice"
+    (row,) = credentials.report(credentials.scan(documents([text]))).collect()
+    assert row["n_hex"] == 100_000 and row["n_linked"] == 1
+    assert row["n_credentials"] == sum(1 for i in range(100_000) if 100_000 * 33 - i * 33 <= credentials.SCOPE)
+
+
 def test_masking_keeps_the_rest(documents, awkward):
     texts = [*awkward, "a password=hunter2hunter2 b token: 'abcdefghij' c"]
     masked = credentials.masked(documents(texts)).orderBy("doc_id").collect()
