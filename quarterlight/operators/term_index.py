@@ -14,8 +14,9 @@ from quarterlight.functions import text
 from quarterlight.operators.normalize import default_name
 from quarterlight.session import stored
 
-#: Characters of an n-gram.  Postings grow with it only through the shorter n-grams kept for shorter terms.
-GRAM = 3
+#: Characters of an n-gram.  It must be long enough for few names to share a term's rarest one: with three digits a fixed share of
+#: all names does, and candidates grow with names times terms.  Postings grow with it through the shorter n-grams kept for shorter terms.
+GRAM = 6
 
 
 def _grams(value: Column, size: int) -> Column:
@@ -25,13 +26,18 @@ def _grams(value: Column, size: int) -> Column:
     return F.when(F.length(value) >= size, cut).otherwise(F.array().cast("array<string>"))
 
 
+def _own_grams(size: int) -> Column:
+    """The n-grams that a term (column ``term``) is looked up by."""
+    return text.let(F.lower("term"), lambda lower: F.when(F.length(lower) < size, F.array(lower)).otherwise(_grams(lower, size)))
+
+
 def postings(names: DataFrame, column: str, keys: list[str], size: int = GRAM) -> DataFrame:
     """(gram, keys, column): every n-gram of 1 to ``size`` characters of every name, in lower case, once per name.
 
     Names that are null have none.  The name stays with its postings, so that candidates are verified where they are found.
     """
-    lower = F.lower(column)
-    every = F.flatten(F.array(*[_grams(lower, n) for n in range(1, size + 1)]))
+    # ``let``: the lambda over the starts would put the name into lower case again for every n-gram.
+    every = text.let(F.lower(column), lambda lower: F.flatten(F.array(*[_grams(lower, n) for n in range(1, size + 1)])))
     return names.select(F.explode(every).alias("gram"), *keys, column)
 
 
@@ -40,9 +46,7 @@ def rarest_grams(terms: DataFrame, counts: DataFrame, size: int = GRAM) -> DataF
 
     A term with an n-gram that no name holds can't occur and is left out.
     """
-    lower = F.lower("term")
-    own = F.when(F.length(lower) < size, F.array(lower)).otherwise(_grams(lower, size))
-    listed = terms.select("term", F.explode(own).alias("gram"))
+    listed = terms.select("term", F.explode(_own_grams(size)).alias("gram"))
     looked_up = listed.join(counts, "gram", "left")
     best = looked_up.groupBy("term").agg(
         F.min_by("gram", F.struct(F.coalesce("n_names", F.lit(0)).alias("n"), "gram")).alias("gram"),
@@ -62,10 +66,10 @@ def names_with_terms(
     """
     wanted = terms.select("term").filter(F.col("term") != "").distinct()
     if index is None:
-        lower = F.lower("term")
-        own = F.when(F.length(lower) < size, F.array(lower)).otherwise(_grams(lower, size))
-        asked = wanted.select(F.explode(own).alias("gram")).distinct()
-        index = stored(postings(names, column, keys, size).join(asked, "gram", "left_semi"), "postings")
+        asked = wanted.select(F.explode(_own_grams(size)).alias("gram")).distinct()
+        # Names are small rows that become many: they are spread over the tasks first, however few files they came from.
+        spread = names.repartition(names.sparkSession.sparkContext.defaultParallelism * 4)
+        index = stored(postings(spread, column, keys, size).join(asked, "gram", "left_semi"), "postings")
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n_names"))
     # A frequent n-gram is reached only by terms that hold no rarer one; adaptive execution splits it by its measured size.
     candidates = rarest_grams(wanted, counts, size).join(index, "gram")

@@ -52,6 +52,16 @@ def test_institution_terms_need_equality_joins_only(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_candidates_of_numbered_names_grow_with_the_terms_only(spark):
+    """With n-grams of three characters every term of digits had a fixed share of all names as candidates."""
+    listed = spark.range(10000, 18000).selectExpr("id", "format_string('Customer#%09d', id) as name")
+    terms = spark.range(100).selectExpr("format_string('R#%09d', 10000 + id * 7) as term")
+    index = term_index.postings(listed, "name", ["id"])
+    counts = index.groupBy("gram").count().withColumnRenamed("count", "n_names")
+    assert term_index.rarest_grams(terms, counts).join(index, "gram").count() <= 2 * 100
+    assert term_index.names_with_terms(listed, terms, "name", ["id"]).count() == 100
+
+
 def _listing(spark, files):
     rows = [(f"/b/{n}", n, "RC", "03312025", 1, 2025, 1, h, DAY) for n, h in files.items()]
     columns = "filepath string, filename string, schedule_code string, report_date string, quarter int, year int, file_size bigint"
