@@ -163,3 +163,11 @@ def test_nested_and_unbalanced_tables(spark):
     docs = spark.createDataFrame([(1, html)], "doc_id int, html string")
     got = sorted((r.table_ix, r.table_html.replace("<table>", "").replace("</table>", "")) for r in documents.html_tables(docs).collect())
     assert got == [(0, "AC"), (1, "B"), (2, "D")]
+
+
+def test_a_table_text_is_made_once_for_all_words(spark):
+    """The filter on ``is_financial`` is pushed down to where the text is made: it must not be made for every word."""
+    grids = documents.table_grids(documents.html_tables(spark.createDataFrame([(1, "<table><tr><td>1</td></tr></table>")], "doc_id int, html string")))
+    plan = tables.financial_tables(tables.table_profile(grids)).select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(Contains(lower(" not in plan and "lambdafunction(contains(lower(" not in plan.lower()
+    assert "contains(" in plan.lower()
