@@ -80,7 +80,8 @@ def schedule_folder(spark: SparkSession, sf: str) -> str:
     if key in _WRITTEN:
         return _WRITTEN[key]
     root = new_folder(spark, "schedules")
-    wide = D.wide_schedules(spark, sf)
+    # Stored once: every schedule's files would work out all sums and cells again.
+    wide = stored(D.wide_schedules(spark, sf), "wide")
     for schedule in sorted(set(D.SCHEDULE_OF.values())):
         write_schedule(wide, schedule, f"{root}/FFIEC CDR Call Schedule {schedule}")
     _WRITTEN[key] = root
@@ -103,33 +104,27 @@ def write_schedule(wide: DataFrame, schedule: str, target: str, codes: list[str]
     )
 
 
-def _with_file_quarter(df: DataFrame) -> DataFrame:
-    fields = names.listing_fields(F.col("source_file"))
-    label = names.quarter_key(fields["year"], fields["quarter"])
-    return df.withColumn("quarter_key", label)
-
-
 # -- S: sources ----------------------------------------------------------------------------------------
 @query("S1_read_wide_schedule")
 def _(spark, sf):
     wide = schedules.read_wide(spark, f"{schedule_folder(spark, sf)}/FFIEC CDR Call Schedule RC")
-    cells = normalize.unpivot_codes(_with_file_quarter(wide), [dims.ID_COLUMN, "quarter_key"])
+    cells = normalize.unpivot_codes(schedules.with_file_quarter(wide), [dims.ID_COLUMN, "quarter_key"])
     return cells.filter(F.col("raw").isNotNull())
 
 
 @query("S2_read_wide_schedule_strict")
 def _(spark, sf):
     path = f"{schedule_folder(spark, sf)}/FFIEC CDR Call Schedule RC"
-    long = reports.process_file(spark, path, D.institutions(spark, sf), D.descriptions(spark, sf))
-    return _with_file_quarter(long).select(*IDS, "schedule_code", "schedule_name", "mdrm_code", "line_item", "amount")
+    long = reports.process_file(spark, path, D.institutions(spark, sf), D.descriptions(spark, sf), quarters=True)
+    return long.select(*IDS, "schedule_code", "schedule_name", "mdrm_code", "line_item", "amount")
 
 
 @query("S3_process_directory")
 def _(spark, sf):
     long = reports.process_directory(
-        spark, schedule_folder(spark, sf), D.institutions(spark, sf), D.descriptions(spark, sf)
+        spark, schedule_folder(spark, sf), D.institutions(spark, sf), D.descriptions(spark, sf), quarters=True
     )
-    return _with_file_quarter(long).select(
+    return long.select(
         *IDS, "name", "schedule_code", "schedule_seq", "mdrm_code", "line_item", "description", "amount"
     )
 
@@ -138,7 +133,7 @@ def _(spark, sf):
 def _(spark, sf):
     wide = schedules.read_wide(spark, f"{schedule_folder(spark, sf)}/FFIEC CDR Call Schedule RI")
     long = normalize.to_long(
-        _with_file_quarter(wide), D.institutions(spark, sf), D.descriptions(spark, sf), "RI", keys=QUARTER
+        schedules.with_file_quarter(wide), D.institutions(spark, sf), D.descriptions(spark, sf), "RI", keys=QUARTER
     )
     return long.select(*IDS, "mdrm_code", "amount")
 
@@ -930,10 +925,10 @@ def _(spark, sf):
 def _(spark, sf):
     root, inst, desc = schedule_folder(spark, sf), D.institutions(spark, sf), D.descriptions(spark, sf)
     parts = [
-        normalize.to_long(schedules.read_wide(spark, f"{root}/FFIEC CDR Call Schedule {s}"), inst, desc, s, carry=["source_file"])
+        normalize.to_long(schedules.with_file_quarter(schedules.read_wide(spark, f"{root}/FFIEC CDR Call Schedule {s}")), inst, desc, s, keys=QUARTER)
         for s in sorted(set(D.SCHEDULE_OF.values()))
     ]
-    return _with_file_quarter(normalize.union_schedules(parts)).select(*IDS, "schedule_code", "mdrm_code", "amount")
+    return normalize.union_schedules(parts).select(*IDS, "schedule_code", "mdrm_code", "amount")
 
 
 @query("U2_schedules_in_use")
@@ -1108,7 +1103,7 @@ def _(spark, sf):
 @query("I8_batch_retries")
 def _(spark, sf):
     """Two runs: files without an id column fail in both, and files that arrive between them are processed by the second."""
-    root, wide = new_folder(spark, "batches"), D.wide_schedules(spark, sf)
+    root, wide = new_folder(spark, "batches"), stored(D.wide_schedules(spark, sf), "wide")
     inst, desc = D.institutions(spark, sf), D.descriptions(spark, sf)
     log = f"{root}/log"
     ledger_log.create(ledger.empty_ledger(spark), log, NOW)
@@ -1144,18 +1139,18 @@ def _(spark, sf):
         header = [dims.ID_COLUMN, *[c for c, s in D.SCHEDULE_OF.items() if s == schedule], "TEXT1234"]
         runs.append(new_files.process_new_files(
             spark, f"{root}/FFIEC CDR Call Schedule {schedule}", header, schedule, D.institutions(spark, sf), D.descriptions(spark, sf),
-            f"{output}/{schedule}", f"{checkpoint}/{schedule}",
+            f"{output}/{schedule}", f"{checkpoint}/{schedule}", quarters=True,
         ))
     for run in runs:
         run.awaitTermination()
     rows = normalize.union_schedules([spark.read.parquet(f"{output}/{s}") for s in sorted(set(D.SCHEDULE_OF.values()))])
-    return _with_file_quarter(rows).select(*IDS, "schedule_code", "mdrm_code", "line_item", "amount")
+    return rows.select(*IDS, "schedule_code", "mdrm_code", "line_item", "amount")
 
 
 @query("stream_amended_filings")
 def _(spark, sf):
     # The second run finds amended files of every ninth institution with fewer codes and a new one, the third nothing new.
-    root, wide = new_folder(spark, "incoming"), D.wide_schedules(spark, sf)
+    root, wide = new_folder(spark, "incoming"), stored(D.wide_schedules(spark, sf), "wide")
     inst, desc = D.institutions(spark, sf), D.descriptions(spark, sf)
 
     def run():

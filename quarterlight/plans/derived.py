@@ -95,8 +95,10 @@ def _noisy(number: Column, code_ix: Column) -> Column:
     """Cell text; by a fixed rule some cells are blank, withheld, bracketed or malformed."""
     kind = F.pmod(F.col("supp") * 7 + F.col("qix") * 5 + code_ix * 3, F.lit(31))
     plain = number.cast("string")
+    # Most cells are plain: the first test settles them.  In a lambda the number is worked out again for every test.
     return (
-        F.when(kind == 0, F.lit(None).cast("string"))
+        F.when(kind > 11, plain)
+        .when(kind == 0, F.lit(None).cast("string"))
         .when(kind == 1, "")
         .when(kind == 2, "NA")
         .when(kind == 3, "ND")

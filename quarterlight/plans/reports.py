@@ -17,15 +17,13 @@ from quarterlight.sources import documents, schedules
 
 def process_file(
     spark: SparkSession, path: str, institutions: DataFrame, descriptions: DataFrame,
-    rssd_ids: list[str] | None = None, mode: str = "strict",
+    rssd_ids: list[str] | None = None, mode: str = "strict", quarters: bool = False,
 ) -> DataFrame:
-    """Long table of one schedule file, with lineage columns."""
+    """Long table of one schedule file, with lineage columns, and with the file's quarter if asked."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     code = _schedule_of(spark, name) or "Unknown"
     wide = schedules.read_wide(spark, path, rssd_ids)
-    long = normalize.to_long(
-        wide, institutions, descriptions, code, carry=["source_file", "source_path", "row_seq"], mode=mode
-    )
+    long = _carried_long(wide, code, institutions, descriptions, mode, quarters)
     return normalize.with_schedule_info(long).withColumn("processing_date", F.current_timestamp())
 
 
@@ -48,22 +46,29 @@ def process_file_with_quality(
 
 def process_directory(
     spark: SparkSession, directory: str, institutions: DataFrame, descriptions: DataFrame,
-    rssd_ids: list[str] | None = None, pattern: str = "*.txt", mode: str = "strict",
+    rssd_ids: list[str] | None = None, pattern: str = "*.txt", mode: str = "strict", quarters: bool = False,
 ) -> DataFrame:
     """Long table of every schedule file of a folder: one scan per distinct header, then a union."""
     listed = [(code, path) for code, path, _ in schedules.schedule_files(spark, directory, pattern)]
     order = {code: i for i, code in enumerate(sorted({code for code, _ in listed}))}
     parts = []
     for (code, header), paths in schedules.group_by_header(spark, listed).items():
-        long = _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode)
+        long = _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode, quarters)
         parts.append(long.withColumn("schedule_seq", F.lit(order[code])))
     return normalize.union_schedules(parts)
 
 
-def _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode) -> DataFrame:
+def _long_of(spark, code, header, paths, institutions, descriptions, rssd_ids, mode, quarters=False) -> DataFrame:
     wide = schedules.read_wide(spark, paths, rssd_ids, list(header))
+    return _carried_long(wide, code, institutions, descriptions, mode, quarters)
+
+
+def _carried_long(wide, code, institutions, descriptions, mode, quarters) -> DataFrame:
+    """The long table with lineage, and the quarter in the file's name while there is one row per institution."""
+    keys = ["quarter_key"] if quarters else []
+    wide = schedules.with_file_quarter(wide) if quarters else wide
     carry = ["source_file", "source_path", "row_seq"]
-    return normalize.to_long(wide, institutions, descriptions, code, carry=carry, mode=mode)
+    return normalize.to_long(wide, institutions, descriptions, code, keys=keys, carry=carry, mode=mode)
 
 
 def header_error(header: tuple[str, ...]) -> str | None:

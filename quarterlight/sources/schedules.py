@@ -63,6 +63,12 @@ def read_wide(
     return kept.withColumn("row_seq", F.monotonically_increasing_id())
 
 
+def with_file_quarter(rows: DataFrame) -> DataFrame:
+    """Add ``quarter_key``, read from the file's name; on wide rows this is done once per row and not once per cell."""
+    fields = names.listing_fields(F.col("source_file"))
+    return rows.withColumn("quarter_key", names.quarter_key(fields["year"], fields["quarter"]))
+
+
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
     """path, file name, size and modification time of matching files; contents are not read."""
     files = (

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quarterlight import dims
 from quarterlight.functions import names, text
 from quarterlight.operators import normalize
-from quarterlight.sources.schedules import code_columns
+from quarterlight.sources.schedules import code_columns, with_file_quarter
 
 
 def stream_wide(spark: SparkSession, directory: str, header: list[str], pattern: str = "*.txt") -> DataFrame:
@@ -35,15 +35,17 @@ def stream_wide(spark: SparkSession, directory: str, header: list[str], pattern:
 
 def process_new_files(
     spark: SparkSession, directory: str, header: list[str], schedule: str, institutions: DataFrame,
-    descriptions: DataFrame, output: str, checkpoint: str, mode: str = "strict",
+    descriptions: DataFrame, output: str, checkpoint: str, mode: str = "strict", quarters: bool = False,
 ) -> StreamingQuery:
-    """Process every file not seen before, append its long rows to ``output``, then stop.
+    """Process every file not seen before, append its long rows to ``output`` (with the file's quarter if asked), then stop.
 
     The checkpoint remembers processed files, and the file sink's log makes a restarted batch
     exactly-once.
     """
     wide = stream_wide(spark, directory, header)
-    long = normalize.to_long(wide, institutions, descriptions, schedule, carry=["source_file"], mode=mode)
+    wide = with_file_quarter(wide) if quarters else wide
+    keys = ["quarter_key"] if quarters else []
+    long = normalize.to_long(wide, institutions, descriptions, schedule, keys=keys, carry=["source_file"], mode=mode)
     return (
         long.writeStream.format("parquet")
         .option("path", output)

@@ -226,3 +226,23 @@ def test_long_sink_as_csv(spark, tmp_path):
     sinks.write_long(long, str(tmp_path / "csv"), "csv")
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert sorted((r.schedule_code, r.amount, r.amount_value) for r in back.collect()) == [("RC", "1,0", "10.0"), ("RI", "x", None)]
+
+
+def test_schedules_are_written_from_one_stored_table(spark, monkeypatch):
+    """All sums and cells were worked out again for every schedule's files."""
+    from quarterlight.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog, "_WRITTEN", {})
+    monkeypatch.setattr(catalog, "write_schedule", lambda wide, schedule, target: seen.append((schedule, wide.inputFiles())))
+    catalog.schedule_folder(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 4 and not [f for _, files in seen for f in files if "lineitem" in f]
+
+
+def test_quarters_are_read_from_names_before_the_unpivot(spark, folder, lookups):
+    """The file's quarter was worked out for every cell instead of once for every wide row."""
+    long = reports.process_directory(spark, folder, *lookups, pattern="FFIEC*.txt", quarters=True)
+    assert {(r.source_file, r.quarter_key) for r in long.collect()} >= {
+        (NAME.format("RC", "03312024"), "2024-Q1"), (NAME.format("RC", "06302024"), "2024-Q2")
+    }
+    assert "quarter_key" not in reports.process_directory(spark, folder, *lookups, pattern="FFIEC*.txt").columns
