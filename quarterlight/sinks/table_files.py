@@ -17,6 +17,7 @@ import datetime as dt
 import hashlib
 import json
 import sys
+import time
 import uuid
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -70,6 +71,9 @@ class FileForEachRow(DataSourceWriter):
             raise ValueError("table files are only added to an empty folder")
         self.path = options["path"].rstrip("/")
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        # Made here, on the driver, and never by a task: one that goes on after an abort can't bring it back.
+        store, staging = store_of(self.staging)
+        store.create_dir(staging, recursive=True)
 
     def write(self, iterator) -> Written:
         from pyarrow import fs
@@ -78,8 +82,9 @@ class FileForEachRow(DataSourceWriter):
         part = f"part-{context.partitionId():05d}"
         store, staging = store_of(self.staging)
         folder = f"{staging}/{part}-{context.taskAttemptId()}"
-        files = 0
+        files, made = 0, set()
         try:
+            store.create_dir(folder, recursive=False)
             for row in iterator:
                 below = f"{folder}/{safe_name(row.folder)}"
                 name = safe_name(row.file)
@@ -88,7 +93,9 @@ class FileForEachRow(DataSourceWriter):
                 while store.get_file_info(target).type != fs.FileType.NotFound:
                     number += 1
                     target = f"{below}/{stem}_{number}{dot}{ending}"
-                store.create_dir(below, recursive=True)
+                if below not in made:
+                    store.create_dir(below, recursive=False)
+                    made.add(below)
                 with store.open_output_stream(target) as out:
                     out.write((row.value or "").encode())
                 files += 1
@@ -117,8 +124,15 @@ class FileForEachRow(DataSourceWriter):
         from pyarrow import fs
 
         store, staging = store_of(self.staging)
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
+        for wait in (0.1, 0.5, 1, 2, 4, None):
+            if store.get_file_info(staging).type == fs.FileType.NotFound:
+                return
+            try:
+                store.delete_dir(staging)
+            except OSError:  # a task that has not been stopped yet added a file meanwhile
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class TableFiles(DataSource):
