@@ -7,6 +7,7 @@ import os
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarterlight.operators import distinct_ids, ledger, ledger_log, term_index
 from quarterlight.plans import reports
@@ -105,6 +106,36 @@ def test_log_versions_repeats_and_snapshots(spark, tmp_path):
     assert sorted(r.removed for r in changes) == [False] * 9 + [True]
 
 
+def test_stored_rows_of_a_log_are_not_shuffled_again(spark, tmp_path):
+    """A state and what is joined with it by path are put together in the log's buckets, after a snapshot too."""
+    root = str(tmp_path / "log")
+    listing = _listing(spark, {str(i): str(i) for i in range(40)})
+    ledger_log.create(ledger.upsert_files(ledger.empty_ledger(spark), listing), root, DAY, 4)
+    ledger_log.upsert_files(spark, root, "scan", _listing(spark, {str(i): "x" for i in range(30, 50)}), DAY)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            state = ledger_log.state(spark, root)
+            outcomes = spark.range(30, 50).selectExpr("concat('/b/', id) AS filepath", "'completed' AS status", "'' AS error")
+            joined = ledger.set_status(state, outcomes)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            # Only what is joined with the state moves.
+            assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+            assert joined.filter("processing_status = 'completed'").count() == 20 and joined.count() == 50
+            ledger_log.compact(spark, root, DAY)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # A session that does not know the log's table, and a ledger path kept by a log without buckets.
+    for table in spark.catalog.listTables():
+        if table.name.startswith("ledger_log_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    assert ledger_log.state(spark, root).count() == 50
+    plain = str(tmp_path / "plain")
+    ledger_log._write(ledger_log.state(spark, root).withColumn("removed", F.lit(False)), plain, 0, "create", DAY, "snapshot", None)
+    assert ledger_log.set_status(spark, plain, "run", state.selectExpr("filepath", "'completed' AS status", "'' AS error").limit(5), DAY) == 1
+    assert ledger_log.state(spark, plain).filter("processing_status = 'completed'").count() == 5
+
+
 def test_log_ignores_what_an_ended_run_left(spark, tmp_path, monkeypatch):
     """A batch whose commit was not written is worked out again, and its rows count once."""
     root = str(tmp_path / "log")
