@@ -167,17 +167,19 @@ def comparison(peer_rows: DataFrame, keys: list[str], order: list[str], columns:
     """
     seq = F.struct(*[F.col(c) for c in order])
     item = [*keys, "peer_group", "schedule_code", "line_item", "mdrm_code"]
+    # Texts are grouped by sorting.  Their hash comes first, so that almost all comparisons are of two numbers.
+    peer_rows = peer_rows.withColumn("_item", F.xxhash64(*item))
     # One row per member first, with partial sums on the map side, so that repeated rows never gather.
-    each = peer_rows.groupBy(*item, "ordinal").agg(
+    each = peer_rows.groupBy("_item", *item, "ordinal").agg(
         F.min_by(F.struct("description"), seq).alias("_d"), F.max("set_size").alias("set_size"), F.max_by("amount", seq).alias("amount")
     )
-    grouped = each.groupBy(*item).agg(
+    grouped = each.groupBy("_item", *item).agg(
         F.min_by("_d", "ordinal")["description"].alias("description"),
         F.max("set_size").alias("set_size"),
         F.map_from_entries(F.collect_list(F.struct("ordinal", "amount"))).alias("_by"),
     )
     cell = lambda i: F.coalesce(F.try_element_at("_by", i), F.lit(dims.MISSING_CELL))
-    whole = grouped.withColumn("amounts", F.transform(F.sequence(F.lit(0), F.col("set_size") - 1), cell)).drop("_by")
+    whole = grouped.withColumn("amounts", F.transform(F.sequence(F.lit(0), F.col("set_size") - 1), cell)).drop("_by", "_item")
     shown = {member_name(i): F.get("amounts", F.lit(i)) for i in range(columns)}
     return whole.withColumns(shown).withColumn("sort_key", names.line_item_key(F.col("line_item")))
 

@@ -120,6 +120,7 @@ def to_long(
     mode: str = "strict",
     rssd_ids: list[str] | None = None,
     codes: list[str] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Wide schedule rows to the long table.
 
@@ -127,6 +128,9 @@ def to_long(
     holds several schedules side by side.  ``keys`` are further key columns (such as the quarter) and
     ``carry`` lineage columns to keep.  Names are joined before the unpivot, where there is one row
     per institution; after it only the header-sized code table is joined.
+
+    A row becomes one for each code, so a task that holds few megabytes of wide rows may have to group or sort gigabytes of cells.
+    ``spread`` deals the wide rows to as many tasks as the session has shuffle partitions, for a long table that is grouped next.
     """
     keys, carry = keys or [], carry or []
     codes = codes if codes is not None else code_columns(wide.columns)
@@ -138,11 +142,13 @@ def to_long(
     rssd = text.strip(F.col(dims.ID_COLUMN)) if mode == "strict" else F.col(dims.ID_COLUMN)
     rows = rows.select(rssd.alias("rssd_id"), *keys, *carry, *[F.col(f"`{c}`") for c in codes])
     rows = with_names(rows, institutions)
-    cells = keep_reported(unpivot_codes(rows, ["rssd_id", "name", *keys, *carry], codes), mode)
+    if spread:
+        rows = rows.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     of = (lambda c: schedule_of) if isinstance(schedule_of, str) else schedule_of.__getitem__
     dimension = code_dimension(wide.sparkSession, [(of(c), c) for c in codes], descriptions, mode)
-    joined = cells.join(F.broadcast(dimension), "mdrm_code")
-    return joined.select(
+    # Before the cleaning, so that a later filter on schedules or codes leaves the other cells uncleaned.
+    cells = unpivot_codes(rows, ["rssd_id", "name", *keys, *carry], codes).join(F.broadcast(dimension), "mdrm_code")
+    return keep_reported(cells, mode).select(
         "rssd_id", *keys, "name", "schedule_code", "line_item", "description", "mdrm_code", "amount",
         "amount_num", "schedule_seq", "code_seq", *carry,
     )

@@ -32,7 +32,6 @@ def now():
 QUARTER = D.QUARTER
 IDS = ["rssd_id", "quarter_key"]
 MEMBER_COLUMNS = 6
-BUCKETS = 16
 #: Codes that the amended files of the stream keep.
 AMENDED_CODES = ("RCFD2170", "RCON2170", "RCON2122", "RCON2200", "RCON6631")
 PAGE_KEYWORDS = ("que", "edthe", "und", "ción", "the")
@@ -290,7 +289,7 @@ def _(spark, sf):
 def _bucketed(spark, sf):
     """The repeated long table, stored in buckets of institutions."""
     path = new_folder(spark, "buckets")
-    return sinks.write_long_buckets(D.repeated_long(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, BUCKETS)
+    return sinks.write_long_buckets(D.repeated_long(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path)
 
 
 @query("K1_bucketed_metrics")

@@ -164,7 +164,7 @@ def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: li
 
     return normalize.to_long(
         wide_schedules(spark, sf_dir), institutions(spark, sf_dir), descriptions(spark, sf_dir), SCHEDULE_OF,
-        keys=QUARTER, mode=mode, codes=codes,
+        keys=QUARTER, mode=mode, codes=codes, spread=True,
     )
 
 

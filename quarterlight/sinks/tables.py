@@ -23,13 +23,15 @@ def write_long(long: DataFrame, path: str, fmt: str = "parquet", partition: str
         writer.format(fmt).save(path)
 
 
-def write_long_buckets(long: DataFrame, table: str, path: str, buckets: int = 256, partition: str | None = None) -> DataFrame:
+def write_long_buckets(long: DataFrame, table: str, path: str, buckets: int | None = None, partition: str | None = None) -> DataFrame:
     """The long table bucketed by institution: later groupings and joins by institution read it without a shuffle of their own.
 
     The one shuffle is made here, by the buckets' own hash, so that a task writes whole buckets; adaptive execution splits a
     bucket that an institution with very many rows makes large, which then has several files.  A filter on
     ``rssd_id`` reads one bucket, one on ``partition`` the folders named.  ``table`` is registered over the files in ``path``.
+    One task reads a bucket, so their number is to grow with the data: without ``buckets`` there are as many as the session's shuffle partitions.
     """
+    buckets = buckets or int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     writer = long.hint("rebalance", buckets, F.col("rssd_id")).write.mode("errorifexists").bucketBy(buckets, "rssd_id").option("path", path)
     (writer.partitionBy(partition) if partition else writer).saveAsTable(table)
     return long.sparkSession.table(table)

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quarterlight.operators import compare, metrics
+from quarterlight.operators import compare, metrics, normalize
 from quarterlight.plans import derived
 from quarterlight.sinks import table_files
 from quarterlight.sinks import tables as sinks
@@ -87,3 +87,36 @@ def test_buckets_in_folders_of_schedules(spark, tmp_path):
         assert "PartitionFilters: [isnotnull(schedule_code" in exchanges(some)[1]
     finally:
         spark.sql("DROP TABLE long_by_schedule")
+
+
+def test_a_long_table_to_be_grouped_is_spread_over_tasks(spark):
+    """The wide rows of one file lie in one task; their cells are dealt to as many tasks as there are shuffle partitions."""
+    wide = spark.range(0, 40, 1, 1).selectExpr("cast(id AS string) AS IDRSSD", "cast(id AS string) AS RCON2170", "'x' AS RCON0081", "'5' AS RIAD4340")
+    names = spark.createDataFrame([("1", "First")], "rssd_id string, name string")
+    codes = spark.createDataFrame([("RCON2170", "Total assets")], "mdrm_code string, description string")
+    of = {"RCON2170": "RC", "RCON0081": "RC", "RIAD4340": "RI"}
+    long = {spread: normalize.to_long(wide, names, codes, of, spread=spread) for spread in (False, True)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert long[False].rdd.getNumPartitions() == 1 and long[True].rdd.getNumPartitions() == n > 1
+    got = {spread: sorted(tuple(r) for r in rows.collect()) for spread, rows in long.items()}
+    assert got[True] == got[False] and len(got[True]) == 80
+    # A filter on the schedule goes below the cleaning of the cells.
+    plan = long[True].filter("schedule_code = 'RI'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("schedule_code#", plan.index("Join Inner")) and "(schedule_code" in plan[plan.index("Join Inner"):]
+
+
+def test_buckets_grow_with_the_shuffle_partitions(spark, tmp_path):
+    stored = sinks.write_long_buckets(derived.long_table(spark, SF), "long_in_default_buckets", str(tmp_path / "default"))
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        about = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED long_in_default_buckets").collect()}
+        assert about["Num Buckets"] == str(n) and stored.count() > 0
+    finally:
+        spark.sql("DROP TABLE long_in_default_buckets")
+
+
+def test_a_comparison_sorts_by_a_number_first(spark):
+    rows = compare.attach_peers(derived.repeated_long(spark, SF), compare.peer_groups(derived.peer_members(spark, SF)))
+    compared = compare.comparison(rows, ["quarter_key"], ["row_seq"], 2)
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[_item#" in plan and "_item" not in compared.columns
