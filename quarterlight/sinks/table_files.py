@@ -158,8 +158,17 @@ def write_files(rows: DataFrame, path: str) -> None:
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """folder, file, value of everything that ``write_files`` wrote; Spark passes over empty files."""
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(path)
+    """folder, file, value of everything that ``write_files`` wrote; Spark passes over empty files.
+
+    The folders are named by a pattern, so that one job lists them all; else Spark runs a job for each task's folder, with
+    a task for each document in it.
+    """
+    from pyarrow import fs
+
+    store, inside = store_of(path)
+    parts = [f for f in store.get_file_info(fs.FileSelector(inside)) if f.base_name.startswith("part-")]
+    listed = f"{path.rstrip('/')}/part-*/*" if parts else path
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(listed)
     steps = F.split("path", "/")
     return found.select(
         F.url_decode(F.element_at(steps, -2)).alias("folder"), F.url_decode(F.element_at(steps, -1)).alias("file"),

@@ -120,3 +120,21 @@ def test_a_comparison_sorts_by_a_number_first(spark):
     compared = compare.comparison(rows, ["quarter_key"], ["row_seq"], 2)
     plan = compared._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate(key=[_item#" in plan and "_item" not in compared.columns
+
+
+def test_written_files_are_listed_by_one_job(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = spark.range(0, 160, 1, 4).selectExpr("concat('d=', id div 2) AS folder", "concat(id, '.csv') AS file", "'x' AS value")
+    table_files.write_files(rows, path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        back = table_files.read_files(spark, path)
+        jobs = len(tracker.getJobIdsForGroup("listing"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 1
+    assert {(r.folder, r.file) for r in back.collect()} == {(f"d={i // 2}", f"{i}.csv") for i in range(160)}
+    empty = str(tmp_path / "none")
+    table_files.write_files(rows.limit(0), empty)
+    assert table_files.read_files(spark, empty).collect() == []
