@@ -210,6 +210,31 @@ def test_cross_entropy_over_every_word(spark, documents, awkward):
     assert scores[8] < scores[9]
 
 
+def test_cross_entropy_in_one_shuffle(spark, documents):
+    """No join of pairs and no shuffled text: that took more disk than four times the input."""
+    chance = random.Random(7)
+    # Frequent words and pairs, and many rare ones.
+    texts = [" ".join(["the cat", *(f"w{int(chance.paretovariate(0.3)) % 5000}" for _ in range(60))] * (1 + i % 2)) for i in range(200)]
+    docs = documents([*texts, "", None, *texts[:3]])
+    models = cross_entropy.learn(docs, docs.filter("doc_id % 3 = 0").select("doc_id"))
+    assert 0 < len(models.counts.words) < 1024 < models.size and 0 < len(models.counts.pair[0]) < 1024
+    found = cross_entropy.score(docs, models)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+    every = {r["doc_id"]: tuple(r) for r in found.collect()}
+    loss = {(r["before"], r["word"]): (r["target_loss"], r["background_loss"]) for r in models.losses().collect()}
+    for doc_id, n, target, background, score in every.values():
+        text = [*texts, "", None, *texts[:3]][doc_id]
+        before, word = cross_entropy.Hashes().pairs(text)
+        own = [loss[p] for p in zip(before.tolist(), word.tolist())]
+        assert n == len(own) and score == pytest.approx(target - background)
+        assert (target, background) == pytest.approx(tuple(sum(c) / len(own) for c in zip(*own)) if own else (0, 0))
+    # Some of the documents that were counted, and one that was not.
+    some = {r["doc_id"]: tuple(r) for r in cross_entropy.score(docs.filter("doc_id > 150"), models).collect()}
+    assert len(some) == 54 and all(row == pytest.approx(every[i]) for i, row in some.items())
+    with pytest.raises(Exception, match="not in the background"):
+        cross_entropy.score(documents(["w1 unseen the"]), models).collect()
+
+
 def test_cross_entropy_of_no_documents(spark, documents):
     none = documents(["x"]).filter("doc_id < 0")
     assert cross_entropy.score(none, cross_entropy.learn(none, none)).count() == 0
