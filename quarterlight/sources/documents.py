@@ -80,16 +80,20 @@ def _row_cells(row: Column, negatives_first: bool) -> Column:
 
     def expand(piece: Column) -> Column:
         tag_end = F.instr(piece, F.lit(">"))
-        attributes = F.substring(piece, F.lit(1), tag_end)
         body = F.get(F.split(F.substring(piece, tag_end + 1, F.length(piece)), r"(?i)</t[dhr]\b", 2), F.lit(0))
 
-        def span(name: str, most: int) -> Column:
+        def span(attributes: Column, name: str, most: int) -> Column:
             number = F.nullif(F.regexp_extract(attributes, rf"""(?i){name}\s*=\s*["']?\s*(\d+)""", 1), F.lit(""))
             # A number of too many digits is over the limit too.
             return F.coalesce(F.when(number.isNotNull(), F.least(F.coalesce(number.try_cast("int"), F.lit(most)), F.lit(most))), F.lit(1))
 
-        cell = text.clean_cell(text.markup_text(body), negatives_first)
-        return F.struct(cell.alias("text"), F.greatest(span("colspan", MAX_COLSPAN), F.lit(1)).alias("colspan"), span("rowspan", MAX_ROWSPAN).alias("rowspan"))
+        def spans(attributes: Column) -> Column:
+            both = lambda c, r: F.struct(c.alias("colspan"), r.alias("rowspan"))
+            read = both(F.greatest(span(attributes, "colspan", MAX_COLSPAN), F.lit(1)), span(attributes, "rowspan", MAX_ROWSPAN))
+            return F.when(attributes.contains("="), read).otherwise(both(F.lit(1), F.lit(1)))
+
+        cell = text.cell_text(body, negatives_first)
+        return _let(_let(F.substring(piece, F.lit(1), tag_end), spans), lambda s: F.struct(cell.alias("text"), s["colspan"].alias("colspan"), s["rowspan"].alias("rowspan")))
 
     return F.transform(pieces, expand)
 
@@ -125,7 +129,13 @@ def _placed_row(open_: Column, cells: Column) -> Column:
         return _let(free, put)
 
     begun = F.struct(F.lit(0).alias("x"), open_.alias("open"), F.array().cast(_PLACED).alias("placed"))
-    return F.aggregate(cells, begun, step)
+    # Where nothing spans, the cells stand one after the other: no column is looked for.
+    one = F.lit(1)
+    beside = F.transform(cells, lambda c, i: F.struct(i.alias("col"), one.alias("colspan"), one.alias("rowspan"), c["text"].alias("text")))
+    opened = F.concat(F.array_repeat(one, F.size(cells)), F.array_repeat(F.lit(0), F.greatest(F.size(open_) - F.size(cells), F.lit(0))))
+    plain = F.forall(open_, lambda n: n == 0) & F.forall(cells, lambda c: (c["colspan"] == 1) & (c["rowspan"] == 1))
+    placed = F.struct(F.size(cells).alias("x"), opened.alias("open"), beside.cast(_PLACED).alias("placed"))
+    return F.when(plain, placed).otherwise(F.aggregate(cells, begun, step))
 
 
 def placed_cells(tables: DataFrame, negatives_first: bool = False) -> DataFrame:
@@ -156,7 +166,11 @@ def table_grids(tables: DataFrame, negatives_first: bool = False) -> DataFrame:
 
     def full(cells: Column) -> Column:
         by_place = lambda m: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit("")))
-        return _let(F.map_from_entries(F.transform(cells, lambda c: F.struct(c["col"], c["text"]))), by_place)
+        placed = _let(F.map_from_entries(F.transform(cells, lambda c: F.struct(c["col"], c["text"]))), by_place)
+        # Without gaps, the last of so many cells stands in the column of that number.
+        n = F.size(cells)
+        beside = F.concat(F.transform(cells, lambda c: F.coalesce(c["text"], F.lit(""))), F.array_repeat(F.lit(""), F.col("n_cols") - n))
+        return F.when((n == 0) | (F.get(cells, n - 1)["col"] == n - 1), beside).otherwise(placed)
 
     placed = placed_cells(tables, negatives_first)
     # A table without any cell has rows without places.

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from quarterlight.functions import text
 from quarterlight.operators import joins, report_rows, tables
 from quarterlight.sources import documents
 
@@ -171,3 +172,23 @@ def test_a_table_text_is_made_once_for_all_words(spark):
     plan = tables.financial_tables(tables.table_profile(grids)).select("doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(Contains(lower(" not in plan and "lambdafunction(contains(lower(" not in plan.lower()
     assert "contains(" in plan.lower()
+
+
+def test_wide_rows_of_plain_cells(spark):
+    """Cells without spans are put side by side: no column is looked for, which took the square of a row's width."""
+    n = 12_000
+    row = lambda r: "<tr>" + "".join(f"<td>{r} {c}</td>" for c in range(n)) + "</tr>"
+    spanned = "<table><tr><td rowspan=2>a</td><td>b (1)</td></tr><tr><td> 1&amp;2 </td></tr><tr></tr></table>"
+    docs = spark.createDataFrame([(0, f"<table>{row(0)}{row(1)}</table>"), (1, spanned)], "doc_id long, html string")
+    began = time.time()
+    grids = {r["doc_id"]: r["cells"] for r in documents.table_grids(documents.html_tables(docs)).collect()}
+    assert time.time() - began < 10
+    assert grids == {0: [[f"{r} {c}" for c in range(n)] for r in (0, 1)], 1: [["a", "b"], ["", "1&2"], ["", ""]]}
+
+
+def test_plain_cells_are_cleaned_like_all_others(spark):
+    cells = [None, "", "a", "a b", "a  b", " a", "a\n", "1,234", "-5", "(5)", "(a) x", "x*", "$ 5", "5 %", "<b>x</b>", "a&amp;b", "é", "a b", "a\tb", "1.5 m", "a b\r"]
+    rows = spark.createDataFrame([(c,) for c in cells], "c string")
+    for first in (False, True):
+        both = rows.select(text.cell_text(F.col("c"), first).alias("now"), text.clean_cell(text.markup_text(F.col("c")), first).alias("then")).collect()
+        assert [r["now"] for r in both] == [r["then"] for r in both]
