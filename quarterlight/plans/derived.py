@@ -159,11 +159,11 @@ def peer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: list[str] | None = None) -> DataFrame:
+def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: list[str] | None = None, wide: DataFrame | None = None) -> DataFrame:
     from quarterlight.operators import normalize
 
     return normalize.to_long(
-        wide_schedules(spark, sf_dir), institutions(spark, sf_dir), descriptions(spark, sf_dir), SCHEDULE_OF,
+        wide_schedules(spark, sf_dir) if wide is None else wide, institutions(spark, sf_dir), descriptions(spark, sf_dir), SCHEDULE_OF,
         keys=QUARTER, mode=mode, codes=codes, spread=True,
     )
 
@@ -213,10 +213,11 @@ def mixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metric_table(spark: SparkSession, sf_dir: str, wide: DataFrame | None = None) -> DataFrame:
     from quarterlight.operators import metrics
 
-    base = metrics.wide_base_metrics([(wide_schedules(spark, sf_dir).withColumn("row_seq", F.lit(0)), SCHEDULE_OF)], QUARTER)
+    wide = wide_schedules(spark, sf_dir) if wide is None else wide
+    base = metrics.wide_base_metrics([(wide.withColumn("row_seq", F.lit(0)), SCHEDULE_OF)], QUARTER)
     return metrics.with_ratios(base)
 
 

@@ -204,11 +204,22 @@ def _cells(df: DataFrame, table: str, columns: list[str], item: Column | None =
     return df.select(*keys, F.inline(F.array(*[cell(c) for c in columns])))
 
 
-def _member_cells(df: DataFrame, table: str, item: Column) -> DataFrame:
-    """One row per member of a group, whatever their number; rows that are only labels have none."""
-    who = F.when(F.col("ordinal") == 0, compare.member_name(0)).otherwise(F.concat(F.lit("peer_"), F.col("ordinal").cast("string")))
-    rows = df.select("*", F.posexplode("members").alias("ordinal", "value"))
-    return rows.withColumns({"table": F.lit(table), "item": item, "member": who, "content": F.lit(None).cast("string")})
+def _member_cells(df: DataFrame, table: str, item: Column, keys: list[str], beside: list[str]) -> DataFrame:
+    """One row per member of a group, whatever their number, and one for each column ``beside``; rows that are only labels have none.
+
+    All of them come from one pass, so that the members are brought side by side once.
+    """
+    types = dict(df.dtypes)
+
+    def cell(member: Column, value: Column | None = None, content: Column | None = None) -> Column:
+        value, content = (F.lit(None) if c is None else c for c in (value, content))
+        return F.struct(member.alias("member"), value.cast("double").alias("value"), content.cast("string").alias("content"))
+
+    who = lambda i: F.when(i == 0, compare.member_name(0)).otherwise(F.concat(F.lit("peer_"), i.cast("string")))
+    members = F.transform("members", lambda v, i: cell(who(i), v))
+    others = [cell(F.lit(c), content=F.col(c)) if types[c] == "string" else cell(F.lit(c), F.col(c)) for c in beside]
+    rows = df.filter(F.col("members").isNotNull())
+    return rows.select(*keys, "peer_group", F.lit(table).alias("table"), item.alias("item"), F.inline(F.concat(members, F.array(*others))))
 
 
 def bundle_rows(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -220,8 +231,7 @@ def bundle_rows(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
         if name in ("ratios", "sections"):
             item = F.col("label") if name == "ratios" else F.concat_ws(": ", "section", "label")
             cells = ["peer_avg", "status"] if name == "ratios" else ["peer_avg"]
-            beside = df.filter(F.col("members").isNotNull()).select(*keys, "peer_group", item.alias("label"), *cells)
-            return [_member_cells(df, name, item), _cells(beside, name, cells, F.col("label"))]
+            return [_member_cells(df, name, item, keys, cells)]
         if name == "statistics":
             return [_cells(df, name, ["mean", "median", "std_dev", "primary_percentile"], F.col("label"))]
         if name == "top_items":
