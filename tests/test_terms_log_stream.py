@@ -229,3 +229,16 @@ def test_bundles_are_whole(spark):
         ("7", "flag", None, None), ("7", "total_assets", 5.0, None)
     ]
     assert len(rows) == 10
+
+
+def test_members_and_the_cells_beside_them_come_from_one_pass(spark):
+    ratios = spark.createDataFrame(
+        [("q", 1, "L", [2.0, None], 1.5, "good"), ("q", 2, "L", [], None, None), ("q", 3, "L", None, 1.0, "x")],
+        "quarter_key string, peer_group bigint, label string, members array<double>, peer_avg double, status string",
+    )
+    rows = reports.bundle_rows({"ratios": ratios}, ["quarter_key"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted((r.peer_group, r.member, r.value, r.content) for r in rows.collect()) == [
+        (1, "peer_1", None, None), (1, "peer_avg", 1.5, None), (1, "primary", 2.0, None), (1, "status", None, "good"),
+        (2, "peer_avg", None, None), (2, "status", None, None),
+    ]
