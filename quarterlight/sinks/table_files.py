@@ -1,6 +1,6 @@
 """A sink that writes one file for each row: one CSV file for each extracted table.
 
-A Python data source writer.  A task writes its files one after the other, so that one is open at a time, into a folder of its own
+A Python data source, with a writer and a reader.  A task writes its files one after the other, so that one is open at a time, into a folder of its own
 below ``_staging``; that folder is named by partition and attempt, so that a repeated or speculative attempt never touches another's.
 On commit the driver renames one folder for each task (messages carry a folder and a number of files, no names) and then
 writes ``_metadata.json``; on abort it deletes the staging folder, and a failing task deletes its own.  A job that failed leaves no
@@ -9,6 +9,8 @@ file in sight.  The store must be able to rename folders (local, NFS, HDFS); an
 Defined results: a null or empty content is an empty file, a null folder is ``(null)``, and of several rows of one folder
 and name all have a file: the later ones get ``_2``, ``_3``, … before the ending.  Names are quoted as in URLs, and one above 200 bytes
 is cut and ends with its hash.  No rows give no file but the metadata.
+
+Read back, the driver knows the tasks' folders only: the task that reads one lists it, so that no list of all files is ever made.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ import json
 import sys
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 LONGEST_NAME = 200
+#: What a task that reads files holds of them at a time, besides one more file.
+BATCH_FILES, BATCH_BYTES = 1024, 4 << 20
 
 # Workers get these classes by value, so they need no installation of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -146,6 +152,63 @@ class TableFiles(DataSource):
         return FileForEachRow(self.options, overwrite)
 
 
+class Part(InputPartition):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+
+class FilesReader(DataSourceReader):
+    """A task for each folder that a task wrote."""
+
+    def __init__(self, options):
+        self.path = options["path"].rstrip("/")
+
+    def partitions(self):
+        from pyarrow import fs
+
+        store, path = store_of(self.path)
+        return [Part(f.base_name) for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("part-")] or [Part("")]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        if not partition.folder:
+            return
+        store, path = store_of(self.path)
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=["folder", "file", "content"])
+
+        rows, size = [], 0
+        for below in store.get_file_info(fs.FileSelector(f"{path}/{partition.folder}")):
+            if below.type != fs.FileType.Directory:
+                continue
+            for info in store.get_file_info(fs.FileSelector(below.path)):
+                if info.size and info.base_name.endswith(".csv"):
+                    with store.open_input_stream(info.path) as file:
+                        rows.append((below.base_name, info.base_name, file.read()))
+                    size += info.size
+                    if len(rows) >= BATCH_FILES or size >= BATCH_BYTES:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
+
+
+class WrittenFiles(DataSource):
+    """folder, file, content: names as they are on the disk, and bytes, of the CSV files that are not empty."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "written_table_files"
+
+    def schema(self) -> str:
+        return "folder string, file string, content binary"
+
+    def reader(self, schema) -> FilesReader:
+        return FilesReader(self.options)
+
+
 def write_files(rows: DataFrame, path: str) -> None:
     """One file for each row of (folder, file, value) below ``path``, which must not hold any yet."""
     from pyarrow import fs
@@ -158,22 +221,14 @@ def write_files(rows: DataFrame, path: str) -> None:
 
 
 def read_files(spark, path: str) -> DataFrame:
-    """folder, file, value of everything that ``write_files`` wrote; Spark passes over empty files.
+    """folder, file, value of everything that ``write_files`` wrote, without the empty files.
 
-    The folders are named by a pattern, so that one job lists them all; else Spark runs a job for each task's folder, with
-    a task for each document in it.
+    Spark's own file sources keep the status of every file on the driver and plan a task for a few of them; here the driver
+    holds one name for each task that wrote.
     """
-    from pyarrow import fs
-
-    store, inside = store_of(path)
-    parts = [f for f in store.get_file_info(fs.FileSelector(inside)) if f.base_name.startswith("part-")]
-    listed = f"{path.rstrip('/')}/part-*/*" if parts else path
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").format("binaryFile").load(listed)
-    steps = F.split("path", "/")
-    return found.select(
-        F.url_decode(F.element_at(steps, -2)).alias("folder"), F.url_decode(F.element_at(steps, -1)).alias("file"),
-        F.decode("content", "UTF-8").alias("value"),
-    )
+    spark.dataSource.register(WrittenFiles)
+    found = spark.read.format("written_table_files").load(path)
+    return found.select(F.url_decode("folder").alias("folder"), F.url_decode("file").alias("file"), F.decode("content", "UTF-8").alias("value"))
 
 
 def read_totals(path: str) -> dict:

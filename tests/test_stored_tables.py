@@ -138,3 +138,17 @@ def test_written_files_are_listed_by_one_job(spark, tmp_path):
     empty = str(tmp_path / "none")
     table_files.write_files(rows.limit(0), empty)
     assert table_files.read_files(spark, empty).collect() == []
+
+
+def test_written_files_are_listed_by_the_tasks_that_read_them(spark, tmp_path):
+    """The driver's plan has one name for each task that wrote, however many files there are."""
+    path = str(tmp_path / "listed")
+    odd = [("a b", "x+y%.csv", "é\n1"), (None, "null.csv", "2"), ("d", "empty.csv", ""), ("d", "none.csv", None)]
+    many = spark.range(0, 2600, 1, 2).selectExpr("concat('f', id div 900) AS folder", "concat(id, '.csv') AS file", "repeat('x', cast(id AS int) + 1) AS value")
+    table_files.write_files(many.union(spark.createDataFrame(odd, "folder string, file string, value string").coalesce(1)), path)
+    parts = glob.glob(f"{path}/part-*")
+    back = table_files.read_files(spark, path)
+    assert len(parts) == 3 and back.rdd.getNumPartitions() == len(parts)
+    assert len(back.inputFiles()) == 0
+    want = [(f"f{i // 900}", f"{i}.csv", "x" * (i + 1)) for i in range(2600)] + [("a b", "x+y%.csv", "é\n1"), ("(null)", "null.csv", "2")]
+    assert sorted(tuple(r) for r in back.collect()) == sorted(want)
