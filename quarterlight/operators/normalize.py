@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,15 @@ def valid_id(rssd_id: Column) -> Column:
     return rssd_id.isNotNull() & (trimmed != "") & (trimmed != "nan")
 
 
-def unpivot_codes(wide: DataFrame, ids: list[str], codes: list[str] | None = None) -> DataFrame:
-    """(ids, mdrm_code, raw): one row per code cell, blank cells included."""
+def unpivot_codes(wide: DataFrame, ids: list[str], codes: list[str] | None = None, in_place: bool = False) -> DataFrame:
+    """(ids, mdrm_code, raw): one row per code cell, blank cells included.
+
+    Of an unpivoted table Spark does not know how it is dealt; with ``in_place`` the same rows are generated, and it still knows.
+    """
     codes = codes if codes is not None else code_columns(wide.columns)
+    if in_place:
+        cells = [F.struct(F.lit(c).alias("mdrm_code"), F.col(f"`{c}`").alias("raw")) for c in codes]
+        return wide.select(*ids, F.inline(F.array(*cells)))
     return wide.unpivot(ids, codes, "mdrm_code", "raw")
 
 
@@ -121,6 +128,8 @@ def to_long(
     rssd_ids: list[str] | None = None,
     codes: list[str] | None = None,
     spread: bool = False,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
+    together: list[str] | None = None,
 ) -> DataFrame:
     """Wide schedule rows to the long table.
 
@@ -131,6 +140,10 @@ def to_long(
 
     A row becomes one for each code, so a task that holds few megabytes of wide rows may have to group or sort gigabytes of cells.
     ``spread`` deals the wide rows to as many tasks as the session has shuffle partitions, for a long table that is grouped next.
+
+    ``attach`` joins further columns by ``rssd_id`` while there is one row per institution; they stay in the long table.  ``together``
+    names columns among those that the long table is grouped by next: wide rows that agree in them are dealt to one task, so that the
+    grouping finds its cells there and shuffles none.  It is for groups of which a task can sort the cells.
     """
     keys, carry = keys or [], carry or []
     codes = codes if codes is not None else code_columns(wide.columns)
@@ -142,15 +155,20 @@ def to_long(
     rssd = text.strip(F.col(dims.ID_COLUMN)) if mode == "strict" else F.col(dims.ID_COLUMN)
     rows = rows.select(rssd.alias("rssd_id"), *keys, *carry, *[F.col(f"`{c}`") for c in codes])
     rows = with_names(rows, institutions)
-    if spread:
-        rows = rows.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = ["rssd_id", "name", *keys, *carry]
+    attached = []
+    if attach:
+        rows = attach(rows)
+        attached = [c for c in rows.columns if c not in {*ids, *codes}]
+    if spread or together:
+        rows = rows.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(together or []))
     of = (lambda c: schedule_of) if isinstance(schedule_of, str) else schedule_of.__getitem__
     dimension = code_dimension(wide.sparkSession, [(of(c), c) for c in codes], descriptions, mode)
     # Before the cleaning, so that a later filter on schedules or codes leaves the other cells uncleaned.
-    cells = unpivot_codes(rows, ["rssd_id", "name", *keys, *carry], codes).join(F.broadcast(dimension), "mdrm_code")
+    cells = unpivot_codes(rows, [*ids, *attached], codes, in_place=bool(together)).join(F.broadcast(dimension), "mdrm_code")
     return keep_reported(cells, mode).select(
         "rssd_id", *keys, "name", "schedule_code", "line_item", "description", "mdrm_code", "amount",
-        "amount_num", "schedule_seq", "code_seq", *carry,
+        "amount_num", "schedule_seq", "code_seq", *carry, *attached,
     )
 
 

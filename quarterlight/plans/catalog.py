@@ -66,7 +66,10 @@ def _peer_rows(spark, sf):
 
 
 def _comparison(spark, sf):
-    return compare.comparison(_peer_rows(spark, sf), QUARTER, ["code_seq"], MEMBER_COLUMNS)
+    peers = compare.peer_groups(D.peer_members(spark, sf))
+    # Groups are joined to the wide rows, and a group goes to one task: neither the comparison nor its files shuffle a cell.
+    rows = D.long_table(spark, sf, attach=lambda wide: compare.attach_peers(wide, peers), together=["peer_group"])
+    return compare.comparison(rows, QUARTER, ["code_seq"], MEMBER_COLUMNS)
 
 
 # -- files written for the source and sink queries ----------------------------------------------------
@@ -321,7 +324,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_folder(spark, "comparison")
     shown = [compare.member_name(i) for i in range(MEMBER_COLUMNS)]
-    sinks.write_comparison(_comparison(spark, sf), path, shown)
+    sinks.write_comparison(_comparison(spark, sf), path, shown, together=True)
     return spark.read.parquet(path).select(
         "quarter_key", "peer_group", "schedule_code", "line_item", "mdrm_code", *[f"{m}_value" for m in shown]
     )

@@ -159,12 +159,13 @@ def peer_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: list[str] | None = None, wide: DataFrame | None = None) -> DataFrame:
+def long_table(spark: SparkSession, sf_dir: str, mode: str = "strict", codes: list[str] | None = None, wide: DataFrame | None = None, **dealt) -> DataFrame:
+    """The long table of the wide schedules; ``dealt`` says what ``to_long`` joins before the unpivot and by what it deals the rows."""
     from quarterlight.operators import normalize
 
     return normalize.to_long(
         wide_schedules(spark, sf_dir) if wide is None else wide, institutions(spark, sf_dir), descriptions(spark, sf_dir), SCHEDULE_OF,
-        keys=QUARTER, mode=mode, codes=codes, spread=True,
+        keys=QUARTER, mode=mode, codes=codes, spread=True, **dealt,
     )
 
 

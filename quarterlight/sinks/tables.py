@@ -37,13 +37,18 @@ def write_long_buckets(long: DataFrame, table: str, path: str, buckets: int | No
     return long.sparkSession.table(table)
 
 
-def write_comparison(compared: DataFrame, path: str, members: list[str]) -> None:
-    """Comparison tables, one folder per schedule, with numeric columns next to the shown text."""
+def write_comparison(compared: DataFrame, path: str, members: list[str], together: bool = False) -> None:
+    """Comparison tables, one folder per schedule, with numeric columns next to the shown text.
+
+    A group's table of a schedule lies in one file, in order, unless it is split for its size.  ``together`` says that the rows of a
+    schedule and group are in one task already; then no row is shuffled.
+    """
     numeric = {f"{m}_value": text.amount_number(F.col(m)) for m in members}
     out = compared.withColumns(numeric).withColumns(
         {"grp": F.col("sort_key.grp"), "main": F.col("sort_key.main"), "sub": F.col("sort_key.sub"), "letter": F.col("sort_key.letter")}
     )
-    out = out.drop("sort_key").hint("rebalance", "schedule_code", "peer_group")
+    out = out.drop("sort_key")
+    out = out if together else out.hint("rebalance", "schedule_code", "peer_group")
     ordered = out.sortWithinPartitions("schedule_code", "peer_group", "grp", "main", "sub", "letter", "mdrm_code")
     ordered.write.mode("errorifexists").partitionBy("schedule_code").parquet(path)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterlight.operators import compare, metrics, normalize
-from quarterlight.plans import derived
+from quarterlight.plans import catalog, derived
 from quarterlight.sinks import table_files
 from quarterlight.sinks import tables as sinks
 
@@ -152,3 +152,44 @@ def test_written_files_are_listed_by_the_tasks_that_read_them(spark, tmp_path):
     assert len(back.inputFiles()) == 0
     want = [(f"f{i // 900}", f"{i}.csv", "x" * (i + 1)) for i in range(2600)] + [("a b", "x+y%.csv", "é\n1"), ("(null)", "null.csv", "2")]
     assert sorted(tuple(r) for r in back.collect()) == sorted(want)
+
+
+def small_tables(spark, path):
+    """25 suppliers of which two come twice, one has no key, and their lines of nine quarters; some lines have no date or supplier."""
+    key = "case when id = 25 then null when id > 25 then id - 20 else id end"
+    spark.range(28).selectExpr(f"{key} AS s_suppkey", "concat('Bank ', id) AS s_name").coalesce(1).write.parquet(f"{path}/supplier.parquet")
+    spark.range(3000).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").coalesce(1).write.parquet(f"{path}/part.parquet")
+    spark.range(0, 1500, 1, 4).selectExpr(
+        "if(id % 101 = 7, null, id % 25) AS l_suppkey", "cast(id * 37.25 AS double) AS l_extendedprice", "cast(id % 11 / 100 AS double) AS l_discount",
+        "cast(id % 9 / 100 AS double) AS l_tax", "cast(id % 50 AS double) AS l_quantity", "substring('ANRX', cast(id % 4 AS int) + 1, 1) AS l_returnflag",
+        "if(id % 3 = 0, 'O', 'F') AS l_linestatus", "if(id % 97 = 5, null, timestamp'1995-01-15' + make_interval(0, 3 * cast(id div 25 % 9 AS int))) AS l_shipdate",
+    ).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_comparison_tables_shuffle_no_cell(spark, tmp_path):
+    """Cells of a group are compared, sorted and written where its wide rows were dealt, and give the rows of the joined long table."""
+    sf = small_tables(spark, tmp_path / "tables")
+    compared = catalog._comparison(spark, sf)
+    keys, _ = exchanges(compared)
+    assert not [k for k in keys if "_item#" in k] and sum(k.startswith("peer_group#") and "rssd_id" not in k for k in keys) <= 2
+    members = [compare.member_name(i) for i in range(catalog.MEMBER_COLUMNS)]
+    rows = compare.attach_peers(derived.long_table(spark, sf), compare.peer_groups(derived.peer_members(spark, sf)))
+    want = compare.comparison(rows, ["quarter_key"], ["code_seq"], catalog.MEMBER_COLUMNS)
+    assert [k for k in exchanges(want)[0] if "_item#" in k]
+    assert sorted(map(str, compared.select(*want.columns).collect())) == sorted(map(str, want.collect())) != []
+    assert compared.filter("quarter_key is null").count() > 0
+    path = str(tmp_path / "written")
+    sinks.write_comparison(compared, path, members, together=True)
+    back = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    assert back.groupBy("schedule_code", "peer_group").agg(F.countDistinct("file").alias("files")).filter("files <> 1").count() == 0
+    assert back.count() == want.count()
+    for file in glob.glob(f"{path}/*/*.parquet"):
+        order = [(r.peer_group, r.grp, r.main, r.sub, r.letter or "", r.mdrm_code) for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert order == sorted(order)
+
+
+def test_cells_unpivoted_in_place_are_the_same(spark):
+    wide = spark.createDataFrame([("1", "5", None), ("2", "", "x"), (None, "7", "8")], "IDRSSD string, RCON2170 string, RIAD4340 string")
+    got = [sorted(map(str, normalize.unpivot_codes(wide, ["IDRSSD"], None, in_place).collect())) for in_place in (False, True)]
+    assert got[0] == got[1] and len(got[0]) == 6
