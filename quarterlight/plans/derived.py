@@ -62,33 +62,47 @@ QUARTER = ["quarter_key"]
 
 
 def quarter_sums(lineitem: DataFrame) -> DataFrame:
-    """Whole-number sums per supplier and shipping quarter (exact, whatever the row order)."""
+    """Whole-number sums per supplier and shipping quarter (exact, whatever the row order).
+
+    Cents are shuffled once for each flag and status: what all lines sum to, and the filled ones, follows from these.
+    """
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    quarter = F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1
 
     def per_hundred(rate: str) -> Column:
         return F.expr(f"sum(cents * cast(round({rate} * 100) as bigint)) div 10000")
 
     def cents_where(condition: str) -> Column:
-        return F.expr(f"coalesce(sum(case when {condition} then cents end), 0) div 100")
+        return F.expr(f"sum(case when {condition} then cents end)")
 
-    return (
+    def hundreds(value: str) -> Column:
+        return F.expr(f"coalesce({value}, 0) div 100")
+
+    sums = (
         lineitem.withColumn("cents", cents)
-        .groupBy(
-            F.col("l_suppkey").alias("supp"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")
-        )
+        .groupBy(F.col("l_suppkey").alias("supp"), quarter.alias("quarter"))
         .agg(
-            F.expr("sum(cents) div 100").alias("total"),
-            cents_where("l_returnflag = 'A'").alias("flag_a"),
-            cents_where("l_returnflag = 'N'").alias("flag_n"),
-            cents_where("l_returnflag = 'R'").alias("flag_r"),
-            cents_where("l_linestatus = 'O'").alias("open_"),
-            cents_where("l_linestatus = 'F'").alias("filled"),
+            *[cents_where(f"l_returnflag = '{flag}'").alias(f"sum_{flag.lower()}") for flag in "ANR"],
+            # A missing flag or status is another one.
+            F.expr("sum(case when l_returnflag in ('A', 'N', 'R') then null else cents end)").alias("other_flag"),
+            cents_where("l_linestatus = 'O'").alias("sum_o"),
+            F.expr("sum(case when l_linestatus in ('O', 'F') then null else cents end)").alias("other_status"),
             per_hundred("l_discount").alias("disc"),
             per_hundred("l_tax").alias("tax"),
             F.expr("sum(cast(l_quantity as bigint))").alias("qty"),
             F.count(F.lit(1)).alias("lines"),
         )
     )
+    flags = ("sum_a", "sum_n", "sum_r", "other_flag")
+    # Null only where no line has a price.
+    whole = F.when(F.coalesce(*flags).isNotNull(), sum((F.coalesce(f, F.lit(0)) for f in flags[1:]), F.coalesce(flags[0], F.lit(0))))
+    return sums.withColumn("cents", whole).select(
+        "supp", F.expr("cast(floor(quarter / 4) as int)").alias("y"), F.expr("cast(pmod(quarter, 4) + 1 as int)").alias("q"),
+        F.expr("cents div 100").alias("total"), hundreds("sum_a").alias("flag_a"), hundreds("sum_n").alias("flag_n"),
+        hundreds("sum_r").alias("flag_r"), hundreds("sum_o").alias("open_"),
+        hundreds("cents - coalesce(sum_o, 0) - coalesce(other_status, 0)").alias("filled"),
+        "disc", "tax", "qty", "lines",
+    )
 
 
 def _noisy(number: Column, code_ix: Column) -> Column:

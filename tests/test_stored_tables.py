@@ -193,3 +193,26 @@ def test_cells_unpivoted_in_place_are_the_same(spark):
     wide = spark.createDataFrame([("1", "5", None), ("2", "", "x"), (None, "7", "8")], "IDRSSD string, RCON2170 string, RIAD4340 string")
     got = [sorted(map(str, normalize.unpivot_codes(wide, ["IDRSSD"], None, in_place).collect())) for in_place in (False, True)]
     assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_sums_of_lines_with_other_flags_and_gaps(spark):
+    """Sums that follow from others are those of the lines themselves: other, empty or missing flags and prices, dates of any year."""
+    lines = spark.range(4000).selectExpr(
+        "if(id % 31 = 3, null, id % 40) AS l_suppkey", "if(id % 7 < 3 or id % 40 < 4, null, (id * 37 % 9001) / 100.0 - 20) AS l_extendedprice",
+        "if(id % 13 = 1, null, id % 11 / 100.0) AS l_discount", "id % 9 / 100.0 AS l_tax", "cast(id % 50 AS double) AS l_quantity",
+        "element_at(array('A', 'N', 'R', 'X', null, 'a', ''), cast(id div 3 % 7 AS int) + 1) AS l_returnflag",
+        "element_at(array('O', 'F', 'P', null), cast(id div 5 % 4 AS int) + 1) AS l_linestatus",
+        "if(id % 23 = 4, null, timestamp'-0002-01-15' + make_interval(id % 3 * 1000, cast(id % 30 AS int))) AS l_shipdate",
+    )
+    lines.createOrReplaceTempView("lines")
+    where = lambda test: f"coalesce(sum(case when {test} then cents end), 0) div 100"
+    want = spark.sql(f"""SELECT l_suppkey AS supp, year(l_shipdate) AS y, quarter(l_shipdate) AS q, sum(cents) div 100 AS total,
+        {where("l_returnflag = 'A'")} AS flag_a, {where("l_returnflag = 'N'")} AS flag_n, {where("l_returnflag = 'R'")} AS flag_r,
+        {where("l_linestatus = 'O'")} AS open_, {where("l_linestatus = 'F'")} AS filled,
+        sum(cents * cast(round(l_discount * 100) AS bigint)) div 10000 AS disc, sum(cents * cast(round(l_tax * 100) AS bigint)) div 10000 AS tax,
+        sum(cast(l_quantity AS bigint)) AS qty, count(*) AS lines
+        FROM (SELECT *, cast(round(l_extendedprice * 100) AS bigint) AS cents FROM lines) GROUP BY 1, 2, 3""")
+    got = derived.quarter_sums(lines)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.filter("total is null").count() > 0 and want.filter("y < 0").count() > 0
